@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, semi_join_ids
+from .common import BROADCAST_IDS, materialize, semi_join_ids
 from .components import components
 from .words import mix, shingle_sets, words_of
 
@@ -168,3 +168,23 @@ def near_duplicates(
     out = signed.drop("bands").join(named, ["n", "f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one row of each group that near_duplicates() finds; of rows with one id, one stays.
+
+    Rows with a null id stay.
+    """
+    found = materialize(near_duplicates(docs, shingle, percent), "near")
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_i")).distinct(), "gone")
+    again = materialize(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_i")).count().where("count > 1").select("_i"), "again")
+
+    def listed(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    left = docs.join(listed(gone), F.col("doc_id").cast("long") == F.col("_i"), "left_anti")
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long") == F.col("_i")
+    one = left.join(listed(again), same, "left_semi").dropDuplicates(["doc_id"])
+    return left.join(listed(again), same, "left_anti").unionByName(one)

@@ -5,17 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 
 from .common import table
+from .decontaminate import contaminated
+from .fingerprint import fingerprints
+from .html_text import extract
+from .language import fit, identify_documents, identify_pages
+from .license import scan
+from .mixing import mix
 from .near_dup import near_duplicates
+from .oracles import ORACLES  # noqa: F401  (for the driver)
+from .sharding import shard
+from .substring_dedup import remove_repeats
+from .tokens import token_counts
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all four kinds of evidence, and documents by text and source; the id of the other table is null."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs)
+    shown = ["text_language", "language", "probability", "accepted"]
+    pages = identify_pages(table(spark, sf_dir, "pages"), model).select(F.lit(None).cast("long").alias("doc_id"), "page_id", *shown)
+    return pages.unionByName(identify_documents(docs, model).select("doc_id", F.lit(None).cast("long").alias("page_id"), *shown))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_sharding": op2_sharding,
+    "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_license_scan": op9_license_scan,
+    "op10_html_extraction": op10_html_extraction,
+    "pipeline": corpus_pipeline.run,
 }
-
-ORACLES: dict[str, str] = {}

@@ -22,6 +22,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
 _LOWER = _PLAIN.copy()
 _LOWER[65:91] += 32
+_LETTERS = np.array([c if c > 127 or chr(c).isalnum() else 32 for c in _LOWER], dtype=np.uint8)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -81,12 +82,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         a = b
 
 
-def words_of(column: pa.Array, lower: bool) -> Iterator[Words]:
+def words_of(column: pa.Array, lower: bool, punctuation: bool = True) -> Iterator[Words]:
+    """lower: A-Z count as a-z. punctuation: False makes ASCII punctuation white space."""
     data, offsets = text_buffer(column)
+    recode = (_LOWER if lower else _PLAIN) if punctuation else _LETTERS
     for a, b in chunks(offsets):
         part = data[offsets[a] : offsets[b]]
         edges = offsets[a : b + 1] - offsets[a]
-        yield _words(a, b - a, (_LOWER if lower else _PLAIN)[part], edges)
+        yield _words(a, b - a, recode[part], edges)
 
 
 def _words(first: int, docs: int, data: np.ndarray, edges: np.ndarray) -> Words:
