@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from .common import partitions
 
 BINS = 64
+COARSE = 32
 EMPTY = "--------"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -40,20 +41,26 @@ def _draw(term: Column, weight: Column) -> Column:
     return F.shiftleft(level, 27).bitwiseOR(F.xxhash64(term, t).bitwiseAND((1 << 27) - 1))
 
 
-def signatures(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """(keys, fingerprint): BINS marks of 8 hexadecimal digits for each row, from its array of words.
+def signatures(rows: DataFrame, keys: list[str], kinds: int) -> DataFrame:
+    """(keys, fingerprint_0, fingerprint_1, ...): BINS marks of 8 hexadecimal digits for each of a row's texts.
 
-    `rows` must already be partitioned by some of the keys: then nothing is shuffled here. Rows without words
-    don't come out.
+    `rows` has the keys, kind (counted from 0) and words, an array. It must already be partitioned by some of the
+    keys: then nothing is shuffled here. Keys without any word don't come out.
     """
-    terms = rows.select(*keys, F.explode(words).alias("term")).where("term <> ''")
-    terms = terms.select(*keys, F.xxhash64("term").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    drawn = terms.select(*keys, F.pmod("term", F.lit(BINS)).cast("int").alias("bin"), _draw(F.col("term"), 1 + F.log(F.col("n"))).alias("draw"))
+    # explode_outer, as explode would have Spark split each text again to see whether there are words
+    terms = rows.select(*keys, "kind", F.explode_outer("words").alias("term")).where("term <> ''")
+    terms = terms.select(*keys, "kind", F.xxhash64("term").alias("term")).groupBy(*keys, "kind", "term").agg(F.count("*").alias("n"))
+    bin_ = F.col("kind") * BINS + F.pmod("term", F.lit(BINS)).cast("int")
+    drawn = terms.select(*keys, bin_.alias("bin"), _draw(F.col("term"), 1 + F.log(F.col("n"))).alias("draw"))
     least = drawn.groupBy(*keys, "bin").agg(F.min("draw").alias("draw"))
-    marks = F.map_from_entries(F.collect_list(F.struct("bin", F.lower(F.lpad(F.hex(F.xxhash64("draw").bitwiseAND(0xFFFFFFFF)), 8, "0")).alias("mark"))))
-    held = least.groupBy(*keys).agg(marks.alias("m"))
-    each = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at(F.col("m"), b), F.lit(EMPTY)))
-    return held.select(*keys, F.concat_ws("", each).alias("fingerprint"))
+    mark = F.lower(F.lpad(F.hex(F.xxhash64("draw").bitwiseAND(0xFFFFFFFF)), 8, "0"))
+    held = least.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", mark.alias("mark")))).alias("m"))
+
+    def joined(kind: int) -> Column:
+        at = F.sequence(F.lit(kind * BINS), F.lit(kind * BINS + BINS - 1))
+        return F.concat_ws("", F.transform(at, lambda b: F.coalesce(F.try_element_at(F.col("m"), b), F.lit(EMPTY))))
+
+    return held.select(*keys, *[joined(k).alias(f"fingerprint_{k}") for k in range(kinds)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -76,29 +83,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    n = max(1, 2 * partitions(docs.sparkSession))
-    cuts = rows.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    starts = sorted(set(cuts or []))  # at most n ids
-    # the range of an id: how many starts it has reached; null ids are in the first
-    rows = rows.withColumn("g", _range(starts).cast("int"))
-    first = rows.groupBy("g").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id")).orderBy("g").collect()  # one id a range
-    following = [(a.g, b.id) for a, b in zip(first, [*first[1:], *first[:1]], strict=True)]
+    wide = 8 * partitions(docs.sparkSession)  # so many that a task's terms fit in memory
+    rows = rows.withColumn("g", _range(rows, wide))
+    own = F.coalesce("doc_id", F.lit(-(2**63)))
+    first = rows.groupBy("g").agg(F.min(own).alias("id")).orderBy("g").collect()  # one id a range
+    following = [(b["id"], a["g"]) for a, b in zip(first, [*first[1:], *first[:1]], strict=True)]
+    following = docs.sparkSession.createDataFrame(following, "id long, before int")
     order = [F.col("last"), F.col("doc_id").asc_nulls_first(), F.col("h")]
     rows = rows.withColumns({"h": F.xxhash64("text"), "last": F.lit(False)})
-    own = F.coalesce("doc_id", F.lit(-(2**63)))
-    heads = rows.where(own.isin([i for _, i in following]) if following else F.lit(False))
-    to = F.create_map(*[F.lit(x) for g, i in following for x in (i, g)]) if following else F.create_map(F.lit(0), F.lit(0))
-    heads = heads.withColumns({"g": F.try_element_at(to, own).cast("int"), "last": F.lit(True)})
+    heads = rows.join(F.broadcast(following), own == F.col("id"))
+    heads = heads.select("doc_id", "text", F.coalesce("before", F.lit(0)).alias("g"), "h", F.lit(True).alias("last"))
     span = Window.partitionBy("g").orderBy(*order)
-    rows = rows.unionByName(heads).withColumns({"i": F.row_number().over(span), "next": F.lead("text").over(span)})
+    rows = rows.unionByName(heads).repartition(wide, "g")
+    rows = rows.withColumns({"i": F.row_number().over(span), "next": F.lead("text").over(span)})
     chars = F.char_length("text")
     half = F.floor(chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next", F.lit(1), half))
     rows = rows.withColumns({"n_chars": chars.cast("long"), "edited": F.when(~F.col("last"), edited)})
-    both = rows.select("g", "i", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))).alias("x"))
-    both = both.select("g", "i", "x.kind", F.split("x.body", SPACE).alias("words")).where("words is not null")
-    marked = signatures(both, ["g", "i", "kind"], "words")
-    marked = marked.groupBy("g", "i").agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("e"))
+    texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))
+    both = rows.select("g", "i", F.explode(texts).alias("x")).select("g", "i", "x.kind", F.split("x.body", SPACE).alias("words"))
+    marked = signatures(both, ["g", "i"], 2).withColumnsRenamed({"fingerprint_0": "f", "fingerprint_1": "e"})
     facts = rows.select("g", "i", "doc_id", "last", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     blank = F.lit(EMPTY * BINS)
     out = facts.join(marked, ["g", "i"], "left").withColumns({"fingerprint": F.coalesce("f", blank), "edited_fingerprint": F.coalesce("e", blank)})
@@ -110,13 +114,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _range(starts: list[int]) -> Column:
-    """How many of the sorted starts an id has reached, by binary search spelled out as nested conditions."""
+def _range(rows: DataFrame, wide: int) -> Column:
+    """The range of an id, ascending, out of about `wide`: COARSE ranges of equal counts, cut in ranges of equal width."""
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 10_000).alias("c")).first()[0]
+    starts = sorted(set(cuts or [0]))
+    fine = max(1, -(-wide // max(1, len(starts) - 1)))
 
     def within(a: int, b: int) -> Column:
+        """How many of the starts after the first an id has reached, by binary search spelled out as conditions."""
         if a == b:
             return F.lit(a)
         m = (a + b) // 2
-        return F.when(F.col("doc_id") >= starts[m], within(m + 1, b)).otherwise(within(a, m))
-
-    return F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(0)), within(0, len(starts)))
+        return F.when(F.col("doc_id") >= starts[m + 1], within(m + 1, b)).otherwise(within(a, m))
+
+    coarse = within(0, max(0, len(starts) - 2))
+    low = F.element_at(F.array(*map(F.lit, starts)), coarse + 1).cast("double")
+    high = F.element_at(F.array(*map(F.lit, [*starts[1:], starts[-1]])), coarse + 1).cast("double")
+    part = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1.0)) * fine)
+    g = coarse * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), part))
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), g), F.lit(0)).cast("int")
