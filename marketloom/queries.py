@@ -1,6 +1,367 @@
-"""The registered queries of the statistical operators, and the SQL that checks them."""
+"""The registered queries of the statistical operators, and the SQL that checks them.
+
+Assets are the daily revenues by return flag; the market is their total. Figures are rounded, as sums of doubles
+depend on the order of the rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import diagnostics, efficiency, events, multivariate, pricing, telemetry, volatility
+from .operators.gram import fitted, ols
+from .sources import panel, upload
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+DIGITS = 6
+
+_SERIES = """WITH lv AS (SELECT l_returnflag AS symbol, l_shipdate::DATE AS ts, sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem GROUP BY 1, 2),
+mk AS (SELECT l_shipdate::DATE AS ts, sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem GROUP BY 1),
+r0 AS (SELECT symbol, ts, ln(value / lag(value) OVER (PARTITION BY symbol ORDER BY ts)) AS r FROM lv),
+rt AS (SELECT * FROM r0 WHERE r IS NOT NULL),
+m0 AS (SELECT ts, ln(value / lag(value) OVER (ORDER BY ts)) AS m FROM mk),
+al AS (SELECT symbol, ts, r, m FROM rt JOIN m0 USING (ts) WHERE m IS NOT NULL),
+fit AS (SELECT symbol, regr_slope(r, m) AS b, regr_intercept(r, m) AS a FROM al GROUP BY symbol),
+rs AS (SELECT symbol, ts, r, m, r - a - b * m AS e FROM al JOIN fit USING (symbol))"""
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = f"{_SERIES}\n{sql}" if "FROM" in sql else sql
+        return f
+
+    return add
+
+
+def _r(*columns: str) -> str:
+    return ", ".join(f"round({c.split(' AS ')[0]}, {DIGITS}) AS {c.split(' AS ')[-1]}" for c in columns)
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return panel.levels(panel.table(spark, d, "lineitem"))
+
+
+def _returns(spark: SparkSession, d: str) -> DataFrame:
+    return panel.returns(_levels(spark, d))
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    return panel.aligned(_returns(spark, d), panel.returns(panel.market(panel.table(spark, d, "lineitem"))))
+
+
+def _residuals(spark: SparkSession, d: str) -> DataFrame:
+    a = _aligned(spark, d)
+    return fitted(a, ols(a, "r", ["m"], ["symbol"]), "r", ["m"], ["symbol"])
+
+
+def _factors(spark: SparkSession, d: str) -> DataFrame:
+    """Daily log changes of order totals by market segment, as factor columns; null on dates that one lacks."""
+    orders = panel.table(spark, d, "orders").join(panel.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    series = orders.groupBy(F.col("c_mktsegment").alias("symbol"), F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("value"))
+    return panel.returns(series).groupBy("ts").pivot("symbol", ["AUTOMOBILE", "BUILDING", "MACHINERY"]).agg(F.first("r"))
+
+
+_FACTORS = """, sg AS (SELECT c_mktsegment AS g, o_orderdate::DATE AS ts, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+sr AS (SELECT g, ts, ln(value / lag(value) OVER (PARTITION BY g ORDER BY ts)) AS f FROM sg)"""
+
+
+@register("levels", f"SELECT symbol, ts, {_r('value')} FROM lv")
+def levels(spark, d):
+    return _levels(spark, d)
+
+
+@register("log_returns", f"SELECT symbol, ts, {_r('r')} FROM rt")
+def log_returns(spark, d):
+    return _returns(spark, d)
+
+
+@register("simple_returns", f"""SELECT symbol, ts, {_r('r')} FROM (
+SELECT symbol, ts, value / lag(value) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM lv) WHERE r IS NOT NULL""")
+def simple_returns(spark, d):
+    return panel.returns(_levels(spark, d), "simple")
+
+
+for _rule, _end in {
+    "W": "(date_trunc('week', ts) + INTERVAL 6 DAY)::DATE", "M": "last_day(ts)",
+    "Q": "(date_trunc('quarter', ts) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE", "A": "(date_trunc('year', ts) + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE",
+}.items():
+    register(f"resample_{_rule.lower()}", f"SELECT symbol, {_end} AS period_end, round(arg_max(value, ts), {DIGITS}) AS value, count(*) AS n FROM lv GROUP BY 1, 2")(
+        lambda spark, d, rule=_rule: panel.resampled(_levels(spark, d), rule)
+    )
+
+
+@register("quality_report", """, e AS (SELECT *, date_diff('day', lag(ts) OVER (PARTITION BY symbol ORDER BY ts), ts) AS gap FROM lv),
+s AS (SELECT symbol, count(*) AS n, min(ts) AS first, max(ts) AS last, max(gap)::INT AS longest_gap, count(*) FILTER (WHERE value <= 0) AS not_positive FROM e GROUP BY 1),
+c AS (SELECT ts, count(*) AS have FROM lv GROUP BY 1),
+w AS (SELECT count(*) AS calendar, count(*) FILTER (WHERE have = (SELECT count(*) FROM s)) AS common FROM c)
+SELECT symbol, n, first, last, longest_gap, not_positive, calendar - common AS dropped, n < 30 AS short_sample,
+date_diff('day', (SELECT min(first) FROM s), first) > 30 AS late_start, common < calendar AS calendar_misalignment FROM s, w""")
+def quality_report(spark, d):
+    return panel.quality(_levels(spark, d))
+
+
+@register("as_of_rate", f"""SELECT l.symbol, l.ts, {_r('l.value AS value')}, round(coalesce(q.value, (SELECT arg_min(value, ts) FROM q)), {DIGITS}) AS rate
+FROM lv l ASOF LEFT JOIN q ON l.ts >= q.ts""".replace("SELECT l.symbol", """, q AS (SELECT last_day(o_orderdate::DATE) AS ts, avg(o_totalprice) / 1e7 AS value FROM orders GROUP BY 1)
+SELECT l.symbol""", 1))
+def as_of_rate(spark, d):
+    """Each level with the latest month-end mean order price as a rate."""
+    rates = panel.table(spark, d, "orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("ts")).agg((F.avg("o_totalprice") / 1e7).alias("rate"))
+    symbols = _levels(spark, d).select("symbol").distinct()
+    return panel.as_of(_levels(spark, d), rates.crossJoin(F.broadcast(symbols)), "rate", by="symbol")
+
+
+@register("capm", f"""SELECT symbol, nobs, {_r('alpha', 'beta', 'r2', 'sqrt(mse * (1.0 / nobs + mx * mx / sxx)) AS alpha_se', 'sqrt(mse / sxx) AS beta_se', 'pow(1 + alpha, 252) - 1 AS alpha_annualised')}
+FROM (SELECT *, (syy - sxy * sxy / sxx) / (nobs - 2) AS mse FROM (SELECT symbol, count(*) AS nobs, regr_slope(r, m) AS beta, regr_intercept(r, m) AS alpha,
+regr_r2(r, m) AS r2, regr_sxx(r, m) AS sxx, regr_syy(r, m) AS syy, regr_sxy(r, m) AS sxy, avg(m) AS mx FROM al GROUP BY symbol)) WHERE nobs >= 30""")
+def capm(spark, d):
+    return pricing.capm(_aligned(spark, d))
+
+
+@register("factor_model_3")
+def factor_model_3(spark, d):
+    rows = _returns(spark, d).join(_factors(spark, d), "ts", "left")
+    return pricing.factor_model(rows, ["AUTOMOBILE", "BUILDING", "MACHINERY"])
+
+
+@register("rolling_beta", f"""SELECT symbol, ts, {_r('b AS beta', 'sqrt((syy - b * sxy) / 250 / sxx) AS beta_se')} FROM (
+SELECT symbol, ts, count(*) OVER w AS n, regr_slope(r, m) OVER w AS b, var_pop(m) OVER w AS sxx, covar_pop(r, m) OVER w AS sxy, var_pop(r) OVER w AS syy FROM al
+WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE n = 252""")
+def rolling_beta(spark, d):
+    return pricing.rolling_beta(_aligned(spark, d))
+
+
+@register("fama_macbeth", f"""SELECT term, count(*) AS periods, {_r('avg(b) AS premium', 'stddev_samp(b) / sqrt(count(*)) AS std_error', 'avg(b) / (stddev_samp(b) / sqrt(count(*))) AS t_stat')}
+FROM (SELECT y, unnest(['const', 'x']) AS term, unnest([a, b]) AS b FROM (
+SELECT year(l_shipdate) AS y, l_suppkey, sum(l_extendedprice) / 1e6 AS r, avg(l_quantity) AS x FROM lineitem GROUP BY 1, 2) JOIN (
+SELECT yy, regr_intercept(r, x) AS a, regr_slope(r, x) AS b FROM (SELECT year(l_shipdate) AS yy, l_suppkey, sum(l_extendedprice) / 1e6 AS r, avg(l_quantity) AS x FROM lineitem GROUP BY 1, 2)
+GROUP BY yy HAVING count(*) >= 3) ON y = yy GROUP BY y, a, b) GROUP BY term""")
+def fama_macbeth(spark, d):
+    """Suppliers' yearly revenue on their mean order quantity."""
+    lines = panel.table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("ts"), F.col("l_suppkey").alias("symbol"))
+    return pricing.fama_macbeth(lines.agg((F.sum("l_extendedprice") / 1e6).alias("r"), F.avg("l_quantity").alias("x")), ["x"])
+
+
+@register("grs_test")
+def grs_test(spark, d):
+    return pricing.grs(_aligned(spark, d), ["m"])
+
+
+_TAIL = """, k AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY r) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM rt),
+q AS (SELECT symbol, n, r AS q FROM k WHERE k = floor((n - 1) * (1.0::DOUBLE - 0.95::DOUBLE))::BIGINT + 1)"""
+
+
+@register("historical_var", f"""{_TAIL} SELECT symbol, n, {_r('-q AS var')}, count(*) AS n_tail, {_r('-avg(r) AS cvar')} FROM rt JOIN q USING (symbol) WHERE r <= q AND n >= 100 GROUP BY symbol, n, q""")
+def historical_var(spark, d):
+    return volatility.historical_var(_returns(spark, d))
+
+
+@register("parametric_var", f"""SELECT symbol, count(r) AS n, {_r('avg(r) AS mu', 'stddev_samp(r) AS sigma', '-(avg(r) + stddev_samp(r) * -1.6448536269514722) AS var')} FROM rt GROUP BY symbol""")
+def parametric_var(spark, d):
+    return volatility.parametric_var(_returns(spark, d))
+
+
+@register("realized_vol", f"""SELECT symbol, ts, {_r('CASE WHEN count(*) OVER w = 21 THEN sqrt(avg(r * r) OVER w) END AS vol')} FROM rt
+WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)""")
+def realized_vol(spark, d):
+    return volatility.realized_vol(_returns(spark, d))
+
+
+@register("ewma_vol", f"""SELECT symbol, n, {_r('sqrt(v) AS vol', 'sqrt(v) * sqrt(252) AS annualised')} FROM (SELECT symbol, count(*) AS n,
+list_reduce(list(r * r ORDER BY ts), lambda v, x : 0.94::DOUBLE * v + (1 - 0.94::DOUBLE) * x) AS v FROM rt GROUP BY symbol)""")
+def ewma_vol(spark, d):
+    return volatility.ewma_vol(_returns(spark, d))
+
+
+@register("drawdown", f"""SELECT symbol, {_r('max(dd) AS max_drawdown', 'arg_max(dd, ts) AS current')} FROM (
+SELECT symbol, ts, 1 - value / max(value) OVER (PARTITION BY symbol ORDER BY ts) AS dd FROM lv) GROUP BY symbol""")
+def drawdown(spark, d):
+    return volatility.drawdown(_levels(spark, d)).select("symbol", "max_drawdown", "current")
+
+
+@register("drawdown_spells")
+def drawdown_spells(spark, d):
+    return volatility.drawdown(_levels(spark, d))
+
+
+_X = "CASE WHEN {0} > 0 THEN {0} * ln({1}) ELSE 0 END"
+
+
+@register("kupiec_test", f"""SELECT symbol, n, x AS violations, round(-2 * ({_X.format('(n - x)', '0.95')} + {_X.format('x', '0.05')} - {_X.format('(n - x)', '(1 - x / n)')} - {_X.format('x', '(x / n)')}), {DIGITS}) AS lr
+FROM (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE r < -0.9) AS x FROM rt GROUP BY symbol)""")
+def kupiec_test(spark, d):
+    return volatility.kupiec(_returns(spark, d), F.lit(0.9)).drop("p_value")
+
+
+@register("christoffersen_test", """SELECT symbol, count(*) FILTER (WHERE b = 0 AND h = 0) AS n00, count(*) FILTER (WHERE b = 0 AND h = 1) AS n01,
+count(*) FILTER (WHERE b = 1 AND h = 0) AS n10, count(*) FILTER (WHERE b = 1 AND h = 1) AS n11 FROM (
+SELECT symbol, (r < -0.9)::INT AS h, lag((r < -0.9)::INT) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM rt) WHERE b IS NOT NULL GROUP BY symbol""")
+def christoffersen_test(spark, d):
+    return volatility.christoffersen(_returns(spark, d), F.lit(0.9)).drop("lr", "p_value")
+
+
+@register("garch")
+def garch(spark, d):
+    return volatility.garch(_returns(spark, d))
+
+
+_ACF = """, d AS (SELECT symbol, ts, r - avg(r) OVER (PARTITION BY symbol) AS d FROM rt),
+a AS (SELECT symbol, k AS lag, sum(x) / any_value(c0) AS acf, any_value(n) AS n FROM (
+SELECT symbol, k, d * lag(d, k) OVER (PARTITION BY symbol, k ORDER BY ts) AS x, sum(d * d) OVER (PARTITION BY symbol, k) AS c0, count(*) OVER (PARTITION BY symbol, k) AS n
+FROM d, (SELECT unnest(range(1, 11))::INT AS k)) GROUP BY symbol, k)"""
+
+
+@register("acf", f"""{_ACF} SELECT symbol, n, lag, {_r('acf')}, round(1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) OVER w, 0)) / n), {DIGITS}) AS band FROM a
+WINDOW w AS (PARTITION BY symbol ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def acf(spark, d):
+    return efficiency.autocorrelation(_returns(spark, d), 10)
+
+
+@register("ljung_box", f"""{_ACF} SELECT symbol, n, 10 AS lags, round(n * (n + 2) * sum(acf * acf / (n - lag)), {DIGITS}) AS statistic FROM a GROUP BY symbol, n""")
+def ljung_box(spark, d):
+    return efficiency.ljung_box(_returns(spark, d), 10).drop("p_value")
+
+
+@register("runs_test", f"""{_ACF}, u AS (SELECT symbol, ts, d > 0 AS up FROM d WHERE d <> 0),
+w AS (SELECT symbol, up, coalesce(up <> lag(up) OVER (PARTITION BY symbol ORDER BY ts), true) AS new FROM u),
+s AS (SELECT symbol, count(*) FILTER (WHERE up) AS p, count(*) FILTER (WHERE NOT up) AS q, count(*) FILTER (WHERE new) AS runs FROM w GROUP BY symbol),
+e AS (SELECT *, 2.0::DOUBLE * p * q / (p + q) + 1 AS mean, 2.0::DOUBLE * p * q * (2.0::DOUBLE * p * q - (p + q)) / ((p + q)::DOUBLE * (p + q) * (p + q - 1)) AS var FROM s)
+SELECT symbol, p AS positive, q AS negative, runs, round(mean, {DIGITS}) AS expected, round((runs - mean) / sqrt(var), {DIGITS}) AS z FROM e""")
+def runs_test(spark, d):
+    return efficiency.runs_test(_returns(spark, d)).drop("p_value")
+
+
+@register("variance_ratio", f""", x AS (SELECT symbol, ts, ln(value) AS x FROM lv),
+y AS (SELECT symbol, k AS horizon, x - lag(x) OVER w AS d, x - lag(x, k) OVER w AS q FROM x, (SELECT unnest([2, 4, 8, 16])::INT AS k) WINDOW w AS (PARTITION BY symbol, k ORDER BY ts)),
+s AS (SELECT symbol, horizon, count(d) AS n, avg(d) AS mu, count(d) * var_pop(d) AS s1 FROM y GROUP BY ALL),
+z AS (SELECT symbol, horizon, any_value(n) AS n, any_value(s1) AS s1, sum(pow(q - horizon * mu, 2)) AS sq FROM y JOIN s USING (symbol, horizon) GROUP BY ALL),
+v AS (SELECT *, (sq / (horizon * (n - horizon + 1) * (1 - horizon::DOUBLE / n))) / (s1 / (n - 1)) AS vr FROM z)
+SELECT symbol, n, horizon, {_r('vr', '(vr - 1) / sqrt(2 * (2 * horizon - 1) * (horizon - 1) / (3.0::DOUBLE * horizon * n)) AS z')} FROM v""")
+def variance_ratio(spark, d):
+    return efficiency.variance_ratio(_levels(spark, d), [2, 4, 8, 16]).drop("z_robust", "p_value")
+
+
+@register("adf")
+def adf(spark, d):
+    return efficiency.adf(_levels(spark, d), lags=4)
+
+
+@register("kpss")
+def kpss(spark, d):
+    return efficiency.kpss(_levels(spark, d), lags=8)
+
+
+@register("hurst")
+def hurst(spark, d):
+    return efficiency.hurst(_returns(spark, d), [16, 23, 32, 45, 64, 91])
+
+
+@register("jarque_bera", f"""SELECT symbol, count(e) AS n, round(s, {DIGITS}) AS skewness, round(k, {DIGITS}) AS excess_kurtosis,
+round(n / 6.0 * (s * s + k * k / 4), {DIGITS}) AS statistic, round(exp(-n / 6.0 * (s * s + k * k / 4) / 2), {DIGITS}) AS p_value FROM (
+SELECT symbol, e, count(e) OVER p AS n, avg(pow(z, 3)) OVER p AS s, avg(pow(z, 4)) OVER p - 3 AS k FROM (
+SELECT symbol, e, (e - avg(e) OVER (PARTITION BY symbol)) / stddev_pop(e) OVER (PARTITION BY symbol) AS z FROM rs) WINDOW p AS (PARTITION BY symbol))
+GROUP BY symbol, s, k, n""")
+def jarque_bera(spark, d):
+    return diagnostics.jarque_bera(_residuals(spark, d))
+
+
+@register("durbin_watson", f"""SELECT symbol, round(sum(x * x) / sum(e * e), {DIGITS}) AS statistic, sum(x * x) / sum(e * e) BETWEEN 1.5 AND 2.5 AS passed FROM (
+SELECT symbol, e, e - lag(e) OVER (PARTITION BY symbol ORDER BY ts) AS x FROM rs) GROUP BY symbol""")
+def durbin_watson(spark, d):
+    return diagnostics.durbin_watson(_residuals(spark, d))
+
+
+@register("breusch_pagan", f"SELECT symbol, count(*) AS n, round(count(*) * regr_r2(e * e, m), {DIGITS}) AS statistic FROM rs GROUP BY symbol")
+def breusch_pagan(spark, d):
+    return diagnostics.breusch_pagan(_residuals(spark, d), ["m"]).drop("p_value")
+
+
+@register("white_test")
+def white_test(spark, d):
+    return diagnostics.white(_residuals(spark, d), ["m"])
+
+
+@register("arch_lm", f"""SELECT symbol, count(*) AS n, round(count(*) * regr_r2(e2, l1), {DIGITS}) AS statistic FROM (
+SELECT symbol, e * e AS e2, lag(e * e) OVER (PARTITION BY symbol ORDER BY ts) AS l1 FROM rs) WHERE l1 IS NOT NULL GROUP BY symbol""")
+def arch_lm(spark, d):
+    return diagnostics.arch_lm(_residuals(spark, d), lags=1).drop("p_value")
+
+
+@register("vif", f"""{_FACTORS}, w AS (SELECT symbol, a.f AS a, b.f AS b FROM rt JOIN sr a ON rt.ts = a.ts AND a.g = 'AUTOMOBILE' JOIN sr b ON rt.ts = b.ts AND b.g = 'BUILDING'
+WHERE a.f IS NOT NULL AND b.f IS NOT NULL)
+SELECT symbol, unnest(['AUTOMOBILE', 'BUILDING']) AS regressor, round(1 / (1 - regr_r2(a, b)), {DIGITS}) AS vif FROM w GROUP BY symbol""")
+def vif(spark, d):
+    return diagnostics.vif(_returns(spark, d).join(_factors(spark, d), "ts"), ["AUTOMOBILE", "BUILDING"])
+
+
+@register("cusum", f"""SELECT symbol, count(*) AS n, round(max(abs(c)) / sqrt(sum(x * x)), {DIGITS}) AS statistic FROM (
+SELECT symbol, x, sum(x) OVER (PARTITION BY symbol ORDER BY ts) AS c FROM (SELECT symbol, ts, e - avg(e) OVER (PARTITION BY symbol) AS x FROM rs)) GROUP BY symbol""")
+def cusum(spark, d):
+    return diagnostics.cusum(_residuals(spark, d))
+
+
+@register("structural_break")
+def structural_break(spark, d):
+    return diagnostics.structural_break(_residuals(spark, d))
+
+
+@register("granger")
+def granger(spark, d):
+    return multivariate.granger(multivariate.wide(_returns(spark, d), ["A", "N", "R"]), "A", "N", 3)
+
+
+@register("var_model")
+def var_model(spark, d):
+    return multivariate.var_model(multivariate.wide(_returns(spark, d), ["A", "N", "R"]), ["A", "N", "R"], 2)
+
+
+@register("engle_granger")
+def engle_granger(spark, d):
+    return multivariate.engle_granger(multivariate.wide(_levels(spark, d), ["A", "N", "R"], "value"), "A", ["N", "R"], 2)
+
+
+@register("event_study", f""", p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM al),
+ev AS (SELECT symbol, ts AS event, pos AS place FROM p WHERE day(ts) = 1 AND pos > 130),
+f AS (SELECT ev.symbol, event, place, regr_slope(r, m) AS b, regr_intercept(r, m) AS a, (regr_syy(r, m) - regr_sxy(r, m) * regr_sxy(r, m) / regr_sxx(r, m)) / 118 AS mse
+FROM ev JOIN p ON p.symbol = ev.symbol AND pos BETWEEN place - 130 AND place - 11 GROUP BY ALL),
+c AS (SELECT f.symbol, event, count(*) AS n, sum(r - a - b * m) AS car, any_value(mse) AS mse FROM f JOIN p ON p.symbol = f.symbol AND pos BETWEEN place - 5 AND place + 5 GROUP BY ALL)
+SELECT symbol, event, n, {_r('car', 'sqrt(n * mse) AS std_error', 'car / sqrt(n * mse) AS t_stat')} FROM c""")
+def event_study(spark, d):
+    """The first of each month as the event."""
+    rows = _aligned(spark, d)
+    return events.event_study(rows, rows.where("day(ts) = 1").select("symbol", F.col("ts").alias("event")), estimation=120, gap=10, before=5, after=5)
+
+
+@register("span_latency", f"""SELECT event_type, count(*) AS n, {_r('quantile_cont(value, 0.5) AS p50', 'quantile_cont(value, 0.95) AS p95', 'quantile_cont(value, 0.99) AS p99', 'avg((value > 50)::INT) AS failure_rate')}
+FROM events GROUP BY event_type""")
+def span_latency(spark, d):
+    return telemetry.latency(panel.table(spark, d, "events"), "event_type", "value", F.col("value") > 50)
+
+
+@register("nearest_vectors", f"""SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), {DIGITS}) AS distance
+FROM embeddings ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), vec_id LIMIT 10""")
+def nearest_vectors(spark, d):
+    vectors = panel.table(spark, d, "embeddings")
+    query = vectors.where("vec_id = 0").select("embedding").first()[0]
+    return telemetry.nearest(vectors, F.array(*[F.lit(float(x)) for x in query]), 10)
+
+
+@register("upload_profile")
+def upload_profile(spark, d):
+    p = upload.profile(panel.table(spark, d, "orders"))
+    return p.join(upload.roles(p), "column")
+
+
+@register("upload_observations", f"""SELECT o_orderdate::DATE AS ts, o_orderpriority AS symbol, 'price' AS field, {_r('o_totalprice::DOUBLE AS value')} FROM orders""")
+def upload_observations(spark, d):
+    return upload.observations(panel.table(spark, d, "orders"), "o_orderdate", {"o_totalprice": "price"}, ticker="o_orderpriority")
