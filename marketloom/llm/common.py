@@ -70,6 +70,24 @@ def drop_scratch() -> None:
             return
 
 
+#: Rows and bytes of an Arrow batch that a Python worker holds at once, where the session says nothing else.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def map_arrow(df: DataFrame, each, schema) -> DataFrame:
+    """mapInArrow() in batches that stay small for long texts too.
+
+    The limits are settings of the session, as batches are made when the result is read; Spark's defaults are
+    replaced, a session's own values are kept.
+    """
+    conf = df.sparkSession.conf
+    for name, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if conf.get(key, default) == default:
+            conf.set(key, str(ours))
+    return df.mapInArrow(each, schema)
+
+
 def semi_join_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of df whose id is in ids (materialized, distinct); broadcast only up to BROADCAST_IDS."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")

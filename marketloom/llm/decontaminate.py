@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 from .words import Words, rolling, words_of
 
 SEED = 3
@@ -132,7 +134,7 @@ def _blocks(docs: DataFrame, items: DataFrame, item_col: str, item_text: str):
         if not block.words:
             continue
         known = spark.sparkContext.broadcast(block.vocabulary())
-        counted = docs.select("text").mapInArrow(lambda x, known=known: _count(x, known), "word int, n long")
+        counted = map_arrow(docs.select("text"), lambda x, known=known: _count(x, known), "word int, n long")
         counts = {r.word: r.n for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one number per item word
         block.choose(np.array([counts.get(j, 0) for j in range(len(known.value))]), counts.get(-1, 0))
         yield spark.sparkContext.broadcast(block)
@@ -160,7 +162,7 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, id_col
     schema = "doc_id long, item_id long, score double, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(plain, items, item_col, item_text):
-        out = out.union(plain.mapInArrow(lambda b, block=block: _found(b, block, score), schema))
+        out = out.union(map_arrow(plain, lambda b, block=block: _found(b, block, score), schema))
     return out
 
 
@@ -177,5 +179,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, score: float = SCORE, text_
     """docs, all columns, without the rows that contaminated() reports; decided in place, without a join."""
     plain, schema = docs.select(F.col(text_col).cast("string").alias("text")), docs.schema
     for block in _blocks(plain, items, "item_id", "text"):
-        docs = docs.mapInArrow(lambda b, block=block: _clean(b, block, score, text_col), schema)
+        docs = map_arrow(docs, lambda b, block=block: _clean(b, block, score, text_col), schema)
     return docs

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Element names by what they do to the flow of text.
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -199,4 +201,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     space; blocks are joined by a line break. Other columns are ignored. An empty table gives an empty one.
     """
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return plain.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return map_arrow(plain, _extracted, "page_id long, url string, text string, n_chars long")

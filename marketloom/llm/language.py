@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .words import chunks, text_buffer
 
 SAMPLE = 2_000
@@ -46,7 +46,7 @@ _MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S |
 def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row of each trigram, bucket) for runs of whole texts; digits count alike."""
     data, offsets = text_buffer(pc.utf8_lower(column.fill_null("")))
-    for a, b in chunks(offsets, 1 << 20):
+    for a, b in chunks(offsets, 1 << 19):
         part = data[offsets[a] : offsets[b]].astype(np.uint32)
         part[(part >= 48) & (part <= 57)] = 48
         part[part < 32] = 32
@@ -97,12 +97,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_
     rows = rows.where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     # an even share of the hash range, so no ranking of all rows is needed; then the bound
-    kept = None
-    for lang, n in sorted(counts.items()):
-        share = rows.where((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n))))
-        kept = share if kept is None else kept.union(share)
     names, tables = sorted(counts), []
-    found = kept.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas() if counts else None
+    shares = [F.lit(x) for lang in names for x in (lang, int(1_000_000 * min(1.0, sample / counts[lang])))]
+    kept = rows.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(F.create_map(*shares), F.col("lang"))) if counts else rows
+    found = map_arrow(kept.select("text", "lang"), _counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas() if counts else None
     for name in names:
         c = np.zeros(BUCKETS)
         mine = found[found.lang == name]
@@ -170,7 +168,7 @@ def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", te
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")
     )
-    rows = rows.mapInArrow(lambda b: _scored(b, known, False), "doc_id long, text_key long, host string, score array<double>")
+    rows = map_arrow(rows, lambda b: _scored(b, known, False), "doc_id long, text_key long, host string, score array<double>")
     rows = rows.withColumns({"domain": F.lit(None).cast("string"), "declared": F.lit(None).cast("string"), "address": F.lit(None).cast("string")})
     out = _fused(rows, model.languages)
     accepted = (F.col("language") != UNKNOWN) & F.col("text_language").isNotNull()
@@ -197,7 +195,7 @@ def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id", url_
         html.alias("text"),
     )
     schema = "page_id long, host string, domain string, declared string, address string, score array<double>"
-    out = _fused(rows.mapInArrow(lambda b: _scored(b, known, True), schema), model.languages)
+    out = _fused(map_arrow(rows, lambda b: _scored(b, known, True), schema), model.languages)
     accepted = (F.col("language") != UNKNOWN) & F.col("text_language").isNotNull()
     return out.select("page_id", "text_language", "declared", "address", "language", "probability", accepted.alias("accepted"))
 

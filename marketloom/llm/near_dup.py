@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, materialize, semi_join_ids
+from .common import BROADCAST_IDS, map_arrow, materialize, semi_join_ids
 from .components import components
 from .words import mix, shingle_sets, words_of
 
@@ -136,7 +136,7 @@ def near_duplicates(
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(
-        plain.mapInArrow(lambda b: _signatures(b, shingle, bands, rows), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sketches"
+        map_arrow(plain, lambda b: _signatures(b, shingle, bands, rows), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sketches"
     )
     class_of = (
         signed.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class"))
@@ -152,7 +152,7 @@ def near_duplicates(
     star = materialize(star, "star")
     members = materialize(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "members")
     sets = semi_join_ids(plain, members, "doc_id").dropDuplicates(["doc_id"])
-    sets = materialize(sets.mapInArrow(lambda b: _sets(b, shingle), "doc_id long, set array<long>"), "sets")
+    sets = materialize(map_arrow(sets, lambda b: _sets(b, shingle), "doc_id long, set array<long>"), "sets")
     links = materialize(_verified(star, sets, percent), "links")
     parts = components(links)
     # Buckets of two were settled by the star; larger ones only if one component is left.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, semi_join_ids
+from .common import map_arrow, materialize, semi_join_ids
 from .words import Words, mix, rolling, words_of
 
 WINDOW = 35
@@ -147,8 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE, id_c
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     key = ["doc_id", "text_key"]
     base = materialize(
-        plain.mapInArrow(
-            lambda b: _nodes(b, window, node), "doc_id long, text_key long, n_words long, kept_sha256 string, nodes array<long>, times array<int>"
+        map_arrow(plain, lambda b: _nodes(b, window, node), "doc_id long, text_key long, n_words long, kept_sha256 string, nodes array<long>, times array<int>"
         ),
         "nodes",
     )
@@ -160,14 +159,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE, id_c
     # Only texts with repeated nodes are shuffled.
     texts = semi_join_ids(plain, at.select("text_key").distinct(), "text_key")
     rich = texts.join(at.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "nodes"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-    edges = rich.select(*key, "text", "nodes").mapInArrow(lambda b: _edges(b, window, node), "h1 long, h2 int, doc_id long, text_key long, place int")
+    edges = map_arrow(rich.select(*key, "text", "nodes"), lambda b: _edges(b, window, node), "h1 long, h2 int, doc_id long, text_key long, place int")
     edges = materialize(edges, "edges")
     twice = edges.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     cut = edges.join(twice, ["h1", "h2"], "left_semi").groupBy(*key).agg(F.collect_set("place").alias("places"))
     cut = materialize(cut, "cuts")
     texts = semi_join_ids(plain, cut.select("text_key").distinct(), "text_key")
     texts = texts.join(cut.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "places"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-    fixed = texts.select(*key, "text", "places").mapInArrow(lambda b: _removed(b, window), "doc_id long, text_key long, n_removed long, cut_sha256 string")
+    fixed = map_arrow(texts.select(*key, "text", "places"), lambda b: _removed(b, window), "doc_id long, text_key long, n_removed long, cut_sha256 string")
     fixed = fixed.dropDuplicates(key)
     out = base.drop("nodes", "times").alias("x").join(fixed.alias("y"), same(base, fixed), "left")
     return out.select(

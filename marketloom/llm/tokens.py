@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 SAMPLE = 2_000
 FREQUENT = 60_000
 CACHED = 1_000_000
@@ -84,10 +86,10 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     n_tokens > limit. Other columns are ignored. An empty table gives an empty one.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = [r.word for r in plain.select("text").limit(SAMPLE).mapInArrow(_frequent, "word string").collect()]
+    words = [r.word for r in map_arrow(plain.select("text").limit(SAMPLE), _frequent, "word string").collect()]
     fresh = Counts({}, model)
     if any(MARK in p.lstrip(MARK) for p in map(fresh.pieces.id_to_piece, range(fresh.pieces.get_piece_size()))):
         raise ValueError("a piece spans words in this vocabulary, so counts don't add up over pre-tokens")
     known = docs.sparkSession.sparkContext.broadcast({w: fresh[w] for w in words[:FREQUENT]})
-    counted = plain.mapInArrow(lambda b: _count(b, known, model), "doc_id long, n_bytes long, n_tokens long")
+    counted = map_arrow(plain, lambda b: _count(b, known, model), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
