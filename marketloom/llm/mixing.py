@@ -88,7 +88,7 @@ def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """
     taken = mix(docs, repeats).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"))
     taken = materialize(taken.agg(F.round(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0"), "copies")
-    taken = F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken
+    taken = F.broadcast(taken) if taken.count() <= BROADCAST_IDS // 8 else taken  # wider rows than ids
     rows = docs.withColumn("_size", word_count(F.col("text")))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
     times = F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
