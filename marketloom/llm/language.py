@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_arrow, materialize
 from .words import chunks, text_buffer
@@ -89,9 +90,9 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from at most `sample` texts of each language, chosen by a hash of the text.
+    """A model from at most `sample` different texts of each language, chosen by a hash of the text.
 
-    Rows with a null text or language are left out. Without any labelled row the model knows only "und".
+    Copies of a text count once. Rows with a null text or language are left out. Without any labelled row the model knows only "und".
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(lang_col).cast("string")).alias("lang"))
     rows = rows.where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
@@ -100,6 +101,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_
     names, tables = sorted(counts), []
     shares = [F.lit(x) for lang in names for x in (lang, int(1_000_000 * min(1.0, sample / counts[lang])))]
     kept = rows.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(F.create_map(*shares), F.col("lang"))) if counts else rows
+    kept = kept.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= sample)
     found = map_arrow(kept.select("text", "lang"), _counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas() if counts else None
     for name in names:
         c = np.zeros(BUCKETS)

@@ -198,6 +198,16 @@ def test_language_held_out_and_priors(spark):
     assert language.fit(train.limit(0)).languages == ["und"]
 
 
+def test_language_sample_is_bounded_whatever_the_copies(spark):
+    rows = [("aaa", "en")] * 50 + [(f"bbb{i}", "en") for i in range(40)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    once = spark.createDataFrame(sorted(set(rows)), "text string, lang string")
+    assert (language.fit(train, sample=1000).table == language.fit(once, sample=1000).table).all()
+    # one text of three bytes leaves one trigram; the smoothed table has two values then
+    few = language.fit(spark.createDataFrame([(f"{i:03}", "en") for i in range(200)], "text string, lang string"), sample=1)
+    assert len(set(few.table[0])) <= 2
+
+
 def test_fingerprints_follow_the_next_document(spark):
     texts = [prose(i, 120, 3000) for i in range(40)] + [None, "x", prose(0, 120, 3000)]
     got = by_id(fingerprint.fingerprints(corpus(spark, texts)))
