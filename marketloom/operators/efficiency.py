@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,3 +114,39 @@ def hurst(df: DataFrame, windows: list[int]) -> DataFrame:
     each = rows.groupBy("symbol", "w", "block").agg((F.max("c") - F.min("c")).alias("range"), F.stddev_samp("r").alias("sd")).where("sd > 0")
     rs = each.groupBy("symbol", "w").agg(F.avg(F.col("range") / F.col("sd")).alias("rs"))
     return rs.groupBy("symbol").agg(F.count("*").alias("windows"), F.regr_slope(F.log("rs"), F.log("w")).alias("hurst"))
+
+
+def phillips_perron(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
+    """Phillips-Perron Z-tau with a constant: the Dickey-Fuller t corrected by a Bartlett long-run variance."""
+    rows = df.select("symbol", "ts", F.col(column).alias("y"), F.lag(column).over(in_time()).alias("x")).na.drop()
+    fit = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.regr_sxx("y", "x").alias("sxx"))
+    e = rows.join(fit, "symbol").select("symbol", "ts", "n", "b", "sxx", (F.col("y") - F.col("a") - F.col("b") * F.col("x")).alias("e"))
+    e = e.select("*", *[F.lag("e", k).over(in_time()).alias(f"e{k}") for k in range(1, lags + 1)])
+    s = e.groupBy("symbol", "n", "b", "sxx").agg(F.sum(F.col("e") * F.col("e")).alias("c0"), *[F.sum(F.col("e") * F.col(f"e{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
+    n, own = F.col("n"), F.col("c0") / F.col("n")
+    long_run = (F.col("c0") + sum((2 * (1 - k / (lags + 1)) * F.col(f"c{k}") for k in range(1, lags + 1)), F.lit(0.0))) / n
+    s2 = F.col("c0") / (n - 2)
+    se = F.sqrt(s2 / F.col("sxx"))
+    stat = F.sqrt(own / long_run) * (F.col("b") - 1) / se - (long_run - own) / (2 * F.sqrt(long_run)) * n * se / F.sqrt(s2)
+    return s.select("symbol", F.col("n").alias("nobs"), F.lit(lags).alias("lags"), stat.alias("statistic"))
+
+
+def partial_autocorrelation(df: DataFrame, lags: int, column: str = "r") -> DataFrame:
+    """symbol, n, lag, pacf by Durbin and Levinson's recursion on autocovariances over n - lag rows."""
+    adjusted = F.col("acf") * F.col("n") / (F.col("n") - F.col("lag"))
+    rows = autocorrelation(df, lags, column).groupBy("symbol", "n").agg(F.array_sort(F.collect_list(F.struct("lag", adjusted.alias("rho")))).alias("a"))
+    rows = rows.select("symbol", "n", F.col("a.rho").alias("rho"))
+
+    def recursion(batches):
+        for pdf in batches:
+            out = []
+            for symbol, n, rho in pdf.itertuples(index=False):
+                phi: list[float] = []
+                for k, r in enumerate(rho):
+                    rest = 1 - sum(p * x for p, x in zip(phi, rho[:k], strict=True))
+                    last = (r - sum(p * x for p, x in zip(phi, rho[:k][::-1], strict=True))) / rest
+                    phi = [*[p - last * q for p, q in zip(phi, phi[::-1], strict=True)], last]
+                    out.append((symbol, n, k + 1, last))
+            yield pd.DataFrame(out, columns=["symbol", "n", "lag", "pacf"])
+
+    return rows.mapInPandas(recursion, "symbol string, n long, lag int, pacf double")

@@ -16,7 +16,8 @@ def cross_products(names: list[str]) -> list[Column]:
     return [F.sum(value[a] * value[b]).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
 
 
-def _matrix(row, k: int) -> np.ndarray:
+def matrix(row, k: int) -> np.ndarray:
+    """The symmetric matrix of a row of cross_products()."""
     out = np.empty((k, k))
     for i in range(k):
         for j in range(i, k):
@@ -40,7 +41,7 @@ def ols(df: DataFrame, y: str, xs: list[str], by: list[str] | None = None, const
         for pdf in batches:
             out = []
             for _, row in pdf.iterrows():
-                g = _matrix(row, len(names))
+                g = matrix(row, len(names))
                 k, n = len(terms), int(row["nobs"])
                 xx, xy, yy = g[:k, :k], g[:k, k], g[k, k]
                 scale = np.sqrt(np.diag(xx))

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import diagnostics, efficiency, events, multivariate, pricing, telemetry, volatility
+from .operators import conditional, diagnostics, efficiency, events, multivariate, pricing, systems, telemetry, volatility
 from .operators.gram import fitted, ols
+from .operators.robust import robust_ols
 from .sources import panel, upload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -365,3 +366,90 @@ def upload_profile(spark, d):
 @register("upload_observations", f"""SELECT o_orderdate::DATE AS ts, o_orderpriority AS symbol, 'price' AS field, {_r('o_totalprice::DOUBLE AS value')} FROM orders""")
 def upload_observations(spark, d):
     return upload.observations(panel.table(spark, d, "orders"), "o_orderdate", {"o_totalprice": "price"}, ticker="o_orderpriority")
+
+
+for _kind, _sql in {
+    "log": "SELECT symbol, ts, ln(value) AS value FROM lv", "cumsum": "SELECT symbol, ts, sum(value) OVER (PARTITION BY symbol ORDER BY ts) AS value FROM lv",
+    "diff": "SELECT symbol, ts, value - lag(value) OVER (PARTITION BY symbol ORDER BY ts) AS value FROM lv", "log_diff": "SELECT symbol, ts, r AS value FROM rt",
+}.items():
+    register(f"transform_{_kind}", f"SELECT symbol, ts, {_r('value')} FROM ({_sql}) WHERE value IS NOT NULL")(
+        lambda spark, d, kind=_kind: panel.transformed(_levels(spark, d), kind)
+    )
+
+
+@register("compound_monthly", f"SELECT symbol, last_day(ts) AS period_end, {_r('product(exp(r)) - 1 AS r')}, count(*) AS n FROM rt GROUP BY 1, 2")
+def compound_monthly(spark, d):
+    return panel.compounded(panel.returns(_levels(spark, d), "simple"), "M")
+
+
+@register("phillips_perron", f""", w AS (SELECT symbol, ts, value AS y, lag(value) OVER (PARTITION BY symbol ORDER BY ts) AS x FROM lv),
+f AS (SELECT symbol, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx FROM w WHERE x IS NOT NULL GROUP BY symbol),
+e AS (SELECT symbol, ts, y - f.a - f.b * x AS e FROM w JOIN f USING (symbol) WHERE x IS NOT NULL),
+l AS (SELECT symbol, e, k, lag(e, k) OVER (PARTITION BY symbol, k ORDER BY ts) AS el FROM e, (SELECT unnest(range(1, 9))::INT AS k)),
+v AS (SELECT symbol, sum(e * el * 2 * (1 - k / 9.0::DOUBLE)) AS cross_sum FROM l GROUP BY symbol), c AS (SELECT symbol, sum(e * e) AS c0 FROM e GROUP BY symbol),
+g AS (SELECT symbol, n, b, c0 / n AS g0, (c0 + cross_sum) / n AS l2, sqrt(c0 / (n - 2)) AS s, sqrt(c0 / (n - 2) / sxx) AS se FROM f JOIN v USING (symbol) JOIN c USING (symbol))
+SELECT symbol, n AS nobs, 8 AS lags, {_r('sqrt(g0 / l2) * (b - 1) / se - (l2 - g0) / (2 * sqrt(l2)) * n * se / s AS statistic')} FROM g""")
+def phillips_perron(spark, d):
+    return efficiency.phillips_perron(_levels(spark, d), lags=8)
+
+
+@register("pacf")
+def pacf(spark, d):
+    return efficiency.partial_autocorrelation(_returns(spark, d), 10)
+
+
+_POINTS = ", q AS (SELECT symbol, count(*) AS n, avg(m) AS mx, regr_sxx(r, m) AS sxx FROM rs GROUP BY symbol)"
+_SPREAD = f"SELECT symbol, term, {_r('estimate', 'std_error')}, n AS nobs FROM (SELECT symbol, n, unnest(['const', 'm']) AS term, unnest([a, b]) AS estimate, unnest([sa, sb]) AS std_error FROM s JOIN fit USING (symbol))"
+
+
+@register("capm_white", f"""{_POINTS}, u AS (SELECT symbol, n, e / (1 - 1.0::DOUBLE / n - (m - mx) * (m - mx) / sxx) AS u, (m - mx) / sxx AS w, 1.0::DOUBLE / n - mx * (m - mx) / sxx AS c FROM rs JOIN q USING (symbol)),
+s AS (SELECT symbol, n, sqrt(sum(w * w * u * u)) AS sb, sqrt(sum(c * c * u * u)) AS sa FROM u GROUP BY symbol, n) {_SPREAD}""")
+def capm_white(spark, d):
+    return robust_ols(_aligned(spark, d), "r", ["m"], ["symbol"], "white").drop("z_stat", "p_value")
+
+
+@register("capm_newey_west", f"""{_POINTS}, u AS (SELECT symbol, ts, n, e * (m - mx) / sxx AS w, e * (1.0::DOUBLE / n - mx * (m - mx) / sxx) AS c FROM rs JOIN q USING (symbol)),
+l AS (SELECT symbol, n, k, w, c, lag(w, k) OVER p AS w1, lag(c, k) OVER p AS c1 FROM u, (SELECT unnest(range(0, 6))::INT AS k) WINDOW p AS (PARTITION BY symbol, k ORDER BY ts)),
+s AS (SELECT symbol, n, sqrt(sum(w * w1 * CASE k WHEN 0 THEN 1 ELSE 2 * (1 - k / 6.0::DOUBLE) END)) AS sb, sqrt(sum(c * c1 * CASE k WHEN 0 THEN 1 ELSE 2 * (1 - k / 6.0::DOUBLE) END)) AS sa
+FROM l GROUP BY symbol, n) {_SPREAD}""")
+def capm_newey_west(spark, d):
+    return robust_ols(_aligned(spark, d), "r", ["m"], ["symbol"], "newey_west", lags=5).drop("z_stat", "p_value")
+
+
+@register("gjr_garch")
+def gjr_garch(spark, d):
+    return conditional.gjr_garch(_returns(spark, d))
+
+
+@register("egarch")
+def egarch(spark, d):
+    return conditional.egarch(_returns(spark, d))
+
+
+def _three(spark: SparkSession, d: str, column: str) -> DataFrame:
+    return multivariate.wide(_returns(spark, d) if column == "r" else _levels(spark, d), ["A", "N", "R"], column)
+
+
+@register("var_order")
+def var_order(spark, d):
+    return systems.order_selection(_three(spark, d, "r"), ["A", "N", "R"], 6)
+
+
+@register("impulse_responses")
+def impulse_responses(spark, d):
+    return systems.impulse_responses(_three(spark, d, "r"), ["A", "N", "R"], 2)
+
+
+@register("variance_shares")
+def variance_shares(spark, d):
+    return systems.variance_shares(_three(spark, d, "r"), ["A", "N", "R"], 2)
+
+
+@register("johansen")
+def johansen(spark, d):
+    return systems.johansen(_three(spark, d, "value"), ["A", "N", "R"])
+
+
+@register("vecm")
+def vecm(spark, d):
+    return systems.vecm(_three(spark, d, "value"), ["A", "N", "R"], rank=1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,8 +37,8 @@ def aligned(assets: DataFrame, reference: DataFrame, name: str = "m") -> DataFra
     return assets.join(reference.select("ts", F.col("r").alias(name)), "ts")
 
 
-def resampled(series: DataFrame, rule: str) -> DataFrame:
-    """Last value of each week (ending Sunday), month, quarter or year, labelled with the period's end."""
+def period_end(rule: str) -> Column:
+    """The last day of the week (Sunday), month, quarter or year of ts."""
     ts = F.col("ts")
     ends = {
         "W": F.next_day(F.date_sub(ts, 1), "SUN"),
@@ -46,7 +46,31 @@ def resampled(series: DataFrame, rule: str) -> DataFrame:
         "Q": F.last_day(F.add_months(F.trunc(ts, "quarter"), 2)),
         "A": F.last_day(F.add_months(F.trunc(ts, "year"), 11)),
     }
-    return series.groupBy("symbol", ends[rule].alias("period_end")).agg(F.max_by("value", "ts").alias("value"), F.count("*").alias("n"))
+    return ends[rule].alias("period_end")
+
+
+def resampled(series: DataFrame, rule: str) -> DataFrame:
+    """Last value of each week (ending Sunday), month, quarter or year, labelled with the period's end."""
+    return series.groupBy("symbol", period_end(rule)).agg(F.max_by("value", "ts").alias("value"), F.count("*").alias("n"))
+
+
+def compounded(rates: DataFrame, rule: str) -> DataFrame:
+    """Simple returns r of each period, compounded, labelled with the period's end."""
+    return rates.where("r is not null").groupBy("symbol", period_end(rule)).agg((F.product(1 + F.col("r")) - 1).alias("r"), F.count("*").alias("n"))
+
+
+def transformed(series: DataFrame, kind: str) -> DataFrame:
+    """symbol, ts, value: none, log, diff, log_diff or cumsum of the values that are there; logs of what isn't positive are null."""
+    held = series.where("value is not null and not isnan(value)")
+    x = F.when(F.col("value") > 0, F.log("value")) if kind.startswith("log") else F.col("value")
+    if kind.endswith("diff"):
+        x = x - F.lag(x).over(by_time())
+    elif kind == "cumsum":
+        x = F.sum("value").over(by_time().rowsBetween(Window.unboundedPreceding, 0))
+    elif kind not in ("none", "log"):
+        raise ValueError(f"unknown transform {kind!r}")
+    out = held.select("symbol", "ts", x.alias("value"))
+    return out.where("value is not null") if kind.endswith("diff") else out
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str, by: str | None = None) -> DataFrame:
