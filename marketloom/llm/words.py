@@ -120,6 +120,13 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * _power("down", n) + _U(k))
 
 
+def pieces(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of count[i] consecutive hashes from first[i] on, for each i; as rolling()."""
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * _power("up", len(hashes)), out=sums[1:])
+    return mix((sums[first + count] - sums[first]) * _power("down", len(hashes) + 1)[first] + count.astype(np.uint64))
+
+
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct k-word shingles, sorted; a shorter text's whole word sequence is its one."""
     grams = rolling(w.hash, k)
