@@ -112,3 +112,32 @@ def chi2_p(x: Column, df: Column) -> Column:
 
 def f_p(x: Column, d1: Column, d2: Column) -> Column:
     return _column(f_sf, x, d1.cast("double"), d2.cast("double"))
+
+
+#: MacKinnon's response surface for the unit-root t with a constant; normal quantiles by powers of the statistic.
+MACKINNON_SWITCH, MACKINNON_MOST = -1.61, 2.74
+MACKINNON_SMALL = (2.1659, 1.4412, 0.038269)
+MACKINNON_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+
+#: Critical values of the KPSS statistic for level stationarity, and their p-values.
+KPSS_CRITICAL = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+
+
+def unit_root_sf(tau: float) -> float:
+    if tau > MACKINNON_MOST:
+        return 1.0
+    powers = MACKINNON_SMALL if tau <= MACKINNON_SWITCH else MACKINNON_LARGE
+    return normal_sf(-sum(c * tau**i for i, c in enumerate(powers)))
+
+
+def unit_root_p(tau: Column) -> Column:
+    """p-value of a Dickey-Fuller or Phillips-Perron t with a constant."""
+    return _column(unit_root_sf, tau)
+
+
+def kpss_p(x: Column) -> Column:
+    """p-value by lines between the published critical values, within 0.01 and 0.1."""
+    out = F.lit(KPSS_CRITICAL[-1][1])
+    for (a, p), (b, q) in reversed(list(zip(KPSS_CRITICAL, KPSS_CRITICAL[1:], strict=False))):
+        out = F.when(x < b, p + (x - a) * (q - p) / (b - a)).otherwise(out)
+    return F.when(x <= KPSS_CRITICAL[0][0], KPSS_CRITICAL[0][1]).otherwise(out)

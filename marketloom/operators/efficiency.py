@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distributions import chi2_p, normal_p
+from ..functions.distributions import chi2_p, kpss_p, normal_p, unit_root_p
 from .gram import ols
 
 def in_time():
@@ -84,7 +85,8 @@ def adf(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
     rows = df.select("symbol", "ts", F.col(column).alias("y"), F.lag(column).over(in_time()).alias("y1")).withColumn("d", F.col("y") - F.col("y1"))
     rows = rows.select("symbol", "d", "y1", *[F.lag("d", k).over(in_time()).alias(f"d{k}") for k in range(1, lags + 1)])
     fit = ols(rows, "d", ["y1", *[f"d{k}" for k in range(1, lags + 1)]], ["symbol"])
-    return fit.where("term = 'y1'").select("symbol", "nobs", F.lit(lags).alias("lags"), F.col("t_stat").alias("statistic"), "estimate")
+    out = fit.where("term = 'y1'").select("symbol", "nobs", F.lit(lags).alias("lags"), F.col("t_stat").alias("statistic"), "estimate")
+    return out.withColumn("p_value", unit_root_p(F.col("statistic")))
 
 
 def schwert(n: int) -> int:
@@ -101,11 +103,15 @@ def kpss(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
         *[F.sum(F.col("d") * F.col(f"d{k}")).alias(f"c{k}") for k in range(1, lags + 1)],
     )
     long_run = (F.col("c0") + sum((2 * (1 - k / (lags + 1)) * F.col(f"c{k}") for k in range(1, lags + 1)), F.lit(0.0))) / F.col("n")
-    return s.select("symbol", "n", F.lit(lags).alias("lags"), (F.col("ss") / (F.col("n") * F.col("n") * long_run)).alias("statistic"))
+    out = s.select("symbol", "n", F.lit(lags).alias("lags"), (F.col("ss") / (F.col("n") * F.col("n") * long_run)).alias("statistic"))
+    return out.withColumn("p_value", kpss_p(F.col("statistic")))
 
 
 def hurst(df: DataFrame, windows: list[int]) -> DataFrame:
-    """Rescaled range by window and the slope of its logs. Blocks are whole; those without spread are left out."""
+    """Rescaled range by window: the slope of its logs, and that less the slope expected of noise plus 0.5.
+
+    Blocks are whole; those without spread are left out.
+    """
     rows = df.where("r is not null").withColumn("i", F.row_number().over(in_time()) - 1)
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).select("symbol", "i", "n", "r", F.explode(F.array(*map(F.lit, windows))).alias("w"))
     rows = rows.withColumn("block", F.floor(F.col("i") / F.col("w"))).where(F.col("block") < F.floor(F.col("n") / F.col("w")))
@@ -113,7 +119,15 @@ def hurst(df: DataFrame, windows: list[int]) -> DataFrame:
     rows = rows.withColumn("d", F.col("r") - F.avg("r").over(block)).withColumn("c", F.sum("d").over(block.orderBy("i")))
     each = rows.groupBy("symbol", "w", "block").agg((F.max("c") - F.min("c")).alias("range"), F.stddev_samp("r").alias("sd")).where("sd > 0")
     rs = each.groupBy("symbol", "w").agg(F.avg(F.col("range") / F.col("sd")).alias("rs"))
-    return rs.groupBy("symbol").agg(F.count("*").alias("windows"), F.regr_slope(F.log("rs"), F.log("w")).alias("hurst"))
+    noise = F.try_element_at(F.create_map(*[F.lit(x) for w in windows for x in (w, math.log(expected_range(w)))]), F.col("w"))
+    slopes = rs.groupBy("symbol").agg(F.count("*").alias("windows"), F.regr_slope(F.log("rs"), F.log("w")).alias("slope"), F.regr_slope(noise, F.log("w")).alias("noise"))
+    return slopes.select("symbol", "windows", "slope", (F.col("slope") - F.col("noise") + 0.5).alias("hurst"))
+
+
+def expected_range(n: int) -> float:
+    """Rescaled range expected of n independent normal values, by Anis and Lloyd, with Peters' factor."""
+    ends = sum(math.sqrt((n - i) / i) for i in range(1, n))
+    return (n - 0.5) / n * math.exp(math.lgamma((n - 1) / 2) - math.lgamma(n / 2)) / math.sqrt(math.pi) * ends
 
 
 def phillips_perron(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
@@ -128,7 +142,7 @@ def phillips_perron(df: DataFrame, lags: int, column: str = "value") -> DataFram
     s2 = F.col("c0") / (n - 2)
     se = F.sqrt(s2 / F.col("sxx"))
     stat = F.sqrt(own / long_run) * (F.col("b") - 1) / se - (long_run - own) / (2 * F.sqrt(long_run)) * n * se / F.sqrt(s2)
-    return s.select("symbol", F.col("n").alias("nobs"), F.lit(lags).alias("lags"), stat.alias("statistic"))
+    return s.select("symbol", F.col("n").alias("nobs"), F.lit(lags).alias("lags"), stat.alias("statistic")).withColumn("p_value", unit_root_p(F.col("statistic")))
 
 
 def partial_autocorrelation(df: DataFrame, lags: int, column: str = "r") -> DataFrame:
@@ -150,3 +164,90 @@ def partial_autocorrelation(df: DataFrame, lags: int, column: str = "r") -> Data
             yield pd.DataFrame(out, columns=["symbol", "n", "lag", "pacf"])
 
     return rows.mapInPandas(recursion, "symbol string, n long, lag int, pacf double")
+
+
+def bds(df: DataFrame, dimensions: tuple[int, ...] = (2, 3), distance: float = 1.5, column: str = "r", block: int = 512) -> DataFrame:
+    """symbol, n, dimension, statistic, p_value: Brock, Dechert and Scheinkman's test of independence.
+
+    Near means closer than `distance` standard deviations. All pairs of a series are compared, `block` rows of it
+    a task; a task gets the whole series, one number a date, and sends back counts.
+    """
+    s = df.where(F.col(column).isNotNull()).groupBy("symbol").agg(
+        F.count("*").alias("n"), (distance * F.stddev_samp(column)).alias("eps"), F.array_sort(F.collect_list(F.struct("ts", F.col(column).alias("x")))).alias("x")
+    )
+    s = s.select("symbol", "n", "eps", F.col("x.x").alias("x"), F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"), F.lit(block))).alias("at"))
+    deepest = max(dimensions)
+
+    def counts(batches):
+        for pdf in batches:
+            out = []
+            for symbol, n, eps, x, at in pdf.itertuples(index=False):
+                near = np.abs(x[at : at + block + deepest - 1, None] - x[None, :]) < eps
+                mine = min(block, n - at)
+                sums = near[:mine].sum(1)
+                row, later = np.arange(at, at + mine), np.arange(n)[None, :] > np.arange(at, at + mine)[:, None]
+                pairs = (near[:mine] & later).sum(1)
+                found = []
+                for m in dimensions:
+                    rows = max(0, min(mine, n - m + 1 - at))
+                    joint = later[:rows, : n - m + 1].copy()
+                    for j in range(m):
+                        joint &= near[j : j + rows, j : n - m + 1 + j]
+                    found += [int(pairs[row >= m - 1].sum()), int(joint.sum())]
+                out.append((symbol, n, int(sums.sum()), int((sums**2).sum()), *found))
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["symbol", "n", "near", "near2", *[f"{c}{m}" for m in dimensions for c in ("one", "all")]]
+    parts = s.repartition("symbol", "at").mapInPandas(counts, "symbol string, " + ", ".join(f"{c} long" for c in names[1:]))
+    t = parts.groupBy("symbol", "n").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    n = F.col("n").cast("double")
+    c = (F.col("near") - n) / (n * (n - 1))
+    k = (F.col("near2") - 3 * F.col("near") + 2 * n) / (n * (n - 1) * (n - 2))
+
+    def one(m: int) -> Column:
+        left = n - m + 1
+        effect = F.col(f"all{m}") / (left * (left - 1) / 2) - F.pow(F.col(f"one{m}") / (left * (left - 1) / 2), F.lit(m))
+        inner = sum((F.pow(k, F.lit(m - j)) * F.pow(c, F.lit(2 * j)) for j in range(1, m)), F.lit(0.0))
+        var = 4 * (F.pow(k, F.lit(m)) + 2 * inner + (m - 1) ** 2 * F.pow(c, F.lit(2 * m)) - m * m * k * F.pow(c, F.lit(2 * m - 2)))
+        return F.struct(F.lit(m).alias("dimension"), (F.sqrt(left) * effect / F.sqrt(var)).alias("statistic"))
+
+    out = t.select("symbol", "n", F.explode(F.array(*map(one, dimensions))).alias("x")).select("symbol", "n", "x.*")
+    return out.withColumn("p_value", normal_p(F.col("statistic")))
+
+
+#: Weights of the score's components: the two unit-root tests share one.
+WEIGHTS = {"adf": 0.5, "kpss": 0.5, "variance_ratio": 1.0, "runs": 1.0, "ljung_box": 1.0, "hurst": 1.0}
+EFFICIENT, INEFFICIENT, LEAST_LEVELS = 70.0, 40.0, 257
+
+
+def efficiency_score(levels: DataFrame, lags: int, horizons: list[int], windows: list[int], lb_lags: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
+    """symbol, component, weight, statistic, p_value, sub_score, contribution, score, verdict, passed.
+
+    A p-value scores 0 at 0.01 and 1 at 0.1; KPSS, whose null is the opposite, the other way round; the Hurst
+    exponent scores 1 at 0.5 and 0 when 0.2 away. Variance ratios count by their least p-value, corrected for the
+    number of horizons; one of exactly 0 is passed over. `passed` is null for a borderline score. Symbols with
+    fewer than LEAST_LEVELS levels are left out.
+    """
+    weights = WEIGHTS | (weights or {})
+    if min(weights.values()) < 0 or sum(weights.values()) <= 0:
+        raise ValueError("weights must not be negative, and one must be positive")
+    x = levels.where("value > 0").withColumn("_n", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("_n") >= LEAST_LEVELS)
+    logs = x.select("symbol", "ts", F.log("value").alias("value"))
+    r = logs.select("symbol", "ts", (F.col("value") - F.lag("value").over(in_time())).alias("r")).where("r is not null")
+    p, s = F.col("p_value"), F.col("statistic")
+    usual = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p - 0.01) / 0.09))
+    vr = variance_ratio(x, horizons).withColumn("q", F.when(F.coalesce(p, F.lit(0.0)) == 0, 1.0).otherwise(p))
+    vr = vr.groupBy("symbol").agg(F.min_by("z_robust", F.struct("q", "horizon")).alias("statistic"), (1 - F.pow(1 - F.min("q"), F.lit(len(set(horizons))))).alias("p_value"))
+    parts = {
+        "adf": (adf(logs, lags), usual), "kpss": (kpss(logs, lags), 1 - usual), "variance_ratio": (vr, usual),
+        "runs": (runs_test(r).withColumnRenamed("z", "statistic"), usual), "ljung_box": (ljung_box(r, lb_lags), usual),
+        "hurst": (hurst(r, windows).select("symbol", F.col("hurst").alias("statistic"), F.lit(None).cast("double").alias("p_value")), F.greatest(F.lit(0.0), 1 - F.abs(s - 0.5) / 0.2)),
+    }
+    rows = None
+    for name, (found, sub) in parts.items():
+        part = found.select("symbol", F.lit(name).alias("component"), F.lit(weights[name]).alias("weight"), "statistic", "p_value", sub.alias("sub_score"))
+        rows = part if rows is None else rows.union(part)
+    rows = rows.withColumn("contribution", 100 * F.col("weight") * F.col("sub_score") / sum(weights.values()))
+    rows = rows.withColumn("score", F.sum("contribution").over(Window.partitionBy("symbol")))
+    verdict = F.when(F.col("score") >= EFFICIENT, "efficient").when(F.col("score") < INEFFICIENT, "inefficient").otherwise("borderline")
+    return rows.withColumn("verdict", verdict).withColumn("passed", F.when(F.col("verdict") != "borderline", F.col("verdict") == "efficient"))

@@ -267,6 +267,25 @@ def hurst(spark, d):
     return efficiency.hurst(_returns(spark, d), [16, 23, 32, 45, 64, 91])
 
 
+@register("bds", f""", x AS (SELECT symbol, row_number() OVER w AS i, r AS x0, lead(r) OVER w AS x1, lead(r, 2) OVER w AS x2 FROM rt WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+e AS (SELECT symbol, count(*)::DOUBLE AS n, 1.5 * stddev_samp(x0) AS eps FROM x GROUP BY symbol),
+t AS (SELECT a.symbol, a.i, any_value(n) AS n, count(*) FILTER (WHERE abs(a.x0 - b.x0) < eps) AS near, count(*) FILTER (WHERE abs(a.x0 - b.x0) < eps AND b.i > a.i) AS one,
+count(*) FILTER (WHERE abs(a.x0 - b.x0) < eps AND abs(a.x1 - b.x1) < eps AND b.i > a.i) AS all2,
+count(*) FILTER (WHERE abs(a.x0 - b.x0) < eps AND abs(a.x1 - b.x1) < eps AND abs(a.x2 - b.x2) < eps AND b.i > a.i) AS all3
+FROM x a JOIN x b USING (symbol) JOIN e USING (symbol) GROUP BY a.symbol, a.i),
+g AS (SELECT symbol, any_value(n) AS n, sum(near)::DOUBLE AS s, sum(near * near)::DOUBLE AS s2, sum(one) FILTER (WHERE i >= 2) AS one2, sum(one) FILTER (WHERE i >= 3) AS one3, sum(all2) AS all2, sum(all3) AS all3 FROM t GROUP BY symbol),
+h AS (SELECT symbol, n, (s - n) / (n * (n - 1)) AS c, (s2 - 3 * s + 2 * n) / (n * (n - 1) * (n - 2)) AS k, unnest([2, 3]) AS m, unnest([one2, one3])::DOUBLE AS one, unnest([all2, all3])::DOUBLE AS every FROM g),
+f AS (SELECT *, (n - m + 1) * (n - m) / 2 AS pairs, 4 * (pow(k, m) + 2 * (pow(k, m - 1) * c * c + CASE WHEN m = 3 THEN k * pow(c, 4) ELSE 0 END) + pow(m - 1, 2) * pow(c, 2 * m) - m * m * k * pow(c, 2 * m - 2)) AS v FROM h)
+SELECT symbol, n::BIGINT AS n, m::INT AS dimension, round(sqrt(n - m + 1) * (every / pairs - pow(one / pairs, m)) / sqrt(v), {DIGITS}) AS statistic FROM f""")
+def bds(spark, d):
+    return efficiency.bds(_returns(spark, d), (2, 3)).drop("p_value")
+
+
+@register("efficiency_score")
+def efficiency_score(spark, d):
+    return efficiency.efficiency_score(_levels(spark, d), lags=8, horizons=[2, 4, 8, 16], windows=[16, 23, 32, 45, 64, 91])
+
+
 @register("jarque_bera", f"""SELECT symbol, count(e) AS n, round(s, {DIGITS}) AS skewness, round(k, {DIGITS}) AS excess_kurtosis,
 round(n / 6.0 * (s * s + k * k / 4), {DIGITS}) AS statistic, round(exp(-n / 6.0 * (s * s + k * k / 4) / 2), {DIGITS}) AS p_value FROM (
 SELECT symbol, e, count(e) OVER p AS n, avg(pow(z, 3)) OVER p AS s, avg(pow(z, 4)) OVER p - 3 AS k FROM (
@@ -390,7 +409,7 @@ v AS (SELECT symbol, sum(e * el * 2 * (1 - k / 9.0::DOUBLE)) AS cross_sum FROM l
 g AS (SELECT symbol, n, b, c0 / n AS g0, (c0 + cross_sum) / n AS l2, sqrt(c0 / (n - 2)) AS s, sqrt(c0 / (n - 2) / sxx) AS se FROM f JOIN v USING (symbol) JOIN c USING (symbol))
 SELECT symbol, n AS nobs, 8 AS lags, {_r('sqrt(g0 / l2) * (b - 1) / se - (l2 - g0) / (2 * sqrt(l2)) * n * se / s AS statistic')} FROM g""")
 def phillips_perron(spark, d):
-    return efficiency.phillips_perron(_levels(spark, d), lags=8)
+    return efficiency.phillips_perron(_levels(spark, d), lags=8).drop("p_value")
 
 
 @register("pacf")

@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from test_operators import one, series
 
@@ -9,7 +10,7 @@ from marketloom.operators.robust import robust_ols
 from marketloom.sources import panel
 
 
-NEW = "transform_log transform_cumsum transform_diff transform_log_diff compound_monthly phillips_perron capm_white capm_newey_west".split()
+NEW = "transform_log transform_cumsum transform_diff transform_log_diff compound_monthly phillips_perron bds capm_white capm_newey_west".split()
 DATA = "/root/testdata/sf0.001"
 
 
@@ -20,7 +21,7 @@ def test_queries_agree_with_their_sql(spark, name):
     want = db.sql(__spark_entry__.oracle_sql()[name]).df()
     got = __spark_entry__.queries()[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 0
-    keys = [c for c in ("symbol", "ts", "period_end", "term") if c in got.columns]
+    keys = [c for c in ("symbol", "ts", "period_end", "term", "dimension") if c in got.columns]
     got, want = (x.assign(**{c: x[c].astype(str).str[:10] for c in keys}).sort_values(keys).reset_index(drop=True) for x in (got, want))
     for c in got.columns:
         if c in keys:
@@ -109,3 +110,44 @@ def test_transforms_skip_nulls(spark):
     assert [r.value for r in panel.transformed(s, "diff").collect()] == [2.0]
     with pytest.raises(ValueError):
         panel.transformed(s, "sqrt")
+
+
+def levels_of(spark, steps):
+    rows = [(name, pd.Timestamp("2015-01-01").date() + pd.Timedelta(days=i), float(v)) for name, x in steps.items() for i, v in enumerate(100 * np.exp(np.cumsum(x)))]
+    return spark.createDataFrame(rows, "symbol string, ts date, value double")
+
+
+def test_bds_in_blocks_tells_noise_from_a_map(spark):
+    g = np.random.default_rng(5)
+    tent = [0.3]
+    for _ in range(399):
+        tent.append(1 - abs(1 - 1.999 * tent[-1]))
+    df = series(spark, {"r": g.normal(size=400)}).unionByName(series(spark, {"r": np.array(tent)}).selectExpr("'t' AS symbol", "ts", "r"))
+    cut, whole = (efficiency.bds(df, (2, 3), block=b).toPandas().sort_values(["symbol", "dimension"]) for b in (37, 1000))
+    assert np.allclose(cut.statistic, whole.statistic)
+    noise, tents = cut[cut.symbol != "t"], cut[cut.symbol == "t"]
+    assert (noise.statistic.abs() < 3).all() and (tents.statistic > 8).all()
+
+
+def test_efficiency_score_of_a_walk_and_of_a_trend_with_echoes(spark):
+    g = np.random.default_rng(6)
+    noise = g.normal(size=900) * 0.01
+    echo = noise.copy()
+    for i in range(1, 900):
+        echo[i] += 0.6 * echo[i - 1]
+    levels = levels_of(spark, {"walk": noise, "echo": echo, "short": noise[:200]})
+    got = efficiency.efficiency_score(levels, 5, [2, 4, 8, 16], [16, 23, 32, 45, 64, 91]).toPandas()
+    assert set(got.symbol) == {"walk", "echo"} and len(got) == 12 and got.sub_score.between(0, 1).all()
+    score = got.groupby("symbol").score.first()
+    assert np.allclose(got.groupby("symbol").contribution.sum(), score) and score["walk"] >= 70 > 40 > score["echo"]
+    assert not got[got.symbol == "echo"].passed.any() and got[got.symbol == "walk"].passed.all()
+    with pytest.raises(ValueError, match="positive"):
+        efficiency.efficiency_score(levels, 5, [2], [16, 32], weights=dict.fromkeys(efficiency.WEIGHTS, 0.0))
+
+
+def test_unit_root_p_values_at_published_critical_values(spark):
+    from marketloom.functions.distributions import kpss_p, unit_root_sf
+
+    assert [unit_root_sf(t) for t in (-3.43, -2.86, -2.57, 3.0)] == pytest.approx([0.01, 0.05, 0.1, 1.0], abs=1.5e-3)
+    x = spark.createDataFrame([(0.1,), (0.347,), (0.405,), (0.463,), (0.9,)], "x double")
+    assert [r[0] for r in x.select(kpss_p(x.x)).collect()] == pytest.approx([0.1, 0.1, 0.075, 0.05, 0.01])
