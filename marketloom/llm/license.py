@@ -1,13 +1,15 @@
-"""License scans: lines of text against licence notices by the Dice coefficient of their word bigrams.
+"""License scans: passages of text against licence notices and texts by the Dice coefficient of their word bigrams.
 
-Lines are normalised to lower-case words. A template can only reach the threshold if the sizes of the two bigram
-sets are close enough, which prunes by word count before any bigram is made; what is left is counted by joining
-bigrams with each template's, which are a fixed list of literals. Nothing is shuffled. DataFrame functions only.
+A text is normalised to lower-case words, line breaks as spaces, and its bigrams are hashed. A set that reaches the
+threshold holds at least threshold / (2 - threshold) of the template's bigrams, so only windows of the template's
+size, and lines, with so many hits are scored. Nothing is shuffled. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *[(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))],  # whole texts
 ]
 
 
@@ -37,41 +40,107 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(normalised(text), " "), lambda w: w != "")
+
+
 def _bigrams(words: Column) -> Column:
-    """Distinct bigrams; a single word is its own."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
+    """Hashes of the bigrams in order; none for less than two words."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
+    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<long>"))
+
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value made once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def _plain_bigrams(text: str) -> list[str]:
-    """_bigrams() of a template, made on the driver."""
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
-    return list(dict.fromkeys(map(" ".join, zip(words, words[1:], strict=False)) if len(words) > 1 else words))
+
+def _upto(n: Column) -> Column:
+    """0 to n - 1; n may be 0 or less."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(doc_id, line, license, dice): the best template for each line that reaches the threshold.
+    """(doc_id, line, license, dice): the passages that reach the threshold with a template.
 
-    line counts from 0. Ties between templates go to the first licence by name. Null and empty texts have no
-    lines. Repeated rows are reported each. A null id is reported as null. Other columns are ignored. An empty
-    table gives an empty one.
+    Passages are windows of as many words as the template has, from any of its bigrams on (shorter at the end of the
+    text), and whole lines. Of passages that overlap, the one that shares most bigrams stays, then the one with the
+    higher coefficient, the first licence by name, and the first place; a line with notices apart has a row for each.
+    line is that of the first word and counts from 0. A template of one word is found as a line of that word. Null
+    and empty texts have no passages. Repeated rows are reported each. A null id is reported as null. Other columns
+    are ignored. An empty table gives an empty one.
     """
-    notices = [(name, _plain_bigrams(text)) for name, text in templates or TEMPLATES]
-    sizes = [len(g) for _, g in notices]
-    ratio = threshold / (2 - threshold)  # dice <= 2 * min / (min + max)
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line", "raw"))
-    # A set of n bigrams has at most n + 1 different words, and comes from more than n words.
-    lines = lines.where(F.length("raw") >= min(sizes) * ratio).withColumn("words", F.split(normalised(F.col("raw")), " "))
-    lines = lines.where((F.size("words") >= min(sizes) * ratio) & (F.size(F.array_distinct("words")) <= max(sizes) / ratio + 1))
-    lines = lines.select("doc_id", "line", _bigrams(F.col("words")).alias("grams")).withColumn("size", F.size("grams"))
-    by_name = sorted(notices, key=lambda x: x[0])
+    ratio = threshold / (2 - threshold)  # dice <= 2 * shared / (shared + template's)
+    given = sorted(templates or TEMPLATES, key=lambda x: x[0])
+    made = docs.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(given)], "rank int, license string, text string")
+    made = made.select("rank", "license", _words(F.col("text")).alias("words")).select("rank", "license", "words", _bigrams(F.col("words")).alias("grams")).orderBy("rank").collect()
+    notices = [(r.rank, r.license, len(r.grams), list(dict.fromkeys(r.grams))) for r in made if r.grams]
+    single: dict[str, str] = {}
+    for r in made:
+        if len(r.words) == 1:
+            single.setdefault(r.words[0], r.license)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = _passages(plain, notices, threshold, ratio)
+    if single:
+        lines = plain.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+        name = F.try_element_at(F.create_map(*[F.lit(x) for pair in single.items() for x in pair]), normalised(F.col("raw")))
+        out = out.union(lines.select("doc_id", "line", name.alias("license"), F.lit(1.0).alias("dice")).where("license is not null"))
+    return out
+
+
+def _passages(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]], threshold: float, ratio: float) -> DataFrame:
+    need = {rank: max(1, math.ceil(ratio * len(grams) - 1e-9)) for rank, _, _, grams in notices}
+    if not notices:
+        return plain.sparkSession.createDataFrame([], "doc_id long, line int, license string, dice double")
+    longs = lambda grams: F.split(F.lit(",".join(map(str, grams))), ",").cast("array<long>")
     known = F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(name).alias("license"), F.lit(len(g)).alias("size"), F.array(*map(F.lit, g)).alias("grams"))
-        for i, (name, g) in enumerate(by_name)
+        F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(need[rank]).alias("need"), F.lit(len(grams)).alias("size"), longs(grams).alias("grams"))
+        for rank, name, n, grams in notices
     ])
-    near = F.filter(known, lambda t: (F.col("size") >= t["size"] * ratio) & (F.col("size") * ratio <= t["size"]))
-    share = lambda t: F.size(F.array_intersect("grams", t["grams"])) * 2.0 / (F.col("size") + t["size"])
-    scored = F.transform(near, lambda t: F.struct((-share(t)).alias("less"), t["rank"].alias("rank"), t["license"].alias("license")))
-    best = F.array_min(F.filter(scored, lambda t: t["less"] <= -threshold))
-    found = lines.select("doc_id", "line", F.explode(F.array_compact(F.array(best))).alias("best"))
-    return found.select("doc_id", "line", F.col("best.license").alias("license"), (-F.col("best.less")).alias("dice"))
+    rows = plain.select("doc_id", "text", _words(F.col("text")).alias("words")).select("doc_id", "text", _bigrams(F.col("words")).alias("g"))
+    g = F.col("g")
+    # a hash table as one literal: long lists of literals take long to plan
+    among: dict[int, list[int]] = {}
+    for i, (*_, grams) in enumerate(notices):
+        for gram in grams:
+            among.setdefault(gram, []).append(i)
+    cells: list[list[dict]] = [[] for _ in range(4 * len(among))]
+    for gram, which in among.items():
+        cells[gram % len(cells)].append({"g": gram, "t": which})
+    table = F.from_json(F.lit(json.dumps(cells)), "array<array<struct<g: long, t: array<int>>>>")
+    cell = lambda gram: F.get(table, F.pmod(gram, F.lit(len(cells))).cast("int"))
+    at = F.filter(_upto(F.size(g)), lambda i: F.exists(cell(F.get(g, i)), lambda e: e["g"] == F.get(g, i)))
+    # an explode keeps what it makes from being made again in each later condition
+    rows = rows.select("doc_id", "text", "g", F.explode(F.filter(F.array(at), lambda h: F.size(h) >= min(need.values()))).alias("at"))
+    of = F.flatten(F.transform("at", lambda p: F.transform(F.flatten(F.transform(F.filter(cell(F.get(g, p)), lambda e: e["g"] == F.get(g, p)), lambda e: e["t"])), lambda t: F.struct(t.alias("t"), p.alias("p")))))
+    rows = rows.select("doc_id", "text", "g", F.explode(F.array(of)).alias("of"))
+    places = lambda t: F.transform(F.filter("of", lambda x: x["t"] == t), lambda x: x["p"])
+    hits = F.transform(F.array_distinct(F.col("of.t")), lambda t: F.struct(t.alias("t"), places(t).alias("h")))
+    hits = F.filter(hits, lambda x: F.size(x["h"]) >= F.get(F.array(*[F.lit(need[rank]) for rank, *_ in notices]), x["t"]))
+    rows = rows.select("doc_id", "text", "g", F.explode(F.filter(F.array(hits), lambda x: F.size(x) > 0)).alias("hits"))
+    line_of = F.flatten(F.transform(F.split("text", "\n"), lambda raw, i: F.array_repeat(i, F.size(_words(raw)))))
+    rows = rows.select("doc_id", "g", "hits", F.explode(F.array(line_of)).alias("line_of"))
+    line_of = F.col("line_of")
+
+    def spans(x: Column) -> Column:
+        t, h = F.get(known, x["t"]), x["h"]
+        last = lambda j: F.get(h, j + t["need"] - 1)
+        runs = _upto(F.size(h) - t["need"] + 1)
+        windows = F.transform(F.filter(runs, lambda j: last(j) - F.get(h, j) < t["n"]), lambda j: F.struct(F.get(h, j).alias("s"), t["n"].alias("n")))
+        lines = F.array_distinct(F.transform(F.filter(runs, lambda j: F.get(line_of, F.get(h, j)) == F.get(line_of, last(j) + 1)), lambda j: F.get(line_of, F.get(h, j))))
+        whole = F.transform(lines, lambda k: F.struct((F.array_position(line_of, k) - 1).cast("int").alias("s"), (F.size(F.filter(line_of, lambda y: y == k)) - 1).alias("n")))
+        return F.transform(F.array_distinct(F.concat(windows, whole)), lambda p: scored(t, p))
+
+    def scored(t: Column, p: Column) -> Column:
+        held = F.array_distinct(F.slice(g, p["s"] + 1, p["n"]))
+        return _let(held, lambda d: _let(F.size(F.array_intersect(d, t["grams"])), lambda shared: F.struct(
+            (-shared).alias("fewer"), (-(shared * 2.0 / (F.size(d) + t["size"]))).alias("less"), t["rank"].alias("rank"),
+            p["s"].alias("s"), F.least(p["s"] + p["n"], F.size(g)).alias("e"), t["license"].alias("license"),
+        )))
+
+    found = F.array_sort(F.filter(F.flatten(F.transform("hits", spans)), lambda x: x["less"] <= -threshold))
+    rows = rows.select("doc_id", "line_of", F.explode(F.array(found)).alias("found"))
+    none = F.filter("found", lambda x: F.lit(False))
+    apart = F.aggregate("found", none, lambda kept, x: F.when(F.exists(kept, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])), kept).otherwise(F.concat(kept, F.array(x))))
+    rows = rows.select("doc_id", "line_of", F.explode(apart).alias("x"))
+    return rows.select("doc_id", F.get("line_of", F.col("x.s")).alias("line"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))

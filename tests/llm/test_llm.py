@@ -232,6 +232,24 @@ def test_license_lines(spark):
     assert found[0].dice == pytest.approx(dice) and license.scan(corpus(spark, [near]), threshold=dice + 0.01).count() == 0
 
 
+def test_license_texts_wrapped_and_inline(spark):
+    import textwrap
+
+    mit = dict(license.TEMPLATES)["MIT"]
+    wrap = "\n".join(textwrap.wrap(mit, 70))
+    inline = f"{prose(2, 20)} Released under the MIT License. {prose(3, 20)} Licensed under CC BY-SA 4.0. {prose(4, 9)}"
+    header = "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License."
+    texts = [f"{prose(1, 30)}\n{wrap}\n{prose(5, 30)}", mit.replace("\n", " "), inline, header, f"{wrap}\n{wrap.replace('Software', 'Work')}", prose(6, 400)]
+    got = sorted((r.doc_id, r.line, r.license) for r in license.scan(corpus(spark, texts)).collect())
+    again = 1 + wrap.count("\n")
+    assert got == [(0, 1, "MIT"), (1, 0, "MIT"), (2, 0, "CC-BY-SA-4.0"), (2, 0, "MIT"), (3, 0, "GPL-3.0"), (4, 0, "MIT"), (4, again, "MIT")]
+    bsd = {name: text for name, text in license.TEMPLATES if name.startswith("BSD")}
+    for name, text in bsd.items():
+        assert {r.license for r in license.scan(corpus(spark, [text.replace("HOLDERS", "OWNERS")])).collect()} == {name}
+    rows = license.scan(corpus(spark, ["a\nUnlicensed!\nb"]), templates=[("U", "unlicensed")]).collect()
+    assert [(r.line, r.license, r.dice) for r in rows] == [(1, "U", 1.0)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body>
 <nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><div class="cookie-notice">We use cookies on this site to serve you better and more</div>
 <main><article><h1>Head &lt;line&gt;</h1><p>First <b>bold</b>
