@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Query vectors in a block and vectors in a chunk: what a task holds at once. Up to BROADCAST blocks are broadcast.
+BLOCK, BROADCAST = 1_024, 16
+
 
 def latency(spans: DataFrame, key: str, duration: str, failed: Column) -> DataFrame:
     """Count, exact percentiles and share of failures of each kind of span."""
@@ -19,3 +24,48 @@ def nearest(vectors: DataFrame, query: Column, k: int, id_col: str = "vec_id", v
     v = F.col(vector)
     distance = 1 - dot(v, query) / F.sqrt(dot(v, v) * dot(query, query))
     return vectors.select(id_col, distance.alias("distance")).orderBy("distance", id_col).limit(k)
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """query_id, vec_id, distance: the k vectors with the least cosine distance to each query; ties by id.
+
+    Distances count as equal if they are so to `digits` digits. Every query is scored against every vector, a block
+    of queries and a chunk of vectors at a time; each pair of them sends on the k nearest of each query. Null vectors
+    are left out. A distance to or from a vector of zeros is null and comes last. Repeated vectors count each;
+    queries have an id each. An empty table gives an empty one.
+    """
+    def packed(df: DataFrame) -> DataFrame:
+        def pack(batches):
+            for pdf in batches:
+                for at in range(0, len(pdf), BLOCK):
+                    part = pdf.iloc[at : at + BLOCK]
+                    x = np.stack(part["v"].to_list()).astype(np.float64)
+                    with np.errstate(all="ignore"):
+                        x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                    yield pd.DataFrame({"ids": [part["i"].to_numpy().tobytes()], "m": [x.tobytes()]})
+
+        rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+        return rows.mapInPandas(pack, "ids binary, m binary")
+
+    def score(batches):
+        for pdf in batches:
+            for ids, m, qids, qm in pdf[["ids", "m", "qids", "qm"]].itertuples(index=False):
+                i, q = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+                x, y = np.frombuffer(m).reshape(len(i), -1), np.frombuffer(qm).reshape(len(q), -1)
+                far = 1 - y @ x.T
+                order = np.round(far, digits) + 0.0
+                top, out = min(k, len(i)), []
+                for row in range(len(q)):
+                    bound = np.partition(order[row], top - 1)[top - 1]  # NaN sorts last
+                    near = np.flatnonzero(~(order[row] > bound)) if bound == bound else np.arange(len(i))
+                    near = near[np.lexsort((i[near], order[row][near]))[:top]]
+                    out.append((np.full(top, q[row]), i[near], order[row][near]))
+                found = pd.DataFrame(dict(zip(("query_id", "vec_id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                yield found.assign(distance=found["distance"].astype("Float64"))
+
+    n = queries.count()
+    blocks = packed(queries.repartition(max(1, -(-n // BLOCK)))).select(F.col("ids").alias("qids"), F.col("m").alias("qm"))
+    pairs = packed(vectors).crossJoin(F.broadcast(blocks) if n <= BROADCAST * BLOCK else blocks)
+    found = pairs.mapInPandas(score, "query_id long, vec_id long, distance double")
+    place = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "vec_id")
+    return found.withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= k).drop("nth")

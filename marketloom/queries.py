@@ -372,8 +372,20 @@ def span_latency(spark, d):
 FROM embeddings ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), vec_id LIMIT 10""")
 def nearest_vectors(spark, d):
     vectors = panel.table(spark, d, "embeddings")
-    query = vectors.where("vec_id = 0").select("embedding").first()[0]
-    return telemetry.nearest(vectors, F.array(*[F.lit(float(x)) for x in query]), 10)
+    query = vectors.where("vec_id = 0").select("embedding").first()
+    if query is None:  # without the query there are no neighbours
+        return telemetry.nearest(vectors.limit(0), F.col("embedding"), 10)
+    return telemetry.nearest(vectors, F.array(*[F.lit(float(x)) for x in query[0]]), 10)
+
+
+@register("nearest_vectors_each", f"""SELECT query_id, vec_id, round(distance, {DIGITS}) AS distance FROM (
+SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance
+FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""")
+def nearest_vectors_each(spark, d):
+    """Every vector whose id is divisible by 100 as a query."""
+    vectors = panel.table(spark, d, "embeddings")
+    return telemetry.nearest_each(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
 @register("upload_profile")

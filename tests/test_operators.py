@@ -152,3 +152,19 @@ def test_upload_to_observations(spark):
     assert [(str(r.ts), r.symbol, r.field, r.value) for r in rows] == [("2024-01-02", "close", "price", 1.5)]
     with pytest.raises(ValueError):
         upload.observations(df, "date", {})
+
+
+def test_nearest_vectors_of_every_query_agree_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    from marketloom.queries import ORACLES, QUERIES
+
+    data = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS FROM '{data}/lineitem.parquet'; CREATE VIEW embeddings AS FROM '{data}/embeddings.parquet'")
+    want = sorted(db.sql(ORACLES["nearest_vectors_each"]).fetchall())
+    got = sorted((r.query_id, r.vec_id, r.distance) for r in QUERIES["nearest_vectors_each"](spark, data).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and len({x[0] for x in got}) > 1
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+    spark.read.parquet(f"{data}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert all(QUERIES[name](spark, str(tmp_path)).count() == 0 for name in ("nearest_vectors", "nearest_vectors_each"))
