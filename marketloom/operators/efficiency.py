@@ -107,27 +107,46 @@ def kpss(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
     return out.withColumn("p_value", kpss_p(F.col("statistic")))
 
 
-def hurst(df: DataFrame, windows: list[int]) -> DataFrame:
+def hurst(df: DataFrame, windows: list[int] | None = None, least: int = 16) -> DataFrame:
     """Rescaled range by window: the slope of its logs, and that less the slope expected of noise plus 0.5.
 
-    Blocks are whole; those without spread are left out.
+    Without a list of windows, each symbol has every half octave from `least` on, rounded half to even, up to a quarter
+    of its own rows. Blocks are whole; those without spread are left out.
     """
     rows = df.where("r is not null").withColumn("i", F.row_number().over(in_time()) - 1)
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).select("symbol", "i", "n", "r", F.explode(F.array(*map(F.lit, windows))).alias("w"))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(2 * F.log2(F.col("n") / least))).cast("int"))
+    grid = F.transform(steps, lambda k: F.bround(least * F.pow(F.lit(2.0), k / 2)).cast("int"))
+    own = F.array_distinct(F.filter(grid, lambda w: w <= F.floor(F.col("n") / 4))) if windows is None else F.array(*map(F.lit, windows))
+    rows = rows.select("symbol", "i", "n", "r", F.explode(own).alias("w"))
     rows = rows.withColumn("block", F.floor(F.col("i") / F.col("w"))).where(F.col("block") < F.floor(F.col("n") / F.col("w")))
     block = Window.partitionBy("symbol", "w", "block")
     rows = rows.withColumn("d", F.col("r") - F.avg("r").over(block)).withColumn("c", F.sum("d").over(block.orderBy("i")))
     each = rows.groupBy("symbol", "w", "block").agg((F.max("c") - F.min("c")).alias("range"), F.stddev_samp("r").alias("sd")).where("sd > 0")
-    rs = each.groupBy("symbol", "w").agg(F.avg(F.col("range") / F.col("sd")).alias("rs"))
-    noise = F.try_element_at(F.create_map(*[F.lit(x) for w in windows for x in (w, math.log(expected_range(w)))]), F.col("w"))
-    slopes = rs.groupBy("symbol").agg(F.count("*").alias("windows"), F.regr_slope(F.log("rs"), F.log("w")).alias("slope"), F.regr_slope(noise, F.log("w")).alias("noise"))
+    rs = each.groupBy("symbol", "w").agg(F.avg(F.col("range") / F.col("sd")).alias("rs")).withColumn("noise", F.log(_expected_range(F.col("w"))))
+    slopes = rs.groupBy("symbol").agg(F.count("*").alias("windows"), F.regr_slope(F.log("rs"), F.log("w")).alias("slope"), F.regr_slope("noise", F.log("w")).alias("noise"))
     return slopes.select("symbol", "windows", "slope", (F.col("slope") - F.col("noise") + 0.5).alias("hurst"))
 
 
+#: Up to this many values the gamma functions are exact; beyond, Stirling's form.
+EXACT = 340
+
+
+def _front(n: int) -> float:
+    return math.exp(math.lgamma((n - 1) / 2) - math.lgamma(n / 2)) / math.sqrt(math.pi) if n <= EXACT else 1 / math.sqrt(n * math.pi / 2)
+
+
 def expected_range(n: int) -> float:
     """Rescaled range expected of n independent normal values, by Anis and Lloyd, with Peters' factor."""
     ends = sum(math.sqrt((n - i) / i) for i in range(1, n))
-    return (n - 0.5) / n * math.exp(math.lgamma((n - 1) / 2) - math.lgamma(n / 2)) / math.sqrt(math.pi) * ends
+    return (n - 0.5) / n * _front(n) * ends
+
+
+def _expected_range(n: Column) -> Column:
+    """expected_range() of a column of 2 and more."""
+    ends = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda s, i: s + F.sqrt((n - i) / i))
+    front = F.when(n <= EXACT, F.get(F.array(*[F.lit(_front(max(i, 2))) for i in range(EXACT + 1)]), n)).otherwise(1 / F.sqrt(n * math.pi / 2))
+    return (n - 0.5) / n * front * ends
 
 
 def phillips_perron(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
@@ -220,7 +239,7 @@ WEIGHTS = {"adf": 0.5, "kpss": 0.5, "variance_ratio": 1.0, "runs": 1.0, "ljung_b
 EFFICIENT, INEFFICIENT, LEAST_LEVELS = 70.0, 40.0, 257
 
 
-def efficiency_score(levels: DataFrame, lags: int, horizons: list[int], windows: list[int], lb_lags: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
+def efficiency_score(levels: DataFrame, lags: int, horizons: list[int], windows: list[int] | None = None, lb_lags: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
     """symbol, component, weight, statistic, p_value, sub_score, contribution, score, verdict, passed.
 
     A p-value scores 0 at 0.01 and 1 at 0.1; KPSS, whose null is the opposite, the other way round; the Hurst

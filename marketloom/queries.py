@@ -264,7 +264,7 @@ def kpss(spark, d):
 
 @register("hurst")
 def hurst(spark, d):
-    return efficiency.hurst(_returns(spark, d), [16, 23, 32, 45, 64, 91])
+    return efficiency.hurst(_returns(spark, d))
 
 
 @register("bds", f""", x AS (SELECT symbol, row_number() OVER w AS i, r AS x0, lead(r) OVER w AS x1, lead(r, 2) OVER w AS x2 FROM rt WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
@@ -283,7 +283,7 @@ def bds(spark, d):
 
 @register("efficiency_score")
 def efficiency_score(spark, d):
-    return efficiency.efficiency_score(_levels(spark, d), lags=8, horizons=[2, 4, 8, 16], windows=[16, 23, 32, 45, 64, 91])
+    return efficiency.efficiency_score(_levels(spark, d), lags=8, horizons=[2, 4, 8, 16])
 
 
 @register("jarque_bera", f"""SELECT symbol, count(e) AS n, round(s, {DIGITS}) AS skewness, round(k, {DIGITS}) AS excess_kurtosis,

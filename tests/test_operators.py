@@ -168,3 +168,27 @@ def test_nearest_vectors_of_every_query_agree_with_the_sql(spark, tmp_path):
     assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
     spark.read.parquet(f"{data}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert all(QUERIES[name](spark, str(tmp_path)).count() == 0 for name in ("nearest_vectors", "nearest_vectors_each"))
+
+
+def test_hurst_windows_go_up_to_a_quarter_of_each_series(spark):
+    def by_hand(x):
+        sizes, k = [], 0
+        while (w := round(16 * 2.0 ** (k / 2))) <= len(x) // 4:
+            sizes, k = [*sizes, w], k + 1
+        rs, noise = [], []
+        for w in sizes:
+            blocks = [x[i * w : (i + 1) * w] for i in range(len(x) // w)]
+            rs.append(np.mean([np.ptp(np.cumsum(b - b.mean())) / b.std(ddof=1) for b in blocks]))
+            i = np.arange(1, w)
+            front = math.exp(math.lgamma((w - 1) / 2) - math.lgamma(w / 2)) / math.sqrt(math.pi) if w <= 340 else 1 / math.sqrt(w * math.pi / 2)
+            noise.append((w - 0.5) / w * front * np.sqrt((w - i) / i).sum())
+        slope = lambda y: np.polyfit(np.log(sizes), np.log(y), 1)[0]
+        return len(sizes), slope(rs), slope(rs) - slope(noise) + 0.5
+
+    x = {"long": np.random.default_rng(1).normal(size=2498), "short": np.random.default_rng(2).normal(size=300)}
+    df = series(spark, {"r": x["long"]}, "long").union(series(spark, {"r": x["short"]}, "short"))
+    got = {r.symbol: r for r in efficiency.hurst(df).collect()}
+    for name, values in x.items():
+        n, slope, estimate = by_hand(values)
+        assert got[name].windows == n and got[name].slope == pytest.approx(slope) and got[name].hurst == pytest.approx(estimate)
+    assert (got["long"].windows, got["short"].windows) == (11, 5)
