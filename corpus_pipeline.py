@@ -33,7 +33,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard and slot: 16 shards of near equal size."""
+    """Adds shard: 16 shards of near equal size, equal texts together unless they take over half a shard."""
     return with_shards(docs, 16)
 
 

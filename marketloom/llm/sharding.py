@@ -1,11 +1,11 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly, equal texts kept together.
 
-Rows with equal texts form a group. A group that is large against a shard (in bytes, tokens or rows) is cut in
-pieces by a hash of the id, as a group with a third of all rows fits no shard; small groups are gathered into
-a fixed number of bundles by a hash of their text. There are at most 3 * shards * FINE large groups, since
-each holds 1 / (shards * FINE) of some total, so the demands to be packed are a table of bounded size. They
-are placed largest first, each where the dot product of its demand with the residual capacity is highest among
-shards that still have room in bytes.
+Rows with equal texts form a group. A group stays whole unless it takes more than 1 / PART of a shard's even share
+of all bytes, tokens or rows, whatever the size of the table; such a group is cut in the fewest pieces of that size,
+by a hash of the id. There are at most 3 * shards * PART of those. Groups over 1 / FINE of a share are packed one by
+one, at most 3 * shards * FINE; the rest is gathered into a fixed number of bundles by a hash of the text, so the
+demands to be packed are a table of bounded size. They are placed largest first, each where the dot product of its
+demand with the residual capacity is highest among shards that still have room in bytes.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .prefix import running
 
 BUNDLES = 8192
 FINE = 64
+PART = 2
 SLICES = 1024
 
 
@@ -94,10 +95,11 @@ def _plan(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[Dat
     )
     rows = materialize(rows, "sizes")
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
-    limits = [max(1, (t or 0) // (shards * FINE)) for t in total]
+    limits = [max(1.0, (t or 0) / (shards * PART)) for t in total]
+    fine = [x * PART / FINE for x in limits]
     groups = rows.groupBy("_group").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    parts = F.greatest(*[F.ceil(F.col(c) / F.lit(m)) for c, m in zip("btn", limits, strict=True)])
-    over = (F.col("b") > limits[0]) | (F.col("t") > limits[1]) | (F.col("n") > limits[2])
+    parts = F.greatest(*[F.ceil(F.col(c) / F.lit(m)) for c, m in zip("btn", limits, strict=True)], F.lit(1))
+    over = (F.col("b") > fine[0]) | (F.col("t") > fine[1]) | (F.col("n") > fine[2])
     large = materialize(groups.where(over).select("_group", F.least(parts, F.col("n")).alias("_pieces")), "large")
     held = rows.join(F.broadcast(large), "_group", "left").withColumn("_whole", F.col("_pieces").isNull())
     demand = held.withColumn("_bundle", _bundle(F.col("doc_id"))).groupBy("_whole", "_bundle")

@@ -117,6 +117,16 @@ def test_sharding_balances_and_splits_a_hot_group(spark):
     assert placed.columns == corpus(spark, texts).columns and {r.doc_id: r.shard for r in placed.collect()} == dict(zip(got.doc_id, got.shard, strict=True))
 
 
+def test_sharding_cuts_only_groups_of_over_half_a_shard(spark):
+    pairs = [prose(i, 30) for i in range(300)]
+    texts = [*pairs, *pairs, *["forty equal rows " * 10] * 40, *["too many " * 12] * 260]  # 900 rows: half a shard of 8 is 56.25
+    got = sharding.shard(corpus(spark, texts), 8).toPandas()
+    shards = got.assign(text=[texts[i] for i in got.doc_id]).groupby("text")["shard"].nunique()
+    assert (shards.drop("too many " * 12) == 1).all() and 3 <= shards["too many " * 12] <= 5
+    sizes = got.groupby("shard").agg(size=("size", "sum"), rows=("size", "count"))
+    assert len(sizes) == 8 and sizes["size"].max() <= 1.1 * sizes["size"].min()
+
+
 def test_token_counts_agree_with_the_library(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
