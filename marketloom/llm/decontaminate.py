@@ -1,14 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds that no match can be without, then Smith-Waterman alignment of words.
 
 Test items are broadcast in blocks of at most BLOCK items; the training rows are read once per block, so a
-benchmark of any size goes through without a broadcast that grows with it. Seeds are an item's n-grams that
-would be rare in the corpus if its words were independent (by word counts over all documents); an item keeps
-at least LEAST seeds. A passage where a seed is met is aligned with the item as far as an upper bound, the item's
-words that occur there at all, allows the threshold to be reached.
+benchmark of any size goes through without a broadcast that grows with it. An alignment with m matched words and e
+edits has m - e - 1 or more of the item's bigrams; to reach the score, with m <= n words, that is at least
+(2 * score - 1) * n - 1. All bigrams of an item are seeds, and pairs of document and item with fewer of them are left
+out; where the bound is 0 (items of few words), single words are the seeds. None of this depends on the corpus. A
+passage with seeds is aligned with the item as far as an upper bound, the item's words that occur there at all,
+allows the threshold to be reached.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +24,7 @@ from .common import map_arrow
 
 from .words import Words, rolling, words_of
 
-SEED = 3
-EXPECTED = 1.0
-LEAST = 8
+SEED = 2
 BLOCK = 50_000
 MATCH, OTHER, GAP = 2, -1, -1
 SCORE = 0.6
@@ -48,38 +49,19 @@ def _words(column: pa.Array) -> Iterator[Words]:
     return words_of(pc.utf8_lower(column.fill_null("")), lower=True, punctuation=False)
 
 
-def _count(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    known = vocabulary.value
-    counts, total = np.zeros(len(known), np.int64), 0
-    for batch in batches:
-        for w in _words(batch.column("text")):
-            at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
-            counts += np.bincount(at[known[at] == w.hash], minlength=len(known))
-            total += len(w.hash)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(known), dtype=np.int32)), pa.array(np.concatenate([[total], counts]))], names=["word", "n"])
-
-
 class Items:
     """A block of test items: word hashes, and the seeds as sorted hashes with their places."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], score: float):
         found = [(ids[w.first + d], w.hash[a:b]) for w in _words(pa.array(texts, pa.string())) for d, (a, b) in enumerate(zip(w.bounds()[:-1], w.bounds()[1:], strict=True))]
         self.ids = [i for i, h in found if len(h)]
         self.words = [h for _, h in found if len(h)]
-
-    def vocabulary(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
-
-    def choose(self, counts: np.ndarray, total: int) -> None:
-        known, seeds = self.vocabulary(), []
-        share = np.log(np.maximum(counts, 1) / max(total, 1))
-        for item, words in enumerate(self.words):
-            n = min(SEED, len(words))
-            grams, each = rolling(words, n), share[np.searchsorted(known, words)]
-            expected = np.log(max(total, 1)) + np.convolve(each, np.ones(n), "valid")
-            use = expected <= np.log(EXPECTED)
-            use[np.argsort(expected, kind="stable")[:LEAST]] = True
-            seeds += [(grams[i], item, i, n) for i in np.flatnonzero(use)]
+        bounds = [math.ceil((MATCH * score - 1) * len(h) - 1 - 1e-9) for h in self.words]
+        self.least = np.array([max(1, b) for b in bounds], dtype=np.int64)
+        seeds = []
+        for item, (words, bound) in enumerate(zip(self.words, bounds, strict=True)):
+            n = SEED if bound > 0 else 1
+            seeds += [(gram, item, i, n) for i, gram in enumerate(rolling(words, n))]
         seeds.sort(key=lambda s: s[0])
         self.lengths = sorted({s[3] for s in seeds})
         self.seed = np.array([s[0] for s in seeds], dtype=np.uint64)
@@ -87,7 +69,7 @@ class Items:
         self.place = np.array([s[2] for s in seeds], dtype=np.int64)
 
     def hits(self, w: Words) -> np.ndarray:
-        """Sorted distinct (document, item, diagonal) of every seed met; diagonal: place in w less place in the item."""
+        """Sorted distinct (document, item, diagonal) of pairs with enough seeds; diagonal: place in w less place in the item."""
         found = []
         for n in self.lengths:
             grams = rolling(w.hash, n)
@@ -95,8 +77,12 @@ class Items:
             at = np.flatnonzero((b > a) & (w.doc[: len(grams)] == w.doc[n - 1 :][: len(grams)]))
             times = (b - a)[at]
             which = np.repeat(a[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            found.append(np.stack([np.repeat(w.doc[at], times), self.item[which], np.repeat(at, times) - self.place[which]]))
-        return np.unique(np.concatenate(found, axis=1), axis=1)
+            found.append(np.stack([np.repeat(w.doc[at], times), self.item[which], np.repeat(at, times) - self.place[which], self.place[which]]))
+        found = np.concatenate(found, axis=1)
+        pair = found[0] * len(self.words) + found[1]
+        met, places = np.unique(np.unique(np.stack([pair, found[3]]), axis=1)[0], return_counts=True)  # different places of the item
+        enough = met[places >= self.least[met % len(self.words)]] if len(met) else met
+        return np.unique(found[:3, np.isin(pair, enough)], axis=1)
 
     def matches(self, w: Words, score: float) -> Iterator[tuple[int, int, float, int]]:
         """(document, item id, score, end of the passage) of the best alignment that reaches the score."""
@@ -109,7 +95,7 @@ class Items:
         for part in np.split(both, new, axis=1):
             d, i = int(part[0, 0]), int(part[1, 0])
             words = self.words[i]
-            pad, best, end = len(words) // 4 + 2, 0, 0
+            pad, best, end = math.ceil((1 - score) * MATCH * len(words)) + 2, 0, 0  # as many edits as a match may have
             need = score * MATCH * len(words)
             for run in np.split(part[2], np.flatnonzero(np.diff(part[2]) > len(words)) + 1):
                 a, b = max(bounds[d], run[0] - pad), min(bounds[d + 1], run[-1] + len(words) + pad)
@@ -123,20 +109,16 @@ class Items:
                 yield d, self.ids[i], best / (MATCH * len(words)), end
 
 
-def _blocks(docs: DataFrame, items: DataFrame, item_col: str, item_text: str):
-    """Broadcast blocks of items with their seeds chosen."""
+def _blocks(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, score: float):
+    """Broadcast blocks of items with their seeds."""
     spark = docs.sparkSession
     items = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
     n = max(1, -(-items.count() // BLOCK))
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).distinct().orderBy("i", "t").collect()  # about BLOCK
-        block = Items([r.i for r in rows], [r.t for r in rows])
+        block = Items([r.i for r in rows], [r.t for r in rows], score)
         if not block.words:
             continue
-        known = spark.sparkContext.broadcast(block.vocabulary())
-        counted = map_arrow(docs.select("text"), lambda x, known=known: _count(x, known), "word int, n long")
-        counts = {r.word: r.n for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one number per item word
-        block.choose(np.array([counts.get(j, 0) for j in range(len(known.value))]), counts.get(-1, 0))
         yield spark.sparkContext.broadcast(block)
 
 
@@ -161,7 +143,7 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, id_col
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(plain, items, item_col, item_text):
+    for block in _blocks(plain, items, item_col, item_text, score):
         out = out.union(map_arrow(plain, lambda b, block=block: _found(b, block, score), schema))
     return out
 
@@ -177,7 +159,7 @@ def _clean(batches: Iterator[pa.RecordBatch], block, score: float, text_col: str
 
 def decontaminate(docs: DataFrame, items: DataFrame, score: float = SCORE, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows that contaminated() reports; decided in place, without a join."""
-    plain, schema = docs.select(F.col(text_col).cast("string").alias("text")), docs.schema
-    for block in _blocks(plain, items, "item_id", "text"):
+    schema = docs.schema
+    for block in _blocks(docs, items, "item_id", "text", score):
         docs = map_arrow(docs, lambda b, block=block: _clean(b, block, score, text_col), schema)
     return docs

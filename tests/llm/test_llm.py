@@ -185,6 +185,18 @@ def test_decontamination_finds_copies_and_edits_only(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_does_not_depend_on_the_size_of_the_corpus(spark):
+    words = [f"w{i}" for i in range(10)] * 4  # common words, an edit in each run of three
+    item = " ".join(random.Random(5).sample(words, 40))
+    spaced = item.split()
+    spaced = " ".join(w if i % 2 else f"{w} {spaced[i + 1]} between" for i, w in enumerate(spaced) if i % 2 == 0)
+    bench = spark.createDataFrame([(1, item), (2, "alpha beta gamma")], "item_id long, text string")
+    for filler in (0, 400):
+        docs = corpus(spark, [spaced, "alpha x beta y gamma", *[prose(900 + i, 2000, 10) for i in range(filler // 10)]])
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench).collect()}
+        assert got[0, 1] >= 0.7 and got[1, 2] == pytest.approx(4 / 6)
+
+
 def test_alignment_by_hand():
     a = np.array([1, 2, 3, 4, 5])
     assert decontaminate.align(a, a) == (10, 5)
