@@ -96,10 +96,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(lang_col).cast("string")).alias("lang"))
     rows = rows.where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    # an even share of the hash range, so no ranking of all rows is needed; then the bound
-    names, tables = sorted(counts), []
-    shares = [F.lit(x) for lang in names for x in (lang, int(1_000_000 * min(1.0, sample / counts[lang])))]
+    different = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r.lang: r.n for r in different.collect()}  # one row a language
+    # an even share of the hash range, wide enough to hold the sample, so no ranking of all rows is needed; then the bound
+    names, tables, wide = sorted(counts), [], sample + 8 * sample**0.5 + 32
+    shares = [F.lit(x) for lang in names for x in (lang, -int(-1_000_000 * min(1.0, wide / counts[lang]) // 1))]
     kept = rows.where(F.pmod("h", F.lit(1_000_000)) < F.try_element_at(F.create_map(*shares), F.col("lang"))) if counts else rows
     kept = kept.groupBy("lang", "h").agg(F.min("text").alias("text"))
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= sample)

@@ -230,6 +230,12 @@ def test_language_sample_is_bounded_whatever_the_copies(spark):
     assert len(set(few.table[0])) <= 2
 
 
+def test_language_sample_is_full_however_many_copies(spark):
+    once = [(f"text {i}", "en") for i in range(60)]
+    train, few = (spark.createDataFrame(x, "text string, lang string") for x in (once * 40, once))
+    assert (language.fit(train, sample=60).table == language.fit(few, sample=60).table).all()
+
+
 def test_fingerprints_follow_the_next_document(spark):
     texts = [prose(i, 120, 3000) for i in range(40)] + [None, "x", prose(0, 120, 3000)]
     got = by_id(fingerprint.fingerprints(corpus(spark, texts)))
