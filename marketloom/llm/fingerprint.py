@@ -7,12 +7,14 @@ the same sample with a probability equal to their generalised Jaccard similarity
 to BINS bins and each bin draws one sample of its own terms, so that the cost is one draw a term whatever the
 number of bins; the share of equal bins among those that either set fills estimates the similarity.
 
-DataFrame functions only. The document after each one is met by a window over ranges of ids; each range holds
-a copy of the row that begins the next, so that texts are shuffled once.
+DataFrame functions only. The document after each one is met by a window over ranges of ids and text hashes; each
+range holds a copy of the row that begins the next, so that texts are shuffled once.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +22,8 @@ from pyspark.sql.window import Window
 from .common import partitions
 
 BINS = 64
-COARSE = 32
+#: Keys sampled for each range; they only set where ranges begin.
+SAMPLED = 20
 EMPTY = "--------"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -82,17 +85,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     wide = 8 * partitions(docs.sparkSession)  # so many that a task's terms fit in memory
-    rows = rows.withColumn("g", _range(rows, wide))
-    own = F.coalesce("doc_id", F.lit(-(2**63)))
-    first = rows.groupBy("g").agg(F.min(own).alias("id")).orderBy("g").collect()  # one id a range
-    following = [(b["id"], a["g"]) for a, b in zip(first, [*first[1:], *first[:1]], strict=True)]
-    following = docs.sparkSession.createDataFrame(following, "id long, before int")
+    starts = _starts(rows, wide)
     order = [F.col("last"), F.col("doc_id").asc_nulls_first(), F.col("h")]
-    rows = rows.withColumns({"h": F.xxhash64("text"), "last": F.lit(False)})
-    heads = rows.join(F.broadcast(following), own == F.col("id"))
-    heads = heads.select("doc_id", "text", F.coalesce("before", F.lit(0)).alias("g"), "h", F.lit(True).alias("last"))
+    rows = rows.withColumns({"g": _range(starts), "last": F.lit(False)})
+    following = [(*k, j - 1 if j else max(0, len(starts) - 1)) for j, k in enumerate(starts)]
+    following = docs.sparkSession.createDataFrame(following, "id long, key long, before int")  # one row a range
+    heads = rows.join(F.broadcast(following), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key")))
+    heads = heads.dropDuplicates(["before"]).select("doc_id", "text", F.col("before").alias("g"), "h", F.lit(True).alias("last"))
     span = Window.partitionBy("g").orderBy(*order)
     rows = rows.unionByName(heads).repartition(wide, "g")
     rows = rows.withColumns({"i": F.row_number().over(span), "next": F.lead("text").over(span)})
@@ -114,22 +115,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _range(rows: DataFrame, wide: int) -> Column:
-    """The range of an id, ascending, out of about `wide`: COARSE ranges of equal counts, cut in ranges of equal width."""
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 10_000).alias("c")).first()[0]
-    starts = sorted(set(cuts or [0]))
-    fine = max(1, -(-wide // max(1, len(starts) - 1)))
-
-    def within(a: int, b: int) -> Column:
-        """How many of the starts after the first an id has reached, by binary search spelled out as conditions."""
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(F.col("doc_id") >= starts[m + 1], within(m + 1, b)).otherwise(within(a, m))
-
-    coarse = within(0, max(0, len(starts) - 2))
-    low = F.element_at(F.array(*map(F.lit, starts)), coarse + 1).cast("double")
-    high = F.element_at(F.array(*map(F.lit, [*starts[1:], starts[-1]])), coarse + 1).cast("double")
-    part = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1.0)) * fine)
-    g = coarse * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), part))
-    return F.coalesce(F.when(F.col("doc_id").isNotNull(), g), F.lit(0)).cast("int")
+def _starts(rows: DataFrame, wide: int) -> list[tuple[int | None, int]]:
+    """Keys (doc_id, h) of rows that begin ranges of near equal counts, ascending, the least of all first.
+
+    At most `wide`, from a sample of about SAMPLED * wide rows. Rows equal in both stay in one range.
+    """
+    first = rows.agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("m")).first()["m"]
+    if first is None:
+        return []
+    least = rows.where(F.col("doc_id").eqNullSafe(F.lit(first["id"]).cast("long"))).agg(F.min("h")).first()[0]
+    share = min(1.0, SAMPLED * wide / max(1, rows.count()))
+    keys = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, r["h"]) for r in rows.sample(share, seed=1).select("doc_id", "h").collect()})
+    least = (first["id"] is not None, first["id"] or 0, least)
+    inner = [keys[i * len(keys) // wide] for i in range(1, wide)] if keys else []
+    return [(i if known else None, h) for known, i, h in sorted({least, *inner})]
+
+
+def _range(starts: list[tuple[int | None, int]]) -> Column:
+    """Number of the range that holds a row, by binary search among the starts."""
+    keys = [{"k": i is not None, "i": i or 0, "h": h} for i, h in starts[1:]]
+    held = F.from_json(F.lit(json.dumps(keys)), "array<struct<k: boolean, i: long, h: long>>")
+    own = F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), F.col("h").alias("h"))
+    steps = [1 << b for b in reversed(range(len(keys).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(F.get(held, n + step - 1) <= own, n + step).otherwise(n))
