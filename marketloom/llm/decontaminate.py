@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds that no match can be without, then Smith-Waterman alignment of words.
 
-Test items are broadcast in blocks of at most BLOCK items; the training rows are read once per block, so a
+Test items are broadcast in blocks of about BLOCK items or BLOCK_BYTES bytes; the training rows are read once per block, so a
 benchmark of any size goes through without a broadcast that grows with it. An alignment with m matched words and e
 edits has m - e - 1 or more of the item's bigrams; to reach the score, with m <= n words, that is at least
 (2 * score - 1) * n - 1. All bigrams of an item are seeds, and pairs of document and item with fewer of them are left
@@ -25,7 +25,7 @@ from .common import map_arrow
 from .words import Words, rolling, words_of
 
 SEED = 2
-BLOCK = 50_000
+BLOCK, BLOCK_BYTES = 50_000, 32 << 20
 MATCH, OTHER, GAP = 2, -1, -1
 SCORE = 0.6
 
@@ -113,9 +113,10 @@ def _blocks(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, sc
     """Broadcast blocks of items with their seeds."""
     spark = docs.sparkSession
     items = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
-    n = max(1, -(-items.count() // BLOCK))
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    n = max(1, -(-count // BLOCK), -(-size // BLOCK_BYTES))
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).distinct().orderBy("i", "t").collect()  # about BLOCK
+        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).distinct().orderBy("i", "t").collect()  # one block
         block = Items([r.i for r in rows], [r.t for r in rows], score)
         if not block.words:
             continue
