@@ -1,20 +1,20 @@
-"""What the operators of this subpackage share: word rules, scratch tables, bounded broadcasts."""
+"""What the operators of this subpackage share: word rules, scratch tables, Arrow batches, rows carried whole."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A list of ids up to this length (8 bytes each) may be broadcast; longer lists are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-
 _own_root: list[str] = []
 
 
@@ -33,64 +33,76 @@ def n_bytes(text: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one where that is unset and all runs in one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="spark-"))
     return f"file://{_own_root[0]}"
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The files stay until the application ends, as the result of a query still reads them.
+    The files stay until release() or the end of the application, as the result of a query still reads them.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-_written: list[tuple[SparkSession, str]] = []
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended first, or the folder is gone; what is left is the cluster's to clear
+        pass
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more: what was made of them has been written itself."""
+    for t in tables:
+        _delete(t._written_to)
 
 
 @atexit.register
 def drop_scratch() -> None:
-    """Delete every table that materialize() has written; called when the driver ends."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session has ended first; the folder is the cluster's to clear
-            return
-
-
-#: Rows and bytes of an Arrow batch that a Python worker holds at once, where the session says nothing else.
+    """Delete every table that is left; called when the driver ends."""
+    for path in list(_written):
+        _delete(path)
+
+
+#: Rows and bytes of the pieces of an Arrow batch that a function gets at once, so that what it makes of them stays small.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
-def map_arrow(df: DataFrame, each, schema) -> DataFrame:
-    """mapInArrow() in batches that stay small for long texts too.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = max(1, -(-batch.num_rows // BATCH_ROWS), -(-batch.nbytes // BATCH_BYTES))
+        step = max(1, -(-batch.num_rows // parts))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
-    The limits are settings of the session, as batches are made when the result is read; Spark's defaults are
-    replaced, a session's own values are kept.
-    """
-    conf = df.sparkSession.conf
-    for name, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if conf.get(key, default) == default:
-            conf.set(key, str(ours))
-    return df.mapInArrow(each, schema)
+
+def map_arrow(df: DataFrame, each, schema) -> DataFrame:
+    """mapInArrow() over small pieces of the session's batches."""
+    return df.mapInArrow(lambda batches: each(_cut(batches)), schema)
 
 
-def semi_join_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Rows of df whose id is in ids (materialized, distinct); broadcast only up to BROADCAST_IDS."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of docs in one, `row`, so that none of their names can meet one of ours, and more columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])
 
 
 def partitions(spark: SparkSession) -> int:

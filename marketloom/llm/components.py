@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the least node reachable.
 
-    Nothing is collected but a row count and checksum per round. Hot nodes are pre-aggregated (least
-    neighbour) and joined back, which Spark's skew join splits. An empty table gives an empty one.
+    Nothing is collected but a row count and checksum per round. Hot nodes are pre-aggregated (least neighbour, a
+    table of its own) and joined back, which Spark's skew join splits. An empty table gives an empty one.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, mark = materialize(now, "edges"), None
@@ -22,11 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = seen
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(now, least)
+        now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v"), F.col("v")).distinct()
     )

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, packed
 from .words import chunks, text_buffer
 
 SAMPLE = 2_000
@@ -41,7 +41,8 @@ SUFFIXES = {
     "nz": "en", "pl": "pl", "pt": "pt", "uk": "en", "us": "en",
 }
 
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+# What is never closed lasts to the end of the page, so that no scan of it starts over.
+_MARKUP = re.compile(r"<(script|style)\b.*?(?:</\1\s*+>|\Z)|<!--.*?(?:-->|\Z)|</?[a-z][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
 
 
 def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -127,6 +128,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model, markup: bool) -> Iterator[
 def _fused(rows: DataFrame, languages: list[str]) -> DataFrame:
     """Adds language, probability and text_language to rows with score, host, domain, declared and address."""
     known = [x for x in languages if x != UNKNOWN]
+    if not known:  # nothing to tell apart
+        return rows.withColumns({"text_language": F.lit(None).cast("string"), "language": F.lit(UNKNOWN), "probability": F.lit(1.0)})
     text = F.array_max(F.arrays_zip(F.col("score").alias("s"), F.array(*map(F.lit, languages)).alias("l")))["l"]
     rows = materialize(rows.withColumn("text_language", F.when(F.array_max("score") != 0, text)), "scored")
     count = [F.count_if(F.col("text_language") == x).cast("double").alias(f"n{i}") for i, x in enumerate(known)]
@@ -161,12 +164,18 @@ def _fused(rows: DataFrame, languages: list[str]) -> DataFrame:
     return rows.withColumn("language", language).withColumn("probability", share)
 
 
+def _accepted(model: Model) -> Column:
+    known = (F.col("language") != UNKNOWN) & F.col("text_language").isNotNull()
+    return (known if len(model.languages) > 1 else F.lit(None).cast("boolean")).alias("accepted")
+
+
 def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, text_key, text_language, language, probability, accepted): one row per row of docs.
 
     The source stands for the host; there is no markup or address. text_language is the text model's alone and
-    null if there is no text of three bytes. accepted: the language isn't "und", and there is a text. Null ids and
-    sources are values of their own. Repeated rows count each. An empty table gives an empty one.
+    null if there is no text of three bytes. accepted: the language isn't "und", and there is a text; null if the
+    model knows no language, as then nothing is judged. Null ids and sources are values of their own. Repeated rows
+    count each. An empty table gives an empty one.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(
@@ -175,8 +184,7 @@ def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", te
     rows = map_arrow(rows, lambda b: _scored(b, known, False), "doc_id long, text_key long, host string, score array<double>")
     rows = rows.withColumns({"domain": F.lit(None).cast("string"), "declared": F.lit(None).cast("string"), "address": F.lit(None).cast("string")})
     out = _fused(rows, model.languages)
-    accepted = (F.col("language") != UNKNOWN) & F.col("text_language").isNotNull()
-    return out.select("doc_id", "text_key", "text_language", "language", "probability", accepted.alias("accepted"))
+    return out.select("doc_id", "text_key", "text_language", "language", "probability", _accepted(model))
 
 
 def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -194,21 +202,21 @@ def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id", url_
         F.col(id_col).cast("long").alias("page_id"),
         host.alias("host"),
         F.nullif(F.regexp_extract(url, r"^[a-z]+://(?:[^/:?#]*\.)?([^./:?#]+\.[^./:?#]+)(?:[/:?#]|$)", 1), F.lit("")).alias("domain"),
-        F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1)), F.lit("")).alias("declared"),
+        F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1)), F.lit("")).alias("declared"),
         F.coalesce(segment, F.try_element_at(country, suffix)).alias("address"),
         html.alias("text"),
     )
     schema = "page_id long, host string, domain string, declared string, address string, score array<double>"
     out = _fused(map_arrow(rows, lambda b: _scored(b, known, True), schema), model.languages)
-    accepted = (F.col("language") != UNKNOWN) & F.col("text_language").isNotNull()
-    return out.select("page_id", "text_language", "declared", "address", "language", "probability", accepted.alias("accepted"))
+    return out.select("page_id", "text_language", "declared", "address", "language", "probability", _accepted(model))
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, without the rows that identify_documents() rejects."""
-    from .common import BROADCAST_IDS
+    """docs, all columns, without the rows that identify_documents() rejects; columns of any name are carried along.
 
-    verdict = identify_documents(docs, model)
-    bad = materialize(verdict.where("not accepted").select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_t")).distinct(), "rejected")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left_anti")
+    A model that knows no language rejects nothing.
+    """
+    bad = identify_documents(docs, model).where("not accepted").select("doc_id", "text_key").distinct()
+    bad = materialize(bad.withColumnsRenamed({"doc_id": "i", "text_key": "t"}), "rejected")
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64(F.col("text").cast("string")))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")), "left_anti").select("row.*")

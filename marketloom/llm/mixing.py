@@ -14,34 +14,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, materialize, partitions, word_count
+from .common import materialize, packed, partitions, release, word_count
 from .prefix import running
 
 REPEATS = 3
 
 
+def _in_order(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """df with, for each new: old in sums, the sum of old over the rows before; in ranges, so that no task holds all rows."""
+    sorted_ = df.repartitionByRange(max(8, 2 * partitions(df.sparkSession)), *order).sortWithinPartitions(*order)
+    sorted_ = materialize(sorted_.withColumns({"range": F.spark_partition_id(), "all": F.lit(0)}), "ordered")
+    return running(sorted_, "all", "range", order, sums).drop("range", "all")
+
+
 def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """Adds weight and target to a table of (source, source_size): one row per source.
 
     Sources in code-point order, null last, weigh 1, 2, 3, 1, ...; the sum of all sizes is shared by weight, but
     no target exceeds `repeats` times its source's size, and what is over is shared again by weight.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    sizes = sizes.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1)
-    # Sources reach their cap in the order of cap / weight. With the first k capped, the others get `level` times weight.
-    by_level = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    upto = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("cap", F.col("source_size") * repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
-    everything = Window.partitionBy()
-    sizes = sizes.withColumn("level", F.try_divide(
-        F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(upto), F.lit(0)),
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0)),
-    ))
+    named = F.col("source").asc_nulls_last()
+    sizes = _in_order(sizes.withColumn("one", F.lit(1).cast("long")), [named], {"nth": "one"})
+    sizes = sizes.withColumns({"weight": F.col("nth") % 3 + 1, "cap": F.col("source_size") * repeats})
+    # Sources reach their cap in the order of cap / weight. With those before one capped, the others get `level` times weight.
+    sizes = _in_order(sizes.drop("nth").withColumn("ratio", F.col("cap") / F.col("weight")), [F.col("ratio"), named], {"nth": "one", "capped": "cap", "weighed": "weight"})
+    total, weights = sizes.agg(F.sum("source_size"), F.sum("weight")).first()
+    sizes = sizes.withColumn("level", F.try_divide(F.lit(total) - F.col("capped"), F.lit(weights) - F.col("weighed")))
     # the level is right for the first source, in that order, which it doesn't cap
-    sizes = sizes.withColumn("nth", F.when(F.col("level") <= F.col("ratio"), F.row_number().over(by_level)))
-    level = F.min_by("level", "nth").over(everything)
-    sizes = sizes.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight")))
-    return sizes.select("source", "source_size", "weight", "target")
+    share = sizes.where("level <= ratio").agg(F.min_by("level", "nth")).first()[0] or 0.0
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * share)
+    return sizes.select("source", "source_size", "weight", target.alias("target"))
 
 
 def mix(docs: DataFrame, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -69,11 +71,8 @@ def mix(docs: DataFrame, repeats: int = REPEATS, id_col: str = "doc_id", text_co
     )
     finish = (F.col("turn") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("weight")
     offers = offers.select("source", "place", "size", finish.alias("finish"), "turn")
-    order = ["finish", "source", "place", "turn"]
-    sorted_ = offers.repartitionByRange(max(8, 2 * partitions(docs.sparkSession)), *order).sortWithinPartitions(*order)
-    sorted_ = materialize(sorted_.withColumn("range", F.spark_partition_id()).withColumn("all", F.lit(0)), "offers")
     budget = rows.agg(F.sum("size")).first()[0] or 0
-    queue = running(sorted_, "all", "range", order, {"ahead": "size"})
+    queue = _in_order(offers, [F.col("finish"), F.col("source"), F.col("place"), F.col("turn")], {"ahead": "size"})
     took = queue.where(F.col("ahead") * 2 + F.col("size") <= 2 * budget)
     took = took.groupBy("source", "place").agg(F.count("*").alias("copies")).select(F.col("source").alias("_s"), F.col("place").alias("_p"), "copies")
     out = rows.join(took, F.col("source").eqNullSafe(F.col("_s")) & (F.col("place") == F.col("_p")), "left")
@@ -84,12 +83,11 @@ def mix(docs: DataFrame, repeats: int = REPEATS, id_col: str = "doc_id", text_co
 def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """docs, all columns, each row as often as mix() takes it.
 
-    Rows that are equal in id, source and size share their copies evenly, rounded.
+    Rows that are equal in id, source and size share their copies evenly, rounded. Columns of any name are carried along.
     """
-    taken = mix(docs, repeats).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"))
-    taken = materialize(taken.agg(F.round(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0"), "copies")
-    taken = F.broadcast(taken) if taken.count() <= BROADCAST_IDS // 8 else taken  # wider rows than ids
-    rows = docs.withColumn("_size", word_count(F.col("text")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    times = F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
-    return rows.join(taken, on).select(*[docs[c] for c in docs.columns], times.alias("_time")).drop("_time")
+    taken = mix(docs, repeats).groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("copies"))
+    taken = materialize(taken.where("copies > 0").withColumnsRenamed({"doc_id": "i", "source": "s", "size": "n"}), "copies")
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"), size=word_count(F.col("text")))
+    on = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n"))
+    times = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
+    return rows.join(taken, on).select("row", times.alias("time")).select("row.*")

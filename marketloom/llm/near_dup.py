@@ -11,9 +11,12 @@ default 48 bands of 5 rows misses a pair at exactly 0.8 with probability 6e-9. E
 1. Documents with equal sets form a class; only the class representative goes on.
 2. In each bucket every member is compared with the bucket's least member (a star, never all pairs); links are
    confirmed on the full sets and joined into components.
-3. Buckets in which more than one component is left may hide links between members. Their members are joined by
-   an exact prefix filter with positions (rarest shingles first) between different components only, confirmed on
-   full sets as well. This needs no cap: a large group of copies is one component by then.
+3. Buckets in which more than one component is left may hide links between members of different ones. An exact
+   prefix filter with positions (rarest shingles first, only those that several components have) finds for each member
+   the larger components that may hold a similar set, by set size. A member stays if enough of its shingles occur
+   anywhere in those sets, which drops groups that share no more than a block without comparing their members. Of two
+   components the member covered best is compared first; members of components that this has joined are done.
+   What is left is compared pair by pair. No cap is needed, and all links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, map_arrow, materialize, semi_join_ids
+from .common import map_arrow, materialize, packed, release
 from .components import components
 from .words import mix, shingle_sets, words_of
 
@@ -93,35 +96,75 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have percent / 100 or more of their union in common."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> DataFrame:
+    """Pairs (a, b), and more columns, whose full sets have percent / 100 or more of their union in common."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
+    joined = pairs.select("a", "b", *more).join(side("b"), "b").join(side("a"), "a")
+    return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b", *more)
 
 
-def _hidden_pairs(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that may be similar: exact prefix filter with positions.
+def _shared(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, part, size, n, token, i, most): the shingles that more than one component has, of sets that may be similar to one elsewhere.
 
-    Shingles are ordered by how few of these sets have them. Similar sets share a shingle within their prefixes;
-    if the first shared one stands at positions i and j, the overlap is at most min(na - i, nb - j). Within
-    one shingle's list, the component with most entries isn't paired with itself.
+    size: members of the component; n: of the set. i counts from 0, rarest first. most: the largest set that may be
+    similar if the shingle is the first one in common, by the s - i shingles left.
     """
-    rows = sets.join(parts, "doc_id").select("doc_id", "part", F.size("set").alias("n"), F.explode("set").alias("token"))
+    sized = parts.join(parts.groupBy("part").agg(F.count("*").alias("size")), "part")
+    rows = sets.join(sized, "doc_id").select("doc_id", "part", "size", F.size("set").alias("n"), F.explode("set").alias("token"))
     common = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("p1"), F.max("part").alias("p2"))
-    order = Window.partitionBy("doc_id").orderBy("df", "token")
-    placed = rows.join(common, "token").withColumn("i", F.row_number().over(order) - 1)
-    prefix = placed.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).where("p1 <> p2")
-    prefix = prefix.withColumn("most", F.floor((F.col("n") * 100 - F.col("i") * (100 + percent)) / percent)).where(f"most * 100 >= n * {percent}")
-    prefix = materialize(prefix.select("token", "doc_id", "part", "n", "most"), "prefix")
-    by_part = prefix.groupBy("token", "part").agg(F.count("*").alias("c"), F.min("n").alias("least"))
-    main = by_part.groupBy("token").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts"))
-    main = main.where("parts > 1").drop("parts")
-    listed = materialize(prefix.join(main, "token"), "listed")
-    x, y = listed.where("part <> main").alias("x"), listed.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most")))
-    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    common = materialize(common.where("p1 <> p2").select("token", "df"), "common")
+    own = Window.partitionBy("doc_id")
+    held = rows.join(common, "token").withColumns({"i": F.row_number().over(own.orderBy("df", "token")) - 1, "s": F.count("*").over(own)})
+    held = held.where(F.col("s") * 100 >= F.col("n") * percent)
+    most = F.floor(((F.col("s") - F.col("i")) * (100 + percent) - F.col("n") * percent) / percent)
+    held = materialize(held.select("doc_id", "part", "size", "n", "token", "i", most.alias("most")), "held")
+    release(common)
+    return held
+
+
+def _reach(held: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, part, n, to, m, both): sets and larger components whose sets of m shingles hold enough of theirs, `both`, among them."""
+    cells = prefix.groupBy("token", F.col("part").alias("to"), F.col("size").alias("to_size"), F.col("n").alias("m")).agg(F.max("most").alias("to_most"))
+    cells = materialize(cells, "cells")
+    larger = (F.col("to_size") > F.col("size")) | ((F.col("to_size") == F.col("size")) & (F.col("to") > F.col("part")))
+    met = prefix.join(cells, "token").where(larger & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("to_most")))
+    met = materialize(met.select("doc_id", "part", "n", "to", "m").distinct(), "met")
+    there = materialize(held.select("token", F.col("part").alias("to"), F.col("n").alias("m")).distinct(), "there")
+    cover = met.join(held.select("doc_id", "token"), "doc_id").join(there, ["token", "to", "m"])
+    cover = cover.groupBy("doc_id", "part", "n", "to", "m").agg(F.count("*").alias("both"))
+    cover = materialize(cover.where(F.col("both") * (100 + percent) >= (F.col("n") + F.col("m")) * percent), "reach")
+    release(cells, met, there)
+    return cover
+
+
+def _hidden_links(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of similar sets in different components of `parts`: with them, components that hold similar sets are one."""
+    held = _shared(sets, parts, percent)
+    prefix = held.where(F.col("most") * 100 >= F.col("n") * percent)
+    kinds = materialize(prefix.select("token", "n", "most").distinct(), "kinds")  # by size and place only: few for each token
+    other = kinds.select("token", F.col("n").alias("m"), F.col("most").alias("to_most"))
+    able = kinds.join(other, "token").where((F.col("m") <= F.col("most")) & (F.col("n") <= F.col("to_most"))).select("token", "n", "most").distinct()
+    able = materialize(able, "able")
+    prefix = materialize(prefix.join(able, ["token", "n", "most"], "left_semi"), "prefix")
+    reach = _reach(held, prefix, percent)
+    y = prefix.select("token", F.col("part").alias("to"), F.col("n").alias("m"), F.col("doc_id").alias("other"), F.col("most").alias("to_most"))
+
+    def links(some: DataFrame) -> DataFrame:
+        x = prefix.select("doc_id", "token", "most").join(some.select("doc_id", "part", "n", "to", "m"), "doc_id")
+        met = x.join(y, ["token", "to", "m"]).where((F.col("m") <= F.col("most")) & (F.col("n") <= F.col("to_most")))
+        pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"), "part", "to").distinct()
+        return materialize(_verified(pairs, sets, percent, "part", "to"), "links")
+
+    covered = F.struct((F.col("both") / (F.col("n") + F.col("m"))).alias("share"), "doc_id", "n", "m")
+    best = reach.groupBy("part", "to").agg(F.max(covered).alias("x")).select("x.doc_id", "part", "x.n", "to", "x.m")
+    first = links(best)
+    joined = components(first.select(F.col("part").alias("a"), F.col("to").alias("b")))
+    now = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_now"))
+    apart = F.coalesce("part_now", "part") != F.coalesce("to_now", "to")
+    rest = links(reach.join(now("part"), "part", "left").join(now("to"), "to", "left").where(apart))
+    release(held, kinds, able, prefix, reach)
+    return first.union(rest).select("a", "b")
 
 
 def near_duplicates(
@@ -145,23 +188,26 @@ def near_duplicates(
     lead = signed.where("n > 0").join(
         class_of.select(F.col("class").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"], "left_semi"
     )
-    buckets = lead.select("doc_id", "n", F.explode("bands").alias("key"))
+    buckets = lead.select("doc_id", F.explode("bands").alias("key"))
     several = buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("members"))
-    shared = materialize(buckets.join(several.where("a <> z"), "key"), "buckets")
+    several = materialize(several.where("a <> z").drop("z"), "several")
+    shared = materialize(buckets.join(several, "key"), "buckets")
     star = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     star = materialize(star, "star")
     members = materialize(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "members")
-    sets = semi_join_ids(plain, members, "doc_id").dropDuplicates(["doc_id"])
+    sets = plain.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(map_arrow(sets, lambda b: _sets(b, shingle), "doc_id long, set array<long>"), "sets")
     links = materialize(_verified(star, sets, percent), "links")
     parts = components(links)
     # Buckets of two were settled by the star; larger ones only if one component is left.
     placed = shared.where("members > 2").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = materialize(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")), "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 <> p2").select("key")
-    left = materialize(placed.join(mixed, "key", "left_semi").select("doc_id", "part").distinct(), "mixed")
-    found = _verified(_hidden_pairs(sets, left, percent), sets, percent)
-    parts = components(links.union(found))
+    mixed = materialize(mixed, "mixed")
+    left = materialize(placed.join(mixed, "key", "left_semi").select("doc_id", "part").distinct(), "left")
+    if not left.isEmpty():
+        parts = components(links.union(_hidden_links(sets, left, percent)))
+    release(several, shared, star, members, sets, links, placed, mixed, left)
     named = class_of.join(parts, class_of["class"] == parts["node"], "left").select(
         "n", "f1", "f2", F.coalesce("component", "class").alias("component_id")
     )
@@ -173,18 +219,14 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, with one row of each group that near_duplicates() finds; of rows with one id, one stays.
 
-    Rows with a null id stay.
+    Rows with a null id stay. Columns of any name are carried along.
     """
     found = materialize(near_duplicates(docs, shingle, percent), "near")
-    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_i")).distinct(), "gone")
-    again = materialize(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_i")).count().where("count > 1").select("_i"), "again")
-
-    def listed(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    left = docs.join(listed(gone), F.col("doc_id").cast("long") == F.col("_i"), "left_anti")
-    if again.isEmpty():
-        return left
-    same = F.col("doc_id").cast("long") == F.col("_i")
-    one = left.join(listed(again), same, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(listed(again), same, "left_anti").unionByName(one)
+    gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone")
+    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    release(found)
+    left = packed(docs, doc_id=F.col("doc_id").cast("long")).join(gone, "doc_id", "left_anti")
+    if not again.isEmpty():
+        one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        left = left.join(again, "doc_id", "left_anti").unionByName(one)
+    return left.select("row.*")

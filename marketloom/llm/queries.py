@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from .common import table
 from .decontaminate import contaminated
 from .fingerprint import fingerprints
@@ -81,5 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
-    "pipeline": corpus_pipeline.run,
 }

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, n_bytes, word_count
+from .common import materialize, n_bytes, packed, word_count
 from .prefix import running
 
 BUNDLES = 8192
@@ -49,7 +49,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     """
     rows, large, placed = _plan(docs, shards, id_col, text_col)
     rows = _placed(rows, large, placed, F.col("doc_id")).withColumn("one", F.lit(1).cast("long"))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(SLICES)))
     rows = running(rows, "shard", "slice", ["doc_id", "size", "text_crc32"], {"slot": "one"})
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -57,11 +57,14 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
 
 def with_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with shard as shard() gives it (in place of a column of that name), decided in place."""
+    """docs, all columns, with shard as shard() gives it (in place of a column of that name), decided in place.
+
+    Columns of any other name are carried along.
+    """
     _, large, placed = _plan(docs, shards, id_col, text_col)
-    names = [c for c in docs.columns if c.lower() != "shard"]
-    rows = docs.withColumn("_group", _group(F.col(text_col)))
-    return _placed(rows.drop("shard"), large, placed, F.col(id_col).cast("long")).select(*names, "shard")
+    rows = packed(docs, id=F.col(id_col).cast("long"), _group=_group(F.col(text_col)))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "shard"]
+    return _placed(rows, large, placed, F.col("id")).select(*kept, "shard")
 
 
 def _text(text: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, semi_join_ids
+from .common import map_arrow, materialize, release
 from .words import Words, mix, pieces, rolling, words_of
 
 WINDOW = 35
@@ -179,10 +179,9 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _texts_with(plain: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text_key, text and found's other column, for the rows in found; only their texts are shuffled."""
-    texts = semi_join_ids(plain, found.select("text_key").distinct(), "text_key")
+    """doc_id, text_key, text and found's other column, for the rows in found."""
     found = found.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
-    return texts.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t"))).drop("_d", "_t")
+    return plain.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t"))).drop("_d", "_t")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,17 +200,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE, id_c
     met = base.select(*key, F.explode(F.arrays_zip("nodes", "times")).alias("x")).select(*key, F.col("x.nodes").alias("node"), F.col("x.times").alias("times"))
     repeated = met.groupBy("node").agg(F.sum("times").alias("times")).where("times > 1").select("node")
     at = met.join(repeated, "node", "left_semi").groupBy(*key).agg(F.collect_set("node").alias("nodes"))
-    at = materialize(at, "repeated")
-    paths = map_arrow(_texts_with(plain, at), lambda b: _at_nodes(b, window, node), "p1 long, p2 int, node long, doc_id long, text_key long, first int, n int")
+    texts = materialize(_texts_with(plain, at), "texts")  # the rows that may repeat anything: what follows reads no other text
+    paths = map_arrow(texts, lambda b: _at_nodes(b, window, node), "p1 long, p2 int, node long, doc_id long, text_key long, first int, n int")
     paths = materialize(paths, "paths")
+    texts = texts.drop("nodes")
     one = F.min(F.struct("doc_id", "text_key", "first"))
     classes = paths.groupBy("p1", "p2").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.min("n").alias("n"), one.alias("at"))
     classes = materialize(classes, "classes")
     forms = classes.groupBy("node").agg(F.count("*").alias("forms"))
     branched = materialize(forms.where("forms > 1").select("node"), "branched")
-    at = semi_join_ids(classes, branched, "node").select("at.*", "p1", "p2", (F.col("times") > 1).alias("again"), "n")
+    at = classes.join(branched, "node", "left_semi").select("at.*", "p1", "p2", (F.col("times") > 1).alias("again"), "n")
     at = materialize(at.groupBy(*key).agg(F.collect_list(F.struct("p1", "p2", "again", "first", "n")).alias("paths")), "sources")
-    edges = map_arrow(_texts_with(plain, at), lambda b: _edges(b, window), "h1 long, h2 int, p1 long, p2 int, again boolean, nth int")
+    edges = map_arrow(_texts_with(texts, at), lambda b: _edges(b, window), "h1 long, h2 int, p1 long, p2 int, again boolean, nth int")
     edges = materialize(edges, "edges")
     # No window is twice in one path, and rows that repeat in id and text give the same path again: only other paths count.
     seen = edges.groupBy("h1", "h2").agg(F.max("again").alias("again"), F.min("p1").alias("least"), F.max("p1").alias("most"))
@@ -220,7 +220,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE, id_c
     plainly = classes.where("times > 1").join(branched, "node", "left_anti").select("p1", "p2", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     cut = paths.join(masks.union(plainly), ["p1", "p2"]).groupBy(*key).agg(F.collect_list(F.struct("first", "mask")).alias("cuts"))
     cut = materialize(cut, "cuts")
-    fixed = map_arrow(_texts_with(plain, cut), lambda b: _removed(b, window), "doc_id long, text_key long, n_removed long, cut_sha256 string")
+    release(paths, classes, branched, at, edges)
+    fixed = map_arrow(_texts_with(texts, cut), lambda b: _removed(b, window), "doc_id long, text_key long, n_removed long, cut_sha256 string")
     fixed = fixed.dropDuplicates(key)
     same = base["doc_id"].eqNullSafe(fixed["doc_id"]) & (base["text_key"] == fixed["text_key"])
     out = base.drop("nodes", "times").alias("x").join(fixed.alias("y"), same, "left")
