@@ -1,17 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its number of words, its link density (the
-share of its characters inside links), the same of the blocks before and after it, and whether an element around
-it is marked as furniture (nav, footer, class "ad", ...) or as the article. A decision tree, fitted on the small
-labelled table EXAMPLES, decides which blocks are main text.
+share of its characters inside links), the same of the blocks before and after it, whether it is a heading, whether it
+is inside an article, and how surely an element around it is named as furniture (0 not, 1 perhaps, 2 surely). A decision
+tree, fitted on the small labelled table of examples(), decides which blocks are main text. A page is read once from its
+start to its end, whatever is left unclosed in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,57 +29,78 @@ BLOCK = set(
     "tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style noscript template svg math iframe object canvas select textarea head title button form audio video".split())
-FURNITURE = set("nav footer header aside menu dialog form button search".split())
+DROPPED = set("annotation script style noscript template svg iframe object canvas select textarea head title button audio video".split())
+FURNITURE = set("nav aside menu dialog search".split())
+#: Furniture of a page, but inside an article perhaps its title or its form.
+PERHAPS = set("header footer form".split())
 ARTICLE = set("article main".split())
+RAW = set("script style textarea title".split())
+HEADING = {f"h{i}" for i in range(1, 7)}
 #: An element of this kind ends an open one of the same kind, and headings end paragraphs.
 SIBLINGS = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
-#: Words in class, id or role that mark furniture, and the article.
-_FURNITURE_MARK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|disqus|"
-    r"footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|reply|search|share|sharing|"
-    r"sidebar|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Words in class, id or role that name furniture, that say where or how it is shown, and that name the article.
+NAMES_FURNITURE = set(
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies copyright "
+    "footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related "
+    "search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
-_ARTICLE_MARK = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
+NAMES_COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
+NAMES_PLACE = set(
+    "area articles bar block bottom box btn button buttons cloud col column container content elements fixed global group inner icons item items label layout left link links list "
+    "main mobile news notification outer page panel posts primary right row section secondary side signup site slot stories sub text top unit wrap wrapper".split()
+)
+NAMES_ARTICLE = set("article articlebody content entry main post story text".split())
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-# Possessive, so that unclosed tags and quotes don't make the scan start over.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S
-)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/<>]*+)")
+# Where a tag ends: quotes that hold no tag first, then any quotes.
+_PLAIN_END = re.compile(r"(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+>")
+_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WHITE = re.compile(r"\s+")
 
-#: The labelled table: words, link density, words and link density of the block before and of the one after (0 at
-#: the ends), marked as furniture, inside an article, and whether it is main text.
-EXAMPLES = [
-    # menus and link lists
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0), (3, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0),
-    (4, 0.9, 3, 1.0, 40, 0.0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0), (8, 1.0, 9, 1.0, 7, 1.0, 0, 0, 0), (12, 0.7, 6, 1.0, 5, 0.9, 0, 0, 0),
-    (9, 1.0, 80, 0.0, 8, 1.0, 0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 1, 1, 0), (3, 1.0, 50, 0.0, 3, 1.0, 1, 1, 0),
-    # adverts, notices, footers, sidebars and comments, long and short
-    (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0), (30, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0), (60, 0.0, 80, 0.0, 20, 0.0, 1, 0, 0), (6, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0),
-    (15, 0.1, 90, 0.0, 0, 0.0, 1, 0, 0), (45, 0.0, 6, 0.0, 35, 0.0, 1, 0, 0), (25, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0), (8, 0.2, 60, 0.0, 10, 0.0, 1, 1, 0),
-    (120, 0.0, 100, 0.0, 90, 0.0, 1, 0, 0), (70, 0.0, 30, 0.0, 40, 0.0, 1, 1, 0),
-    # bits outside any article: dates, captions, credits
-    (2, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0), (3, 0.0, 2, 0.5, 2, 1.0, 0, 0, 0), (4, 0.0, 1, 1.0, 3, 0.6, 0, 0, 0), (5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0),
-    (2, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0), (6, 0.5, 3, 0.0, 4, 0.0, 0, 0, 0),
-    # articles: headings, paragraphs of any length, paragraphs with links, lists
-    (6, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1), (12, 0.0, 1, 1.0, 80, 0.0, 0, 1, 1), (80, 0.0, 12, 0.0, 60, 0.0, 0, 1, 1), (2, 0.0, 80, 0.0, 60, 0.0, 0, 1, 1),
-    (1, 0.0, 40, 0.0, 30, 0.0, 0, 1, 1), (55, 0.2, 30, 0.0, 5, 0.0, 0, 1, 1), (4, 0.0, 3, 0.0, 5, 0.0, 0, 1, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
-    (10, 0.6, 30, 0.0, 20, 0.0, 0, 1, 1), (5, 1.0, 40, 0.0, 50, 0.0, 0, 1, 1), (3, 0.0, 2, 1.0, 9, 0.0, 0, 1, 1), (20, 0.0, 12, 1.0, 9, 0.0, 0, 1, 1),
-    (1, 0.0, 1, 1.0, 8, 0.0, 0, 1, 1), (2, 1.0, 2, 0.0, 2, 0.0, 0, 1, 1), (300, 0.0, 5, 0.0, 9, 0.0, 0, 1, 1),
-    # running text on pages without such marks
-    (40, 0.0, 3, 1.0, 50, 0.0, 0, 0, 1), (60, 0.05, 45, 0.0, 30, 0.1, 0, 0, 1), (25, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1), (90, 0.1, 10, 0.0, 12, 1.0, 0, 0, 1),
-    (18, 0.0, 40, 0.0, 35, 0.0, 0, 0, 1), (8, 0.0, 4, 1.0, 70, 0.0, 0, 0, 1), (7, 0.0, 60, 0.0, 50, 0.0, 0, 0, 1), (30, 0.2, 50, 0.0, 60, 0.0, 0, 0, 1),
-    (150, 0.0, 2, 1.0, 5, 1.0, 0, 0, 1), (6, 0.0, 45, 0.0, 80, 0.0, 0, 0, 1), (12, 0.0, 50, 0.0, 1, 1.0, 0, 0, 1),
-]
-
-
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6):
-    """A binary decision tree by Gini impurity: (feature, cut, below or at, above), or a leaf's share of main text."""
+#: Kinds of blocks: words from, to; link density from, to; named as furniture (0, 1, 2), inside an article, a heading; main text.
+KINDS = {
+    "menu": (1, 4, 0.9, 1.0, 2, 0, 0, 0), "links": (1, 12, 0.7, 1.0, 0, 0, 0, 0), "maybe-links": (1, 12, 0.7, 1.0, 1, 0, 0, 0),
+    "advert": (3, 60, 0.0, 0.2, 2, 0, 0, 0), "advert-inside": (3, 60, 0.0, 0.2, 2, 1, 0, 0), "share": (1, 4, 0.5, 1.0, 2, 1, 0, 0),
+    "notice": (5, 40, 0.0, 0.2, 2, 0, 0, 0), "comment": (2, 150, 0.0, 0.2, 2, 1, 0, 0), "comment-outside": (2, 150, 0.0, 0.2, 2, 0, 0, 0),
+    "side-title": (1, 6, 0.0, 0.0, 2, 0, 1, 0), "side": (5, 80, 0.0, 0.4, 2, 0, 0, 0), "footer": (2, 15, 0.0, 0.5, 1, 0, 0, 0),
+    "byline": (2, 8, 0.0, 0.5, 1, 1, 0, 0), "label": (1, 6, 0.0, 0.0, 1, 0, 0, 0), "label-inside": (1, 6, 0.0, 0.0, 1, 1, 0, 0),
+    "loose": (1, 5, 0.0, 0.5, 0, 0, 0, 0),
+    "title": (2, 14, 0.0, 0.0, 0, 1, 1, 1), "maybe-title": (2, 14, 0.0, 0.0, 1, 1, 1, 1), "plain-title": (2, 14, 0.0, 0.0, 0, 0, 1, 1),
+    "text": (1, 200, 0.0, 0.4, 0, 1, 0, 1), "item": (1, 30, 0.0, 1.0, 0, 1, 0, 1), "section": (1, 8, 0.0, 1.0, 0, 1, 1, 1),
+    "maybe-text": (14, 200, 0.0, 0.4, 1, 1, 0, 1), "form-text": (25, 200, 0.0, 0.3, 1, 0, 0, 1), "form-short": (1, 12, 0.0, 0.2, 1, 0, 0, 1), "form-title": (2, 14, 0.0, 0.0, 1, 0, 1, 1),
+    "plain-text": (25, 200, 0.0, 0.3, 0, 0, 0, 1), "plain-short": (1, 12, 0.0, 0.2, 0, 0, 0, 1),
+}
+
+#: Pages as they are laid out, block by block; the labelled table has PAGES of each, with sizes drawn by a seeded generator.
+LAYOUTS = [
+    "menu menu menu advert title text text text footer", "menu menu notice title text item item item text section text text comment comment footer",
+    "notice menu menu links maybe-title byline text text advert-inside text share comment side-title side side footer", "text item item section item text",
+    "menu side-title side title text text label-inside label-inside advert-inside maybe-text text comment comment", "title text share byline menu menu",
+    "links links links plain-title loose plain-text plain-text plain-short plain-text plain-text footer", "links links loose plain-title plain-text plain-text links links loose",
+    "maybe-links maybe-links form-title form-text form-text form-short form-text label label label maybe-links", "label form-title form-text form-short form-text label label",
+    "menu loose advert loose comment-outside comment-outside footer footer", "maybe-title maybe-text byline text item text text share", "notice text text text advert comment comment",
+    "loose links loose links advert loose label label footer", "links maybe-links links label label footer loose maybe-links",
+]
+PAGES, LEAST = 8, 4
+
+
+def examples() -> np.ndarray:
+    """The labelled table: words, link density, the same of the block before and of the one after, the kind's marks, main text."""
+    draw, rows = np.random.default_rng(1), []
+    for layout in LAYOUTS * PAGES:
+        kinds = [KINDS[k] for k in layout.split()]
+        shape = [(int(draw.integers(k[0], k[1] + 1)), round(float(draw.uniform(k[2], k[3])), 1)) for k in kinds]
+        ends = [(0, 0.0), *shape, (0, 0.0)]
+        rows += [(*shape[i], *ends[i], *ends[i + 2], *k[4:]) for i, k in enumerate(kinds)]
+    return np.array(rows, dtype=float)
+
+
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8):
+    """A binary decision tree by Gini impurity: (feature, cut, below or at, above), or a leaf's share of main text, of LEAST rows or more."""
     if depth == 0 or len(set(labels)) < 2:
         return float(labels.mean())
     best = None
@@ -85,6 +108,8 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6):
         values = np.unique(rows[:, f])
         for cut in (values[:-1] + values[1:]) / 2:
             low = rows[:, f] <= cut
+            if min(low.sum(), (~low).sum()) < LEAST:
+                continue
             impurity = sum(m.sum() * labels[m].mean() * (1 - labels[m].mean()) for m in (low, ~low))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, float(cut), low)
@@ -96,7 +121,7 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6):
 
 @cache
 def tree():
-    table = np.array(EXAMPLES, dtype=float)
+    table = examples()
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -108,71 +133,115 @@ def is_main(features: tuple, node=None) -> bool:
     return node >= 0.5
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is dropped, furniture, article."""
+def _named(label: str) -> tuple[int, bool]:
+    """How surely a class, id or role names furniture, and whether it names an article."""
+    sure, article = 0, False
+    for name in label.split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        if words & NAMES_COMMENTS:
+            sure = 2
+        elif found := words & NAMES_FURNITURE:
+            sure = max(sure, 2 if words <= found | NAMES_PLACE else 1)
+        elif words & NAMES_ARTICLE:
+            article = True
+    return sure, article
+
+
+@lru_cache(4096)
+def _marks(tag: str, attributes: str) -> tuple[bool, int, bool]:
+    """Whether an element is dropped, how surely it is furniture, and whether it is an article."""
     said = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    label = " ".join(said.get(k, "") for k in ("class", "id", "role"))
     hidden = "hidden" in said or said.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(said.get("style", "")))
-    furniture = tag in FURNITURE or bool(label.strip() and tag not in ("body", "html") and _FURNITURE_MARK.search(label))
-    article = tag in ARTICLE or said.get("itemprop", "").lower() == "articlebody" or bool(label.strip() and not furniture and _ARTICLE_MARK.search(label))
-    return tag in DROPPED or hidden, furniture, article
+    sure, article = (0, False) if tag in ("body", "html") else _named(" ".join(said.get(k, "") for k in ("class", "id", "role")))
+    sure = min(sure, 1) if tag in ARTICLE else max(sure, 2 if tag in FURNITURE else 1 if tag in PERHAPS else 0)
+    return tag in DROPPED or hidden, sure, tag in ARTICLE or said.get("itemprop", "").lower() == "articlebody" or (article and not sure)
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """Flat text blocks in page order: text, link density, marked as furniture, inside an article."""
-    out: list[tuple[str, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, furniture, article: as they hold inside it
+def _tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, tag, attributes) of each tag in order; the tag begins with / if it closes, and is empty for comments and the like."""
+    at, quoted, closed, raw = 0, True, True, ""
+    while (start := page.find("<", at)) >= 0 and closed:
+        if raw:  # up to the end tag
+            m = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(page, start)
+            raw, start = "", m.start() if m else len(page)
+            if not m:
+                return
+        if page.startswith(("<!", "<?"), start):
+            ends = "-->" if page.startswith("<!--", start) else "]]>" if page.startswith("<![CDATA[", start) else ">"
+            end = page.find(ends, start + 2)
+            at = end + len(ends) if end >= 0 else len(page)
+            yield start, at, "", ""
+        elif m := _TAG.match(page, start):
+            end = _PLAIN_END.match(page, m.end()) or (_END.match(page, m.end()) if quoted else None)
+            if end:
+                at = end.end()
+            else:  # a quote is open to the end of the page: from here on, tags end at the next >
+                quoted, at = False, page.find(">", m.end()) + 1
+                closed = at > 0
+                at = at or m.end()
+            if closed:
+                tag, close = m[1].lower(), page[start + 1] == "/"
+                raw = tag if tag in RAW and not close else ""
+                yield start, at, "/" * close + tag, page[m.end() : at - 1]
+        else:  # a sign, not a tag
+            at = start + 1
+
+
+def blocks(page: str) -> list[tuple[str, float, int, bool, bool]]:
+    """Flat text blocks in page order: text, link density, how surely furniture, inside an article, a heading."""
+    out: list[tuple[str, float, int, bool, bool]] = []
+    stack: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]  # tag, dropped, furniture, article, heading: as they hold inside it
+    open_: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, at = 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = _WHITE.sub(" ", "".join(parts)).strip()
         if text:
-            _, dropped, furniture, article = stack[-1] if stack else ("", False, False, False)
-            if not dropped:
-                out.append((text, min(1.0, linked / len(text)), furniture, article))
+            out.append((text, min(1.0, linked / len(text)), *stack[-1][2:]))
         parts.clear()
         linked = 0
 
     def text_until(end: int) -> None:
         nonlocal linked
-        if end > at and not (stack and stack[-1][1]):
+        if end > at and not stack[-1][1]:
             text = html.unescape(page[at:end])
             parts.append(text)
-            if in_link:
+            if open_["a"]:
                 linked += len(text.strip())
 
-    while m := _TOKEN.search(page, at):
-        text_until(m.start())
-        at = m.end()
-        if not m[2]:
+    def close() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        return tag
+
+    for start, end, said, attributes in _tags(page):
+        if not (stack[-1][0] in RAW and said != "/" + stack[-1][0]):
+            text_until(start)
+        at = end
+        tag = said.lstrip("/")
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag == "br":
             parts.append(" ")
         elif tag in BLOCK:
             flush()
-        if m[1]:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
+        if said[0] == "/":
+            if open_[tag]:
+                while close() != tag:
                     pass
-        elif tag not in VOID and not m[3].endswith("/"):
-            if tag in SIBLINGS and stack and stack[-1][0] == tag:
-                stack.pop()
-            elif tag in BLOCK and stack and stack[-1][0] == "p":
-                stack.pop()
-            dropped, furniture, article = _marks(tag, m[3])
-            _, d, f, a = stack[-1] if stack else ("", False, False, False)
-            if article and not furniture and tag in ARTICLE:
-                f = False if tag == "main" else f
-            stack.append((tag, d or dropped, f or furniture, a or article))
-            if tag in ("script", "style", "textarea", "title"):  # raw text up to the end tag
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                stack.pop()
-        in_link = sum(x[0] == "a" for x in stack)
-    text_until(len(page))
+        elif tag not in VOID and not attributes.endswith("/"):
+            if (tag in SIBLINGS and stack[-1][0] == tag) or (tag in BLOCK and stack[-1][0] == "p"):
+                close()
+            dropped, sure, article = _marks(tag, attributes)
+            _, d, s, a, h = stack[-1]
+            if tag in ARTICLE and (s < 2 or tag == "main"):
+                s = 0
+            stack.append((tag, d or dropped, max(s, sure), a or article, h or tag in HEADING))
+            open_[tag] += 1
+    if stack[-1][0] not in RAW:
+        text_until(len(page))
     flush()
     return out
 
@@ -180,10 +249,10 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The main blocks of a page, one line each."""
     found = blocks(page) if page else []
-    shape = [(0, 0.0), *[(len(t.split()), link) for t, link, _, _ in found], (0, 0.0)]
+    shape = [(0, 0.0), *[(len(t.split()), link) for t, link, *_ in found], (0, 0.0)]
     kept = []
-    for i, (text, _, furniture, article) in enumerate(found):
-        if is_main((*shape[i + 1], *shape[i], *shape[i + 2], int(furniture), int(article))):
+    for i, (text, _, *rest) in enumerate(found):
+        if is_main((*shape[i + 1], *shape[i], *shape[i + 2], *map(int, rest))):
             kept.append(text)
     return "\n".join(kept)
 
