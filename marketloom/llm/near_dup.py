@@ -34,6 +34,8 @@ from .components import components
 from .words import mix, shingle_sets, words_of
 
 BANDS, ROWS = 48, 5
+#: Shingles of a group of sets that are held in one list.
+SLICE = 4_096
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
 
@@ -130,11 +132,18 @@ def _reach(held: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     larger = (F.col("to_size") > F.col("size")) | ((F.col("to_size") == F.col("size")) & (F.col("to") > F.col("part")))
     met = prefix.join(cells, "token").where(larger & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("to_most")))
     met = materialize(met.select("doc_id", "part", "n", "to", "m").distinct(), "met")
-    there = materialize(held.select("token", F.col("part").alias("to"), F.col("n").alias("m")).distinct(), "there")
-    cover = met.join(held.select("doc_id", "token"), "doc_id").join(there, ["token", "to", "m"])
-    cover = cover.groupBy("doc_id", "part", "n", "to", "m").agg(F.count("*").alias("both"))
+    # the shingles of each of those cells, in lists of about SLICE, against each set's own
+    there = held.withColumnsRenamed({"part": "to", "n": "m"}).join(met.select("to", "m").distinct(), ["to", "m"], "left_semi")
+    there = materialize(there.select("to", "m", "token").distinct(), "there")
+    many = there.groupBy("to", "m").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    many = materialize(many, "many")
+    lists = there.join(many, ["to", "m"]).groupBy("to", "m", F.pmod("token", "slices").alias("slice")).agg(F.collect_list("token").alias("theirs"))
+    own = held.join(met.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    lists = materialize(lists, "lists")
+    cover = met.join(own, "doc_id").join(lists, ["to", "m"]).groupBy("doc_id", "part", "n", "to", "m")
+    cover = cover.agg(F.sum(F.size(F.array_intersect("tokens", "theirs"))).alias("both"))
     cover = materialize(cover.where(F.col("both") * (100 + percent) >= (F.col("n") + F.col("m")) * percent), "reach")
-    release(cells, met, there)
+    release(cells, met, there, many, lists)
     return cover
 
 
