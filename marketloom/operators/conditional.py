@@ -1,4 +1,4 @@
-"""Asymmetric conditional volatility: GJR and exponential GARCH with normal errors, on returns in percent.
+"""Conditional volatility: GARCH, GJR and exponential GARCH with normal errors, on returns in percent.
 
 The likelihood is a recursion along a series, so each symbol is one Arrow group; symbols run in parallel.
 """
@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MEAN_ABS = math.sqrt(2 / math.pi)
 
@@ -61,6 +62,21 @@ def _gjr_path(theta: np.ndarray, e: np.ndarray) -> np.ndarray:
     return out
 
 
+def _garch(theta: np.ndarray) -> tuple[float, float, float]:
+    """omega, alpha, beta: alpha and beta at least 0, persistence below 1."""
+    total, part = 1 / (1 + math.exp(-theta[1])), 1 / (1 + math.exp(-theta[2]))
+    return math.exp(min(theta[0], 50.0)), total * part, total * (1 - part)
+
+
+def _garch_path(theta: np.ndarray, e: np.ndarray) -> np.ndarray:
+    omega, alpha, beta = _garch(theta)
+    v, out = float(np.mean(e * e)), np.empty(len(e))
+    for i, x in enumerate((omega + alpha * e * e).tolist()):
+        out[i] = v
+        v = x + beta * v
+    return out
+
+
 def _egarch_path(theta: np.ndarray, e: np.ndarray) -> np.ndarray:
     omega, alpha, gamma, beta = theta[0], theta[1], theta[2], math.tanh(theta[3])
     h, out = math.log(float(np.mean(e * e))), np.empty(len(e))
@@ -86,6 +102,19 @@ def _fitted(df: DataFrame, path, start, named, iterations: int) -> DataFrame:
     return df.select("symbol", "ts", "r").groupBy("symbol").applyInPandas(fit, schema)
 
 
+def garch(df: DataFrame, iterations: int = 600) -> DataFrame:
+    """omega, alpha, beta of each symbol (gamma is 0); persistence is alpha + beta. Constant series are left out."""
+
+    def named(theta: np.ndarray):
+        omega, alpha, beta = _garch(theta)
+        return omega, alpha, 0.0, beta, alpha + beta
+
+    out = _fitted(df, _garch_path, lambda e: np.array([math.log(0.1 * np.mean(e * e)), 2.0, -2.0]), named, iterations)
+    half_life, level = F.log(F.lit(0.5)) / F.log("persistence"), F.sqrt(F.col("omega") / (1 - F.col("persistence"))) / 100
+    held = (F.col("persistence") > 0) & (F.col("persistence") < 1)
+    return out.withColumns({"half_life": F.when(held, half_life), "unconditional_vol": F.when(held, level)})
+
+
 def gjr_garch(df: DataFrame, iterations: int = 600) -> DataFrame:
     """omega, alpha, gamma, beta of each symbol; persistence is alpha + gamma / 2 + beta. Constant series are left out."""
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distributions import chi2_p
-from .gram import ols
+from ..functions.distributions import chi2_p, kolmogorov_p
+from .gram import inflation, ols
 
 def in_time():
     return Window.partitionBy("symbol").orderBy("ts")
@@ -30,7 +30,7 @@ def _lm(df: DataFrame, xs: list[str]) -> DataFrame:
     """n * R2 of e2 on xs."""
     fit = ols(df, "e2", xs, ["symbol"]).where("term = 'const'")
     out = fit.select("symbol", F.col("nobs").alias("n"), (F.col("nobs") * F.col("r2")).alias("statistic"))
-    return out.withColumn("p_value", chi2_p(F.col("statistic"), F.lit(len(xs))))
+    return out.withColumn("p_value", chi2_p(F.col("statistic"), len(xs)))
 
 
 def breusch_pagan(df: DataFrame, xs: list[str], column: str = "residual") -> DataFrame:
@@ -49,34 +49,31 @@ def arch_lm(df: DataFrame, lags: int = 5, column: str = "residual") -> DataFrame
 
 
 def vif(df: DataFrame, xs: list[str]) -> DataFrame:
-    """Variance inflation of each regressor: 1 / (1 - R2) on the others."""
-    parts = []
-    for x in xs:
-        fit = ols(df, x, [o for o in xs if o != x], ["symbol"]).where("term = 'const'")
-        parts.append(fit.select("symbol", F.lit(x).alias("regressor"), F.try_divide(F.lit(1.0), 1 - F.col("r2")).alias("vif")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Variance inflation of each regressor: 1 / (1 - R2) on the others; over 10 is much."""
+    return inflation(df, xs, ["symbol"]).withColumn("passed", F.col("vif") <= 10)
 
 
 def cusum(df: DataFrame, column: str = "residual") -> DataFrame:
-    """Largest absolute cumulative sum of the demeaned residuals over sqrt(n * variance)."""
+    """Largest absolute cumulative sum of the demeaned residuals over sqrt(n * variance), and its Kolmogorov p-value."""
     whole = Window.partitionBy("symbol")
     rows = df.select("symbol", "ts", (F.col(column) - F.avg(column).over(whole)).alias("d"))
     rows = rows.select("symbol", "d", F.abs(F.sum("d").over(in_time().rowsBetween(Window.unboundedPreceding, 0))).alias("c"))
-    return rows.groupBy("symbol").agg(F.count("*").alias("n"), (F.max("c") / F.sqrt(F.sum(F.col("d") * F.col("d")))).alias("statistic"))
+    out = rows.groupBy("symbol").agg(F.count("*").alias("n"), (F.max("c") / F.sqrt(F.sum(F.col("d") * F.col("d")))).alias("statistic"))
+    return out.withColumn("p_value", kolmogorov_p(F.col("statistic")))
 
 
-def structural_break(df: DataFrame, column: str = "residual", least: int = 2) -> DataFrame:
-    """The place that splits a series in two with the least squared error, and the shift of means in standard deviations."""
+def structural_break(df: DataFrame, column: str = "residual", least: int = 2, stride: int = 5) -> DataFrame:
+    """The place, a multiple of stride, that splits a series in two with the least squared error, the shift of means in standard deviations, and whether that is material (0.5)."""
     upto = in_time().rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("symbol")
-    x = F.col(column)
-    rows = df.select("symbol", F.count("*").over(upto).alias("k"), F.count("*").over(whole).alias("n"), F.sum(x).over(upto).alias("s"), F.sum(x).over(whole).alias("t"), F.stddev_pop(x).over(whole).alias("sd"))
-    rows = rows.where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least))
-    left, right = F.col("s") / F.col("k"), (F.col("t") - F.col("s")) / (F.col("n") - F.col("k"))
+    x = F.col(column) - F.avg(column).over(whole)
+    rows = df.select("symbol", "ts", x.alias("x"))
+    x = F.col("x")
+    rows = rows.select("symbol", F.count("*").over(upto).alias("k"), F.count("*").over(whole).alias("n"), F.sum(x).over(upto).alias("s"), F.stddev_pop(x).over(whole).alias("sd"))
+    rows = rows.where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least) & (F.col("k") % stride == 0))
+    left, right = F.col("s") / F.col("k"), -F.col("s") / (F.col("n") - F.col("k"))
     gain = F.col("k") * left * left + (F.col("n") - F.col("k")) * right * right
-    rows = rows.select("symbol", "k", gain.alias("gain"), (F.abs(right - left) / F.col("sd")).alias("effect"))
+    rows = rows.select("symbol", "k", gain.alias("gain"), F.try_divide(F.abs(right - left), F.col("sd")).alias("effect"))
     best = F.struct("gain", -F.col("k"))
-    return rows.groupBy("symbol").agg(F.max_by("k", best).alias("position"), F.max_by("effect", best).alias("effect"))
+    out = rows.groupBy("symbol").agg(F.max_by("k", best).alias("position"), F.max_by("effect", best).alias("effect"))
+    return out.withColumn("material", F.col("effect") >= 0.5)

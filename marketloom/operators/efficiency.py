@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distributions import chi2_p, kpss_p, normal_p, unit_root_p
-from .gram import ols
+from ..functions.distributions import chi2_p, critical_values, kpss_p, normal_p, unit_root_p
+from .gram import fitted, ols
 
 def in_time():
     return Window.partitionBy("symbol").orderBy("ts")
@@ -39,7 +40,7 @@ def ljung_box(df: DataFrame, lags: int = 10, column: str = "r") -> DataFrame:
     r = autocorrelation(df, lags, column)
     s = r.groupBy("symbol", "n").agg(F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).alias("q"))
     s = s.select("symbol", "n", F.lit(lags).alias("lags"), (F.col("n") * (F.col("n") + 2) * F.col("q")).alias("statistic"))
-    return s.withColumn("p_value", chi2_p(F.col("statistic"), F.lit(lags)))
+    return s.withColumn("p_value", chi2_p(F.col("statistic"), lags))
 
 
 def runs_test(df: DataFrame) -> DataFrame:
@@ -80,22 +81,51 @@ def variance_ratio(levels: DataFrame, horizons: list[int]) -> DataFrame:
     return out.withColumn("p_value", normal_p(F.col("z_robust")))
 
 
-def adf(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
-    """Augmented Dickey-Fuller t statistic with a constant: the change on the level before and lagged changes."""
-    rows = df.select("symbol", "ts", F.col(column).alias("y"), F.lag(column).over(in_time()).alias("y1")).withColumn("d", F.col("y") - F.col("y1"))
-    rows = rows.select("symbol", "d", "y1", *[F.lag("d", k).over(in_time()).alias(f"d{k}") for k in range(1, lags + 1)])
-    fit = ols(rows, "d", ["y1", *[f"d{k}" for k in range(1, lags + 1)]], ["symbol"])
-    out = fit.where("term = 'y1'").select("symbol", "nobs", F.lit(lags).alias("lags"), F.col("t_stat").alias("statistic"), "estimate")
-    return out.withColumn("p_value", unit_root_p(F.col("statistic")))
+TRENDS = {"n": "none", "c": "a constant", "ct": "a constant and a trend"}
+
+
+def _judged(out: DataFrame, trend: str, series: int = 1) -> DataFrame:
+    """Adds p_value, critical values and passed, which says that the unit root is rejected at 5 %."""
+    out = out.withColumn("p_value", unit_root_p(F.col("statistic"), trend, series))
+    return out.select("*", *critical_values(F.col("nobs"), trend, series), (F.col("p_value") < 0.05).alias("passed"))
+
+
+def adf(df: DataFrame, lags: int | None = None, column: str = "value", trend: str = "c", series: int = 1) -> DataFrame:
+    """Augmented Dickey-Fuller t statistic: the change on the level before and lagged changes.
+
+    trend: n none, c a constant, ct a linear trend too. Without lags each symbol has schwert() of its own rows. series: so many
+    that the column is the residual of, for its p-value.
+    """
+    if trend not in TRENDS:
+        raise ValueError(f"unknown trend {trend!r}: {', '.join(TRENDS)}")
+    rows = df.where(F.col(column).isNotNull()).select("symbol", "ts", F.col(column).alias("y"))
+    if lags is not None:
+        return _judged(_dickey_fuller(rows, lags, trend), trend, series)
+    own = rows.groupBy("symbol").agg(F.floor(12 * F.pow(F.count("*") / 100, F.lit(0.25))).cast("int").alias("own"))
+    several = sorted(r.own for r in own.select("own").distinct().collect())  # numbers of lags, a few dozen at most
+    each = [_dickey_fuller(rows.join(own.where(F.col("own") == n).select("symbol"), "symbol"), n, trend) for n in several]
+    return _judged(functools.reduce(DataFrame.union, each) if each else _dickey_fuller(rows, 0, trend), trend, series)
+
+
+def _dickey_fuller(rows: DataFrame, lags: int, trend: str) -> DataFrame:
+    rows = rows.select("symbol", "ts", (F.col("y") - F.lag("y").over(in_time())).alias("d"), F.lag("y").over(in_time()).alias("y1"), F.row_number().over(in_time()).alias("time"))
+    rows = rows.select("symbol", "d", "y1", "time", *[F.lag("d", k).over(in_time()).alias(f"d{k}") for k in range(1, lags + 1)])
+    xs = ["y1", *(["time"] if trend == "ct" else []), *[f"d{k}" for k in range(1, lags + 1)]]
+    fit = ols(rows, "d", xs, ["symbol"], const=trend != "n").where("term = 'y1'")
+    return fit.select("symbol", "nobs", F.lit(lags).alias("lags"), F.col("t_stat").alias("statistic"), "estimate")
 
 
 def schwert(n: int) -> int:
     return math.floor(12 * (n / 100) ** 0.25)
 
 
-def kpss(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
-    """KPSS statistic for level stationarity, with a Bartlett long-run variance."""
-    rows = demeaned(df, column)
+def kpss(df: DataFrame, lags: int, column: str = "value", trend: str = "c") -> DataFrame:
+    """KPSS statistic for stationarity around a level (c) or a trend (ct), with a Bartlett long-run variance; passed: not rejected at 5 %."""
+    if trend == "ct":
+        timed = df.where(F.col(column).isNotNull()).withColumn("time", F.row_number().over(in_time()))
+        rows = fitted(timed, ols(timed, column, ["time"], ["symbol"]), column, ["time"], ["symbol"]).select("symbol", "ts", F.col("residual").alias("d"))
+    else:
+        rows = demeaned(df, column)
     upto = in_time().rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("symbol", "d", F.sum("d").over(upto).alias("s"), *[F.lag("d", k).over(in_time()).alias(f"d{k}") for k in range(1, lags + 1)])
     s = rows.groupBy("symbol").agg(
@@ -104,7 +134,7 @@ def kpss(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
     )
     long_run = (F.col("c0") + sum((2 * (1 - k / (lags + 1)) * F.col(f"c{k}") for k in range(1, lags + 1)), F.lit(0.0))) / F.col("n")
     out = s.select("symbol", "n", F.lit(lags).alias("lags"), (F.col("ss") / (F.col("n") * F.col("n") * long_run)).alias("statistic"))
-    return out.withColumn("p_value", kpss_p(F.col("statistic")))
+    return out.withColumn("p_value", kpss_p(F.col("statistic"), trend)).withColumn("passed", F.col("p_value") >= 0.05)
 
 
 def hurst(df: DataFrame, windows: list[int] | None = None, least: int = 16) -> DataFrame:
@@ -149,19 +179,23 @@ def _expected_range(n: Column) -> Column:
     return (n - 0.5) / n * front * ends
 
 
-def phillips_perron(df: DataFrame, lags: int, column: str = "value") -> DataFrame:
-    """Phillips-Perron Z-tau with a constant: the Dickey-Fuller t corrected by a Bartlett long-run variance."""
-    rows = df.select("symbol", "ts", F.col(column).alias("y"), F.lag(column).over(in_time()).alias("x")).na.drop()
-    fit = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.regr_sxx("y", "x").alias("sxx"))
-    e = rows.join(fit, "symbol").select("symbol", "ts", "n", "b", "sxx", (F.col("y") - F.col("a") - F.col("b") * F.col("x")).alias("e"))
+def phillips_perron(df: DataFrame, lags: int, column: str = "value", trend: str = "c") -> DataFrame:
+    """Phillips-Perron Z-tau: the Dickey-Fuller t corrected by a Bartlett long-run variance; trend as for adf()."""
+    if trend not in TRENDS:
+        raise ValueError(f"unknown trend {trend!r}: {', '.join(TRENDS)}")
+    rows = df.select("symbol", "ts", F.col(column).alias("y"), F.lag(column).over(in_time()).alias("x"), F.row_number().over(in_time()).alias("time")).na.drop()
+    xs = ["x", *(["time"] if trend == "ct" else [])]
+    fit = ols(rows, "y", xs, ["symbol"], const=trend != "n")
+    slope = fit.where("term = 'x'").select("symbol", F.col("nobs").alias("n"), F.col("estimate").alias("b"), F.col("std_error").alias("se"))
+    e = fitted(rows, fit, "y", xs, ["symbol"]).select("symbol", "ts", F.col("residual").alias("e"))
     e = e.select("*", *[F.lag("e", k).over(in_time()).alias(f"e{k}") for k in range(1, lags + 1)])
-    s = e.groupBy("symbol", "n", "b", "sxx").agg(F.sum(F.col("e") * F.col("e")).alias("c0"), *[F.sum(F.col("e") * F.col(f"e{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
-    n, own = F.col("n"), F.col("c0") / F.col("n")
+    s = e.groupBy("symbol").agg(F.sum(F.col("e") * F.col("e")).alias("c0"), *[F.sum(F.col("e") * F.col(f"e{k}")).alias(f"c{k}") for k in range(1, lags + 1)]).join(slope, "symbol")
+    n, se = F.col("n"), F.col("se")
+    own = F.col("c0") / n
     long_run = (F.col("c0") + sum((2 * (1 - k / (lags + 1)) * F.col(f"c{k}") for k in range(1, lags + 1)), F.lit(0.0))) / n
-    s2 = F.col("c0") / (n - 2)
-    se = F.sqrt(s2 / F.col("sxx"))
+    s2 = F.col("c0") / (n - len(xs) - int(trend != "n"))
     stat = F.sqrt(own / long_run) * (F.col("b") - 1) / se - (long_run - own) / (2 * F.sqrt(long_run)) * n * se / F.sqrt(s2)
-    return s.select("symbol", F.col("n").alias("nobs"), F.lit(lags).alias("lags"), stat.alias("statistic")).withColumn("p_value", unit_root_p(F.col("statistic")))
+    return _judged(s.select("symbol", n.alias("nobs"), F.lit(lags).alias("lags"), stat.alias("statistic")), trend)
 
 
 def partial_autocorrelation(df: DataFrame, lags: int, column: str = "r") -> DataFrame:

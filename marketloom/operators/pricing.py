@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.distributions import t_p, t_quantile
 from .gram import CONST, ols
 
 PERIODS = {"D": 252, "W": 52, "M": 12, "Q": 4, "A": 1}
 
 
 def capm(df: DataFrame, market: str = "m", risk_free: str | None = None, frequency: str = "D", min_obs: int = 30) -> DataFrame:
-    """alpha, beta, their standard errors, R2 and annualised alpha of each symbol; a risk-free rate leaves both sides."""
+    """alpha, beta, their standard errors, t and p-values, R2 and annualised alpha of each symbol; a risk-free rate leaves both sides."""
     y, x = F.col("r"), F.col(market)
     if risk_free:
         y, x = y - F.col(risk_free), x - F.col(risk_free)
@@ -22,11 +23,20 @@ def capm(df: DataFrame, market: str = "m", risk_free: str | None = None, frequen
         F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"), F.avg("x").alias("mx"),
     )
     s = s.where(F.col("nobs") >= max(3, min_obs)).withColumn("mse", (F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("nobs") - 2))
-    return s.select(
-        "symbol", "nobs", "alpha", "beta", "r2",
-        F.sqrt(F.col("mse") * (1 / F.col("nobs") + F.col("mx") * F.col("mx") / F.col("sxx"))).alias("alpha_se"),
-        F.sqrt(F.col("mse") / F.col("sxx")).alias("beta_se"), (F.pow(1 + F.col("alpha"), F.lit(PERIODS[frequency])) - 1).alias("alpha_annualised"),
-    )
+    s = s.withColumns({
+        "alpha_se": F.sqrt(F.col("mse") * (1 / F.col("nobs") + F.col("mx") * F.col("mx") / F.col("sxx"))), "beta_se": F.sqrt(F.col("mse") / F.col("sxx")),
+        "alpha_annualised": F.pow(1 + F.col("alpha"), F.lit(PERIODS[frequency])) - 1,
+    })
+    t = {c: F.try_divide(F.col(c), F.col(f"{c}_se")) for c in ("alpha", "beta")}
+    s = s.withColumns({f"{c}_t": v for c, v in t.items()}).withColumns({f"{c}_p": t_p(F.col(f"{c}_t"), F.col("nobs") - 2) for c in t})
+    return s.select("symbol", "nobs", "alpha", "beta", "r2", "alpha_se", "beta_se", "alpha_t", "beta_t", "alpha_p", "beta_p", "alpha_annualised")
+
+
+def capm_intervals(fit: DataFrame, level: float = 0.95) -> DataFrame:
+    """symbol, term, estimate, ci_low, ci_high of a fit of capm()."""
+    wide = t_quantile((1 + level) / 2, F.col("nobs") - 2)
+    each = [F.struct(F.lit(c).alias("term"), F.col(c).alias("estimate"), (F.col(c) - F.col("q") * F.col(f"{c}_se")).alias("ci_low"), (F.col(c) + F.col("q") * F.col(f"{c}_se")).alias("ci_high")) for c in ("alpha", "beta")]
+    return fit.withColumn("q", wide).select("symbol", F.explode(F.array(*each)).alias("x")).select("symbol", "x.*")
 
 
 def factor_model(df: DataFrame, factors: list[str], risk_free: str | None = None, min_obs: int = 30) -> DataFrame:
@@ -43,7 +53,9 @@ def rolling_beta(df: DataFrame, market: str = "m", window: int = 252) -> DataFra
     y, x = F.col("r"), F.col(market)
     n = F.count("*").over(w)
     mean = lambda c: F.sum(c).over(w) / n
-    rows = df.na.drop(subset=["r", market]).select(
+    whole = Window.partitionBy("symbol")
+    held = df.na.drop(subset=["r", market]).select("symbol", "ts", (y - F.avg(y).over(whole)).alias("r"), (x - F.avg(x).over(whole)).alias(market))
+    rows = held.select(
         "symbol", "ts", n.alias("n"), mean(x).alias("mx"), mean(y).alias("my"), mean(x * x).alias("xx"), mean(x * y).alias("xy"), mean(y * y).alias("yy")
     )
     sxx, sxy, syy = (F.col(a) - F.col(b) * F.col(c) for a, b, c in (("xx", "mx", "mx"), ("xy", "mx", "my"), ("yy", "my", "my")))
@@ -52,12 +64,12 @@ def rolling_beta(df: DataFrame, market: str = "m", window: int = 252) -> DataFra
 
 
 def fama_macbeth(panel: DataFrame, exposures: list[str], y: str = "r", period: str = "ts", entity: str = "symbol") -> DataFrame:
-    """Premium of each exposure: mean of the per-period estimates, with the standard error of that mean."""
+    """Premium of each exposure: mean of the per-period estimates, with the standard error of that mean, its t and p-value (periods - 1)."""
     held = panel.na.drop(subset=[y, *exposures])
     each = ols(held, y, exposures, [period]).where(F.col("nobs") >= len(exposures) + 2)
     out = each.groupBy("term").agg(F.count("*").alias("periods"), F.avg("estimate").alias("premium"), F.stddev_samp("estimate").alias("sd"))
     se = F.col("sd") / F.sqrt("periods")
-    return out.where("periods >= 2").select("term", "periods", "premium", se.alias("std_error"), F.try_divide(F.col("premium"), se).alias("t_stat"))
+    return out.where("periods >= 2").select("term", "periods", "premium", se.alias("std_error"), F.try_divide(F.col("premium"), se).alias("t_stat")).withColumn("p_value", t_p(F.col("t_stat"), F.col("periods") - 1))
 
 
 def grs(df: DataFrame, factors: list[str]) -> DataFrame:

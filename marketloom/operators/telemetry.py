@@ -11,11 +11,63 @@ from pyspark.sql import functions as F
 BLOCK, BROADCAST = 1_024, 16
 
 
+#: Rank error of the sketch that brackets a percentile, as one over this; the exact value is looked up within the bracket.
+ACCURACY = 10_000
+
+
+def percentiles(df: DataFrame, key: str, value: str, at: dict[str, float]) -> DataFrame:
+    """key and, by name, exact interpolated percentiles of value, without gathering a key's values in one task.
+
+    A sketch brackets each percentile; only the different values within a bracket are ranked, with their counts.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull()).select(key, v.alias("v"))
+    ends = [0.0, 1.0] + [x for p in at.values() for x in (max(0.0, p - 4 / ACCURACY), min(1.0, p + 4 / ACCURACY))]
+    bounds = rows.groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("b"))
+    few = F.col("n") <= 2 * ACCURACY  # so few that a bracket might hold no rank: all of them are ranked
+    end = lambda i, whole: F.when(few, F.get("b", F.lit(whole))).otherwise(F.get("b", F.lit(i)))
+    near = F.array(*[F.struct(F.lit(i).alias("which"), end(2 * i + 2, 0).alias("low"), end(2 * i + 3, 1).alias("high")) for i in range(len(at))])
+    rows = rows.join(bounds.select(F.col(key).alias("_k"), "b", "n"), F.col(key).eqNullSafe(F.col("_k"))).select(key, "v", near.alias("near"))
+    below = [F.count_if(F.col("v") < F.col("near")[i]["low"]).alias(f"below{i}") for i in range(len(at))]
+    below = rows.groupBy(key).agg(*below)
+    inside = rows.select(key, "v", F.explode(F.filter("near", lambda x: (F.col("v") >= x["low"]) & (F.col("v") <= x["high"]))).alias("x"))
+    inside = inside.groupBy(key, "x.which", "v").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(key, "which").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.sum("c").over(upto))
+    out = bounds.drop("b")
+    for i, (name, p) in enumerate(at.items()):
+        mine = inside.where(F.col("which") == i).join(below.select(F.col(key).alias("_k"), f"below{i}"), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+        mine = mine.join(bounds.select(F.col(key).alias("_k"), "n"), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+        place = F.lit(p) * (F.col("n") - 1)
+        first, last = F.col(f"below{i}") + F.col("upto") - F.col("c"), F.col(f"below{i}") + F.col("upto")  # ranks from 0, last exclusive
+        holds = lambda k: (first <= k) & (k < last)  # noqa: B023, E731
+        low = F.max(F.when(holds(F.floor(place)), F.col("v")))
+        high = F.max(F.when(holds(F.ceil(place)), F.col("v")))
+        mine = mine.groupBy(F.col(key).alias("_k")).agg((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+        out = out.join(mine, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    return out.drop("n")
+
+
 def latency(spans: DataFrame, key: str, duration: str, failed: Column) -> DataFrame:
     """Count, exact percentiles and share of failures of each kind of span."""
-    p = F.percentile(duration, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    s = spans.groupBy(key).agg(F.count("*").alias("n"), p.alias("p"), F.avg(failed.cast("double")).alias("failure_rate"))
-    return s.select(key, "n", *[F.col("p")[i].alias(name) for i, name in enumerate(("p50", "p95", "p99"))], "failure_rate")
+    s = spans.groupBy(F.col(key).alias("_kind")).agg(F.count("*").alias("n"), F.avg(F.coalesce(failed, F.lit(False)).cast("double")).alias("failure_rate"))
+    p = percentiles(spans, key, duration, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return s.join(p, F.col("_kind").eqNullSafe(F.col(key)), "left").select(F.col("_kind").alias(key), "n", "p50", "p95", "p99", "failure_rate")
+
+
+def token_totals(steps: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the sum of each column, 0 where there is none."""
+    return steps.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+
+
+def tokens_by(steps: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and the sum of each column, 0 where there is none; rows without a key are left out."""
+    return steps.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+
+
+def rate(steps: DataFrame, population: Column, failure: Column, name: str) -> DataFrame:
+    """One row: the share of the population that fails, null where there is no population."""
+    return steps.where(population).agg(F.count("*").alias("population"), F.avg(F.coalesce(failure, F.lit(False)).cast("double")).alias(name))
 
 
 def nearest(vectors: DataFrame, query: Column, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

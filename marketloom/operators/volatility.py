@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distributions import chi2_p, normal_ppf
+from .conditional import garch  # noqa: F401  (a model of volatility like the others here)
 from .pricing import PERIODS
 
 
@@ -85,11 +84,14 @@ def kupiec(df: DataFrame, var: Column, confidence: float = 0.95) -> DataFrame:
     s = df.where("r is not null").withColumn("hit", F.col("r") < -var).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("hit").alias("x"))
     n, x = F.col("n"), F.col("x")
     lr = -2 * (_xlogy(n - x, F.lit(1 - p)) + _xlogy(x, F.lit(p)) - _xlogy(n - x, 1 - x / n) - _xlogy(x, x / n))
-    return s.select("symbol", "n", F.col("x").alias("violations"), lr.alias("lr")).withColumn("p_value", chi2_p(F.col("lr"), F.lit(1)))
+    return s.select("symbol", "n", F.col("x").alias("violations"), lr.alias("lr")).withColumn("p_value", chi2_p(F.col("lr"), 1))
 
 
-def christoffersen(df: DataFrame, var: Column) -> DataFrame:
-    """Independence of violations: transition counts and the likelihood ratio; 0 if there are none, or only violations."""
+def christoffersen(df: DataFrame, var: Column, confidence: float = 0.95) -> DataFrame:
+    """Independence of violations and conditional coverage: transition counts, lr and p_value (independence), lr_uc, lr_cc and p_value_cc.
+
+    lr is 0 if there are no violations, or only violations; passed is null then, and otherwise says that neither test rejects at 5 %.
+    """
     order = Window.partitionBy("symbol").orderBy("ts")
     rows = df.where("r is not null").withColumn("hit", (F.col("r") < -var).cast("int"))
     rows = rows.withColumn("before", F.lag("hit").over(order)).where("before is not null")
@@ -99,48 +101,8 @@ def christoffersen(df: DataFrame, var: Column) -> DataFrame:
     p0, p1 = F.try_divide(n01, n00 + n01), F.try_divide(n11, n10 + n11)
     apart = _xlogy(n00, 1 - p0) + _xlogy(n01, p0) + _xlogy(n10, 1 - p1) + _xlogy(n11, p1)
     lr = -2 * (_xlogy(n00 + n10, 1 - pi) + _xlogy(n01 + n11, pi) - apart)
-    lr = F.when((n01 + n11 == 0) | (n00 + n10 == 0), 0.0).otherwise(lr)
-    return s.withColumn("lr", lr).withColumn("p_value", chi2_p(F.col("lr"), F.lit(1)))
-
-
-def garch(df: DataFrame, max_iterations: int = 400) -> DataFrame:
-    """GARCH(1, 1) with normal errors on returns in percent: omega, alpha, beta, persistence, log likelihood.
-
-    The likelihood is a recursion, so each symbol is one Arrow group; symbols run in parallel.
-    """
-
-    def loglik(theta: np.ndarray, e2: np.ndarray) -> float:
-        omega, total, part = math.exp(theta[0]), 1 / (1 + math.exp(-theta[1])), 1 / (1 + math.exp(-theta[2]))
-        alpha, beta = total * part, total * (1 - part)
-        v, out = e2.mean(), 0.0
-        for x in e2:
-            out -= 0.5 * (math.log(2 * math.pi * v) + x / v)
-            v = omega + alpha * x + beta * v
-        return out
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("ts").r.dropna().to_numpy() * 100
-        e2 = (r - r.mean()) ** 2
-        points = [np.array([math.log(max(e2.mean(), 1e-12) * 0.1), 2.0, -2.0])]
-        points += [points[0] + step for step in np.eye(3)]
-        values = [loglik(p, e2) for p in points]
-        for _ in range(max_iterations):  # Nelder-Mead, upwards
-            order = np.argsort(values)[::-1]
-            points, values = [points[i] for i in order], [values[i] for i in order]
-            if values[0] - values[-1] < 1e-8:
-                break
-            centre = np.mean(points[:-1], axis=0)
-            for factor in (2.0, 1.0, 0.5, -0.5):
-                trial = centre + factor * (centre - points[-1])
-                value = loglik(trial, e2)
-                if value > (values[0] if factor == 2.0 else values[-1]):
-                    points[-1], values[-1] = trial, value
-                    break
-            else:
-                points = [points[0], *[(p + points[0]) / 2 for p in points[1:]]]
-                values = [values[0], *[loglik(p, e2) for p in points[1:]]]
-        best = points[int(np.argmax(values))]
-        total, part = 1 / (1 + math.exp(-best[1])), 1 / (1 + math.exp(-best[2]))
-        return pd.DataFrame([(pdf.symbol.iloc[0], len(r), math.exp(best[0]), total * part, total * (1 - part), total, max(values))], columns=["symbol", "n", "omega", "alpha", "beta", "persistence", "loglik"])
-
-    return df.select("symbol", "ts", "r").groupBy("symbol").applyInPandas(fit, "symbol string, n long, omega double, alpha double, beta double, persistence double, loglik double")
+    none = (n01 + n11 == 0) | (n00 + n10 == 0)
+    s = s.withColumn("lr", F.when(none, 0.0).otherwise(lr)).withColumn("p_value", chi2_p(F.col("lr"), 1))
+    covered = kupiec(df, var, confidence).select("symbol", F.col("lr").alias("lr_uc"))
+    s = s.join(covered, "symbol").withColumn("lr_cc", F.col("lr") + F.col("lr_uc")).withColumn("p_value_cc", chi2_p(F.col("lr_cc"), 2))
+    return s.withColumn("passed", F.when(~none, (F.col("p_value") >= 0.05) & (F.col("p_value_cc") >= 0.05)))

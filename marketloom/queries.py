@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+from .functions import distributions
 from .operators import conditional, diagnostics, efficiency, events, multivariate, pricing, systems, telemetry, volatility
 from .operators.gram import fitted, ols
 from .operators.robust import robust_ols
@@ -66,15 +68,20 @@ def _residuals(spark: SparkSession, d: str) -> DataFrame:
     return fitted(a, ols(a, "r", ["m"], ["symbol"]), "r", ["m"], ["symbol"])
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 def _factors(spark: SparkSession, d: str) -> DataFrame:
     """Daily log changes of order totals by market segment, as factor columns; null on dates that one lacks."""
     orders = panel.table(spark, d, "orders").join(panel.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     series = orders.groupBy(F.col("c_mktsegment").alias("symbol"), F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("value"))
-    return panel.returns(series).groupBy("ts").pivot("symbol", ["AUTOMOBILE", "BUILDING", "MACHINERY"]).agg(F.first("r"))
+    return panel.outer_aligned(panel.returns(series), SEGMENTS, "r")
 
 
 _FACTORS = """, sg AS (SELECT c_mktsegment AS g, o_orderdate::DATE AS ts, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-sr AS (SELECT g, ts, ln(value / lag(value) OVER (PARTITION BY g ORDER BY ts)) AS f FROM sg)"""
+sr AS (SELECT g, ts, ln(value / lag(value) OVER (PARTITION BY g ORDER BY ts)) AS f FROM sg),
+fp AS (SELECT ts, """ + ", ".join(f"max(f) FILTER (WHERE g = '{g}') AS {g}" for g in SEGMENTS) + """ FROM sr GROUP BY ts),
+fr AS (SELECT rt.symbol, rt.ts, r, fp.* EXCLUDE (ts) FROM rt LEFT JOIN fp ON rt.ts = fp.ts)"""
 
 
 @register("levels", f"SELECT symbol, ts, {_r('value')} FROM lv")
@@ -122,17 +129,31 @@ def as_of_rate(spark, d):
     return panel.as_of(_levels(spark, d), rates.crossJoin(F.broadcast(symbols)), "rate", by="symbol")
 
 
-@register("capm", f"""SELECT symbol, nobs, {_r('alpha', 'beta', 'r2', 'sqrt(mse * (1.0 / nobs + mx * mx / sxx)) AS alpha_se', 'sqrt(mse / sxx) AS beta_se', 'pow(1 + alpha, 252) - 1 AS alpha_annualised')}
+@register("capm", f"""SELECT symbol, nobs, {_r('alpha', 'beta', 'r2', 'alpha_se', 'beta_se', 'alpha / alpha_se AS alpha_t', 'beta / beta_se AS beta_t')},
+round({sql.t_p('(alpha / alpha_se)', '(nobs - 2)')}, {DIGITS}) AS alpha_p, round({sql.t_p('(beta / beta_se)', '(nobs - 2)')}, {DIGITS}) AS beta_p, {_r('pow(1 + alpha, 252) - 1 AS alpha_annualised')}
+FROM (SELECT *, sqrt(mse * (1.0 / nobs + mx * mx / sxx)) AS alpha_se, sqrt(mse / sxx) AS beta_se
 FROM (SELECT *, (syy - sxy * sxy / sxx) / (nobs - 2) AS mse FROM (SELECT symbol, count(*) AS nobs, regr_slope(r, m) AS beta, regr_intercept(r, m) AS alpha,
-regr_r2(r, m) AS r2, regr_sxx(r, m) AS sxx, regr_syy(r, m) AS syy, regr_sxy(r, m) AS sxy, avg(m) AS mx FROM al GROUP BY symbol)) WHERE nobs >= 30""")
+regr_r2(r, m) AS r2, regr_sxx(r, m) AS sxx, regr_syy(r, m) AS syy, regr_sxy(r, m) AS sxy, avg(m) AS mx FROM al GROUP BY symbol)) WHERE nobs >= 30)""")
 def capm(spark, d):
     return pricing.capm(_aligned(spark, d))
 
 
-@register("factor_model_3")
-def factor_model_3(spark, d):
-    rows = _returns(spark, d).join(_factors(spark, d), "ts", "left")
-    return pricing.factor_model(rows, ["AUTOMOBILE", "BUILDING", "MACHINERY"])
+@register("capm_confidence")
+def capm_confidence(spark, d):
+    return pricing.capm_intervals(pricing.capm(_aligned(spark, d)))
+
+
+def _factor_query(k: int):
+    def query(spark, d):
+        rows = _returns(spark, d).join(_factors(spark, d), "ts", "left")
+        return pricing.factor_model(rows, SEGMENTS[:k])
+
+    names = SEGMENTS[:k]
+    register(f"factor_model_{k}", f"{_FACTORS}, {sql.least_squares('fm', 'fr', ['symbol'], names, 'r')} SELECT * FROM ({sql.terms('fm', ['symbol'], ['const', *names], DIGITS)}) WHERE nobs >= 30")(query)
+
+
+for _k in (3, 4, 5):
+    _factor_query(_k)
 
 
 @register("rolling_beta", f"""SELECT symbol, ts, {_r('b AS beta', 'sqrt((syy - b * sxy) / 250 / sxx) AS beta_se')} FROM (
@@ -142,7 +163,8 @@ def rolling_beta(spark, d):
     return pricing.rolling_beta(_aligned(spark, d))
 
 
-@register("fama_macbeth", f"""SELECT term, count(*) AS periods, {_r('avg(b) AS premium', 'stddev_samp(b) / sqrt(count(*)) AS std_error', 'avg(b) / (stddev_samp(b) / sqrt(count(*))) AS t_stat')}
+@register("fama_macbeth", f"""SELECT term, count(*) AS periods, {_r('avg(b) AS premium', 'stddev_samp(b) / sqrt(count(*)) AS std_error', 'avg(b) / (stddev_samp(b) / sqrt(count(*))) AS t_stat')},
+round({sql.t_p('(avg(b) / (stddev_samp(b) / sqrt(count(*))))', '(count(*) - 1)')}, {DIGITS}) AS p_value
 FROM (SELECT y, unnest(['const', 'x']) AS term, unnest([a, b]) AS b FROM (
 SELECT year(l_shipdate) AS y, l_suppkey, sum(l_extendedprice) / 1e6 AS r, avg(l_quantity) AS x FROM lineitem GROUP BY 1, 2) JOIN (
 SELECT yy, regr_intercept(r, x) AS a, regr_slope(r, x) AS b FROM (SELECT year(l_shipdate) AS yy, l_suppkey, sum(l_extendedprice) / 1e6 AS r, avg(l_quantity) AS x FROM lineitem GROUP BY 1, 2)
@@ -153,7 +175,14 @@ def fama_macbeth(spark, d):
     return pricing.fama_macbeth(lines.agg((F.sum("l_extendedprice") / 1e6).alias("r"), F.avg("l_quantity").alias("x")), ["x"])
 
 
-@register("grs_test")
+@register("grs_test", f""", w AS (SELECT ts, any_value(m) AS m, max(r) FILTER (WHERE symbol = 'A') AS p1, max(r) FILTER (WHERE symbol = 'N') AS p2, max(r) FILTER (WHERE symbol = 'R') AS p3 FROM al GROUP BY ts),
+v AS (SELECT * FROM w WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL),
+b AS (SELECT regr_slope(p1, m) AS b1, regr_slope(p2, m) AS b2, regr_slope(p3, m) AS b3, regr_intercept(p1, m) AS a1, regr_intercept(p2, m) AS a2, regr_intercept(p3, m) AS a3, avg(m) AS mu, var_pop(m) AS om, count(*) AS t FROM v),
+e AS (SELECT p1 - a1 - b1 * m AS e1, p2 - a2 - b2 * m AS e2, p3 - a3 - b3 * m AS e3 FROM v, b),
+s AS (SELECT avg(e1 * e1) AS s11, avg(e1 * e2) AS s12, avg(e1 * e3) AS s13, avg(e2 * e2) AS s22, avg(e2 * e3) AS s23, avg(e3 * e3) AS s33 FROM e),
+j AS (SELECT *, s22 * s33 - s23 * s23 AS i11, s13 * s23 - s12 * s33 AS i12, s12 * s23 - s13 * s22 AS i13, s11 * s33 - s13 * s13 AS i22, s12 * s13 - s11 * s23 AS i23, s11 * s22 - s12 * s12 AS i33 FROM s, b),
+g AS (SELECT t, (t - 4) / 3.0::DOUBLE * ((a1 * a1 * i11 + a2 * a2 * i22 + a3 * a3 * i33 + 2 * (a1 * a2 * i12 + a1 * a3 * i13 + a2 * a3 * i23)) / (s11 * i11 + s12 * i12 + s13 * i13)) / (1 + mu * mu / om) AS grs FROM j)
+SELECT 3::INT AS portfolios, t AS nobs, {_r('grs')}, round({sql.f_p('grs', 3, '(t - 4)')}, {DIGITS}) AS p_value FROM g""")
 def grs_test(spark, d):
     return pricing.grs(_aligned(spark, d), ["m"])
 
@@ -184,13 +213,23 @@ def ewma_vol(spark, d):
     return volatility.ewma_vol(_returns(spark, d))
 
 
-@register("drawdown", f"""SELECT symbol, {_r('max(dd) AS max_drawdown', 'arg_max(dd, ts) AS current')} FROM (
-SELECT symbol, ts, 1 - value / max(value) OVER (PARTITION BY symbol ORDER BY ts) AS dd FROM lv) GROUP BY symbol""")
+_SPELLS = f""", u AS (SELECT symbol, ts, 1 - value / max(value) OVER (PARTITION BY symbol ORDER BY ts) AS dd FROM lv),
+y AS (SELECT *, sum((dd <= 0)::INT) OVER (PARTITION BY symbol ORDER BY ts) AS spell FROM u),
+tr AS (SELECT symbol, spell, ts AS trough FROM y QUALIFY row_number() OVER (PARTITION BY symbol, spell ORDER BY dd DESC, ts) = 1),
+z AS (SELECT symbol, spell, max(dd) AS depth, max(ts) FILTER (WHERE dd <= 0) AS peak, max(ts) AS last FROM y GROUP BY 1, 2),
+q AS (SELECT z.*, trough, lead(peak) OVER (PARTITION BY symbol ORDER BY spell) AS recovery FROM z JOIN tr USING (symbol, spell)),
+w AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN depth > 0 THEN depth END DESC NULLS LAST, spell) = 1),
+c AS (SELECT symbol, arg_max(dd, ts) AS current FROM u GROUP BY 1),
+t AS (SELECT symbol, max(depth) AS max_drawdown, count(*) FILTER (WHERE depth > 0) AS episodes, max(CASE WHEN depth > 0 THEN date_diff('day', peak, coalesce(recovery, last)) ELSE 0 END)::INT AS longest_days FROM q GROUP BY 1)
+SELECT symbol, {_r('max_drawdown')}, peak, trough, recovery, episodes, longest_days, {_r('current')} FROM t JOIN w USING (symbol) JOIN c USING (symbol)"""
+
+
+@register("drawdown", _SPELLS)
 def drawdown(spark, d):
-    return volatility.drawdown(_levels(spark, d)).select("symbol", "max_drawdown", "current")
+    return volatility.drawdown(_levels(spark, d))
 
 
-@register("drawdown_spells")
+@register("drawdown_spells", _SPELLS)
 def drawdown_spells(spark, d):
     return volatility.drawdown(_levels(spark, d))
 
@@ -198,22 +237,30 @@ def drawdown_spells(spark, d):
 _X = "CASE WHEN {0} > 0 THEN {0} * ln({1}) ELSE 0 END"
 
 
-@register("kupiec_test", f"""SELECT symbol, n, x AS violations, round(-2 * ({_X.format('(n - x)', '0.95')} + {_X.format('x', '0.05')} - {_X.format('(n - x)', '(1 - x / n)')} - {_X.format('x', '(x / n)')}), {DIGITS}) AS lr
-FROM (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE r < -0.9) AS x FROM rt GROUP BY symbol)""")
+_UC = f"-2 * ({_X.format('(n - x)', '0.95')} + {_X.format('x', '0.05')} - {_X.format('(n - x)', '(1 - x / n)')} - {_X.format('x', '(x / n)')})"
+
+
+@register("kupiec_test", f"""SELECT symbol, n, x AS violations, {_r('lr')}, round({sql.chi2_p('lr', 1)}, {DIGITS}) AS p_value
+FROM (SELECT *, {_UC} AS lr FROM (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE r < -0.9) AS x FROM rt GROUP BY symbol))""")
 def kupiec_test(spark, d):
-    return volatility.kupiec(_returns(spark, d), F.lit(0.9)).drop("p_value")
+    return volatility.kupiec(_returns(spark, d), F.lit(0.9))
 
 
-@register("christoffersen_test", """SELECT symbol, count(*) FILTER (WHERE b = 0 AND h = 0) AS n00, count(*) FILTER (WHERE b = 0 AND h = 1) AS n01,
-count(*) FILTER (WHERE b = 1 AND h = 0) AS n10, count(*) FILTER (WHERE b = 1 AND h = 1) AS n11 FROM (
-SELECT symbol, (r < -0.9)::INT AS h, lag((r < -0.9)::INT) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM rt) WHERE b IS NOT NULL GROUP BY symbol""")
+@register("christoffersen_test", f""", h AS (SELECT symbol, (r < -0.9)::INT AS h, lag((r < -0.9)::INT) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM rt),
+n AS (SELECT symbol, count(*) FILTER (WHERE b = 0 AND h = 0) AS n00, count(*) FILTER (WHERE b = 0 AND h = 1) AS n01,
+count(*) FILTER (WHERE b = 1 AND h = 0) AS n10, count(*) FILTER (WHERE b = 1 AND h = 1) AS n11 FROM h WHERE b IS NOT NULL GROUP BY symbol),
+p AS (SELECT *, (n01 + n11) / (n00 + n01 + n10 + n11) AS pi, n01 / nullif(n00 + n01, 0) AS p0, n11 / nullif(n10 + n11, 0) AS p1, (n01 + n11 = 0) OR (n00 + n10 = 0) AS bare FROM n),
+l AS (SELECT *, CASE WHEN bare THEN 0.0 ELSE -2 * ({_X.format('(n00 + n10)', '(1 - pi)')} + {_X.format('(n01 + n11)', 'pi')} - {_X.format('n00', '(1 - p0)')} - {_X.format('n01', 'p0')} - {_X.format('n10', '(1 - p1)')} - {_X.format('n11', 'p1')}) END AS lr FROM p),
+k AS (SELECT symbol, {_UC} AS lr_uc FROM (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE r < -0.9) AS x FROM rt GROUP BY symbol)),
+a AS (SELECT *, lr + lr_uc AS lr_cc FROM l JOIN k USING (symbol)), z AS (SELECT *, {sql.chi2_p('lr', 1)} AS p_value, {sql.chi2_p('lr_cc', 2)} AS p_value_cc FROM a)
+SELECT symbol, n00, n01, n10, n11, {_r('lr', 'p_value', 'lr_uc', 'lr_cc', 'p_value_cc')}, CASE WHEN NOT bare THEN p_value >= 0.05 AND p_value_cc >= 0.05 END AS passed FROM z""")
 def christoffersen_test(spark, d):
-    return volatility.christoffersen(_returns(spark, d), F.lit(0.9)).drop("lr", "p_value")
+    return volatility.christoffersen(_returns(spark, d), F.lit(0.9))
 
 
 @register("garch")
 def garch(spark, d):
-    return volatility.garch(_returns(spark, d))
+    return conditional.garch(_returns(spark, d))
 
 
 _ACF = """, d AS (SELECT symbol, ts, r - avg(r) OVER (PARTITION BY symbol) AS d FROM rt),
@@ -228,41 +275,107 @@ def acf(spark, d):
     return efficiency.autocorrelation(_returns(spark, d), 10)
 
 
-@register("ljung_box", f"""{_ACF} SELECT symbol, n, 10 AS lags, round(n * (n + 2) * sum(acf * acf / (n - lag)), {DIGITS}) AS statistic FROM a GROUP BY symbol, n""")
+@register("ljung_box", f"""{_ACF}, q AS (SELECT symbol, n, n * (n + 2) * sum(acf * acf / (n - lag)) AS statistic FROM a GROUP BY symbol, n)
+SELECT symbol, n, 10 AS lags, {_r('statistic')}, round({sql.chi2_p('statistic', 10)}, {DIGITS}) AS p_value FROM q""")
 def ljung_box(spark, d):
-    return efficiency.ljung_box(_returns(spark, d), 10).drop("p_value")
+    return efficiency.ljung_box(_returns(spark, d), 10)
 
 
 @register("runs_test", f"""{_ACF}, u AS (SELECT symbol, ts, d > 0 AS up FROM d WHERE d <> 0),
 w AS (SELECT symbol, up, coalesce(up <> lag(up) OVER (PARTITION BY symbol ORDER BY ts), true) AS new FROM u),
 s AS (SELECT symbol, count(*) FILTER (WHERE up) AS p, count(*) FILTER (WHERE NOT up) AS q, count(*) FILTER (WHERE new) AS runs FROM w GROUP BY symbol),
 e AS (SELECT *, 2.0::DOUBLE * p * q / (p + q) + 1 AS mean, 2.0::DOUBLE * p * q * (2.0::DOUBLE * p * q - (p + q)) / ((p + q)::DOUBLE * (p + q) * (p + q - 1)) AS var FROM s)
-SELECT symbol, p AS positive, q AS negative, runs, round(mean, {DIGITS}) AS expected, round((runs - mean) / sqrt(var), {DIGITS}) AS z FROM e""")
+SELECT symbol, p AS positive, q AS negative, runs, round(mean, {DIGITS}) AS expected, round((runs - mean) / sqrt(var), {DIGITS}) AS z,
+round({sql.normal_p('((runs - mean) / sqrt(var))')}, {DIGITS}) AS p_value FROM e""")
 def runs_test(spark, d):
-    return efficiency.runs_test(_returns(spark, d)).drop("p_value")
+    return efficiency.runs_test(_returns(spark, d))
 
 
 @register("variance_ratio", f""", x AS (SELECT symbol, ts, ln(value) AS x FROM lv),
 y AS (SELECT symbol, k AS horizon, x - lag(x) OVER w AS d, x - lag(x, k) OVER w AS q FROM x, (SELECT unnest([2, 4, 8, 16])::INT AS k) WINDOW w AS (PARTITION BY symbol, k ORDER BY ts)),
 s AS (SELECT symbol, horizon, count(d) AS n, avg(d) AS mu, count(d) * var_pop(d) AS s1 FROM y GROUP BY ALL),
 z AS (SELECT symbol, horizon, any_value(n) AS n, any_value(s1) AS s1, sum(pow(q - horizon * mu, 2)) AS sq FROM y JOIN s USING (symbol, horizon) GROUP BY ALL),
-v AS (SELECT *, (sq / (horizon * (n - horizon + 1) * (1 - horizon::DOUBLE / n))) / (s1 / (n - 1)) AS vr FROM z)
-SELECT symbol, n, horizon, {_r('vr', '(vr - 1) / sqrt(2 * (2 * horizon - 1) * (horizon - 1) / (3.0::DOUBLE * horizon * n)) AS z')} FROM v""")
+v AS (SELECT *, (sq / (horizon * (n - horizon + 1) * (1 - horizon::DOUBLE / n))) / (s1 / (n - 1)) AS vr FROM z),
+dx AS (SELECT symbol, ts, x - lag(x) OVER (PARTITION BY symbol ORDER BY ts) AS d FROM x),
+e0 AS (SELECT dx.symbol, dx.ts, pow(dx.d - s.mu, 2) AS e FROM dx JOIN s ON dx.symbol = s.symbol AND s.horizon = 2 WHERE dx.d IS NOT NULL),
+hk AS (SELECT symbol, k, sum(x) AS h FROM (SELECT symbol, k, e * lag(e, k) OVER (PARTITION BY symbol, k ORDER BY ts) AS x FROM e0, (SELECT unnest(range(1, 16))::INT AS k)) GROUP BY 1, 2),
+th AS (SELECT v.symbol, horizon, sum(pow(2.0::DOUBLE * (horizon - k) / horizon, 2) * h / (s1 * s1)) AS theta FROM v JOIN hk ON v.symbol = hk.symbol AND k < horizon GROUP BY 1, 2),
+vz AS (SELECT v.*, (vr - 1) / sqrt(theta) AS z_robust FROM v JOIN th USING (symbol, horizon))
+SELECT symbol, n, horizon, {_r('vr', '(vr - 1) / sqrt(2 * (2 * horizon - 1) * (horizon - 1) / (3.0::DOUBLE * horizon * n)) AS z', 'z_robust')}, round({sql.normal_p('z_robust')}, {DIGITS}) AS p_value FROM vz""")
 def variance_ratio(spark, d):
-    return efficiency.variance_ratio(_levels(spark, d), [2, 4, 8, 16]).drop("z_robust", "p_value")
+    return efficiency.variance_ratio(_levels(spark, d), [2, 4, 8, 16])
+
+
+def _unit_root(t: str, n: str, trend: str, series: int = 1) -> str:
+    """p_value, critical values and passed."""
+    p = sql.unit_root_p(t, distributions.SURFACES[trend, series])
+    levels = [" + ".join(f"{x!r} / pow({n}, {i})" for i, x in enumerate(c)) for c in distributions.CRITICAL[trend, series]]
+    return f"round({p}, {DIGITS}) AS p_value, " + ", ".join(f"round({v}, {DIGITS}) AS critical_{k}" for v, k in zip(levels, (1, 5, 10), strict=True)) + f", {p} < 0.05 AS passed"
+
 
+def _dickey_fuller(source: str, column: str, lags: int, trend: str, series: int = 1, judged: str | None = None) -> str:
+    """The rows of efficiency.adf() from a CTE of symbol, ts and the column."""
+    xs = ["y1", *(["tm"] if trend == "ct" else []), *[f"d{k}" for k in range(1, lags + 1)]]
+    at, k = int(trend != "n"), len(xs) + (trend != "n")
+    return f""", df0 AS (SELECT symbol, ts, {column} - lag({column}) OVER w AS d, lag({column}) OVER w AS y1, row_number() OVER w AS tm FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+df1 AS (SELECT *, {", ".join(f"lag(d, {i}) OVER w AS d{i}" for i in range(1, lags + 1))} FROM df0 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+{sql.least_squares("dfl", "df1", ["symbol"], xs, "d", trend != "n")}, dft AS (SELECT symbol, n AS nobs, b_{at} AS estimate, b_{at} / sqrt(v_{at} * ssr / (n - {k})) AS statistic FROM dfl)
+SELECT symbol, nobs, {lags} AS lags, {_r("statistic", "estimate")}, {_unit_root("statistic", "nobs", judged or trend, series)} FROM dft"""
 
-@register("adf")
+
+@register("adf", _dickey_fuller("lv", "value", 4, "c"))
 def adf(spark, d):
     return efficiency.adf(_levels(spark, d), lags=4)
 
 
-@register("kpss")
+@register("adf_trend", _dickey_fuller("lv", "value", 4, "ct"))
+def adf_trend(spark, d):
+    return efficiency.adf(_levels(spark, d), lags=4, trend="ct")
+
+
+@register("adf_none", _dickey_fuller("rt", "r", 2, "n"))
+def adf_none(spark, d):
+    return efficiency.adf(_returns(spark, d), lags=2, column="r", trend="n")
+
+
+@register("adf_own_lags")
+def adf_own_lags(spark, d):
+    return efficiency.adf(_levels(spark, d))
+
+
+def _kpss(trend: str) -> str:
+    time = "row_number() OVER (PARTITION BY symbol ORDER BY ts)"
+    centre = "value - avg(value) OVER (PARTITION BY symbol)" if trend == "c" else "value - a - b * tm"
+    rows = "lv" if trend == "c" else "tv JOIN (SELECT symbol, regr_slope(value, tm) AS b, regr_intercept(value, tm) AS a FROM tv GROUP BY symbol) USING (symbol)"
+    table, p = distributions.KPSS_CRITICAL[trend], ""
+    for (a, x), (b, y) in zip(table, table[1:], strict=False):
+        p += f" WHEN st < {b} THEN {x} + (st - {a}) * ({y} - {x}) / ({b} - {a})"
+    p = f"CASE WHEN st <= {table[0][0]} THEN {table[0][1]}{p} ELSE {table[-1][1]} END"
+    return f""", tv AS (SELECT *, {time} AS tm FROM lv), dd AS (SELECT symbol, ts, {centre} AS d FROM {rows}),
+c AS (SELECT symbol, d, sum(d) OVER (PARTITION BY symbol ORDER BY ts) AS s FROM dd),
+l AS (SELECT symbol, d * lag(d, k) OVER (PARTITION BY symbol, k ORDER BY ts) * 2 * (1 - k / 9.0::DOUBLE) AS x FROM dd, (SELECT unnest(range(1, 9))::INT AS k)),
+st AS (SELECT symbol, n, ss / (n * n * ((c0 + x) / n)) AS st FROM (SELECT symbol, count(*) AS n, sum(s * s) AS ss, sum(d * d) AS c0 FROM c GROUP BY 1) JOIN (SELECT symbol, sum(x) AS x FROM l GROUP BY 1) USING (symbol))
+SELECT symbol, n, 8 AS lags, {_r("st AS statistic")}, round({p}, {DIGITS}) AS p_value, ({p}) >= 0.05 AS passed FROM st"""
+
+
+@register("kpss", _kpss("c"))
 def kpss(spark, d):
     return efficiency.kpss(_levels(spark, d), lags=8)
 
 
-@register("hurst")
+@register("kpss_trend", _kpss("ct"))
+def kpss_trend(spark, d):
+    return efficiency.kpss(_levels(spark, d), lags=8, trend="ct")
+
+
+@register("hurst", f""", i AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rt),
+g AS (SELECT DISTINCT symbol, n, round_even(16 * pow(2, k / 2.0::DOUBLE), 0)::INT AS w FROM (SELECT DISTINCT symbol, n FROM i), (SELECT unnest(range(0, 40)) AS k)),
+x AS (SELECT i.symbol, w, i // w AS blk, i, r FROM i JOIN g ON i.symbol = g.symbol AND w <= i.n // 4 WHERE i // w < i.n // w),
+dm AS (SELECT *, r - avg(r) OVER (PARTITION BY symbol, w, blk) AS d FROM x), cs AS (SELECT *, sum(d) OVER (PARTITION BY symbol, w, blk ORDER BY i) AS c FROM dm),
+b AS (SELECT symbol, w, (max(c) - min(c)) / stddev_samp(r) AS rs FROM cs GROUP BY symbol, w, blk HAVING stddev_samp(r) > 0),
+s AS (SELECT symbol, w, ln(avg(rs)) AS y, ln((w - 0.5) / w * CASE WHEN w <= {efficiency.EXACT} THEN exp(lgamma((w - 1) / 2.0::DOUBLE) - lgamma(w / 2.0::DOUBLE)) / sqrt(pi()) ELSE 1 / sqrt(w * pi() / 2) END
+* list_sum(list_transform(range(1, w), lambda j: sqrt((w - j) / j)))) AS z FROM b GROUP BY symbol, w)
+SELECT symbol, count(*) AS windows, {_r('regr_slope(y, ln(w)) AS slope', 'regr_slope(y, ln(w)) - regr_slope(z, ln(w)) + 0.5 AS hurst')} FROM s GROUP BY symbol""")
 def hurst(spark, d):
     return efficiency.hurst(_returns(spark, d))
 
@@ -276,9 +389,10 @@ FROM x a JOIN x b USING (symbol) JOIN e USING (symbol) GROUP BY a.symbol, a.i),
 g AS (SELECT symbol, any_value(n) AS n, sum(near)::DOUBLE AS s, sum(near * near)::DOUBLE AS s2, sum(one) FILTER (WHERE i >= 2) AS one2, sum(one) FILTER (WHERE i >= 3) AS one3, sum(all2) AS all2, sum(all3) AS all3 FROM t GROUP BY symbol),
 h AS (SELECT symbol, n, (s - n) / (n * (n - 1)) AS c, (s2 - 3 * s + 2 * n) / (n * (n - 1) * (n - 2)) AS k, unnest([2, 3]) AS m, unnest([one2, one3])::DOUBLE AS one, unnest([all2, all3])::DOUBLE AS every FROM g),
 f AS (SELECT *, (n - m + 1) * (n - m) / 2 AS pairs, 4 * (pow(k, m) + 2 * (pow(k, m - 1) * c * c + CASE WHEN m = 3 THEN k * pow(c, 4) ELSE 0 END) + pow(m - 1, 2) * pow(c, 2 * m) - m * m * k * pow(c, 2 * m - 2)) AS v FROM h)
-SELECT symbol, n::BIGINT AS n, m::INT AS dimension, round(sqrt(n - m + 1) * (every / pairs - pow(one / pairs, m)) / sqrt(v), {DIGITS}) AS statistic FROM f""")
+, o AS (SELECT n, symbol, m, sqrt(n - m + 1) * (every / pairs - pow(one / pairs, m)) / sqrt(v) AS st FROM f)
+SELECT symbol, n::BIGINT AS n, m::INT AS dimension, {_r('st AS statistic')}, round({sql.normal_p('st')}, {DIGITS}) AS p_value FROM o""")
 def bds(spark, d):
-    return efficiency.bds(_returns(spark, d), (2, 3)).drop("p_value")
+    return efficiency.bds(_returns(spark, d), (2, 3))
 
 
 @register("efficiency_score")
@@ -301,65 +415,156 @@ def durbin_watson(spark, d):
     return diagnostics.durbin_watson(_residuals(spark, d))
 
 
-@register("breusch_pagan", f"SELECT symbol, count(*) AS n, round(count(*) * regr_r2(e * e, m), {DIGITS}) AS statistic FROM rs GROUP BY symbol")
+@register("breusch_pagan", f"SELECT symbol, n, {_r('st AS statistic')}, round({sql.chi2_p('st', 1)}, {DIGITS}) AS p_value FROM (SELECT symbol, count(*) AS n, count(*) * regr_r2(e * e, m) AS st FROM rs GROUP BY symbol)")
 def breusch_pagan(spark, d):
-    return diagnostics.breusch_pagan(_residuals(spark, d), ["m"]).drop("p_value")
+    return diagnostics.breusch_pagan(_residuals(spark, d), ["m"])
+
 
+def _lm(rows: str, xs: list[str], y: str) -> str:
+    return f""", {sql.least_squares("lm", rows, ["symbol"], xs, y)}, st AS (SELECT symbol, n, n * (1 - ssr / sst) AS st FROM lm)
+SELECT symbol, n, {_r("st AS statistic")}, round({sql.chi2_p("st", len(xs))}, {DIGITS}) AS p_value FROM st"""
 
-@register("white_test")
+
+@register("white_test", f"{_lm('rs', ['m', 'm * m'], 'e * e')}")
 def white_test(spark, d):
     return diagnostics.white(_residuals(spark, d), ["m"])
 
 
-@register("arch_lm", f"""SELECT symbol, count(*) AS n, round(count(*) * regr_r2(e2, l1), {DIGITS}) AS statistic FROM (
-SELECT symbol, e * e AS e2, lag(e * e) OVER (PARTITION BY symbol ORDER BY ts) AS l1 FROM rs) WHERE l1 IS NOT NULL GROUP BY symbol""")
+_ARCH = ", ar AS (SELECT symbol, e * e AS e2, " + ", ".join(f"lag(e * e, {k}) OVER w AS l{k}" for k in range(1, 11)) + " FROM rs WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+
+
+@register("arch_lm", f"{_ARCH} {_lm('ar', [f'l{k}' for k in range(1, 11)], 'e2')}")
 def arch_lm(spark, d):
-    return diagnostics.arch_lm(_residuals(spark, d), lags=1).drop("p_value")
+    return diagnostics.arch_lm(_residuals(spark, d), lags=10)
 
 
-@register("vif", f"""{_FACTORS}, w AS (SELECT symbol, a.f AS a, b.f AS b FROM rt JOIN sr a ON rt.ts = a.ts AND a.g = 'AUTOMOBILE' JOIN sr b ON rt.ts = b.ts AND b.g = 'BUILDING'
-WHERE a.f IS NOT NULL AND b.f IS NOT NULL)
-SELECT symbol, unnest(['AUTOMOBILE', 'BUILDING']) AS regressor, round(1 / (1 - regr_r2(a, b)), {DIGITS}) AS vif FROM w GROUP BY symbol""")
+@register("arch_lm_first", f"{_ARCH} {_lm('ar', ['l1'], 'e2')}")
+def arch_lm_first(spark, d):
+    return diagnostics.arch_lm(_residuals(spark, d), lags=1)
+
+
+def _vif() -> str:
+    parts, selected = [], []
+    for i, g in enumerate(SEGMENTS):
+        rest = [x for x in SEGMENTS if x != g]
+        whole = f"(SELECT * FROM fr WHERE {g} IS NOT NULL)"
+        parts.append(sql.least_squares(f"v{i}", whole, ["symbol"], rest, g))
+        selected.append(f"SELECT symbol, '{g}' AS regressor, round(sst / ssr, {DIGITS}) AS vif, sst / ssr <= 10 AS passed FROM v{i}")
+    return f"{_FACTORS}, {', '.join(parts)} {' UNION ALL '.join(selected)}"
+
+
+@register("vif", _vif())
 def vif(spark, d):
-    return diagnostics.vif(_returns(spark, d).join(_factors(spark, d), "ts"), ["AUTOMOBILE", "BUILDING"])
+    return diagnostics.vif(_returns(spark, d).join(_factors(spark, d), "ts"), SEGMENTS)
 
 
-@register("cusum", f"""SELECT symbol, count(*) AS n, round(max(abs(c)) / sqrt(sum(x * x)), {DIGITS}) AS statistic FROM (
-SELECT symbol, x, sum(x) OVER (PARTITION BY symbol ORDER BY ts) AS c FROM (SELECT symbol, ts, e - avg(e) OVER (PARTITION BY symbol) AS x FROM rs)) GROUP BY symbol""")
+@register("cusum", f"""SELECT symbol, n, {_r('st AS statistic')}, round(CASE WHEN st > 0.2 THEN greatest(0, least(1, list_sum(list_transform(range(1, 41), lambda k: 2 * pow(-1, k - 1) * exp(-2 * k * k * st * st))))) ELSE 1 END, {DIGITS}) AS p_value FROM (
+SELECT symbol, count(*) AS n, max(abs(c)) / sqrt(sum(x * x)) AS st FROM (
+SELECT symbol, x, sum(x) OVER (PARTITION BY symbol ORDER BY ts) AS c FROM (SELECT symbol, ts, e - avg(e) OVER (PARTITION BY symbol) AS x FROM rs)) GROUP BY symbol)""")
 def cusum(spark, d):
     return diagnostics.cusum(_residuals(spark, d))
 
 
-@register("structural_break")
+@register("structural_break", f""", x AS (SELECT symbol, ts, e - avg(e) OVER (PARTITION BY symbol) AS x FROM rs),
+c AS (SELECT symbol, count(*) OVER w AS k, count(*) OVER (PARTITION BY symbol) AS n, sum(x) OVER w AS s, stddev_pop(x) OVER (PARTITION BY symbol) AS sd FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+g AS (SELECT symbol, k, s * s / k + s * s / (n - k) AS gain, abs(-s / (n - k) - s / k) / sd AS effect FROM c WHERE k >= 2 AND n - k >= 2 AND k % 5 = 0),
+h AS (SELECT symbol, k, effect FROM g QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY gain DESC, k) = 1)
+SELECT symbol, k AS position, {_r('effect')}, effect >= 0.5 AS material FROM h""")
 def structural_break(spark, d):
     return diagnostics.structural_break(_residuals(spark, d))
 
 
-@register("granger")
+_THREE = """, wd AS (SELECT ts, max(r) FILTER (WHERE symbol = 'A') AS A, max(r) FILTER (WHERE symbol = 'N') AS N, max(r) FILTER (WHERE symbol = 'R') AS R FROM rt GROUP BY ts),
+wh AS (SELECT * FROM wd WHERE A IS NOT NULL AND N IS NOT NULL AND R IS NOT NULL)"""
+
+
+def _lags(columns: str, deepest: int, source: str = "wh") -> str:
+    each = ", ".join(f"lag({c}, {k}) OVER (ORDER BY ts) AS {c}{k}" for k in range(1, deepest + 1) for c in columns)
+    return f", lg AS (SELECT *, {each} FROM {source})"
+
+
+def _granger(deepest: int) -> str:
+    parts, selected = [], []
+    for p in range(1, deepest + 1):
+        for cause, effect in ("AN", "NA"):
+            own, both = [f"{effect}{k}" for k in range(1, p + 1)], [f"{c}{k}" for k in range(1, p + 1) for c in "AN"]
+            rows, at = f"(SELECT * FROM lg WHERE A{p} IS NOT NULL)", f"{cause}{effect}{p}"
+            parts += [sql.least_squares(f"s{at}", rows, [], own, effect), sql.least_squares(f"f{at}", rows, [], both, effect)]
+            n, f, df2 = f"f{at}.n", f"((s{at}.ssr - f{at}.ssr) / {p} / (f{at}.ssr / (f{at}.n - {2 * p + 1})))", f"(f{at}.n - {2 * p + 1})"
+            chi2, lr = f"({n} * (s{at}.ssr - f{at}.ssr) / f{at}.ssr)", f"({n} * ln(s{at}.ssr / f{at}.ssr))"
+            for test, value, tail in (("ssr_ftest", f, sql.f_p(f, p, df2)), ("ssr_chi2test", chi2, sql.chi2_p(chi2, p)), ("lrtest", lr, sql.chi2_p(lr, p)), ("params_ftest", f, sql.f_p(f, p, df2))):
+                selected.append(f"SELECT '{cause}' AS cause, '{effect}' AS effect, {p} AS lags, {n} AS nobs, '{test}' AS test, round({value}, {DIGITS}) AS statistic, round({tail}, {DIGITS}) AS p_value FROM s{at}, f{at}")
+    return f"{_THREE}{_lags('ANR', deepest)}, {', '.join(parts)} {' UNION ALL '.join(selected)}"
+
+
+@register("granger", _granger(3))
 def granger(spark, d):
     return multivariate.granger(multivariate.wide(_returns(spark, d), ["A", "N", "R"]), "A", "N", 3)
 
 
-@register("var_model")
+def _var_model(lags: int) -> str:
+    xs, parts, selected = [f"{c}{k}" for k in range(1, lags + 1) for c in "ANR"], [], []
+    for c in "ANR":
+        parts.append(sql.least_squares(f"e{c}", "lg", [], xs, c))
+        selected.append(f"SELECT '{c}' AS equation, * FROM ({sql.terms(f'e{c}', [], ['const', *[f'{x[0]}_L{x[1:]}' for x in xs]], DIGITS)})")
+    return f"{_THREE}{_lags('ANR', lags)}, {', '.join(parts)} {' UNION ALL '.join(selected)}"
+
+
+@register("var_model", _var_model(2))
 def var_model(spark, d):
     return multivariate.var_model(multivariate.wide(_returns(spark, d), ["A", "N", "R"]), ["A", "N", "R"], 2)
 
 
-@register("engle_granger")
+_SPREAD_ROWS = f""", wl AS (SELECT ts, max(value) FILTER (WHERE symbol = 'A') AS A, max(value) FILTER (WHERE symbol = 'N') AS N, max(value) FILTER (WHERE symbol = 'R') AS R FROM lv GROUP BY ts),
+wh AS (SELECT * FROM wl WHERE A IS NOT NULL AND N IS NOT NULL AND R IS NOT NULL), {sql.least_squares("eg", "wh", [], ["N", "R"], "A")},
+sp AS (SELECT 'A' AS symbol, ts, wh.A - b_0 - b_1 * wh.N - b_2 * wh.R AS value FROM wh, eg)"""
+
+
+@register("engle_granger", f"{_SPREAD_ROWS}{_dickey_fuller('sp', 'value', 2, 'n', 3, 'c')}")
 def engle_granger(spark, d):
     return multivariate.engle_granger(multivariate.wide(_levels(spark, d), ["A", "N", "R"], "value"), "A", ["N", "R"], 2)
 
 
-@register("event_study", f""", p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM al),
+_EVENTS = """, p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM al),
 ev AS (SELECT symbol, ts AS event, pos AS place FROM p WHERE day(ts) = 1 AND pos > 130),
 f AS (SELECT ev.symbol, event, place, regr_slope(r, m) AS b, regr_intercept(r, m) AS a, (regr_syy(r, m) - regr_sxy(r, m) * regr_sxy(r, m) / regr_sxx(r, m)) / 118 AS mse
 FROM ev JOIN p ON p.symbol = ev.symbol AND pos BETWEEN place - 130 AND place - 11 GROUP BY ALL),
 c AS (SELECT f.symbol, event, count(*) AS n, sum(r - a - b * m) AS car, any_value(mse) AS mse FROM f JOIN p ON p.symbol = f.symbol AND pos BETWEEN place - 5 AND place + 5 GROUP BY ALL)
-SELECT symbol, event, n, {_r('car', 'sqrt(n * mse) AS std_error', 'car / sqrt(n * mse) AS t_stat')} FROM c""")
+"""
+
+
+@register("event_study", f"{_EVENTS} SELECT symbol, event, n, {_r('car', 'se AS std_error', 't AS t_stat')}, round({sql.t_p('t', '118')}, {DIGITS}) AS p_value, {sql.t_p('t', '118')} < 0.05 AS passed FROM (SELECT *, sqrt(n * mse) AS se, car / sqrt(n * mse) AS t FROM c)")
 def event_study(spark, d):
     """The first of each month as the event."""
+    return events.event_study(*_first_days(spark, d), **_WINDOWS)
+
+
+_WINDOWS = {"estimation": 120, "gap": 10, "before": 5, "after": 5}
+
+
+def _first_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _aligned(spark, d)
-    return events.event_study(rows, rows.where("day(ts) = 1").select("symbol", F.col("ts").alias("event")), estimation=120, gap=10, before=5, after=5)
+    return rows, rows.where("day(ts) = 1").select("symbol", F.col("ts").alias("event"))
+
+
+@register("event_average", f"""{_EVENTS}, s AS (SELECT symbol, count(*) AS events, avg(car) AS caar, sqrt(sum(n * mse)) / count(*) AS se, stddev_samp(car) AS sd FROM c GROUP BY symbol),
+z AS (SELECT *, caar / se AS z, caar / (sd / sqrt(events)) AS t FROM s)
+SELECT symbol, events, {_r('caar', 'se AS std_error', 'z AS z_stat')}, round({sql.normal_p('z')}, {DIGITS}) AS p_value, {_r('t AS cross_t')}, round({sql.t_p('t', '(events - 1)')}, {DIGITS}) AS cross_p FROM z""")
+def event_average(spark, d):
+    return events.average_effect(events.event_study(*_first_days(spark, d), **_WINDOWS))
+
+
+@register("event_path", f"""{_EVENTS}, ab AS (SELECT f.symbol, event, pos - place AS day, r - a - b * m AS x FROM f JOIN p ON p.symbol = f.symbol AND pos BETWEEN place - 5 AND place + 5),
+cu AS (SELECT symbol, day, sum(x) OVER (PARTITION BY symbol, event ORDER BY day) AS car FROM ab)
+SELECT symbol, day::INT AS day, count(*) AS events, {_r('avg(car) AS caar')} FROM cu GROUP BY symbol, day""")
+def event_path(spark, d):
+    return events.average_path(*_first_days(spark, d), **_WINDOWS)
+
+
+@register("event_refusals", """, p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM al)
+SELECT symbol, ts AS event, 'too early' AS reason FROM p WHERE day(ts) = 1 AND pos <= 130""")
+def event_refusals(spark, d):
+    return events.unusable_events(*_first_days(spark, d), estimation=120, gap=10)
 
 
 @register("span_latency", f"""SELECT event_type, count(*) AS n, {_r('quantile_cont(value, 0.5) AS p50', 'quantile_cont(value, 0.95) AS p95', 'quantile_cont(value, 0.99) AS p99', 'avg((value > 50)::INT) AS failure_rate')}
@@ -391,7 +596,7 @@ def nearest_vectors_each(spark, d):
 @register("upload_profile")
 def upload_profile(spark, d):
     p = upload.profile(panel.table(spark, d, "orders"))
-    return p.join(upload.roles(p), "column")
+    return p.join(upload.proposed(upload.scores(p)), "column")
 
 
 @register("upload_observations", f"""SELECT o_orderdate::DATE AS ts, o_orderpriority AS symbol, 'price' AS field, {_r('o_totalprice::DOUBLE AS value')} FROM orders""")
@@ -419,24 +624,38 @@ e AS (SELECT symbol, ts, y - f.a - f.b * x AS e FROM w JOIN f USING (symbol) WHE
 l AS (SELECT symbol, e, k, lag(e, k) OVER (PARTITION BY symbol, k ORDER BY ts) AS el FROM e, (SELECT unnest(range(1, 9))::INT AS k)),
 v AS (SELECT symbol, sum(e * el * 2 * (1 - k / 9.0::DOUBLE)) AS cross_sum FROM l GROUP BY symbol), c AS (SELECT symbol, sum(e * e) AS c0 FROM e GROUP BY symbol),
 g AS (SELECT symbol, n, b, c0 / n AS g0, (c0 + cross_sum) / n AS l2, sqrt(c0 / (n - 2)) AS s, sqrt(c0 / (n - 2) / sxx) AS se FROM f JOIN v USING (symbol) JOIN c USING (symbol))
-SELECT symbol, n AS nobs, 8 AS lags, {_r('sqrt(g0 / l2) * (b - 1) / se - (l2 - g0) / (2 * sqrt(l2)) * n * se / s AS statistic')} FROM g""")
+, st AS (SELECT symbol, n AS nobs, sqrt(g0 / l2) * (b - 1) / se - (l2 - g0) / (2 * sqrt(l2)) * n * se / s AS statistic FROM g)
+SELECT symbol, nobs, 8 AS lags, {_r('statistic')}, {_unit_root('statistic', 'nobs', 'c')} FROM st""")
 def phillips_perron(spark, d):
-    return efficiency.phillips_perron(_levels(spark, d), lags=8).drop("p_value")
+    return efficiency.phillips_perron(_levels(spark, d), lags=8)
+
+
+def _pacf(lags: int) -> str:
+    """Durbin and Levinson's recursion, a CTE for each lag: f_j are the coefficients so far, p_k the last one of lag k."""
+    rho = ", ".join(f"max(acf * n / (n - lag)) FILTER (WHERE lag = {k}) AS r{k}" for k in range(1, lags + 1))
+    out, held = f"{_ACF}, y0 AS (SELECT symbol, any_value(n) AS n, {rho} FROM a GROUP BY symbol), y1 AS (SELECT *, r1 AS p1, r1 AS f1_1 FROM y0)", "p1"
+    for k in range(2, lags + 1):
+        last = [f"f{k - 1}_{j}" for j in range(1, k)]
+        top = f"(r{k} - ({' + '.join(f'{f} * r{k - j}' for j, f in enumerate(last, 1))}))"
+        rest = f"(1 - ({' + '.join(f'{f} * r{j}' for j, f in enumerate(last, 1))}))"
+        out += f", x{k} AS (SELECT *, {top} / {rest} AS p{k} FROM y{k - 1}), y{k} AS (SELECT symbol, n, {', '.join(f'r{j}' for j in range(1, lags + 1))}, {held}, p{k}, p{k} AS f{k}_{k}, {', '.join(f'f{k - 1}_{j} - p{k} * f{k - 1}_{k - j} AS f{k}_{j}' for j in range(1, k))} FROM x{k})"
+        held += f", p{k}"
+    return out + " " + " UNION ALL ".join(f"SELECT symbol, n, {k} AS lag, round(p{k}, {DIGITS}) AS pacf FROM y{lags}" for k in range(1, lags + 1))
 
 
-@register("pacf")
+@register("pacf", _pacf(10))
 def pacf(spark, d):
     return efficiency.partial_autocorrelation(_returns(spark, d), 10)
 
 
 _POINTS = ", q AS (SELECT symbol, count(*) AS n, avg(m) AS mx, regr_sxx(r, m) AS sxx FROM rs GROUP BY symbol)"
-_SPREAD = f"SELECT symbol, term, {_r('estimate', 'std_error')}, n AS nobs FROM (SELECT symbol, n, unnest(['const', 'm']) AS term, unnest([a, b]) AS estimate, unnest([sa, sb]) AS std_error FROM s JOIN fit USING (symbol))"
+_SPREAD = f"SELECT symbol, term, {_r('estimate', 'std_error', 'estimate / std_error AS z_stat')}, round({sql.normal_p('(estimate / std_error)')}, {DIGITS}) AS p_value, n AS nobs FROM (SELECT symbol, n, unnest(['const', 'm']) AS term, unnest([a, b]) AS estimate, unnest([sa, sb]) AS std_error FROM s JOIN fit USING (symbol))"
 
 
 @register("capm_white", f"""{_POINTS}, u AS (SELECT symbol, n, e / (1 - 1.0::DOUBLE / n - (m - mx) * (m - mx) / sxx) AS u, (m - mx) / sxx AS w, 1.0::DOUBLE / n - mx * (m - mx) / sxx AS c FROM rs JOIN q USING (symbol)),
 s AS (SELECT symbol, n, sqrt(sum(w * w * u * u)) AS sb, sqrt(sum(c * c * u * u)) AS sa FROM u GROUP BY symbol, n) {_SPREAD}""")
 def capm_white(spark, d):
-    return robust_ols(_aligned(spark, d), "r", ["m"], ["symbol"], "white").drop("z_stat", "p_value")
+    return robust_ols(_aligned(spark, d), "r", ["m"], ["symbol"], "white")
 
 
 @register("capm_newey_west", f"""{_POINTS}, u AS (SELECT symbol, ts, n, e * (m - mx) / sxx AS w, e * (1.0::DOUBLE / n - mx * (m - mx) / sxx) AS c FROM rs JOIN q USING (symbol)),
@@ -444,7 +663,7 @@ l AS (SELECT symbol, n, k, w, c, lag(w, k) OVER p AS w1, lag(c, k) OVER p AS c1
 s AS (SELECT symbol, n, sqrt(sum(w * w1 * CASE k WHEN 0 THEN 1 ELSE 2 * (1 - k / 6.0::DOUBLE) END)) AS sb, sqrt(sum(c * c1 * CASE k WHEN 0 THEN 1 ELSE 2 * (1 - k / 6.0::DOUBLE) END)) AS sa
 FROM l GROUP BY symbol, n) {_SPREAD}""")
 def capm_newey_west(spark, d):
-    return robust_ols(_aligned(spark, d), "r", ["m"], ["symbol"], "newey_west", lags=5).drop("z_stat", "p_value")
+    return robust_ols(_aligned(spark, d), "r", ["m"], ["symbol"], "newey_west", lags=5)
 
 
 @register("gjr_garch")

@@ -60,9 +60,9 @@ def compounded(rates: DataFrame, rule: str) -> DataFrame:
 
 
 def transformed(series: DataFrame, kind: str) -> DataFrame:
-    """symbol, ts, value: none, log, diff, log_diff or cumsum of the values that are there; logs of what isn't positive are null."""
+    """symbol, ts, value: none, log, diff, log_diff or cumsum of the values that are there; the log of what isn't positive is an error."""
     held = series.where("value is not null and not isnan(value)")
-    x = F.when(F.col("value") > 0, F.log("value")) if kind.startswith("log") else F.col("value")
+    x = F.when(F.col("value") > 0, F.log("value")).otherwise(F.raise_error(F.lit("the log of a value that isn't positive"))) if kind.startswith("log") else F.col("value")
     if kind.endswith("diff"):
         x = x - F.lag(x).over(by_time())
     elif kind == "cumsum":
@@ -73,12 +73,12 @@ def transformed(series: DataFrame, kind: str) -> DataFrame:
     return out.where("value is not null") if kind.endswith("diff") else out
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str, by: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, value: str, by: str) -> DataFrame:
     """left with the last `value` of right at or before ts; rows before the first get the first (back-fill).
 
     A union and a running last value stand for the join, so nothing is compared pairwise.
     """
-    keys = [by] if by else []
+    keys = [by]
     both = left.withColumns({"_own": F.lit(True), value: F.lit(None).cast("double")}).unionByName(
         right.select(*keys, "ts", F.col(value).cast("double").alias(value)).withColumn("_own", F.lit(False)), allowMissingColumns=True
     )
@@ -88,6 +88,31 @@ def as_of(left: DataFrame, right: DataFrame, value: str, by: str | None = None)
     return both.withColumn("_v", filled).where("_own").drop(value, "_own").withColumnRenamed("_v", value)
 
 
+def outer_aligned(series: DataFrame, names: list[str], column: str = "value") -> DataFrame:
+    """ts and a column for each name on every date that any of them has; null where one has none."""
+    return series.where(F.col("symbol").isin(names)).groupBy("ts").pivot("symbol", names).agg(F.first(column))
+
+
+def excess(rates: DataFrame, risk_free: str) -> DataFrame:
+    """Returns less the risk-free rate of the date; dates without one are left out."""
+    return rates.select("symbol", "ts", (F.col("r") - F.col(risk_free)).alias("r")).where("r is not null")
+
+
+#: Published rate series, all in per cent a year.
+RATES = "DGS1MO DGS3MO DGS6MO DGS1 DGS2 DGS5 DGS10 DGS30 DTB4WK DTB3 DTB6 DTB1YR TB3MS DFF FEDFUNDS EFFR SOFR".split()
+
+
+def period_rate(published: Column, series: str, periods: int) -> Column:
+    """A rate published in per cent a year as a decimal return of one of so many periods in a year."""
+    if series not in RATES:
+        raise ValueError(f"no convention is declared for {series!r}; known: {', '.join(RATES)}")
+    return F.pow(1 + published / 100, F.lit(1.0 / periods)) - 1
+
+
+def iso_date(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
 def unpivoted(wide: DataFrame, date: str, columns: list[str]) -> DataFrame:
     return wide.unpivot([date], columns, "symbol", "value").where("value is not null")
 
@@ -108,3 +133,34 @@ def quality(series: DataFrame) -> DataFrame:
         (F.col("n") < 30).alias("short_sample"), (F.datediff("first", "start") > 30).alias("late_start"),
         (F.col("common") < F.col("calendar")).alias("calendar_misalignment"),
     )
+
+
+#: The report's thresholds.
+LEAST_ROWS, LATE_DAYS, COVERED = 30, 30, 0.9
+
+
+def steward_flags(series: DataFrame, start: str, end: str, sources: DataFrame | None = None, factors: DataFrame | None = None, risk_free: str | None = None) -> DataFrame:
+    """code, severity, symbol (null for the whole frame): what a reader of the aligned series must know.
+
+    Rows after `end` count as looking ahead. sources: symbol, source. factors: ts and factor columns, of which `rf` is a rate of
+    their own, mixed with one that is asked for by name.
+    """
+    window = F.col("ts").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    each = series.where("value is not null").groupBy("symbol").agg(F.max("ts").alias("last"), F.min(F.when(window, F.col("ts"))).alias("first"))
+    flag = lambda df, code, severity, symbol=None: df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col(symbol) if symbol else F.lit(None)).cast("string").alias("symbol"))
+    out = flag(each.where(F.col("last") > F.lit(end).cast("date")), "look_ahead", "risk", "symbol")
+    out = out.union(flag(each.where(F.datediff("first", F.lit(start).cast("date")) > LATE_DAYS), "late_start", "risk", "symbol"))
+    held = series.where(window & F.col("value").isNotNull())
+    dates = held.groupBy("ts").agg(F.countDistinct("symbol").alias("have"))
+    several = each.where("first is not null").count()  # symbols: one number
+    common = dates.agg(F.count("*").alias("calendar"), F.count_if(F.col("have") == several).alias("common"))
+    out = out.union(flag(common.where("common < calendar"), "calendar_misalignment", "warning")).union(flag(common.where(F.col("common") < LEAST_ROWS), "short_sample", "warning"))
+    if sources is not None:
+        named = sources.agg(F.countDistinct("source").alias("n"), F.count_if(F.lower("source").contains("synthetic")).alias("made"))
+        out = out.union(flag(named.where("made > 0"), "synthetic_data", "risk")).union(flag(named.where("n > 1"), "mixed_sources", "info"))
+    if factors is not None:
+        covered = dates.where(F.col("have") == several).join(factors.na.drop().select("ts").distinct().withColumn("f", F.lit(1)), "ts", "left")
+        out = out.union(flag(covered.agg(F.avg(F.col("f").isNotNull().cast("double")).alias("share")).where(F.col("share") < COVERED), "factor_coverage", "warning"))
+        if risk_free and "rf" in factors.columns:
+            out = out.union(flag(factors.limit(1), "mixed_risk_free", "warning"))
+    return out
