@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -44,6 +45,24 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_own_root[0]}"
 
 
+#: Rows and bytes of the pieces of an Arrow batch that a function gets at once, so that what it makes of them stays small.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Arrow batches have BATCH_ROWS rows and BATCH_BYTES bytes at most; the session's own limits come back."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    own = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -54,7 +73,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -83,10 +103,6 @@ def drop_scratch() -> None:
         _delete(path)
 
 
-#: Rows and bytes of the pieces of an Arrow batch that a function gets at once, so that what it makes of them stays small.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = max(1, -(-batch.num_rows // BATCH_ROWS), -(-batch.nbytes // BATCH_BYTES))
