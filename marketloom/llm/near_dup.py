@@ -140,10 +140,12 @@ def _reach(held: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     lists = there.join(many, ["to", "m"]).groupBy("to", "m", F.pmod("token", "slices").alias("slice")).agg(F.collect_list("token").alias("theirs"))
     own = held.join(met.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
     lists = materialize(lists, "lists")
-    cover = met.join(own, "doc_id").join(lists, ["to", "m"]).groupBy("doc_id", "part", "n", "to", "m")
-    cover = cover.agg(F.sum(F.size(F.array_intersect("tokens", "theirs"))).alias("both"))
+    held_there = F.size(F.array_intersect("tokens", "theirs")).alias("c")
+    counts = met.join(own, "doc_id").join(lists, ["to", "m"]).select("doc_id", "part", "n", "to", "m", held_there)
+    counts = materialize(counts, "counts")  # a table, so that the join may split the sets that meet one group
+    cover = counts.groupBy("doc_id", "part", "n", "to", "m").agg(F.sum("c").alias("both"))
     cover = materialize(cover.where(F.col("both") * (100 + percent) >= (F.col("n") + F.col("m")) * percent), "reach")
-    release(cells, met, there, many, lists)
+    release(cells, met, there, many, lists, counts)
     return cover
 
 
