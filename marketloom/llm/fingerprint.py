@@ -85,15 +85,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     wide = 8 * partitions(docs.sparkSession)  # so many that a task's terms fit in memory
+    rows = rows.withColumn("h", F.xxhash64("text"))
     starts = _starts(rows, wide)
     order = [F.col("last"), F.col("doc_id").asc_nulls_first(), F.col("h")]
-    rows = rows.withColumns({"g": _range(starts), "last": F.lit(False)})
+    rows = _ranged(rows, starts).withColumn("last", F.lit(False))
     following = [(*k, j - 1 if j else max(0, len(starts) - 1)) for j, k in enumerate(starts)]
     following = docs.sparkSession.createDataFrame(following, "id long, key long, before int")  # one row a range
     heads = rows.join(F.broadcast(following), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key")))
-    heads = heads.dropDuplicates(["before"]).select("doc_id", "text", F.col("before").alias("g"), "h", F.lit(True).alias("last"))
+    heads = heads.select("doc_id", "text", F.coalesce("before", F.lit(0)).alias("g"), "h", F.lit(True).alias("last"))
     span = Window.partitionBy("g").orderBy(*order)
     rows = rows.unionByName(heads).repartition(wide, "g")
     rows = rows.withColumns({"i": F.row_number().over(span), "next": F.lead("text").over(span)})
@@ -131,12 +132,17 @@ def _starts(rows: DataFrame, wide: int) -> list[tuple[int | None, int]]:
     return [(i if known else None, h) for known, i, h in sorted({least, *inner})]
 
 
-def _range(starts: list[tuple[int | None, int]]) -> Column:
-    """Number of the range that holds a row, by binary search among the starts."""
-    keys = [{"k": i is not None, "i": i or 0, "h": h} for i, h in starts[1:]]
-    held = F.from_json(F.lit(json.dumps(keys)), "array<struct<k: boolean, i: long, h: long>>")
-    own = F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), F.col("h").alias("h"))
-    steps = [1 << b for b in reversed(range(len(keys).bit_length()))]
-    if not steps:
-        return F.lit(0)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(F.get(held, n + step - 1) <= own, n + step).otherwise(n))
+def _ranged(rows: DataFrame, starts: list[tuple[int | None, int]]) -> DataFrame:
+    """Adds g, the number of the range that holds a row, by binary search among the starts.
+
+    A step is a column of its own: lambdas would keep Spark from reading the exchange of the texts twice.
+    """
+    keys = starts[1:]
+    ids, hashes = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>") for x in zip(*[(-(2**63) if i is None else i, h) for i, h in keys] or [(0, 0)], strict=True))
+    own = F.coalesce("doc_id", F.lit(-(2**63)))
+    rows = rows.withColumn("g", F.lit(0))
+    for b in reversed(range(len(keys).bit_length())):
+        at = F.col("g") + (1 << b)
+        id_, h = F.get(ids, at - 1), F.get(hashes, at - 1)
+        rows = rows.withColumn("g", F.when((id_ < own) | ((id_ == own) & (h <= F.col("h"))), at).otherwise(F.col("g")))
+    return rows
