@@ -135,14 +135,16 @@ def _starts(rows: DataFrame, wide: int) -> list[tuple[int | None, int]]:
 def _ranged(rows: DataFrame, starts: list[tuple[int | None, int]]) -> DataFrame:
     """Adds g, the number of the range that holds a row, by binary search among the starts.
 
-    A step is a column of its own: lambdas would keep Spark from reading the exchange of the texts twice.
+    A step is a row generated from one: a column made of columns would be written out in full, several times at each
+    step, by the optimizer, and lambdas would keep Spark from reading the exchange of the texts twice.
     """
     keys = starts[1:]
     ids, hashes = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>") for x in zip(*[(-(2**63) if i is None else i, h) for i, h in keys] or [(0, 0)], strict=True))
     own = F.coalesce("doc_id", F.lit(-(2**63)))
-    rows = rows.withColumn("g", F.lit(0))
+    carried, rows = rows.columns, rows.withColumn("g", F.lit(0))
     for b in reversed(range(len(keys).bit_length())):
         at = F.col("g") + (1 << b)
         id_, h = F.get(ids, at - 1), F.get(hashes, at - 1)
-        rows = rows.withColumn("g", F.when((id_ < own) | ((id_ == own) & (h <= F.col("h"))), at).otherwise(F.col("g")))
+        step = F.when((id_ < own) | ((id_ == own) & (h <= F.col("h"))), at).otherwise(F.col("g"))
+        rows = rows.select(*carried, F.explode(F.array(step)).alias("g"))
     return rows
