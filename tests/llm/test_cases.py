@@ -180,6 +180,17 @@ def test_fingerprints_of_equal_and_clustered_ids(spark):
     assert Counter(r.edited_sha256 for r in rows) == Counter({hashlib.sha256(k.encode()).hexdigest(): n for k, n in want.items()})
 
 
+def test_the_plan_of_fingerprints_stays_small_with_many_ranges(spark):
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")  # 480 ranges, nine steps of the search
+    try:
+        plan = fingerprint.fingerprints(corpus(spark, [prose(i, 8) for i in range(600)]))._jdf.queryExecution().optimizedPlan()
+        nodes = sum(len(plan.apply(i).expressions().mkString(" ").split("CASE WHEN")) - 1 for i in range(40))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert 0 < nodes < 100
+
+
 def F_hash(spark, text, known={}):  # noqa: B006
     if text not in known:
         known[text] = spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
