@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.distributions import normal_p
 from .gram import CONST, cross_products, matrix
 from .multivariate import lagged
 
@@ -119,13 +120,16 @@ def johansen(df: DataFrame, columns: list[str], diffs: int = 1) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, f"rank int, eigenvalue double, {kinds}, nobs long")
 
 
-def vecm(df: DataFrame, columns: list[str], rank: int, diffs: int = 1) -> DataFrame:
-    """kind, equation, term, value of an error correction model: alpha, beta (its leading block the identity), gamma.
+def vecm(df: DataFrame, columns: list[str], rank: int | None = None, diffs: int = 1) -> DataFrame:
+    """kind, equation, term, value, std_error, z_stat, p_value of an error correction model: alpha, beta (its leading block the identity), gamma.
 
     beta has a row for each relation and series; alpha for each equation and relation; gamma for each equation and
-    lagged change or constant.
+    lagged change or constant. Errors take beta as known, with residual variances over the number of rows; beta has none.
+    Without a rank it is the first one whose trace is below its 95 % value; ValueError where that is 0 or the number of series.
     """
     k = len(columns)
+    if rank is None:
+        rank = next((r["rank"] for r in sorted(johansen(df, columns, diffs).collect(), key=lambda r: r["rank"]) if r["trace"] < r["trace_95"]), k)
     if not 0 < rank < k:
         raise ValueError(f"the rank must lie between 1 and {k - 1}")
     g, n, m = _moments(df, columns, diffs)
@@ -134,8 +138,17 @@ def vecm(df: DataFrame, columns: list[str], rank: int, diffs: int = 1) -> DataFr
     s01, s11 = s[:k, k:], s[k:, k:]
     alpha = s01 @ beta @ np.linalg.inv(beta.T @ s11 @ beta)
     gamma = np.linalg.solve(g[:m, :m], g[:m, m : m + k] - g[:m, m + k :] @ beta @ alpha.T).T
+    # the regressors of an equation: what comes before, then the relations' values one date before
+    take = np.zeros((len(g), m + rank))
+    take[:m, :m], take[m + k :, m:] = np.eye(m), beta
+    zz, b = take.T @ g @ take, np.hstack([gamma, alpha])
+    zy = take.T @ g[:, m : m + k]
+    sigma = (np.diag(g[m : m + k, m : m + k]) - np.einsum("ij,ji->i", b, zy)) / n
+    error = np.sqrt(np.outer(np.maximum(sigma, 0), np.diag(np.linalg.inv(zz))))
     before = _regressors([f"{c}_D" for c in columns], diffs)
-    rows = [("beta", f"relation_{r + 1}", columns[i], float(beta[i, r])) for r in range(rank) for i in range(k)]
-    rows += [("alpha", columns[i], f"relation_{r + 1}", float(alpha[i, r])) for i in range(k) for r in range(rank)]
-    rows += [("gamma", columns[i], before[j], float(gamma[i, j])) for i in range(k) for j in range(m)]
-    return df.sparkSession.createDataFrame(rows, "kind string, equation string, term string, value double")
+    rows = [("beta", f"relation_{r + 1}", columns[i], float(beta[i, r]), None) for r in range(rank) for i in range(k)]
+    rows += [("alpha", columns[i], f"relation_{r + 1}", float(alpha[i, r]), float(error[i, m + r])) for i in range(k) for r in range(rank)]
+    rows += [("gamma", columns[i], before[j], float(gamma[i, j]), float(error[i, j])) for i in range(k) for j in range(m)]
+    out = df.sparkSession.createDataFrame(rows, "kind string, equation string, term string, value double, std_error double")
+    z = F.try_divide("value", "std_error")
+    return out.withColumns({"z_stat": z, "p_value": normal_p(z)})

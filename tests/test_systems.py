@@ -105,6 +105,28 @@ def test_cointegrated_pair_has_rank_one(spark):
     assert model["alpha", "y", "relation_1"] == pytest.approx(-0.5, abs=0.15)
 
 
+def test_error_correction_has_the_errors_of_least_squares_with_beta_known(spark):
+    g = np.random.default_rng(8)
+    x = np.cumsum(g.normal(size=500))
+    y = 2 * x + g.normal(size=500)
+    rows = systems.vecm(wide(spark, {"x": x, "y": y}), ["y", "x"]).collect()  # the rank is found
+    got = {(r.kind, r.equation, r.term): r for r in rows}
+    level = np.column_stack([y, x])
+    d = np.diff(level, axis=0)
+    beta = np.array([1, got["beta", "relation_1", "x"].value])
+    m = np.column_stack([np.ones(498), d[:-1], level[1:-1] @ beta])
+    inv = np.linalg.inv(m.T @ m)
+    for i, equation in enumerate(["y", "x"]):
+        b = inv @ m.T @ d[1:, i]
+        error = np.sqrt(np.diag(inv) * np.mean((d[1:, i] - m @ b) ** 2))
+        own = [got["gamma", equation, t] for t in ("const", "y_D_L1", "x_D_L1")] + [got["alpha", equation, "relation_1"]]
+        assert [r.value for r in own] == pytest.approx(list(b), rel=1e-5) and [r.std_error for r in own] == pytest.approx(list(error), rel=1e-5)
+        assert all(0 <= r.p_value <= 1 for r in own)
+    assert got["beta", "relation_1", "x"].std_error is None and got["beta", "relation_1", "x"].p_value is None
+    with pytest.raises(ValueError):
+        systems.vecm(wide(spark, {"x": np.cumsum(g.normal(size=300)), "y": np.cumsum(g.normal(size=300))}), ["y", "x"])
+
+
 def test_transforms_skip_nulls(spark):
     s = series(spark, {"value": [1, None, 3]})
     assert [r.value for r in panel.transformed(s, "diff").collect()] == [2.0]
