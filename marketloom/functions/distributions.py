@@ -77,6 +77,15 @@ def t_sf(t: float, df: float) -> float:
     return tail if t >= 0 else 1 - tail
 
 
+def t_ppf(p: float, df: float) -> float:
+    """By bisection on the tail."""
+    low, high = -1e6, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - t_sf(mid, df) < p else (low, mid)
+    return (low + high) / 2
+
+
 def f_sf(x: float, d1: float, d2: float) -> float:
     return _beta_i(d2 / 2, d1 / 2, d2 / (d2 + d1 * x)) if x > 0 else 1.0
 

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distributions import normal_p
+from ..functions.distributions import chi2_sf, normal_p
 from .gram import CONST, cross_products, matrix
-from .multivariate import lagged
+from .multivariate import lagged, var_model
 
 #: 90, 95 and 99 % critical values with a constant, by number of series less the rank tested.
 TRACE = [(2.7055, 3.8415, 6.6349), (13.4294, 15.4943, 19.9349), (27.0669, 29.7961, 35.4628), (44.4929, 47.8545, 54.6815), (65.8202, 69.8189, 77.8202)]
@@ -52,6 +52,45 @@ def order_selection(df: DataFrame, columns: list[str], maxlags: int = 10) -> Dat
     return df.sparkSession.createDataFrame([tuple(map(lambda x: float(x) if isinstance(x, np.floating) else x, r)) for r in out], "lags int, nobs long, aic double, bic double, hqic double, fpe double")
 
 
+def selected_order(df: DataFrame, columns: list[str], maxlags: int = 10, criterion: str = "aic") -> int:
+    """The lags with the least of a criterion (aic, bic, hqic, fpe); of equal ones the fewest."""
+    if criterion not in ("aic", "bic", "hqic", "fpe"):
+        raise ValueError(f"unknown criterion {criterion!r}")
+    return order_selection(df, columns, maxlags).orderBy(criterion, "lags").first()["lags"]  # one row for each number of lags
+
+
+def selected_var(df: DataFrame, columns: list[str], maxlags: int = 10, criterion: str = "aic") -> DataFrame:
+    """lags and the columns of `var_model`: the autoregression with as many lags as the criterion selects, on all the rows it can use."""
+    p = selected_order(df, columns, maxlags, criterion)
+    return var_model(df, columns, p).select(F.lit(p).alias("lags"), "*")
+
+
+def var_checks(df: DataFrame, columns: list[str], lags: int, test_lags: int = 10) -> DataFrame:
+    """test, lags, statistic, df, p_value, passed of a vector autoregression.
+
+    stability: the largest modulus among the companion's eigenvalues, passed below 1. whiteness: the portmanteau of the residuals
+    up to test_lags (one more than the model's at least), passed if not rejected at 5 %.
+    """
+    k, m = len(columns), max(test_lags, lags + 1)
+    rows = lagged(df.select("ts", *columns), columns, lags).na.drop()
+    before = _regressors(columns, lags)
+    g, n = gram(rows, [*before, *columns])
+    b, _ = _fit(g, n, k, lags)
+    left = [(F.col(c) - b[0, j] - sum((b[i, j] * F.col(x) for i, x in enumerate(before[1:], 1)), F.lit(0.0))).alias(f"e{j}") for j, c in enumerate(columns)]
+    names = [f"e{j}" for j in range(k)]
+    pairs = {(h, i, j): F.sum(F.col(names[i]) * F.col(f"{names[j]}_L{h}" if h else names[j])) for h in range(m + 1) for i in range(k) for j in range(k)}
+    row = lagged(rows.select("ts", *left), names, m).agg(*[F.coalesce(v, F.lit(0.0)).alias("_".join(map(str, key))) for key, v in pairs.items()]).first()
+    c = np.array([[[row[f"{h}_{i}_{j}"] for j in range(k)] for i in range(k)] for h in range(m + 1)]) / n
+    inverse = np.linalg.inv(c[0])
+    q, free = n * float(sum(np.trace(x.T @ inverse @ x @ inverse) for x in c[1:])), k * k * (m - lags)
+    companion = np.zeros((k * max(lags, 1),) * 2)
+    companion[:k, : k * lags] = b[1:].T
+    companion[k:, :-k] += np.eye(k * max(lags - 1, 0))
+    modulus, p = float(np.abs(np.linalg.eigvals(companion)).max()), chi2_sf(q, free)
+    out = [("stability", lags, modulus, None, None, modulus < 1), ("whiteness", m, q, free, float(p), p >= 0.05)]
+    return df.sparkSession.createDataFrame(out, "test string, lags int, statistic double, df int, p_value double, passed boolean")
+
+
 def _responses(df: DataFrame, columns: list[str], lags: int, horizons: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Moving-average matrices (response x impulse) up to the horizon, and the residual covariance."""
     k = len(columns)

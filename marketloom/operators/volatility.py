@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distributions import chi2_p, normal_ppf
-from .conditional import garch  # noqa: F401  (a model of volatility like the others here)
+from ..functions.distributions import chi2_p, normal_ppf, t_ppf
+from .conditional import climb, garch, spread  # noqa: F401  (a model of volatility like the others here)
 from .pricing import PERIODS
 
 
@@ -35,6 +37,34 @@ def parametric_var(df: DataFrame, confidence: float = 0.95, zero_mean: bool = Fa
     return s.select("symbol", "n", mu.alias("mu"), sd.alias("sigma"), (-(mu + sd * z)).alias("var"))
 
 
+def student_var(df: DataFrame, confidence: float = 0.95, zero_mean: bool = False, min_obs: int = 100) -> DataFrame:
+    """Under Student's t by maximum likelihood: symbol, n, nu (1e4 at most), mu, sigma (the scale, not the deviation), var. Constant series are left out."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.r.dropna().to_numpy()
+        if len(r) < max(min_obs, 2) or not np.ptp(r):
+            return pd.DataFrame([], columns=["symbol", "n", "nu", "mu", "sigma", "var"])
+        unit = float(r.std())
+        x = r / unit
+
+        def shape(theta: np.ndarray) -> tuple[float, float, float]:
+            return math.exp(min(theta[0], math.log(1e4))), math.exp(min(theta[1], 50.0)), 0.0 if zero_mean else theta[2]
+
+        def value(theta: np.ndarray) -> float:
+            nu, scale, loc = shape(theta)
+            level = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(scale)
+            total = len(x) * level - (nu + 1) / 2 * float(np.log1p(((x - loc) / scale) ** 2 / nu).sum())
+            return total if math.isfinite(total) else -1e300
+
+        theta = np.array([math.log(6.0), -0.3, *([] if zero_mean else [float(np.median(x))])])
+        for _ in range(2):
+            theta, _, _ = climb(value, theta, 500)
+        nu, scale, loc = shape(theta)
+        return pd.DataFrame([(pdf.symbol.iloc[0], len(r), nu, loc * unit, scale * unit, -unit * (loc + scale * t_ppf(1 - confidence, nu)))], columns=["symbol", "n", "nu", "mu", "sigma", "var"])
+
+    return spread(df.select("symbol", "r")).groupBy("symbol").applyInPandas(fit, "symbol string, n long, nu double, mu double, sigma double, var double")
+
+
 def ewma_vol(df: DataFrame, decay: float = 0.94, frequency: str = "D") -> DataFrame:
     """Exponentially weighted volatility of each symbol, from the first squared return on: one row each.
 

@@ -703,3 +703,32 @@ def johansen(spark, d):
 @register("vecm")
 def vecm(spark, d):
     return systems.vecm(_three(spark, d, "value"), ["A", "N", "R"], rank=1)
+
+
+SHAPED = {"model": "gjr_garch", "o": 1, "dist": "skewt"}
+
+
+@register("garch_estimates")
+def garch_estimates(spark, d):
+    return conditional.estimates(conditional.fitted(_returns(spark, d), **SHAPED))
+
+
+@register("conditional_volatility")
+def conditional_volatility(spark, d):
+    returns = _returns(spark, d)
+    return conditional.path(returns, conditional.fitted(returns, dist="t"), dist="t")
+
+
+@register("student_var")
+def student_var(spark, d):
+    return volatility.student_var(_returns(spark, d))
+
+
+@register("selected_var")
+def selected_var(spark, d):
+    return systems.selected_var(_three(spark, d, "r"), ["A", "N", "R"], 6)
+
+
+@register("var_checks")
+def var_checks(spark, d):
+    return systems.var_checks(_three(spark, d, "r"), ["A", "N", "R"], 2)
