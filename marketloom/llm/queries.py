@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import repaired
 from .decontaminate import contaminated
 from .fingerprint import fingerprints
 from .html_text import extract
@@ -19,6 +20,7 @@ from .oracles import ORACLES  # noqa: F401  (for the driver)
 from .sharding import shard
 from .substring_dedup import remove_repeats
 from .tokens import token_counts
+from .url_rules import judge
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +70,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+#: host, start of the path, verdict
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
@@ -79,4 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_conversations": op11_conversations,
+    "op12_url_filter": op12_url_filter,
 }
