@@ -18,6 +18,8 @@ from .common import materialize, packed, partitions, release, word_count
 from .prefix import running
 
 REPEATS = 3
+#: Slices that rows equal in id, source and size are numbered in.
+SLICES = 1_024
 
 
 def _in_order(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
@@ -83,11 +85,19 @@ def mix(docs: DataFrame, repeats: int = REPEATS, id_col: str = "doc_id", text_co
 def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """docs, all columns, each row as often as mix() takes it.
 
-    Rows that are equal in id, source and size share their copies evenly, rounded. Columns of any name are carried along.
+    Rows that are equal in id, source and size share their copies: each has the whole part of the mean, and as many as are over
+    have one more, so that none is lost or added. Columns of any name are carried along.
     """
-    taken = mix(docs, repeats).groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("copies"))
-    taken = materialize(taken.where("copies > 0").withColumnsRenamed({"doc_id": "i", "source": "s", "size": "n"}), "copies")
-    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"), size=word_count(F.col("text")))
+    taken = mix(docs, repeats).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = taken.where("copies > 0").withColumnsRenamed({"doc_id": "i", "source": "s", "size": "n"})
+    taken = materialize(taken.withColumn("mark", F.md5(F.to_json(F.struct("i", "s", "n")))), "copies")
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"), size=word_count(F.col("text")), at=F.monotonically_increasing_id())
     on = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n"))
-    times = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
-    return rows.join(taken, on).select("row", times.alias("time")).select("row.*")
+    even, whole = F.col("copies") % F.col("rows") == 0, F.floor(F.col("copies") / F.col("rows"))
+    out = rows.join(taken.where(even), on).select("row", whole.alias("copies"))
+    if not taken.where(~even).isEmpty():
+        held = rows.join(taken.where(~even), on).withColumns({"one": F.lit(1).cast("long"), "slice": F.pmod(F.xxhash64("at"), F.lit(SLICES))})
+        held = running(held.select("row", "copies", "rows", "mark", "one", "slice", "at"), "mark", "slice", ["at"], {"nth": "one"})
+        out = out.union(held.select("row", whole + (F.col("nth") < F.col("copies") % F.col("rows")).cast("int")))
+    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return out.select("row", times.alias("time")).select("row.*")

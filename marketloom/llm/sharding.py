@@ -2,7 +2,7 @@
 
 Rows with equal texts form a group. A group stays whole unless it takes more than 1 / PART of a shard's even share
 of all bytes, tokens or rows, whatever the size of the table; such a group is cut in the fewest pieces of that size,
-by a hash of the id. There are at most 3 * shards * PART of those. Groups over 1 / FINE of a share are packed one by
+its rows dealt in turn, so that rows equal in all else are spread too. There are at most 3 * shards * PART of those. Groups over 1 / FINE of a share are packed one by
 one, at most 3 * shards * FINE; the rest is gathered into a fixed number of bundles by a hash of the text, so the
 demands to be packed are a table of bounded size. They are placed largest first, each where the dot product of its
 demand with the residual capacity is highest among shards that still have room in bytes.
@@ -43,12 +43,12 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     The law is `bytes`: the sizes of the shards are near equal. size is the text's UTF-8 bytes plus 1; a null
     text has size 1 and the checksum of the empty text, and groups with empty texts. slot counts from 0
-    without gaps in each shard. grown_shard is null under this law. Repeated rows keep a place each. A null
-    id is hashed as any other. Columns other than the id and the text are ignored. An empty table gives an
+    without gaps in each shard. grown_shard is null under this law. Repeated rows and rows with a null id keep a place each
+    and count as any others. Columns other than the id and the text are ignored. An empty table gives an
     empty one.
     """
-    rows, large, placed = _plan(docs, shards, id_col, text_col)
-    rows = _placed(rows, large, placed, F.col("doc_id")).withColumn("one", F.lit(1).cast("long"))
+    rows, *plan = _plan(docs, shards, id_col, text_col)
+    rows = _placed(rows, *plan).withColumn("one", F.lit(1).cast("long"))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(SLICES)))
     rows = running(rows, "shard", "slice", ["doc_id", "size", "text_crc32"], {"slot": "one"})
     return rows.select(
@@ -61,10 +61,10 @@ def with_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
 
     Columns of any other name are carried along.
     """
-    _, large, placed = _plan(docs, shards, id_col, text_col)
-    rows = packed(docs, id=F.col(id_col).cast("long"), _group=_group(F.col(text_col)))
+    _, *plan = _plan(docs, shards, id_col, text_col)
+    rows = packed(docs, _group=_group(F.col(text_col)), _at=F.monotonically_increasing_id())
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "shard"]
-    return _placed(rows, large, placed, F.col("id")).select(*kept, "shard")
+    return _placed(rows, *plan).select(*kept, "shard")
 
 
 def _text(text: Column) -> Column:
@@ -75,19 +75,24 @@ def _group(text: Column) -> Column:
     return F.unhex(F.sha2(_text(text), 256))
 
 
-def _placed(rows: DataFrame, large: DataFrame, placed: DataFrame, id_: Column) -> DataFrame:
-    """Adds shard to rows with _group; both tables are bounded by 3 * shards * FINE groups and their pieces."""
-    rows = rows.join(F.broadcast(large), "_group", "left").withColumn("_whole", F.col("_pieces").isNull())
-    return rows.withColumn("_bundle", _bundle(id_)).join(F.broadcast(placed), ["_whole", "_bundle"])
+def _placed(rows: DataFrame, large: DataFrame, pieces: DataFrame, bundles: DataFrame, cut: bool) -> DataFrame:
+    """Adds shard to rows with _group and _at; the tables are bounded by 3 * shards * FINE groups, their pieces, and BUNDLES."""
+    small = rows.join(F.broadcast(large), "_group", "left_anti").withColumn("_bundle", _bundle()).join(F.broadcast(bundles), "_bundle").drop("_bundle")
+    if not cut:
+        return small
+    # the rows of a large group are numbered and dealt in turn, so equal rows are spread like any others
+    held = rows.join(F.broadcast(large), "_group").withColumns({"_one": F.lit(1).cast("long"), "_slice": F.pmod(F.xxhash64("_at"), F.lit(SLICES))})
+    held = running(held, "_group", "_slice", ["_at"], {"_nth": "_one"}).withColumn("_piece", F.col("_nth") % F.col("_pieces"))
+    held = held.join(F.broadcast(pieces), ["_group", "_piece"]).drop("_piece", "_pieces", "_one", "_slice", "_nth")
+    return small.unionByName(held)
 
 
-def _bundle(id_: Column) -> Column:
-    small = F.pmod(F.xxhash64("_group"), F.lit(BUNDLES))
-    return F.when(F.col("_pieces").isNull(), small).otherwise(F.xxhash64("_group", F.pmod(F.xxhash64(id_), F.col("_pieces"))))
+def _bundle() -> Column:
+    return F.pmod(F.xxhash64("_group"), F.lit(BUNDLES))
 
 
-def _plan(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows without their texts, the large groups with their number of pieces, and the shard of each bundle."""
+def _plan(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """Rows without their texts, large groups with their number of pieces, the shard of each piece and of each bundle, and whether there are large ones."""
     spark, text = docs.sparkSession, _text(F.col(text_col))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -95,6 +100,7 @@ def _plan(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[Dat
         word_count(text).alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         _group(text).alias("_group"),
+        F.monotonically_increasing_id().alias("_at"),
     )
     rows = materialize(rows, "sizes")
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
@@ -103,11 +109,17 @@ def _plan(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[Dat
     groups = rows.groupBy("_group").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     parts = F.greatest(*[F.ceil(F.col(c) / F.lit(m)) for c, m in zip("btn", limits, strict=True)], F.lit(1))
     over = (F.col("b") > fine[0]) | (F.col("t") > fine[1]) | (F.col("n") > fine[2])
-    large = materialize(groups.where(over).select("_group", F.least(parts, F.col("n")).alias("_pieces")), "large")
-    held = rows.join(F.broadcast(large), "_group", "left").withColumn("_whole", F.col("_pieces").isNull())
-    demand = held.withColumn("_bundle", _bundle(F.col("doc_id"))).groupBy("_whole", "_bundle")
+    large = materialize(groups.where(over).select("_group", F.least(parts, F.col("n")).alias("_pieces"), "b", "t", "n"), "large")
+    each = large.orderBy("_group").collect()  # bounded by 3 * shards * FINE
+    demand = rows.join(F.broadcast(large), "_group", "left_anti").groupBy(_bundle().alias("_bundle"))
     demand = demand.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    demand = demand.toPandas().sort_values(["_whole", "_bundle"])  # BUNDLES and the pieces: bounded
-    demand["shard"] = pack(demand[["b", "t", "n"]].to_numpy(dtype=float), shards).astype("int32")
-    found = [(bool(w), int(b), int(s)) for w, b, s in demand[["_whole", "_bundle", "shard"]].itertuples(index=False, name=None)]
-    return rows, large, spark.createDataFrame(found, "_whole boolean, _bundle long, shard int")
+    demand = demand.toPandas().sort_values("_bundle")  # BUNDLES: bounded
+    pieces = [(bytes(g["_group"]), k) for g in each for k in range(g["_pieces"])]
+    # a group's rows have one text, so its pieces differ by a row at most
+    shares = [(g["n"] // g["_pieces"] + (k < g["n"] % g["_pieces"])) / g["n"] for g in each for k in range(g["_pieces"])]
+    owners = [g for g in each for _ in range(g["_pieces"])]
+    wanted = np.array([[g["b"] * x, g["t"] * x, g["n"] * x] for g, x in zip(owners, shares, strict=True)], dtype=float).reshape(-1, 3)
+    found = pack(np.concatenate([wanted, demand[["b", "t", "n"]].to_numpy(dtype=float).reshape(-1, 3)]), shards).tolist()
+    placed = spark.createDataFrame([(*p, s) for p, s in zip(pieces, found, strict=False)], "_group binary, _piece long, shard int")
+    bundles = spark.createDataFrame([(int(b), s) for b, s in zip(demand["_bundle"], found[len(pieces) :], strict=True)], "_bundle long, shard int")
+    return rows, large.select("_group", "_pieces"), placed, bundles, bool(each)

@@ -302,3 +302,20 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     t = common.materialize(corpus(spark, ["a"]), "x")
     common.release(t)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("rows", [[(7, "same words here")] * 1600, [(None, "same words here")] * 1600 + [(i, prose(i, 3)) for i in range(100)]])
+def test_shards_of_repeated_rows_are_equal(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard(docs).toPandas()
+    for sizes in (out.groupby("shard")["size"].sum(), sharding.with_shards(docs).toPandas().groupby("shard")["text"].apply(lambda t: sum(len(x.encode()) + 1 for x in t))):
+        assert len(sizes) == 16 and sizes.max() / sizes.min() <= 1.05
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+
+
+def test_mixed_keeps_the_totals_of_repeated_rows(spark):
+    rows = [(None, "four words are here", f"s{k}") for k in range(3) for _ in range(300)] + [(i, prose(i, 9), "s1") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).toPandas().set_index("source").n.to_dict()
+    got = mixing.mixed(docs).groupBy("source").agg(F.sum(common.word_count(F.col("text"))).alias("n")).toPandas().set_index("source").n.to_dict()
+    assert got == {k: v for k, v in want.items() if v}
