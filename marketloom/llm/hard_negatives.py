@@ -238,7 +238,9 @@ def _search(blocks: DataFrame, asked: DataFrame, slices: dict[int, int], chunks:
 
     queries = dealt.groupBy("leaf", "chunk").applyInArrow(pack, "leaf int, q_at binary, q_labels binary, q_v binary, ends binary")
     queries = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
-    pairs = blocks.join(queries, ["leaf", "slice"])
+    # packed rows are larger than Spark takes them for, so they are never broadcast; each side moves once
+    dealt_to = max(8, 4 * partitions(spark))
+    pairs = blocks.repartition(dealt_to, "leaf", "slice").join(queries.repartition(dealt_to, "leaf", "slice").hint("merge"), ["leaf", "slice"])
 
     def score(batches):
         for batch in batches:
@@ -259,7 +261,7 @@ def _search(blocks: DataFrame, asked: DataFrame, slices: dict[int, int], chunks:
                     names = ["at", "nth", "found", "vec_id", "score"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    found = map_arrow(pairs.repartition(max(8, 4 * partitions(spark)), "leaf", "slice"), score, "at long, nth long, found long, vec_id long, score long")
+    found = map_arrow(pairs, score, "at long, nth long, found long, vec_id long, score long")
     best = Window.partitionBy("at", "nth").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "found")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
