@@ -135,6 +135,17 @@ def normal_cdf(z: Column) -> Column:
     return _let(z.cast("double"), lambda x: F.when(x > 0, 1 - _upper(x)).otherwise(_upper(-x)))
 
 
+def chi2_p_by(x: Column, df: Column) -> Column:
+    """chi2_p() with degrees of freedom from a column, from 1."""
+    half, odd = F.greatest(x, F.lit(0.0)) / 2, df % 2 == 1
+    first = F.exp(-half) * F.when(odd, F.sqrt(half) / math.gamma(1.5)).otherwise(1.0)
+    terms, shift = F.floor(df / 2).cast("int"), F.when(odd, 0.5).otherwise(0.0)
+    start = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+    more = lambda held, j: F.struct((held["sum"] + held["term"]).alias("sum"), (held["term"] * half / (j + shift)).alias("term"))
+    sums = F.when(terms >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), start, more, lambda held: held["sum"])).otherwise(0.0)
+    return sums + F.when(odd, normal_p(F.sqrt(2 * half))).otherwise(0.0)
+
+
 def chi2_p(x: Column, df: int) -> Column:
     """Upper tail of chi-squared with a whole number of degrees of freedom."""
     half = lambda v: F.greatest(v, F.lit(0.0)) / 2

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distributions import t_p, t_quantile
+from ..functions.distributions import t_p, t_ppf, t_quantile
 from .gram import CONST, ols
 
 PERIODS = {"D": 252, "W": 52, "M": 12, "Q": 4, "A": 1}
@@ -63,6 +63,18 @@ def rolling_beta(df: DataFrame, market: str = "m", window: int = 252) -> DataFra
     return rows.where(F.col("n") == window).select("symbol", "ts", beta.alias("beta"), F.sqrt((syy - beta * sxy) / (window - 2) / sxx).alias("beta_se"))
 
 
+def beta_band(rolled: DataFrame, window: int = 252, level: float = 0.95) -> DataFrame:
+    """Adds beta_ci_low and beta_ci_high to the rows of rolling_beta() with that window, by Student's t with window - 2 degrees of freedom."""
+    wide = t_ppf((1 + level) / 2, window - 2) * F.col("beta_se")
+    return rolled.withColumns({"beta_ci_low": F.col("beta") - wide, "beta_ci_high": F.col("beta") + wide})
+
+
+def beta_summary(rolled: DataFrame) -> DataFrame:
+    """symbol, windows, mean_beta, min_beta, max_beta, last_beta of the rows of rolling_beta()."""
+    beta = F.col("beta")
+    return rolled.groupBy("symbol").agg(F.count(beta).alias("windows"), F.avg(beta).alias("mean_beta"), F.min(beta).alias("min_beta"), F.max(beta).alias("max_beta"), F.max_by(beta, "ts").alias("last_beta"))
+
+
 def fama_macbeth(panel: DataFrame, exposures: list[str], y: str = "r", period: str = "ts", entity: str = "symbol") -> DataFrame:
     """Premium of each exposure: mean of the per-period estimates, with the standard error of that mean, its t and p-value (periods - 1)."""
     held = panel.na.drop(subset=[y, *exposures])
