@@ -197,7 +197,7 @@ def test_negatives_equal_brute_force(spark, monkeypatch):
 
 def test_negatives_of_scores_without_a_bound(spark):
     rng = np.random.default_rng(4)
-    rows = [(i * 20, [float(x) * 10.0 ** rng.integers(0, 7) for x in rng.normal(size=3)], i % 2) for i in range(60)]
+    rows = [(i * 20, [float(x * 10.0 ** rng.integers(0, 7)) for x in rng.normal(size=3)], i % 2) for i in range(60)]
     got = mined(spark, rows, "vec_id long, embedding array<double>, label int")
     assert got == brute_negatives(rows)
 
