@@ -9,7 +9,7 @@ from . import sql
 from .functions import distributions
 from .operators import charts, gates, regimes, telemetry, text
 from .queries import DIGITS, _aligned, _levels, _r, _residuals, _returns, register
-from .sources import panel, store, upload
+from .sources import panel, scratch, store, upload
 from .streaming.metrics import windowed
 
 
@@ -153,12 +153,16 @@ def fingerprints(spark, d):
     return store.fingerprint(panel.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["o_orderstatus"])
 
 
-@register("reproduced_levels", "SELECT symbol, ts, true AS reproduced, '' AS detail FROM lv")
+@register("reproduced_levels", """, l AS (SELECT l_returnflag AS symbol, l_shipdate::DATE AS ts, l_orderkey, l_linenumber FROM lineitem),
+b AS (SELECT symbol, ts, count(*) AS n, sum(l_linenumber) AS numbers FROM l WHERE l_orderkey % 50 <> 0 GROUP BY 1, 2), a AS (SELECT symbol, ts, count(*) AS n, sum(l_linenumber) AS numbers FROM l WHERE year(ts) > 1992 GROUP BY 1, 2)
+SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.ts, b.ts) AS ts, coalesce(a.n = b.n AND a.numbers = b.numbers, false) AS reproduced,
+CASE WHEN b.n IS NULL THEN 'not in the earlier run' WHEN a.n IS NULL THEN 'missing now' WHEN a.n <> b.n OR a.numbers <> b.numbers THEN 'the numbers differ' ELSE '' END AS detail
+FROM a FULL JOIN b ON a.symbol = b.symbol AND a.ts = b.ts""")
 def reproduced_levels(spark, d):
-    """Counts of lines a day, summed by line and by order: the same numbers."""
+    """Counts of lines a day: an earlier run without some orders, and a later one, by way of orders, without the first year."""
     lines = panel.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber")
-    first = lines.groupBy("symbol", "ts").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("numbers"))
-    by_order = lines.groupBy("symbol", "ts", "l_orderkey").agg(F.count("*").alias("c"), F.sum("l_linenumber").alias("s"))
+    first = lines.where("l_orderkey % 50 <> 0").groupBy("symbol", "ts").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("numbers"))
+    by_order = lines.where("year(ts) > 1992").groupBy("symbol", "ts", "l_orderkey").agg(F.count("*").alias("c"), F.sum("l_linenumber").alias("s"))
     return store.reproduced(first, by_order.groupBy("symbol", "ts").agg(F.sum("c").alias("n"), F.sum("s").alias("numbers")), ["symbol", "ts"])
 
 
@@ -179,10 +183,40 @@ def parsed_numbers(spark, d):
 
 @register("csv_round_trip", "SELECT o_orderkey, o_orderpriority, o_orderdate::DATE AS day FROM orders")
 def csv_round_trip(spark, d):
-    """Orders as lines of a CSV, read back by a schema."""
-    rows = panel.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
-    line = F.to_csv(F.struct("o_orderkey", "o_orderpriority", "day"), {"sep": ";"})
-    return rows.select(F.from_csv(line, "o_orderkey long, o_orderpriority string, day date", {"sep": ";"}).alias("x")).select("x.*")
+    """Orders written as a CSV, and read back as an upload is."""
+    rows = panel.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "M/d/yyyy").alias("day"))
+    path = scratch.folder(spark, "orders")
+    rows.write.option("header", True).option("sep", ";").csv(path)
+    df, _ = upload.read_csv(spark, path, most_bytes=None)
+    return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority", upload.day(F.col("day")).alias("day"))
+
+
+#: Orders as a European upload: prices with points and decimal commas, one in twenty-three missing; days written in three ways.
+_UPLOAD = """, up AS (SELECT o_orderkey, o_orderdate::DATE AS ts, o_orderpriority AS symbol, CASE WHEN o_orderkey % 23 <> 0 THEN round(o_totalprice, 2) END AS value FROM orders WHERE o_orderkey % 29 <> 0)"""
+
+
+def _european(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    orders = panel.table(spark, d, "orders")
+    price = F.when(F.col("o_orderkey") % 23 != 0, F.translate(F.format_number("o_totalprice", 2), ",.", ".,"))
+    forms = F.when(F.col("o_orderkey") % 29 == 0, "n/a").when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))
+    path = scratch.folder(spark, "upload")
+    orders.select(forms.alias("Day"), F.col("o_orderpriority").alias("Symbol"), price.alias("Close")).write.option("header", True).option("sep", ";").csv(path)
+    return upload.read_csv(spark, path, most_bytes=None)
+
+
+@register("upload_european", f"{_UPLOAD} SELECT ts, symbol, 'price' AS field, {_r('value')} FROM up WHERE value IS NOT NULL")
+def upload_european(spark, d):
+    """A file with decimal commas and mixed dates through profile, proposal and mapping."""
+    df, delimiter = _european(spark, d)
+    roles = {r["column"]: r["role"] for r in upload.roles(upload.profile(df, delimiter)).collect()}  # one row a column
+    return upload.mapped(df, roles, delimiter)
+
+
+@register("upload_unread", """SELECT * FROM (SELECT 'Close' AS "column", 'price' AS role, count(*) FILTER (WHERE o_orderkey % 23 <> 0) AS written, 0::BIGINT AS unread FROM orders
+UNION ALL SELECT 'Day', 'date', count(*), count(*) FILTER (WHERE o_orderkey % 29 = 0) FROM orders)""")
+def upload_unread(spark, d):
+    df, delimiter = _european(spark, d)
+    return upload.unread(df, "Day", {"Close": "price"}, upload.decimal_commas(df, ["Close"], delimiter))
 
 
 @register("upload_scores")
@@ -204,12 +238,13 @@ e AS (SELECT symbol, max(ts) AS last, min(ts) FILTER (WHERE ts BETWEEN DATE '199
 c AS (SELECT count(*) AS calendar, count(*) FILTER (WHERE have = (SELECT k FROM n)) AS common FROM (SELECT ts, count(DISTINCT symbol) AS have FROM w GROUP BY ts))
 SELECT 'look_ahead' AS code, 'risk' AS severity, symbol FROM e WHERE last > DATE '1997-12-31' UNION ALL SELECT 'late_start', 'risk', symbol FROM e WHERE date_diff('day', DATE '1992-06-01', first) > 30
 UNION ALL SELECT 'calendar_misalignment', 'warning', NULL FROM c WHERE common < calendar UNION ALL SELECT 'short_sample', 'warning', NULL FROM c WHERE common < 30
-UNION ALL SELECT 'synthetic_data', 'risk', NULL UNION ALL SELECT 'mixed_sources', 'info', NULL
+UNION ALL SELECT 'synthetic_data', 'risk', NULL FROM lineitem WHERE l_linestatus = 'O' HAVING count(*) > 0 UNION ALL SELECT 'mixed_sources', 'info', NULL FROM lineitem HAVING count(DISTINCT l_linestatus) > 1
 UNION ALL SELECT 'factor_coverage', 'warning', NULL FROM (SELECT avg((q.ts IS NOT NULL)::INT) AS share FROM (SELECT ts FROM w GROUP BY ts HAVING count(DISTINCT symbol) = (SELECT k FROM n)) x
 LEFT JOIN (SELECT DISTINCT o_orderdate::DATE AS ts FROM orders WHERE o_orderpriority = '1-URGENT') q USING (ts)) WHERE share < 0.9 UNION ALL SELECT 'mixed_risk_free', 'warning', NULL""")
 def steward_flags(spark, d):
-    """The levels from June 1992 to 1997, from two sources, one of them synthetic, with urgent orders as factors."""
-    sources = spark.createDataFrame([("A", "uploaded"), ("N", "uploaded"), ("R", "synthetic walk")], "symbol string, source string")
+    """The levels from June 1992 to 1997, lines of one status taken for synthetic, with urgent orders as factors."""
+    lines = panel.table(spark, d, "lineitem")
+    sources = lines.select(F.col("l_returnflag").alias("symbol"), F.when(F.col("l_linestatus") == "O", "Synthetic walk").otherwise("uploaded").alias("source")).distinct()
     factors = panel.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("mkt"), F.avg("o_totalprice").alias("rf"))
     return panel.steward_flags(_levels(spark, d), "1992-06-01", "1997-12-31", sources, factors, "DGS3MO")
 
