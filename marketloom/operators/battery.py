@@ -21,8 +21,8 @@ def default_lags(n: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MOST_LAGS), F.floor(n / 5))).cast("int")
 
 
-def _products(xs: list[str]) -> dict[str, Column]:
-    return {f"{a}*{b}": F.col(a) * F.col(b) for i, a in enumerate(xs) for b in xs[i:]}
+def _products(xs: list[str]) -> list[Column]:
+    return [F.col(a) * F.col(b) for i, a in enumerate(xs) for b in xs[i:]]
 
 
 def _products_of(prefix: str, columns: list[Column]) -> list[Column]:
@@ -72,11 +72,12 @@ def report(df: DataFrame, xs: list[str] | None = None, column: str = "residual",
     whole, order = Window.partitionBy("symbol"), Window.partitionBy("symbol").orderBy("ts")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     e = F.col("e")
-    rows = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select("symbol", "ts", F.col(column).cast("double").alias("e"), *[F.col(x).cast("double").alias(x) for x in xs])
+    held = [f"x{i}" for i in range(len(xs))]  # whatever the regressors are called
+    rows = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select("symbol", "ts", F.col(column).cast("double").alias("e"), *[F.col(x).cast("double").alias(h) for x, h in zip(xs, held, strict=True)])
     complete = F.lit(True)
-    for x in xs:
+    for x in held:
         complete = complete & F.col(x).isNotNull()
-    wide = {f"w{i}": F.when(complete, c) for i, c in enumerate([*map(F.col, xs), *_products(xs).values(), e * e])} if xs else {}
+    wide = {f"w{i}": F.when(complete, c) for i, c in enumerate([*map(F.col, held), *_products(held), e * e])} if xs else {}
     rows = rows.withColumns(wide).withColumn("q", e * e)
     rows = rows.withColumns({c: F.col(c) - F.avg(c).over(whole) for c in [*wide, "q"]})
     rows = rows.select("*", F.count("*").over(whole).alias("n"), (e - F.avg("e").over(whole)).alias("d"), F.stddev_pop("e").over(whole).alias("sd"), F.row_number().over(order).alias("k"))
