@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its number of words, its link density (the
-share of its characters inside links), the same of the blocks before and after it, whether it is a heading, whether it
-is inside an article, and how surely an element around it is named as furniture (0 not, 1 perhaps, 2 surely). A decision
-tree, fitted on the small labelled table of examples(), decides which blocks are main text. A page is read once from its
+share of its characters inside links), the same of the blocks before and after it, how full its container is beside the
+page's fullest, whether it is a heading, whether it is inside an article, and how surely an element around it is named as furniture
+(0 not, 1 perhaps, 2 surely). A decision tree, fitted on a small table of labelled blocks, which are read from rendered pages of many
+layouts (layouts.py), decides which blocks are main text. A page is read once from its
 start to its end, whatever is left unclosed in it.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
+from .layouts import LAYOUTS
 
 #: Element names by what they do to the flow of text.
 BLOCK = set(
@@ -30,9 +32,9 @@ BLOCK = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("annotation script style noscript template svg iframe object canvas select textarea head title button audio video".split())
-FURNITURE = set("nav aside menu dialog search".split())
-#: Furniture of a page, but inside an article perhaps its title or its form.
-PERHAPS = set("header footer form".split())
+FURNITURE = set("nav aside menu dialog search footer".split())
+#: Furniture of a page, but inside an article perhaps its title, or a form around all of it.
+PERHAPS = set("header form".split())
 ARTICLE = set("article main".split())
 RAW = set("script style textarea title".split())
 HEADING = {f"h{i}" for i in range(1, 7)}
@@ -42,10 +44,10 @@ SIBLINGS = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 #: Words in class, id or role that name furniture, that say where or how it is shown, and that name the article.
 NAMES_FURNITURE = set(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies copyright "
-    "footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related "
-    "search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
+    "footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popular popup promo promoted promotion pub rail recommended related "
+    "search share sharing sidebar skip social sponsor sponsored subscribe subscription tags teaser teasers toolbar trending widget widgets".split()
 )
-NAMES_COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
+NAMES_COMMENTS = set("comment comments commentlist discussion disqus feedback replies reply respond talkback".split())
 NAMES_PLACE = set(
     "area articles bar block bottom box btn button buttons cloud col column container content elements fixed global group inner icons item items label layout left link links list "
     "main mobile news notification outer page panel posts primary right row section secondary side signup site slot stories sub text top unit wrap wrapper".split()
@@ -61,42 +63,37 @@ _END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WHITE = re.compile(r"\s+")
 
-#: Kinds of blocks: words from, to; link density from, to; named as furniture (0, 1, 2), inside an article, a heading; main text.
-KINDS = {
-    "menu": (1, 4, 0.9, 1.0, 2, 0, 0, 0), "links": (1, 12, 0.7, 1.0, 0, 0, 0, 0), "maybe-links": (1, 12, 0.7, 1.0, 1, 0, 0, 0),
-    "advert": (3, 60, 0.0, 0.2, 2, 0, 0, 0), "advert-inside": (3, 60, 0.0, 0.2, 2, 1, 0, 0), "share": (1, 4, 0.5, 1.0, 2, 1, 0, 0),
-    "notice": (5, 40, 0.0, 0.2, 2, 0, 0, 0), "comment": (2, 150, 0.0, 0.2, 2, 1, 0, 0), "comment-outside": (2, 150, 0.0, 0.2, 2, 0, 0, 0),
-    "side-title": (1, 6, 0.0, 0.0, 2, 0, 1, 0), "side": (5, 80, 0.0, 0.4, 2, 0, 0, 0), "footer": (2, 15, 0.0, 0.5, 1, 0, 0, 0),
-    "byline": (2, 8, 0.0, 0.5, 1, 1, 0, 0), "label": (1, 6, 0.0, 0.0, 1, 0, 0, 0), "label-inside": (1, 6, 0.0, 0.0, 1, 1, 0, 0),
-    "loose": (1, 5, 0.0, 0.5, 0, 0, 0, 0),
-    "title": (2, 14, 0.0, 0.0, 0, 1, 1, 1), "maybe-title": (2, 14, 0.0, 0.0, 1, 1, 1, 1), "plain-title": (2, 14, 0.0, 0.0, 0, 0, 1, 1),
-    "text": (1, 200, 0.0, 0.4, 0, 1, 0, 1), "item": (1, 30, 0.0, 1.0, 0, 1, 0, 1), "section": (1, 8, 0.0, 1.0, 0, 1, 1, 1),
-    "maybe-text": (14, 200, 0.0, 0.4, 1, 1, 0, 1), "form-text": (25, 200, 0.0, 0.3, 1, 0, 0, 1), "form-short": (1, 12, 0.0, 0.2, 1, 0, 0, 1), "form-title": (2, 14, 0.0, 0.0, 1, 0, 1, 1),
-    "plain-text": (25, 200, 0.0, 0.3, 0, 0, 0, 1), "plain-short": (1, 12, 0.0, 0.2, 0, 0, 0, 1),
-}
-
-#: Pages as they are laid out, block by block; the labelled table has PAGES of each, with sizes drawn by a seeded generator.
-LAYOUTS = [
-    "menu menu menu advert title text text text footer", "menu menu notice title text item item item text section text text comment comment footer",
-    "notice menu menu links maybe-title byline text text advert-inside text share comment side-title side side footer", "text item item section item text",
-    "menu side-title side title text text label-inside label-inside advert-inside maybe-text text comment comment", "title text share byline menu menu",
-    "links links links plain-title loose plain-text plain-text plain-short plain-text plain-text footer", "links links loose plain-title plain-text plain-text links links loose",
-    "maybe-links maybe-links form-title form-text form-text form-short form-text label label label maybe-links", "label form-title form-text form-short form-text label label",
-    "menu loose advert loose comment-outside comment-outside footer footer", "maybe-title maybe-text byline text item text text share", "notice text text text advert comment comment",
-    "loose links loose links advert loose label label footer", "links maybe-links links label label footer loose maybe-links",
-]
-PAGES, LEAST = 8, 4
-
-
-def examples() -> np.ndarray:
-    """The labelled table: words, link density, the same of the block before and of the one after, the kind's marks, main text."""
-    draw, rows = np.random.default_rng(1), []
-    for layout in LAYOUTS * PAGES:
-        kinds = [KINDS[k] for k in layout.split()]
-        shape = [(int(draw.integers(k[0], k[1] + 1)), round(float(draw.uniform(k[2], k[3])), 1)) for k in kinds]
-        ends = [(0, 0.0), *shape, (0, 0.0)]
-        rows += [(*shape[i], *ends[i], *ends[i + 2], *k[4:]) for i, k in enumerate(kinds)]
-    return np.array(rows, dtype=float)
+#: Pages that the labelled table has of each layout, rows of a leaf, and what the containers of text are.
+PAGES, LEAST = 24, 4
+CONTAINERS = set("article aside body center dialog div footer form header main nav section td".split())
+_STANDS = re.compile(r"\{([mx])(\d+)\}")
+
+
+def rendered(layout: str, draw: np.random.Generator) -> str:
+    """A layout as a page: words of m are main text, words of x are not; numbers of words are about those said."""
+    return _STANDS.sub(lambda m: " ".join([m[1] * 5] * max(1, round(int(m[2]) * draw.uniform(0.5, 2)))), layout)
+
+
+def examples(layouts: list[str] = LAYOUTS, pages: int = PAGES, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: features() of the blocks of rendered pages, and whether each is main text."""
+    draw, rows, labels = np.random.default_rng(seed), [], []
+    for layout in layouts * pages:
+        found = blocks(rendered(layout, draw))
+        rows += features(found)
+        labels += [x[0].count("m") > x[0].count("x") for x in found]
+    return np.array(rows, dtype=float), np.array(labels)
+
+
+def features(found: list[tuple]) -> list[tuple]:
+    """Of each block: words and link density, the same of the block before and of the one after, its container's words that aren't links as a share of
+    the fullest container's, how surely it is named as furniture, whether inside an article, a heading, and whether the page has an article."""
+    shape = [(0, 0.0), *[(len(text.split()), link) for text, link, *_ in found], (0, 0.0)]
+    held: Counter[int] = Counter()
+    for (words, link), (_, _, sure, _, _, container) in zip(shape[1:], found, strict=False):
+        held[container] += (words * (1 - link)) if sure < 2 else 0
+    fullest = max(held.values(), default=0) or 1
+    any_article = int(any(x[3] and x[2] < 2 for x in found))
+    return [(*shape[i + 1], *shape[i], *shape[i + 2], held[x[5]] / fullest, *map(int, x[2:5]), any_article) for i, x in enumerate(found)]
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8):
@@ -121,15 +118,14 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8):
 
 @cache
 def tree():
-    table = examples()
-    return grow(table[:, :-1], table[:, -1])
+    return grow(*examples())
 
 
-def is_main(features: tuple, node=None) -> bool:
+def is_main(features_: tuple, node=None) -> bool:
     node = tree() if node is None else node
     while isinstance(node, tuple):
         f, cut, low, high = node
-        node = low if features[f] <= cut else high
+        node = low if features_[f] <= cut else high
     return node >= 0.5
 
 
@@ -187,13 +183,13 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, str]]:
             at = start + 1
 
 
-def blocks(page: str) -> list[tuple[str, float, int, bool, bool]]:
-    """Flat text blocks in page order: text, link density, how surely furniture, inside an article, a heading."""
-    out: list[tuple[str, float, int, bool, bool]] = []
-    stack: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]  # tag, dropped, furniture, article, heading: as they hold inside it
+def blocks(page: str) -> list[tuple[str, float, int, bool, bool, int]]:
+    """Flat text blocks in page order: text, link density, how surely furniture, inside an article, a heading, number of the container."""
+    out: list[tuple[str, float, int, bool, bool, int]] = []
+    stack: list[tuple[str, bool, int, bool, bool, int]] = [("", False, 0, False, False, 0)]  # tag, dropped, furniture, article, heading, container: as they hold inside it
     open_: Counter[str] = Counter()
     parts: list[str] = []
-    linked, at = 0, 0
+    linked, at, containers = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -235,10 +231,13 @@ def blocks(page: str) -> list[tuple[str, float, int, bool, bool]]:
             if (tag in SIBLINGS and stack[-1][0] == tag) or (tag in BLOCK and stack[-1][0] == "p"):
                 close()
             dropped, sure, article = _marks(tag, attributes)
-            _, d, s, a, h = stack[-1]
+            _, d, s, a, h, c = stack[-1]
             if tag in ARTICLE and (s < 2 or tag == "main"):
                 s = 0
-            stack.append((tag, d or dropped, max(s, sure), a or article, h or tag in HEADING))
+            if tag in CONTAINERS and tag != "body":
+                containers += 1
+                c = containers
+            stack.append((tag, d or dropped, max(s, sure), a or article, h or tag in HEADING, c))
             open_[tag] += 1
     if stack[-1][0] not in RAW:
         text_until(len(page))
@@ -246,24 +245,10 @@ def blocks(page: str) -> list[tuple[str, float, int, bool, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, node=None) -> str:
     """The main blocks of a page, one line each."""
     found = blocks(page) if page else []
-    shape = [(0, 0.0), *[(len(t.split()), link) for t, link, *_ in found], (0, 0.0)]
-    kept = []
-    for i, (text, _, *rest) in enumerate(found):
-        if is_main((*shape[i + 1], *shape[i], *shape[i + 2], *map(int, rest))):
-            kept.append(text)
-    return "\n".join(kept)
-
-
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(x.as_py()) for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
-        )
+    return "\n".join(block[0] for block, x in zip(found, features(found), strict=True) if is_main(x, node))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -273,4 +258,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     space; blocks are joined by a line break. Other columns are ignored. An empty table gives an empty one.
     """
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return map_arrow(plain, _extracted, "page_id long, url string, text string, n_chars long")
+    fitted = tree()  # once, not in every worker
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(x.as_py(), fitted) for x in batch.column("html")]
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+
+    return map_arrow(plain, each, "page_id long, url string, text string, n_chars long")

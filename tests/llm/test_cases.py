@@ -319,3 +319,39 @@ def test_mixed_keeps_the_totals_of_repeated_rows(spark):
     want = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).toPandas().set_index("source").n.to_dict()
     got = mixing.mixed(docs).groupBy("source").agg(F.sum(common.word_count(F.col("text"))).alias("n")).toPandas().set_index("source").n.to_dict()
     assert got == {k: v for k, v in want.items() if v}
+
+
+SIX = [f"words of a plain line {i} here" for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div>" + "".join(f"<p>{x}</p>" for x in SIX) + "</div>", "\n".join(SIX)), ("<p>Short note only.</p>", "Short note only."), ("<body><nav><a href=/>Home</a></nav><p>Short note only.</p><footer>&copy; nobody</footer>", "Short note only."),
+        (f"<article><header><h1>A title</h1><p>eight words that stand first below the title</p></header><p>{LONG}</p></article>", f"A title\neight words that stand first below the title\n{LONG}"),
+        (f"<div class=left-rail><h3>Popular</h3><p>{LONG}</p></div><article><p>{LONG} end</p></article>", f"{LONG} end"), (f"<article><p>{LONG} end</p></article><section class=discussion><p>{LONG}</p></section>", f"{LONG} end"),
+        (f"<article><p>{LONG} end</p></article><div class=talkback><p>{LONG}</p></div>", f"{LONG} end"), (f"<article><p>{LONG} end</p><div class=pub>Buy this now and be glad</div></article>", f"{LONG} end"),
+        (f"<ul><li><a>Home</a><li><a>News</a></ul><div><h1>A title of words</h1><p>{LONG}</p><p>{LONG}</p><p>And so on.</p></div><div><h3>Readers</h3><div><p>I liked this one a lot.</p></div><div><p>Me too.</p></div></div>", f"A title of words\n{LONG}\n{LONG}\nAnd so on."),
+    ],
+)
+def test_html_of_short_and_loosely_named_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+#: Layouts that the tree isn't fitted on.
+HELD_OUT = [
+    "<div id=top><a href=/>{x1}</a> <a href=/n>{x1}</a></div><div class=story><h1>{m7}</h1><p>{m40}</p><p>{m10}</p><p>{m60}</p></div><div id=bottom class=footer>{x5}</div>",
+    "<header><a href=/>{x2}</a></header><main><h1>{m5}</h1><p>{m20}</p><section><h2>{m3}</h2><p>{m35}</p><ol><li>{m5}<li>{m7}</ol></section></main><div class=newsletter>{x12}</div><footer>{x4}</footer>",
+    "<article><h2>{m4}</h2><p>{m4}</p><p>{m9}</p></article><section class=comments><p>{x30}</p><p>{x5}</p></section>",
+    "<div class=cookies>{x20}</div><div class=sidebar><h4>{x1}</h4><a href=/a>{x4}</a><a href=/b>{x5}</a></div><div class=body><p>{m25}</p><p>{m45}</p></div>",
+    "<div class=banner>{x8}</div><div><p>{m8}</p><p>{m6}</p></div><div class=related><a href=/a>{x6}</a></div>",
+    "<ul><li><a href=/1>{x1}</a><li><a href=/2>{x1}</a></ul><div><div><h1>{m6}</h1><p>{m55}</p><p>{m35}</p><p>{m50}</p></div><div><p>{x7}</p></div></div>",
+]
+
+
+def test_tree_on_layouts_it_has_not_seen():
+    x, y = html_text.examples(HELD_OUT, pages=20, seed=9)
+    right = np.array([html_text.is_main(tuple(r)) for r in x]) == y
+    assert right.mean() >= 0.95
+    f, _, *_ = html_text.tree()
+    assert f != 7  # names of furniture don't decide alone
