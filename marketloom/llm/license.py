@@ -2,7 +2,7 @@
 
 A text is normalised to lower-case words, line breaks as spaces, and its bigrams are hashed. A set that reaches the
 threshold holds at least threshold / (2 - threshold) of the template's bigrams, so only windows of the template's
-size, and lines, with so many hits are scored. Nothing is shuffled. DataFrame functions only.
+size, and lines, of texts with so many hits are scored; only those texts are shuffled, a row for a word. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import materialize
 
 THRESHOLD = 0.8
 
@@ -50,16 +53,6 @@ def _bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<long>"))
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with the value made once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def _upto(n: Column) -> Column:
-    """0 to n - 1; n may be 0 or less."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, line, license, dice): the passages that reach the threshold with a template.
 
@@ -89,15 +82,47 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
 
 
 def _passages(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]], threshold: float, ratio: float) -> DataFrame:
-    need = {rank: max(1, math.ceil(ratio * len(grams) - 1e-9)) for rank, _, _, grams in notices}
+    """Rows of scan() for templates with bigrams (rank, name, bigrams, different bigrams), in time in proportion to the texts.
+
+    A place counts as a different bigram in the windows that begin after the same bigram's last place, so the numbers of different and
+    of shared bigrams of all windows are running sums over the places where such stretches begin and end.
+    """
     if not notices:
         return plain.sparkSession.createDataFrame([], "doc_id long, line int, license string, dice double")
-    longs = lambda grams: F.split(F.lit(",".join(map(str, grams))), ",").cast("array<long>")
-    known = F.array(*[
-        F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(need[rank]).alias("need"), F.lit(len(grams)).alias("size"), longs(grams).alias("grams"))
-        for rank, name, n, grams in notices
-    ])
-    rows = plain.select("doc_id", "text", _words(F.col("text")).alias("words")).select("doc_id", "text", _bigrams(F.col("words")).alias("g"))
+    held = materialize(_candidates(plain, notices, ratio), "licence-texts")
+    own = lambda values: F.get(F.array(*map(F.lit, values)), F.col("t"))
+    texts = held.select("id", "doc_id", F.size("g").alias("size"), F.explode("ts").alias("t")).withColumns({"n": own([n for *_, n, _ in notices]), "own": own([len(grams) for *_, grams in notices])})
+    words = held.select("id", F.posexplode(F.arrays_zip("g", F.slice("line_of", 1, F.size("g")).alias("line"), F.slice("line_of", 2, F.size("g")).alias("next"))).alias("p", "x"))
+    words = words.select("id", "p", F.col("x.g").alias("gram"), F.col("x.line").alias("line"), (F.col("x.line") == F.col("x.next")).alias("same"))
+    words = words.withColumn("before", F.lag("p").over(Window.partitionBy("id", "gram").orderBy("p")))
+    shared = plain.sparkSession.createDataFrame([(t, gram) for t, (*_, grams) in enumerate(notices) for gram in grams], "t int, gram long")
+    rows = words.join(texts, "id").join(F.broadcast(shared.withColumn("hit", F.lit(1))), ["t", "gram"], "left")  # the templates, a parameter
+    rows = rows.withColumn("hit", F.coalesce("hit", F.lit(0)))
+    begin = F.greatest(F.coalesce(F.col("before") + 1, F.lit(0)), F.col("p") - F.col("n") + 1)
+    event = lambda s, d, start, line: F.struct(s.alias("s"), F.lit(d).alias("d"), (F.col("hit") * d).alias("h"), start.alias("start"), line.alias("line"))
+    none = F.lit(None).cast("int")
+    events = F.explode(F.array(event(begin, 1, F.lit(0), none), event(F.col("p") + 1, -1, F.lit(0), none), event(F.col("p"), 0, F.col("hit"), F.col("line"))))
+    key = ["id", "doc_id", "t", "n", "own", "size"]
+    places = rows.select(*key, events.alias("e")).select(*key, "e.*").groupBy(*key, "s").agg(F.sum("d").alias("d"), F.sum("h").alias("h"), F.max("start").alias("start"), F.max("line").alias("line"))
+    upto = Window.partitionBy("id", "t").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    windows = places.select(*key, "s", "line", "start", F.sum("d").over(upto).alias("different"), F.sum("h").over(upto).alias("shared")).where("start = 1")
+    windows = windows.select(*key, "s", F.least(F.col("s") + F.col("n"), F.col("size")).alias("e"), "line", "different", "shared")
+    lines = rows.where("same").groupBy(*key, "line").agg(F.min("p").alias("s"), F.max("p").alias("last"), F.count_distinct("gram").alias("different"), F.count_distinct(F.when(F.col("hit") == 1, F.col("gram"))).alias("shared"))
+    lines = lines.select(*key, "s", (F.col("last") + 1).alias("e"), "line", "different", "shared")
+    dice = F.col("shared") * 2.0 / (F.col("different") + F.col("own"))
+    found = windows.unionByName(lines).withColumn("dice", dice).where(F.col("dice") >= threshold)
+    rank, name = own([rank for rank, *_ in notices]), own([name for _, name, *_ in notices])
+    found = found.select("id", "doc_id", F.struct((-F.col("shared")).alias("fewer"), (-F.col("dice")).alias("less"), rank.alias("rank"), "s", "e", name.alias("license"), "line").alias("x"))
+    each = found.groupBy("id", "doc_id").agg(F.array_sort(F.collect_set("x")).alias("found"))  # of one text
+    empty = F.filter("found", lambda x: F.lit(False))
+    apart = F.aggregate("found", empty, lambda kept, x: F.when(F.exists(kept, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])), kept).otherwise(F.concat(kept, F.array(x))))
+    return each.select("doc_id", F.explode(apart).alias("x")).select("doc_id", F.col("x.line").alias("line"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))
+
+
+def _candidates(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]], ratio: float) -> DataFrame:
+    """id, doc_id, g, line_of, ts: the texts that have enough bigrams of some templates (numbers in ts), their bigrams, and each word's line."""
+    need = [max(1, math.ceil(ratio * len(grams) - 1e-9)) for *_, grams in notices]
+    rows = plain.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text", _words(F.col("text")).alias("words")).select("id", "doc_id", "text", _bigrams(F.col("words")).alias("g"))
     g = F.col("g")
     # a hash table as one literal: long lists of literals take long to plan
     among: dict[int, list[int]] = {}
@@ -109,38 +134,13 @@ def _passages(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]],
         cells[gram % len(cells)].append({"g": gram, "t": which})
     table = F.from_json(F.lit(json.dumps(cells)), "array<array<struct<g: long, t: array<int>>>>")
     cell = lambda gram: F.get(table, F.pmod(gram, F.lit(len(cells))).cast("int"))
-    at = F.filter(_upto(F.size(g)), lambda i: F.exists(cell(F.get(g, i)), lambda e: e["g"] == F.get(g, i)))
+    known = F.filter(g, lambda gram: F.exists(cell(gram), lambda e: e["g"] == gram))
     # an explode keeps what it makes from being made again in each later condition
-    rows = rows.select("doc_id", "text", "g", F.explode(F.filter(F.array(at), lambda h: F.size(h) >= min(need.values()))).alias("at"))
-    of = F.flatten(F.transform("at", lambda p: F.transform(F.flatten(F.transform(F.filter(cell(F.get(g, p)), lambda e: e["g"] == F.get(g, p)), lambda e: e["t"])), lambda t: F.struct(t.alias("t"), p.alias("p")))))
-    rows = rows.select("doc_id", "text", "g", F.explode(F.array(of)).alias("of"))
-    places = lambda t: F.transform(F.filter("of", lambda x: x["t"] == t), lambda x: x["p"])
-    hits = F.transform(F.array_distinct(F.col("of.t")), lambda t: F.struct(t.alias("t"), places(t).alias("h")))
-    hits = F.filter(hits, lambda x: F.size(x["h"]) >= F.get(F.array(*[F.lit(need[rank]) for rank, *_ in notices]), x["t"]))
-    rows = rows.select("doc_id", "text", "g", F.explode(F.filter(F.array(hits), lambda x: F.size(x) > 0)).alias("hits"))
+    rows = rows.select("id", "doc_id", "text", "g", F.explode(F.filter(F.array(known), lambda h: F.size(h) >= min(need))).alias("known"))
+    # each different bigram once, as only different ones count
+    of = F.flatten(F.transform(F.array_distinct("known"), lambda gram: F.flatten(F.transform(F.filter(cell(gram), lambda e: e["g"] == gram), lambda e: e["t"]))))
+    rows = rows.select("id", "doc_id", "text", "g", F.explode(F.array(of)).alias("of"))
+    enough = lambda t: F.size(F.filter("of", lambda x: x == t)) >= F.get(F.array(*map(F.lit, need)), t)
+    rows = rows.select("id", "doc_id", "text", "g", F.explode(F.filter(F.array(F.filter(F.array_distinct("of"), enough)), lambda x: F.size(x) > 0)).alias("ts"))
     line_of = F.flatten(F.transform(F.split("text", "\n"), lambda raw, i: F.array_repeat(i, F.size(_words(raw)))))
-    rows = rows.select("doc_id", "g", "hits", F.explode(F.array(line_of)).alias("line_of"))
-    line_of = F.col("line_of")
-
-    def spans(x: Column) -> Column:
-        t, h = F.get(known, x["t"]), x["h"]
-        last = lambda j: F.get(h, j + t["need"] - 1)
-        runs = _upto(F.size(h) - t["need"] + 1)
-        windows = F.transform(F.filter(runs, lambda j: last(j) - F.get(h, j) < t["n"]), lambda j: F.struct(F.get(h, j).alias("s"), t["n"].alias("n")))
-        lines = F.array_distinct(F.transform(F.filter(runs, lambda j: F.get(line_of, F.get(h, j)) == F.get(line_of, last(j) + 1)), lambda j: F.get(line_of, F.get(h, j))))
-        whole = F.transform(lines, lambda k: F.struct((F.array_position(line_of, k) - 1).cast("int").alias("s"), (F.size(F.filter(line_of, lambda y: y == k)) - 1).alias("n")))
-        return F.transform(F.array_distinct(F.concat(windows, whole)), lambda p: scored(t, p))
-
-    def scored(t: Column, p: Column) -> Column:
-        held = F.array_distinct(F.slice(g, p["s"] + 1, p["n"]))
-        return _let(held, lambda d: _let(F.size(F.array_intersect(d, t["grams"])), lambda shared: F.struct(
-            (-shared).alias("fewer"), (-(shared * 2.0 / (F.size(d) + t["size"]))).alias("less"), t["rank"].alias("rank"),
-            p["s"].alias("s"), F.least(p["s"] + p["n"], F.size(g)).alias("e"), t["license"].alias("license"),
-        )))
-
-    found = F.array_sort(F.filter(F.flatten(F.transform("hits", spans)), lambda x: x["less"] <= -threshold))
-    rows = rows.select("doc_id", "line_of", F.explode(F.array(found)).alias("found"))
-    none = F.filter("found", lambda x: F.lit(False))
-    apart = F.aggregate("found", none, lambda kept, x: F.when(F.exists(kept, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])), kept).otherwise(F.concat(kept, F.array(x))))
-    rows = rows.select("doc_id", "line_of", F.explode(apart).alias("x"))
-    return rows.select("doc_id", F.get("line_of", F.col("x.s")).alias("line"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))
+    return rows.select("id", "doc_id", "g", line_of.alias("line_of"), "ts")

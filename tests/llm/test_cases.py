@@ -355,3 +355,56 @@ def test_tree_on_layouts_it_has_not_seen():
     assert right.mean() >= 0.95
     f, _, *_ = html_text.tree()
     assert f != 7  # names of furniture don't decide alone
+
+
+def brute_scan(text, templates, threshold=0.8):
+    """All windows and lines of a text against all templates, the best first, none over another."""
+    norm = lambda t: re.sub(r"[^\w]+|_", " ", t.lower()).split()
+    lines = [norm(x) for x in text.split("\n")]
+    words, of = [w for x in lines for w in x], [i for i, x in enumerate(lines) for _ in x]
+    grams, found = list(zip(words, words[1:])), []
+    for rank, (name, t) in enumerate(sorted(templates, key=lambda x: x[0])):
+        w = norm(t)
+        own, n = set(zip(w, w[1:])), len(w) - 1
+        spans = [(s, min(s + n, len(grams))) for s in range(len(grams)) if grams[s] in own]
+        first = {}
+        for i, line in enumerate(of):
+            first.setdefault(line, i)
+        spans += [(s, s + len(lines[line]) - 1) for line, s in first.items() if len(lines[line]) > 1]
+        for s, e in set(spans):
+            held = set(grams[s:e])
+            dice = 2 * len(held & own) / (len(held) + len(own))
+            if dice >= threshold:
+                found.append((-len(held & own), -dice, rank, s, e, name))
+    kept = []
+    for x in sorted(found):
+        if not any(x[3] < y[4] and y[3] < x[4] for y in kept):
+            kept.append(x)
+    return sorted((of[x[3]], x[5], round(-x[1], 9)) for x in kept)
+
+
+def test_licences_equal_brute_force_over_all_templates(spark):
+    rng = np.random.default_rng(6)
+    isc, mit = (next(t for n, t in reversed(license.TEMPLATES) if n == k) for k in ("ISC", "MIT"))
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    change = lambda t, share: " ".join(w if rng.random() > share else f"w{rng.integers(99)}" for w in t.split())
+    texts = [isc, wrap(mit, 7), f"{prose(1, 50)}\n{wrap(isc, 12)}\n{mit}\n{prose(2, 30)} Released under the MIT License. {prose(3, 9)}", change(mit, 0.04), change(isc, 0.08), isc + " " + isc + "\n\n" + mit[:400],
+             "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", license.TEMPLATES[1][1] + " and more", prose(5, 300), None, "", "mit", " ".join(t for _, t in license.TEMPLATES[:14])]
+    templates = [t for t in license.TEMPLATES if len(t[1]) < 2000]
+    got = {}
+    for r in license.scan(corpus(spark, texts), templates=templates).collect():
+        got.setdefault(r.doc_id, []).append((r.line, r.license, round(r.dice, 9)))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == brute_scan(t or "", templates), i
+    assert len(got) >= 8
+
+
+def test_licences_of_long_texts_take_time_in_proportion(spark):
+    import time
+
+    whole = next(t for n, t in reversed(license.TEMPLATES) if n == "GPL-3.0")
+    license.scan(corpus(spark, [whole])).count()
+    began = time.time()
+    rows = license.scan(corpus(spark, ["\n".join([whole] * 60)])).collect()
+    took = time.time() - began
+    assert len(rows) == 60 and {r.license for r in rows} == {"GPL-3.0"} and took < 60  # 2 MB
