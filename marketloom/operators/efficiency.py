@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distributions import chi2_p, critical_values, kpss_p, normal_p, unit_root_p
+from ..functions.distributions import chi2_p, chi2_p_by, critical_values, kpss_p, normal_p, unit_root_p
 from .gram import fitted, ols
 
 def in_time():
@@ -43,6 +43,18 @@ def ljung_box(df: DataFrame, lags: int = 10, column: str = "r") -> DataFrame:
     return s.withColumn("p_value", chi2_p(F.col("statistic"), lags))
 
 
+def ljung_box_set(df: DataFrame, lags: list[int], column: str = "r") -> DataFrame:
+    """symbol, n, lags, statistic, p_value: ljung_box() for each number of lags, from one pass up to the greatest."""
+    if not lags or min(lags) < 1:
+        raise ValueError("numbers of lags, from 1")
+    r = autocorrelation(df, max(lags), column)
+    part = F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))
+    sums = [F.struct(F.lit(k).alias("lags"), F.sum(F.when(F.col("lag") <= k, part)).alias("q")) for k in sorted(set(lags))]
+    s = r.groupBy("symbol", "n").agg(F.array(*sums).alias("x")).select("symbol", "n", F.explode("x").alias("x")).select("symbol", "n", "x.*")
+    s = s.select("symbol", "n", "lags", (F.col("n") * (F.col("n") + 2) * F.col("q")).alias("statistic"))
+    return s.withColumn("p_value", chi2_p_by(F.col("statistic"), F.col("lags")))
+
+
 def runs_test(df: DataFrame) -> DataFrame:
     """Wald-Wolfowitz runs of the signs of demeaned returns; zeros are left out first."""
     rows = demeaned(df).where("d <> 0").withColumn("up", F.col("d") > 0)

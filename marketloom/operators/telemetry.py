@@ -11,41 +11,29 @@ from pyspark.sql import functions as F
 BLOCK, BROADCAST = 1_024, 16
 
 
-#: Rank error of the sketch that brackets a percentile, as one over this; the exact value is looked up within the bracket.
-ACCURACY = 10_000
-
-
 def percentiles(df: DataFrame, key: str, value: str, at: dict[str, float]) -> DataFrame:
     """key and, by name, exact interpolated percentiles of value, without gathering a key's values in one task.
 
-    A sketch brackets each percentile; only the different values within a bracket are ranked, with their counts.
+    Equal values are counted first. The different ones are dealt in ranges; each range's total, summed up over the ranges before, says
+    which ranks it holds, so a task orders the values of its range alone and all percentiles come out of one pass.
     """
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull()).select(key, v.alias("v"))
-    ends = [0.0, 1.0] + [x for p in at.values() for x in (max(0.0, p - 4 / ACCURACY), min(1.0, p + 4 / ACCURACY))]
-    bounds = rows.groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("b"))
-    few = F.col("n") <= 2 * ACCURACY  # so few that a bracket might hold no rank: all of them are ranked
-    end = lambda i, whole: F.when(few, F.get("b", F.lit(whole))).otherwise(F.get("b", F.lit(i)))
-    near = F.array(*[F.struct(F.lit(i).alias("which"), end(2 * i + 2, 0).alias("low"), end(2 * i + 3, 1).alias("high")) for i in range(len(at))])
-    rows = rows.join(bounds.select(F.col(key).alias("_k"), "b", "n"), F.col(key).eqNullSafe(F.col("_k"))).select(key, "v", near.alias("near"))
-    below = [F.count_if(F.col("v") < F.col("near")[i]["low"]).alias(f"below{i}") for i in range(len(at))]
-    below = rows.groupBy(key).agg(*below)
-    inside = rows.select(key, "v", F.explode(F.filter("near", lambda x: (F.col("v") >= x["low"]) & (F.col("v") <= x["high"]))).alias("x"))
-    inside = inside.groupBy(key, "x.which", "v").agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(key, "which").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.sum("c").over(upto))
-    out = bounds.drop("b")
-    for i, (name, p) in enumerate(at.items()):
-        mine = inside.where(F.col("which") == i).join(below.select(F.col(key).alias("_k"), f"below{i}"), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
-        mine = mine.join(bounds.select(F.col(key).alias("_k"), "n"), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    counted = df.where(v.isNotNull()).groupBy(key, v.alias("v")).agg(F.count("*").alias("c"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counted.repartitionByRange(tasks, key, "v").withColumn("part", F.spark_partition_id())
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col(key).alias("_k"), F.col("part").alias("_part")).agg(F.sum("c").alias("held"))
+    totals = totals.select("_k", "_part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("ahead"), F.sum("held").over(Window.partitionBy("_k")).alias("n"))
+    rows = ranged.join(totals, F.col(key).eqNullSafe(F.col("_k")) & (F.col("part") == F.col("_part")))
+    upto = Window.partitionBy(key, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.col("ahead") + F.sum("c").over(upto))
+    holds = lambda k: (F.col("upto") - F.col("c") <= k) & (k < F.col("upto"))
+    ends = []
+    for name, p in at.items():
         place = F.lit(p) * (F.col("n") - 1)
-        first, last = F.col(f"below{i}") + F.col("upto") - F.col("c"), F.col(f"below{i}") + F.col("upto")  # ranks from 0, last exclusive
-        holds = lambda k: (first <= k) & (k < last)  # noqa: B023, E731
-        low = F.max(F.when(holds(F.floor(place)), F.col("v")))
-        high = F.max(F.when(holds(F.ceil(place)), F.col("v")))
-        mine = mine.groupBy(F.col(key).alias("_k")).agg((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-        out = out.join(mine, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
-    return out.drop("n")
+        ends += [F.max(F.when(holds(F.floor(place)), F.col("v"))).alias(f"low_{name}"), F.max(F.when(holds(F.ceil(place)), F.col("v"))).alias(f"high_{name}"), F.max(place - F.floor(place)).alias(f"part_{name}")]
+    out = rows.groupBy(key).agg(*ends)
+    return out.select(key, *[(F.col(f"low_{n}") + (F.col(f"high_{n}") - F.col(f"low_{n}")) * F.col(f"part_{n}")).alias(n) for n in at])
 
 
 def latency(spans: DataFrame, key: str, duration: str, failed: Column) -> DataFrame:

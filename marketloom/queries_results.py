@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from . import sql
 from .functions import distributions
 from .operators import battery, diagnostics, efficiency, pricing, proposals, recursion, results, systems, volatility
 from .operators.gram import fitted, ols
-from .queries import _ACF, _FACTORS, DIGITS, _aligned, _factors, _levels, _r, _residuals, _returns, _three, register
+from .queries import _ACF, _FACTORS, _SERIES, _THREE, DIGITS, ORACLES, _aligned, _dickey_fuller, _factors, _kpss, _lags, _levels, _r, _residuals, _returns, _three, register
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -154,3 +155,79 @@ def diagnostics_report(spark, d):
     rows = _aligned(spark, d).join(_factors(spark, d).select("ts", "AUTOMOBILE"), "ts").na.drop()
     xs = ["m", "AUTOMOBILE"]
     return battery.report(fitted(rows, ols(rows, "r", xs, ["symbol"]), "r", xs, ["symbol"]), xs)
+
+
+LAG_SETS = [1, 5, 10]
+
+
+@register("ljung_box_set", f"{_ACF}, q AS (SELECT symbol, n, k AS lags, n * (n + 2) * sum(acf * acf / (n - lag)) AS st FROM a, (SELECT unnest({LAG_SETS})::INT AS k) WHERE lag <= k GROUP BY symbol, n, k) SELECT symbol, n, lags, {_r('st AS statistic')}, round(CASE lags "
+          + " ".join(f"WHEN {k} THEN {sql.chi2_p('st', k)}" for k in LAG_SETS) + f" END, {DIGITS}) AS p_value FROM q")
+def ljung_box_set(spark, d):
+    return efficiency.ljung_box_set(_returns(spark, d), LAG_SETS)
+
+
+def _unrounded(text: str) -> str:
+    return re.sub(rf"(?<!lag\(d), {DIGITS}\)", ", 300)", text)
+
+
+def _whole(name: str) -> str:
+    """The SQL of another query without its rounding."""
+    return _unrounded(ORACLES[name])
+
+
+def _score_sql() -> str:
+    """The score as a sum of its six parts, each by the SQL that its own query is checked by."""
+    logs = f"{_SERIES}, lx AS (SELECT symbol, ts, ln(value) AS value FROM lv)"
+    adf = _unrounded(f"{logs}{_dickey_fuller('lx', 'value', 8, 'c')}")
+    kpss = _unrounded(f"{logs}{_kpss('c').replace('FROM lv', 'FROM lx')}")
+    usual = "greatest(0, least(1, (p_value - 0.01) / 0.09))"
+    parts = {
+        "adf": (f"SELECT symbol, statistic, p_value FROM ({adf})", usual), "kpss": (f"SELECT symbol, statistic, p_value FROM ({kpss})", f"1 - {usual}"),
+        "variance_ratio": (f"SELECT symbol, arg_min(z_robust, (q, horizon)) AS statistic, 1 - pow(1 - min(q), 4) AS p_value FROM (SELECT *, CASE WHEN p_value = 0 THEN 1 ELSE p_value END AS q FROM ({_whole('variance_ratio')})) GROUP BY symbol", usual),
+        "runs": (f"SELECT symbol, z AS statistic, p_value FROM ({_whole('runs_test')})", usual), "ljung_box": (f"SELECT symbol, statistic, p_value FROM ({_whole('ljung_box')})", usual),
+        "hurst": (f"SELECT symbol, hurst AS statistic, NULL::DOUBLE AS p_value FROM ({_whole('hurst')})", "greatest(0, 1 - abs(statistic - 0.5) / 0.2)"),
+    }
+    each = " UNION ALL ".join(f"SELECT symbol, '{c}' AS component, {efficiency.WEIGHTS[c]}::DOUBLE AS weight, statistic, p_value, {sub} AS sub_score FROM ({rows})" for c, (rows, sub) in parts.items())
+    total = sum(efficiency.WEIGHTS.values())
+    return f"""WITH pa AS ({each}), sc AS (SELECT *, 100 * weight * sub_score / {total} AS contribution, sum(100 * weight * sub_score / {total}) OVER (PARTITION BY symbol) AS score FROM pa),
+ve AS (SELECT *, CASE WHEN score >= {efficiency.EFFICIENT} THEN 'efficient' WHEN score < {efficiency.INEFFICIENT} THEN 'inefficient' ELSE 'borderline' END AS verdict FROM sc)
+SELECT symbol, component, weight, {_r('statistic', 'p_value', 'sub_score', 'contribution', 'score')}, verdict, CASE WHEN verdict <> 'borderline' THEN verdict = 'efficient' END AS passed FROM ve"""
+
+
+ORACLES["efficiency_score"] = _score_sql()
+
+
+def _confidence_sql() -> str:
+    """Intervals with Student's quantile found by halving a bracket sixty times."""
+    mid = "((s.low + s.high) / 2)"
+    halves = f"list_reduce(list_transform(range(0, 61), lambda i: {{'low': 0.0::DOUBLE, 'high': 50.0::DOUBLE}}), lambda s, x: CASE WHEN {sql.t_p(mid, '(nobs - 2)')} > 0.05 THEN {{'low': {mid}, 'high': s.high}} ELSE {{'low': s.low, 'high': {mid}}} END)"
+    return f"""WITH f AS ({_whole('capm')}), q AS (SELECT *, {halves} AS h FROM f), w AS (SELECT *, (h.low + h.high) / 2 AS wide FROM q),
+t AS (SELECT symbol, unnest(['alpha', 'beta']) AS term, unnest([alpha, beta]) AS estimate, unnest([alpha_se, beta_se]) * wide AS half FROM w)
+SELECT symbol, term, {_r('estimate', 'estimate - half AS ci_low', 'estimate + half AS ci_high')} FROM t"""
+
+
+ORACLES["capm_confidence"] = _confidence_sql()
+
+
+def _responses_sql(last: str, horizons: int) -> str:
+    """Responses of the three returns to shocks of one standard deviation, by a recursion on the coefficients of two lags."""
+    names, xs, parts = "ANR", [f"{c}{k}" for k in (1, 2) for c in "ANR"], []
+    for c in names:
+        parts.append(sql.least_squares(f"e{c}", "lg", [], xs, c))
+    residual = {c: f"lg.{c} - e{c}.b_0 - " + " - ".join(f"e{c}.b_{i + 1} * lg.{x}" for i, x in enumerate(xs)) for c in names}
+    parts.append(f"rd AS (SELECT {', '.join(f'{v} AS {c}' for c, v in residual.items())} FROM lg, eA, eN, eR WHERE A2 IS NOT NULL)")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    parts.append("sg AS (SELECT " + ", ".join(f"sum({a} * {b}) / (count(*) - 7) AS s{a}{b}" for a, b in pairs) + " FROM rd)")
+    parts.append("""ch AS (SELECT lAA, lNA, lRA, lNN, (sNR - lRA * lNA) / lNN AS lRN, sqrt(sRR - lRA * lRA - pow((sNR - lRA * lNA) / lNN, 2)) AS lRR FROM (SELECT *, sqrt(sNN - lNA * lNA) AS lNN FROM (SELECT *, sqrt(sAA) AS lAA, sAN / sqrt(sAA) AS lNA, sAR / sqrt(sAA) AS lRA FROM sg)))""")
+    own = lambda i, j: f"p{i}{j}"
+    start = ", ".join([f"{1.0 if i == j else 0.0}::DOUBLE AS p{i}{j}" for i in names for j in names] + [f"0.0::DOUBLE AS q{i}{j}" for i in names for j in names])
+    step = ", ".join([" + ".join([f"{own(i, k)} * e{k}.b_{1 + names.index(j)} + q{i}{k} * e{k}.b_{4 + names.index(j)}" for k in names]) + f" AS p{i}{j}" for i in names for j in names] + [f"p{i}{j} AS q{i}{j}" for i in names for j in names])
+    parts.append(f"ps AS (SELECT 0 AS h, {start} UNION ALL SELECT h + 1, {step} FROM ps, eA, eN, eR WHERE h < {horizons})")
+    low = lambda i, j: f"l{i}{j}" if names.index(i) >= names.index(j) else "0"
+    cells = " UNION ALL ".join(f"SELECT h, '{j}' AS shock, '{i}' AS variable, {' + '.join(f'p{i}{k} * {low(k, j)}' for k in names)} AS v FROM ps, ch" for i in names for j in names)
+    return f"{_SERIES.replace('WITH ', 'WITH RECURSIVE ', 1)}{_THREE}{_lags('ANR', 2)}, {', '.join(parts)}, rp AS ({cells}) {last}"
+
+
+ORACLES["impulse_responses"] = _responses_sql(f"SELECT h::INT AS horizon, shock AS impulse, variable AS response, {_r('v AS value')} FROM rp", 10)
+ORACLES["variance_shares"] = _responses_sql(f"""SELECT (h + 1)::INT AS horizon, variable, shock, round(c / sum(c) OVER (PARTITION BY h, variable), {DIGITS}) AS share FROM (
+SELECT h, shock, variable, sum(v * v) OVER (PARTITION BY shock, variable ORDER BY h) AS c FROM rp)""", 9)

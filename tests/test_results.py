@@ -162,3 +162,32 @@ def test_battery_on_what_cant_be_judged(spark):
         battery.report(df, checks=["nothing"])
     plan = battery.report(df.where("ts > '2000-01-01'"), ["x", "one"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(symbol") <= 3
+
+
+@pytest.mark.parametrize("tasks", ["1", "7"])
+def test_percentiles_whatever_the_ranges(spark, tasks):
+    from marketloom.operators import telemetry
+
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.exponential(size=997)] + [("b", float(x)) for x in rng.integers(0, 3, 400)] + [("c", 4.0), (None, 1.0), (None, 2.0), ("d", None)] + [("a", 0.5)] * 300
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        got = {r.k: tuple(r)[1:] for r in telemetry.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p0": 0.0, "p100": 1.0}).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(got) == {"a", "b", "c", None}
+    for k in got:
+        held = [v for q, v in rows if q == k]
+        assert got[k] == pytest.approx(tuple(np.quantile(held, [0.5, 0.95, 0.99, 0.0, 1.0])))
+
+
+def test_a_set_of_lags_is_each_of_them(spark):
+    returns = walk(spark, 200)
+    got = {(r.symbol, r.lags): (r.statistic, r.p_value) for r in efficiency.ljung_box_set(returns, [7, 1, 12, 7]).collect()}
+    assert {k for _, k in got} == {1, 7, 12}
+    for lags in (1, 7, 12):
+        for r in efficiency.ljung_box(returns, lags).collect():
+            assert got[r.symbol, lags] == pytest.approx((r.statistic, r.p_value), rel=1e-9)
+    with pytest.raises(ValueError):
+        efficiency.ljung_box_set(returns, [0])
