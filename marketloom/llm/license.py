@@ -2,7 +2,7 @@
 
 A text is normalised to lower-case words, line breaks as spaces, and its bigrams are hashed. A set that reaches the
 threshold holds at least threshold / (2 - threshold) of the template's bigrams, so only windows of the template's
-size, and lines, of texts with so many hits are scored; only those texts are shuffled, a row for a word. DataFrame functions only.
+size, and lines, with so many hits are scored; only the stretches of text that hold them are shuffled. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -89,27 +89,23 @@ def _passages(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]],
     """
     if not notices:
         return plain.sparkSession.createDataFrame([], "doc_id long, line int, license string, dice double")
-    held = materialize(_candidates(plain, notices, ratio), "licence-texts")
+    held = materialize(_stretches(plain, notices, ratio), "stretches")
     own = lambda values: F.get(F.array(*map(F.lit, values)), F.col("t"))
-    texts = held.select("id", "doc_id", F.size("g").alias("size"), F.explode("ts").alias("t")).withColumns({"n": own([n for *_, n, _ in notices]), "own": own([len(grams) for *_, grams in notices])})
-    words = held.select("id", F.posexplode(F.arrays_zip("g", F.slice("line_of", 1, F.size("g")).alias("line"), F.slice("line_of", 2, F.size("g")).alias("next"))).alias("p", "x"))
-    words = words.select("id", "p", F.col("x.g").alias("gram"), F.col("x.line").alias("line"), (F.col("x.line") == F.col("x.next")).alias("same"))
-    words = words.withColumn("before", F.lag("p").over(Window.partitionBy("id", "gram").orderBy("p")))
-    shared = plain.sparkSession.createDataFrame([(t, gram) for t, (*_, grams) in enumerate(notices) for gram in grams], "t int, gram long")
-    rows = words.join(texts, "id").join(F.broadcast(shared.withColumn("hit", F.lit(1))), ["t", "gram"], "left")  # the templates, a parameter
-    rows = rows.withColumn("hit", F.coalesce("hit", F.lit(0)))
-    begin = F.greatest(F.coalesce(F.col("before") + 1, F.lit(0)), F.col("p") - F.col("n") + 1)
+    key = ["id", "doc_id", "t", "a"]
+    # a stretch moves as one row; what follows stays where it is
+    rows = held.repartition("id", "t", "a").select(*key, "size", F.posexplode(F.arrays_zip("grams", "hits", F.slice("lines", 1, F.size("grams")).alias("line"), F.slice("lines", 2, F.size("grams")).alias("next"))).alias("k", "x"))
+    rows = rows.select(*key, "size", (F.col("a") + F.col("k")).alias("p"), F.col("x.grams").alias("gram"), F.col("x.hits").alias("hit"), F.col("x.line").alias("line"), (F.col("x.line") == F.col("x.next")).alias("same"))
+    before = F.lag("p").over(Window.partitionBy("id", "t", "a", "gram").orderBy("p"))
+    n = own([n for *_, n, _ in notices])
+    begin = F.greatest(F.coalesce(F.col("before") + 1, F.lit(0)), F.col("p") - n + 1)
     event = lambda s, d, start, line: F.struct(s.alias("s"), F.lit(d).alias("d"), (F.col("hit") * d).alias("h"), start.alias("start"), line.alias("line"))
-    none = F.lit(None).cast("int")
-    events = F.explode(F.array(event(begin, 1, F.lit(0), none), event(F.col("p") + 1, -1, F.lit(0), none), event(F.col("p"), 0, F.col("hit"), F.col("line"))))
-    key = ["id", "doc_id", "t", "n", "own", "size"]
-    places = rows.select(*key, events.alias("e")).select(*key, "e.*").groupBy(*key, "s").agg(F.sum("d").alias("d"), F.sum("h").alias("h"), F.max("start").alias("start"), F.max("line").alias("line"))
-    upto = Window.partitionBy("id", "t").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    windows = places.select(*key, "s", "line", "start", F.sum("d").over(upto).alias("different"), F.sum("h").over(upto).alias("shared")).where("start = 1")
-    windows = windows.select(*key, "s", F.least(F.col("s") + F.col("n"), F.col("size")).alias("e"), "line", "different", "shared")
-    lines = rows.where("same").groupBy(*key, "line").agg(F.min("p").alias("s"), F.max("p").alias("last"), F.count_distinct("gram").alias("different"), F.count_distinct(F.when(F.col("hit") == 1, F.col("gram"))).alias("shared"))
-    lines = lines.select(*key, "s", (F.col("last") + 1).alias("e"), "line", "different", "shared")
-    dice = F.col("shared") * 2.0 / (F.col("different") + F.col("own"))
+    none, no = F.lit(None).cast("int"), F.lit(0)
+    events = F.explode(F.array(event(begin, 1, no, none), event(F.col("p") + 1, -1, no, none), event(F.col("p"), 0, F.col("hit"), F.col("line"))))
+    events = rows.withColumn("before", before).select(*key, "size", events.alias("e")).select(*key, "size", "e.*")
+    upto = Window.partitionBy("id", "t", "a").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    windows = events.select(*key, "s", "line", "start", F.least(F.col("s") + n, F.col("size")).alias("e"), F.sum("d").over(upto).alias("different"), F.sum("h").over(upto).alias("shared")).where("start = 1").drop("start")
+    lines = rows.where("same").groupBy(*key, "line").agg(F.min("p").alias("s"), (F.max("p") + 1).alias("e"), F.count_distinct("gram").alias("different"), F.count_distinct(F.when(F.col("hit") == 1, F.col("gram"))).alias("shared"))
+    dice = F.col("shared") * 2.0 / (F.col("different") + own([len(grams) for *_, grams in notices]))
     found = windows.unionByName(lines).withColumn("dice", dice).where(F.col("dice") >= threshold)
     rank, name = own([rank for rank, *_ in notices]), own([name for _, name, *_ in notices])
     found = found.select("id", "doc_id", F.struct((-F.col("shared")).alias("fewer"), (-F.col("dice")).alias("less"), rank.alias("rank"), "s", "e", name.alias("license"), "line").alias("x"))
@@ -119,8 +115,12 @@ def _passages(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]],
     return each.select("doc_id", F.explode(apart).alias("x")).select("doc_id", F.col("x.line").alias("line"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))
 
 
-def _candidates(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]], ratio: float) -> DataFrame:
-    """id, doc_id, g, line_of, ts: the texts that have enough bigrams of some templates (numbers in ts), their bigrams, and each word's line."""
+def _stretches(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]], ratio: float) -> DataFrame:
+    """id, doc_id, t, a, size, grams, hits, lines: the parts of texts that hold windows or lines with enough bigrams of a template.
+
+    t is the template's number, a the first bigram's place, size the text's number of bigrams; hits are 1 for the template's bigrams; lines has
+    one entry more, for the last word. All within a row, by functions of arrays.
+    """
     need = [max(1, math.ceil(ratio * len(grams) - 1e-9)) for *_, grams in notices]
     rows = plain.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text", _words(F.col("text")).alias("words")).select("id", "doc_id", "text", _bigrams(F.col("words")).alias("g"))
     g = F.col("g")
@@ -134,13 +134,56 @@ def _candidates(plain: DataFrame, notices: list[tuple[int, str, int, list[int]]]
         cells[gram % len(cells)].append({"g": gram, "t": which})
     table = F.from_json(F.lit(json.dumps(cells)), "array<array<struct<g: long, t: array<int>>>>")
     cell = lambda gram: F.get(table, F.pmod(gram, F.lit(len(cells))).cast("int"))
+    once = lambda kept, made, name: rows.select(*kept, F.explode(F.array(made)).alias(name))  # noqa: E731  (an explode keeps it from being made again in each later condition)
     known = F.filter(g, lambda gram: F.exists(cell(gram), lambda e: e["g"] == gram))
-    # an explode keeps what it makes from being made again in each later condition
-    rows = rows.select("id", "doc_id", "text", "g", F.explode(F.filter(F.array(known), lambda h: F.size(h) >= min(need))).alias("known"))
+    rows = once(["id", "doc_id", "text", "g"], known, "known").where(F.size("known") >= min(need))
     # each different bigram once, as only different ones count
     of = F.flatten(F.transform(F.array_distinct("known"), lambda gram: F.flatten(F.transform(F.filter(cell(gram), lambda e: e["g"] == gram), lambda e: e["t"]))))
-    rows = rows.select("id", "doc_id", "text", "g", F.explode(F.array(of)).alias("of"))
+    rows = once(["id", "doc_id", "text", "g"], of, "of")
     enough = lambda t: F.size(F.filter("of", lambda x: x == t)) >= F.get(F.array(*map(F.lit, need)), t)
-    rows = rows.select("id", "doc_id", "text", "g", F.explode(F.filter(F.array(F.filter(F.array_distinct("of"), enough)), lambda x: F.size(x) > 0)).alias("ts"))
-    line_of = F.flatten(F.transform(F.split("text", "\n"), lambda raw, i: F.array_repeat(i, F.size(_words(raw)))))
-    return rows.select("id", "doc_id", "g", line_of.alias("line_of"), "ts")
+    rows = once(["id", "doc_id", "text", "g"], F.filter(F.array_distinct("of"), enough), "ts").where(F.size("ts") > 0)
+    # of each word its line, the place in it, and the line's number of words
+    each = F.transform(F.split("text", "\n"), lambda raw, i: F.struct(i.alias("i"), F.size(_words(raw)).alias("n")))
+    word = F.flatten(F.transform(each, lambda x: F.when(x["n"] > 0, F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda k: F.struct(x["i"].alias("line"), k.alias("k"), x["n"].alias("n")))).otherwise(F.array().cast("array<struct<line:int,k:int,n:int>>"))))
+    rows = once(["id", "doc_id", "g", "ts"], word, "word")
+    rows = rows.select("id", "doc_id", "g", "word", F.explode("ts").alias("t"))
+    own = lambda values: F.get(F.array(*map(F.lit, values)), F.col("t"))
+    is_hit = lambda gram: F.exists(cell(gram), lambda e: (e["g"] == gram) & F.array_contains(e["t"], F.col("t")))
+    kept = ["id", "doc_id", "g", "word", "t"]
+    rows = once(kept, F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda p: is_hit(F.get(g, p))), "h")
+    least, n, h = own(need), own([n for *_, n, _ in notices]), F.col("h")
+    last = lambda j: F.get(h, j + least - 1)
+    at = lambda p: F.get("word", p)
+
+    def reach(j: Column) -> Column:
+        """What has to be looked at for the hits from the j-th on: a window, their line, both or nothing."""
+        first, end = F.get(h, j), last(j)
+        near, line = end - first < n, at(first)["line"] == at(end + 1)["line"]
+        from_line, to_line = first - at(first)["k"], first - at(first)["k"] + at(first)["n"] - 1
+        low = F.when(line, from_line).when(near, first)
+        return F.struct(low.alias("a"), F.greatest(F.when(near, F.least(first + n, F.size(g))), F.when(line, to_line)).alias("b"))
+
+    runs = F.when(F.size(h) >= least, F.sequence(F.lit(0), F.size(h) - least)).otherwise(F.array().cast("array<int>"))
+    rows = once(kept, F.filter(F.transform(runs, reach), lambda x: x["a"].isNotNull()), "reach")
+    none = F.filter("reach", lambda x: F.lit(False))
+
+    def joined(held: Column, x: Column) -> Column:
+        """Runs that overlap become one; the last of those done is kept apart."""
+        now = held["now"]
+        over = now["a"].isNotNull() & (x["a"] <= now["b"])
+        both = F.struct(F.least(now["a"], x["a"]).alias("a"), F.greatest(now["b"], x["b"]).alias("b"))
+        done = F.when(over | now["a"].isNull(), held["done"]).otherwise(F.concat(held["done"], F.array(now)))
+        return F.struct(done.alias("done"), F.when(over, both).otherwise(x).alias("now"))
+
+    begin = F.struct(none.alias("done"), F.struct(F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b")).alias("now"))
+    merged = F.aggregate("reach", begin, joined, lambda held: F.when(held["now"]["a"].isNull(), held["done"]).otherwise(F.concat(held["done"], F.array(held["now"]))))
+    rows = once(kept, merged, "merged")
+
+    def cut(x: Column) -> Column:
+        grams = F.slice(g, x["a"] + 1, x["b"] - x["a"])
+        return F.struct(
+            x["a"].alias("a"), grams.alias("grams"), F.transform(grams, lambda gram: is_hit(gram).cast("int")).alias("hits"), F.transform(F.slice("word", x["a"] + 1, x["b"] - x["a"] + 1), lambda w: w["line"]).alias("lines")
+        )
+
+    rows = rows.select("id", "doc_id", "t", F.size(g).alias("size"), F.explode(F.transform("merged", cut)).alias("x"))
+    return rows.select("id", "doc_id", "t", "x.a", "size", "x.grams", "x.hits", "x.lines")
