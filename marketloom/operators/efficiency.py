@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,40 +230,65 @@ def partial_autocorrelation(df: DataFrame, lags: int, column: str = "r") -> Data
     return rows.mapInPandas(recursion, "symbol string, n long, lag int, pacf double")
 
 
-def bds(df: DataFrame, dimensions: tuple[int, ...] = (2, 3), distance: float = 1.5, column: str = "r", block: int = 512) -> DataFrame:
-    """symbol, n, dimension, statistic, p_value: Brock, Dechert and Scheinkman's test of independence.
+def _fineness(n: Column, m: int) -> Column:
+    """Columns within the distance: so many that steps over columns and comparisons in those at the rim weigh about the same."""
+    size = F.sqrt(n) / 4 if m == 2 else F.cbrt(n) / 3
+    return F.greatest(F.lit(2), F.round(size)).cast("int")
 
-    Near means closer than `distance` standard deviations. All pairs of a series are compared, `block` rows of it
-    a task; a task gets the whole series, one number a date, and sends back counts.
-    """
-    s = df.where(F.col(column).isNotNull()).groupBy("symbol").agg(
-        F.count("*").alias("n"), (distance * F.stddev_samp(column)).alias("eps"), F.array_sort(F.collect_list(F.struct("ts", F.col(column).alias("x")))).alias("x")
-    )
-    s = s.select("symbol", "n", "eps", F.col("x.x").alias("x"), F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"), F.lit(block))).alias("at"))
-    deepest = max(dimensions)
 
-    def counts(batches):
-        for pdf in batches:
-            out = []
-            for symbol, n, eps, x, at in pdf.itertuples(index=False):
-                near = np.abs(x[at : at + block + deepest - 1, None] - x[None, :]) < eps
-                mine = min(block, n - at)
-                sums = near[:mine].sum(1)
-                row, later = np.arange(at, at + mine), np.arange(n)[None, :] > np.arange(at, at + mine)[:, None]
-                pairs = (near[:mine] & later).sum(1)
-                found = []
-                for m in dimensions:
-                    rows = max(0, min(mine, n - m + 1 - at))
-                    joint = later[:rows, : n - m + 1].copy()
-                    for j in range(m):
-                        joint &= near[j : j + rows, j : n - m + 1 + j]
-                    found += [int(pairs[row >= m - 1].sum()), int(joint.sum())]
-                out.append((symbol, n, int(sums.sum()), int((sums**2).sum()), *found))
-            yield pd.DataFrame(out, columns=names)
-
-    names = ["symbol", "n", "near", "near2", *[f"{c}{m}" for m in dimensions for c in ("one", "all")]]
-    parts = s.repartition("symbol", "at").mapInPandas(counts, "symbol string, " + ", ".join(f"{c} long" for c in names[1:]))
-    t = parts.groupBy("symbol", "n").agg(*[F.sum(c).alias(c) for c in names[2:]])
+def near_pairs(points: DataFrame, m: int, fine: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """symbol, pairs: pairs of points (symbol, n, u0 .. u{m-1}) less than 1 apart in every coordinate; and the pairs that are compared one by one.
+
+    All coordinates but the last are cut in columns. Points whose columns are surely within the distance are counted in the order of the last
+    coordinate, by a window over each column; only points of columns at the rim, which may be or not be, are compared.
+    """
+    heads, last = [f"u{k}" for k in range(m - 1)], f"u{m - 1}"
+    points = points.withColumn("fine", F.lit(fine) if fine else _fineness(F.col("n"), m))
+    points = points.withColumns({f"c{k}": F.floor(F.col(h) * F.col("fine")).cast("int") for k, h in enumerate(heads)})
+    cells = [f"c{k}" for k in range(m - 1)]
+    asked = points
+    for k in range(m - 1):
+        asked = asked.withColumn(f"o{k}", F.explode(F.sequence(-F.col("fine"), F.col("fine"))))
+    off = [F.col(f"o{k}") for k in range(m - 1)]
+    rim = F.greatest(F.lit(0), *[F.abs(o) for o in off]) == F.col("fine")
+    inner = asked.where(~rim).select("symbol", *[(F.col(c) + o).alias(c) for c, o in zip(cells, off, strict=True)], F.col(last).alias("u"), F.lit(0).alias("own"))
+    both = inner.unionByName(points.select("symbol", *cells, F.col(last).alias("u"), F.lit(1).alias("own")))
+    around = Window.partitionBy("symbol", *cells).orderBy("u").rangeBetween(-1, 1)
+    counted = both.withColumn("met", F.sum("own").over(around)).where("own = 0").groupBy("symbol").agg(F.sum("met").alias("met"))
+    # of two opposite columns at the rim one is enough
+    ahead = off[0] > 0
+    for k in range(1, m - 1):
+        ahead = ahead | ((F.greatest(*[F.abs(o) for o in off[:k]], F.lit(0)) == 0) & (off[k] > 0))
+    left = asked.where(rim & ahead).select("symbol", *[(F.col(c) + o).alias(c) for c, o in zip(cells, off, strict=True)], *[F.col(u).alias(f"_{u}") for u in [*heads, last]])
+    compared = left.join(points.select("symbol", *cells, *heads, last), ["symbol", *cells])
+    close = F.lit(True)
+    for u in [*heads, last]:
+        close = close & (F.abs(F.col(u) - F.col(f"_{u}")) < 1)
+    at_rim = compared.where(close).groupBy("symbol").agg(F.count("*").alias("rim"))
+    size = points.groupBy("symbol").agg(F.count("*").alias("size"))
+    out = size.join(counted, "symbol", "left").join(at_rim, "symbol", "left")
+    return out.select("symbol", ((F.coalesce("met", F.lit(0)) - F.col("size")) / 2 + F.coalesce("rim", F.lit(0))).cast("long").alias("pairs")), compared
+
+
+def bds(df: DataFrame, dimensions: tuple[int, ...] = (2, 3), distance: float = 1.5, column: str = "r", fine: int | None = None) -> DataFrame:
+    """symbol, n, dimension, statistic, p_value: Brock, Dechert and Scheinkman's test of independence, in 2 and 3 dimensions.
+
+    Near means closer than `distance` standard deviations. Single values are counted in their own order, by a window; for histories of
+    several values see near_pairs(), whose columns within the distance are `fine` if given. The pairs of all dates are never made.
+    """
+    if not set(dimensions) <= {2, 3}:
+        raise ValueError("dimensions are 2 and 3")
+    rows = df.where(F.col(column).isNotNull()).select("symbol", "ts", F.col(column).cast("double").alias("x"))
+    s = rows.groupBy("symbol").agg(F.count("*").alias("n"), (distance * F.stddev_samp("x")).alias("eps"))
+    rows = rows.join(s, "symbol").select("symbol", "n", (F.col("x") / F.col("eps")).alias("u0"), F.row_number().over(in_time()).alias("i"), *[(F.lead("x", k).over(in_time()) / F.col("eps")).alias(f"u{k}") for k in range(1, max(dimensions))])
+    around = Window.partitionBy("symbol").orderBy("u0").rangeBetween(-1, 1)
+    late = {m: F.count(F.when(F.col("i") >= m, 1)).over(around) for m in dimensions}  # of dates from the m-th on
+    each = rows.select("symbol", "n", "i", F.count("*").over(around).alias("near"), *[c.alias(f"late{m}") for m, c in late.items()])
+    sums = [((F.sum(F.when(F.col("i") >= m, F.col(f"late{m}"))) - F.count(F.when(F.col("i") >= m, 1))) / 2).cast("long").alias(f"one{m}") for m in dimensions]
+    t = each.groupBy("symbol", "n").agg(F.sum("near").alias("near"), F.sum(F.col("near") * F.col("near")).alias("near2"), *sums)
+    for m in dimensions:
+        pairs, _ = near_pairs(rows.select("symbol", "n", *[f"u{k}" for k in range(m)]).na.drop(), m, fine)
+        t = t.join(pairs.withColumnRenamed("pairs", f"all{m}"), "symbol")
     n = F.col("n").cast("double")
     c = (F.col("near") - n) / (n * (n - 1))
     k = (F.col("near2") - 3 * F.col("near") + 2 * n) / (n * (n - 1) * (n - 2))

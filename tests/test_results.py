@@ -191,3 +191,18 @@ def test_a_set_of_lags_is_each_of_them(spark):
             assert got[r.symbol, lags] == pytest.approx((r.statistic, r.p_value), rel=1e-9)
     with pytest.raises(ValueError):
         efficiency.ljung_box_set(returns, [0])
+
+
+def test_near_pairs_are_all_and_few_are_compared(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=598), [0.0, 0.0]])
+    eps = 1.5 * x.std(ddof=1)
+    for m in (2, 3):
+        points = np.column_stack([x[k : len(x) - m + 1 + k] for k in range(m)]) / eps
+        want = int((np.abs(points[:, None] - points[None]).max(2) < 1).sum() - len(points)) // 2
+        df = spark.createDataFrame([("s", 600, *map(float, p)) for p in points], "symbol string, n long, " + ", ".join(f"u{k} double" for k in range(m)))
+        for fine in (None, 1, 5):
+            pairs, compared = efficiency.near_pairs(df, m, fine)
+            assert pairs.first().pairs == want
+            if fine is None:
+                assert compared.count() < len(points) ** 2 / 2 * (0.2 if m == 2 else 0.35)

@@ -139,13 +139,13 @@ def levels_of(spark, steps):
     return spark.createDataFrame(rows, "symbol string, ts date, value double")
 
 
-def test_bds_in_blocks_tells_noise_from_a_map(spark):
+def test_bds_in_columns_tells_noise_from_a_map(spark):
     g = np.random.default_rng(5)
     tent = [0.3]
     for _ in range(399):
         tent.append(1 - abs(1 - 1.999 * tent[-1]))
     df = series(spark, {"r": g.normal(size=400)}).unionByName(series(spark, {"r": np.array(tent)}).selectExpr("'t' AS symbol", "ts", "r"))
-    cut, whole = (efficiency.bds(df, (2, 3), block=b).toPandas().sort_values(["symbol", "dimension"]) for b in (37, 1000))
+    cut, whole = (efficiency.bds(df, (2, 3), fine=b).toPandas().sort_values(["symbol", "dimension"]) for b in (1, 7))
     assert np.allclose(cut.statistic, whole.statistic)
     noise, tents = cut[cut.symbol != "t"], cut[cut.symbol == "t"]
     assert (noise.statistic.abs() < 3).all() and (tents.statistic > 8).all()
