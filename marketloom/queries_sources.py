@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .operators import claims, layers
+from .operators import claims, layers, retrieval
 from .operators.text import DATED, REFERENCE
 from .queries import DIGITS, SEGMENTS, _levels, _r, _residuals, register
 from .sources import exports, factor_files, panel, price_cache, scratch
@@ -148,3 +148,11 @@ def unsupported_claims(spark, d):
     """Claims of documents that no quantity of a line bears out."""
     quantities = panel.table(spark, d, "lineitem").select(F.col("l_quantity").alias("value"))
     return claims.unsupported(panel.table(spark, d, "documents"), quantities, STEPS)
+
+
+@register("nearest_in_scope", f"""SELECT query_id, vec_id, round(distance, {DIGITS}) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance
+FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.label % 2 = q.label % 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""")
+def nearest_in_scope(spark, d):
+    """The nearest vectors of the same scope, whether a label is odd, for every vector whose id is divisible by 100."""
+    vectors = panel.table(spark, d, "embeddings").withColumn("odd", F.col("label") % 2)
+    return retrieval.nearest_in_scope(vectors, vectors.where("vec_id % 100 = 0"), 10, ["odd"])

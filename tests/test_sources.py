@@ -210,3 +210,33 @@ def test_numbers_in_their_context(spark):
     allowed = spark.createDataFrame([(1.29774,), (0.05,), (1234.2,), (None,)], "value double")
     left = [r.cited for r in claims.unsupported(docs, allowed, ["s1", "s3"]).orderBy("line", "nth").collect()]
     assert left == ["7", "2008", "0.31", "2020", "-2024", "1.5", "3"]
+
+
+def test_neighbours_in_scope_are_exact_and_most_is_skipped(spark, monkeypatch):
+    import numpy as np
+
+    from marketloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 50)
+    monkeypatch.setattr(retrieval, "ASKED", 7)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(25, 6))
+    rows = [(i, [float(x) for x in middle[i % 25] + 0.05 * rng.normal(size=6)], f"p{i % 2}", None if i % 3 else "m") for i in range(1500)]
+    rows += [(2000 + i, rows[0][1], "p0", "m") for i in range(200)] + [(3000, [0.0] * 6, "p0", "m"), (3001, None, "p0", "m"), (3002, [1.0, None, 1.0, 1.0, 1.0, 1.0], "p0", "m"), (3003, [1.0, 2.0], "p0", "m"), (None, rows[0][1], "p0", "m")]
+    schema = "vec_id long, embedding array<double>, project string, model string"
+    vectors = spark.createDataFrame(rows, schema)
+    queries = vectors.where("vec_id % 100 = 0 and vec_id < 2000")
+    got = {}
+    for r in retrieval.nearest_in_scope(vectors, queries, 4, ["project", "model"]).collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.vec_id))
+    whole = [(i, np.array([*v, *[0.0] * (6 - len(v))]), p, m) for i, v, p, m in rows if i is not None and v is not None and None not in v and any(v)]
+    for q, v, p, m in whole:
+        if q % 100 == 0 and q < 2000:
+            far = sorted((round(1 - float(v @ w) / float(np.sqrt(v @ v) * np.sqrt(w @ w)), 9) + 0.0, i) for i, w, pp, mm in whole if (pp, mm) == (p, m))[:4]
+            assert [i for _, i in sorted(got[q])] == [i for _, i in far] and np.allclose([d for d, _ in sorted(got[q])], [d for d, _ in far], atol=2e-9)
+    held, made = retrieval.clustered(vectors, ["project", "model"], 6)
+    read = retrieval.visits(held, made, retrieval._usable(queries, ["project", "model"], "vec_id", "embedding", 6), 4).agg(F.sum("n")).first()[0]
+    sizes = held.groupBy("scope").agg(F.count("*").alias("n"))
+    every = retrieval._usable(queries, ["project", "model"], "vec_id", "embedding", 6).join(sizes, "scope").agg(F.sum("n")).first()[0]
+    assert read < 0.5 * every
+    assert retrieval.nearest_in_scope(vectors.limit(0), queries, 4, ["project"]).count() == 0

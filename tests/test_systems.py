@@ -173,3 +173,20 @@ def test_unit_root_p_values_at_published_critical_values(spark):
     assert [unit_root_sf(t) for t in (-3.43, -2.86, -2.57, 3.0)] == pytest.approx([0.01, 0.05, 0.1, 1.0], abs=1.5e-3)
     x = spark.createDataFrame([(0.1,), (0.347,), (0.405,), (0.463,), (0.9,)], "x double")
     assert [r[0] for r in x.select(kpss_p(x.x)).collect()] == pytest.approx([0.1, 0.1, 0.075, 0.05, 0.01])
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_johansen_tables_are_what_simulation_gives(k):
+    """Limits of the statistics: Brownian steps on demeaned paths, of which one is a trend, 400 steps long."""
+    g, trace, largest = np.random.default_rng(1), [], []
+    for _ in range(8):
+        steps = g.normal(size=(500, 400, k))
+        path = np.cumsum(steps, 1) - steps
+        path[:, :, -1] = np.arange(400)
+        path, steps = path - path.mean(1, keepdims=True), steps - steps.mean(1, keepdims=True)
+        cross = np.einsum("rti,rtj->rij", steps, path)
+        values = np.linalg.eigvalsh(np.einsum("rij,rjk,rlk->ril", cross, np.linalg.inv(np.einsum("rti,rtj->rij", path, path)), cross))
+        trace.append(values.sum(1))
+        largest.append(values[:, -1])
+    for found, table in ((trace, systems.TRACE), (largest, systems.MAX_EIGEN)):
+        assert np.allclose(np.quantile(np.concatenate(found), [0.9, 0.95]), table[k - 1][:2], rtol=0.05)
