@@ -28,6 +28,8 @@ from .common import map_arrow, materialize, packed
 from .words import chunks, text_buffer
 
 SAMPLE = 2_000
+#: Languages that a model knows: a table of BUCKETS numbers each, 64 MB in all.
+MOST_LANGUAGES = 128
 BUCKETS = 1 << 16
 EVIDENCE = 60
 DECLARED, ADDRESS = 0.9, 0.8
@@ -93,12 +95,13 @@ class Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from at most `sample` different texts of each language, chosen by a hash of the text.
 
-    Copies of a text count once. Rows with a null text or language are left out. Without any labelled row the model knows only "und".
+    The languages are the MOST_LANGUAGES labels with most different texts, ties by name; texts with another label are judged by these. Copies
+    of a text count once. Rows with a null text or language are left out. Without any labelled row the model knows only "und".
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(lang_col).cast("string")).alias("lang"))
     rows = rows.where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     different = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
-    counts = {r.lang: r.n for r in different.collect()}  # one row a language
+    counts = {r.lang: r.n for r in different.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     # an even share of the hash range, wide enough to hold the sample, so no ranking of all rows is needed; then the bound
     names, tables, wide = sorted(counts), [], sample + 8 * sample**0.5 + 32
     shares = [F.lit(x) for lang in names for x in (lang, -int(-1_000_000 * min(1.0, wide / counts[lang]) // 1))]

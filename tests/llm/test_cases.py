@@ -408,3 +408,15 @@ def test_licences_of_long_texts_take_time_in_proportion(spark):
     rows = license.scan(corpus(spark, ["\n".join([whole] * 60)])).collect()
     took = time.time() - began
     assert len(rows) == 60 and {r.license for r in rows} == {"GPL-3.0"} and took < 60  # 2 MB
+
+
+def test_labels_beyond_the_bound_leave_the_model_small(spark, monkeypatch):
+    from marketloom.llm import language
+
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, f"the dog and the fox {i}", "en") for i in range(30)] + [(100 + i, f"der hund und die katze {i}", "de") for i in range(20)] + [(200 + i, f"junk {i}", f"x{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    model = language.fit(docs)
+    assert model.languages == ["de", "en", "und"]
+    got = {r.doc_id: r.text_language for r in language.identify_documents(docs, model).collect()}
+    assert got[3] == "en" and got[105] == "de" and len(got) == len(rows)
