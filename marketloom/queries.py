@@ -125,8 +125,7 @@ SELECT l.symbol""", 1))
 def as_of_rate(spark, d):
     """Each level with the latest month-end mean order price as a rate."""
     rates = panel.table(spark, d, "orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("ts")).agg((F.avg("o_totalprice") / 1e7).alias("rate"))
-    symbols = _levels(spark, d).select("symbol").distinct()
-    return panel.as_of(_levels(spark, d), rates.crossJoin(F.broadcast(symbols)), "rate", by="symbol")
+    return panel.as_of(_levels(spark, d), rates, "rate", by=None)
 
 
 @register("capm", f"""SELECT symbol, nobs, {_r('alpha', 'beta', 'r2', 'alpha_se', 'beta_se', 'alpha / alpha_se AS alpha_t', 'beta / beta_se AS beta_t')},

@@ -49,8 +49,7 @@ SELECT symbol, ts, {_r('r - (pow(1 + pct / 100, 1.0::DOUBLE / 252) - 1) AS r')}
 def excess_returns(spark, d):
     """Returns less a daily rate made of the latest month-end mean order price, read as per cent a year."""
     rates = panel.table(spark, d, "orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("ts")).agg((F.avg("o_totalprice") / 1e5).alias("pct"))
-    returns = _returns(spark, d)
-    joined = panel.as_of(returns, rates.crossJoin(F.broadcast(returns.select("symbol").distinct())), "pct", by="symbol")
+    joined = panel.as_of(_returns(spark, d), rates, "pct", by=None)
     return panel.excess(joined.withColumn("rf", panel.period_rate(F.col("pct"), "DGS3MO", 252)), "rf")
 
 

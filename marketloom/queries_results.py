@@ -13,7 +13,8 @@ from . import sql
 from .functions import distributions
 from .operators import battery, diagnostics, efficiency, pricing, proposals, recursion, results, systems, volatility
 from .operators.gram import fitted, ols
-from .queries import _ACF, _FACTORS, _SERIES, _THREE, DIGITS, ORACLES, _aligned, _dickey_fuller, _factors, _kpss, _lags, _levels, _r, _residuals, _returns, _three, register
+from .queries import _ACF, _FACTORS, _SERIES, _THREE, DIGITS, ORACLES, _aligned, _dickey_fuller, _factors, _kpss, _lags, _levels, _r, _residuals, _returns, _three, _unit_root, register
+from .sources import panel
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -231,3 +232,54 @@ def _responses_sql(last: str, horizons: int) -> str:
 ORACLES["impulse_responses"] = _responses_sql(f"SELECT h::INT AS horizon, shock AS impulse, variable AS response, {_r('v AS value')} FROM rp", 10)
 ORACLES["variance_shares"] = _responses_sql(f"""SELECT (h + 1)::INT AS horizon, variable, shock, round(c / sum(c) OVER (PARTITION BY h, variable), {DIGITS}) AS share FROM (
 SELECT h, shock, variable, sum(v * v) OVER (PARTITION BY shock, variable ORDER BY h) AS c FROM rp)""", 9)
+
+
+_EXCESS = """, q AS (SELECT last_day(o_orderdate::DATE) AS ts, avg(o_totalprice) / 1e5 AS pct FROM orders GROUP BY 1),
+ay AS (SELECT al.symbol, al.ts, r, m, pow(1 + coalesce(q.pct, (SELECT arg_min(pct, ts) FROM q)) / 100, 1.0::DOUBLE / 252) - 1 AS rf FROM al ASOF LEFT JOIN q ON al.ts >= q.ts),
+ax AS (SELECT symbol, ts, r - rf AS r, m - rf AS m FROM ay)"""
+
+
+# a p-value that rounds to nothing has no sign
+_PLAIN = "SELECT * REPLACE (alpha_p + 0.0::DOUBLE AS alpha_p, beta_p + 0.0::DOUBLE AS beta_p) FROM"
+
+
+@register("capm_excess", f"{_EXCESS}\n{_PLAIN} ({ORACLES['capm'].removeprefix(_SERIES).replace('FROM al GROUP BY symbol', 'FROM ax GROUP BY symbol')})")
+def capm_excess(spark, d):
+    """CAPM of returns less a daily rate, which the market's returns are less too."""
+    rates = panel.table(spark, d, "orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("ts")).agg((F.avg("o_totalprice") / 1e5).alias("pct"))
+    rows = panel.as_of(_aligned(spark, d), rates, "pct", by=None).withColumn("rf", panel.period_rate(F.col("pct"), "DGS3MO", 252))
+    return pricing.capm(rows, risk_free="rf")
+
+
+def _order_sql(deepest: int) -> str:
+    """Criteria of each order from the determinant of the residuals' covariance, all orders on the rows of the longest."""
+    rows, parts, out = f"(SELECT * FROM lg WHERE A{deepest} IS NOT NULL)", [], []
+    for p in range(deepest + 1):
+        parts.append(sql.residual_products(f"or{p}", rows, [f"{c}{k}" for k in range(1, p + 1) for c in "ANR"], list("ANR")))
+        each = 1 + 3 * p
+        det = "(s_0_0 * (s_1_1 * s_2_2 - s_1_2 * s_1_2) - s_0_1 * (s_0_1 * s_2_2 - s_1_2 * s_0_2) + s_0_2 * (s_0_1 * s_1_2 - s_1_1 * s_0_2))"
+        out.append(f"""SELECT {p} AS lags, n AS nobs, round(v + 2.0::DOUBLE * {3 * each} / n, {DIGITS}) AS aic, round(v + ln(n) * {3 * each} / n, {DIGITS}) AS bic, round(v + 2.0::DOUBLE * ln(ln(n)) * {3 * each} / n, {DIGITS}) AS hqic,
+round(exp(v) * pow((n + {each})::DOUBLE / (n - {each}), 3), {DIGITS}) AS fpe FROM (SELECT n, ln({det} / pow(n, 3)) AS v FROM or{p})""")
+    return f"{_SERIES}{_THREE}{_lags('ANR', deepest)}, {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+ORACLES["var_order"] = _order_sql(6)
+
+
+def _own_lags(several: list[int]) -> str:
+    """CTE ow: symbol, nobs, lags, statistic, estimate of Dickey and Fuller's regression with Schwert's lags of each symbol's own rows."""
+    deepest, parts = max(several), []
+    changes = ", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in range(1, deepest + 1))
+    parts.append("w0 AS (SELECT symbol, ts, value - lag(value) OVER w AS d, lag(value) OVER w AS y1, floor(12 * pow(count(*) OVER (PARTITION BY symbol) / 100::DOUBLE, 0.25)) AS own FROM lv WINDOW w AS (PARTITION BY symbol ORDER BY ts))")
+    parts.append(f"w1 AS (SELECT *, {changes} FROM w0 WINDOW w AS (PARTITION BY symbol ORDER BY ts))")
+    for n in several:
+        parts.append(sql.last_coefficient(f"wf{n}", f"(SELECT * FROM w1 WHERE own = {n})", "symbol", [*[f"d{k}" for k in range(1, n + 1)], "y1"], "d"))
+    found = " UNION ALL ".join(f"SELECT symbol, n AS nobs, {n} AS lags, b / sqrt(v * ssr / (n - {n + 2})) AS statistic, b AS estimate FROM wf{n}" for n in several)
+    return f", {', '.join(parts)}, ow AS ({found})"
+
+
+#: Schwert's lags of all lengths from 1,886 to 2,933 dates.
+_OWN = _own_lags([25, 26, 27])
+ORACLES["adf_own_lags"] = f"{_SERIES}{_OWN} SELECT symbol, nobs, lags, {_r('statistic', 'estimate')}, {_unit_root('statistic', 'nobs', 'c')} FROM ow"
+ORACLES["gate_stationarity"] = f"""{_SERIES}{_OWN}, ur AS (SELECT symbol, statistic, {_unit_root('statistic', 'nobs', 'c')} FROM ow)
+SELECT symbol, 'stationarity' AS gate, {_r('statistic')}, p_value, passed AS present, NOT passed AS allowed FROM ur"""

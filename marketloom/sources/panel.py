@@ -73,11 +73,15 @@ def transformed(series: DataFrame, kind: str) -> DataFrame:
     return out.where("value is not null") if kind.endswith("diff") else out
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str, by: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, value: str, by: str | None) -> DataFrame:
     """left with the last `value` of right at or before ts; rows before the first get the first (back-fill).
 
-    A union and a running last value stand for the join, so nothing is compared pairwise.
+    A union and a running last value stand for the join, so nothing is compared pairwise. Without `by`, right holds for every row of left: its
+    values are found for the dates that left has, and joined by date.
     """
+    if by is None:
+        calendar = as_of(left.select("ts").distinct().withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), value, "_all")
+        return left.join(calendar.drop("_all"), "ts")
     keys = [by]
     both = left.withColumns({"_own": F.lit(True), value: F.lit(None).cast("double")}).unionByName(
         right.select(*keys, "ts", F.col(value).cast("double").alias(value)).withColumn("_own", F.lit(False)), allowMissingColumns=True

@@ -93,3 +93,31 @@ def terms(name: str, keys: Iterable[str], names: list[str], digits: int) -> str:
             f"{r('ssr', 'ssr')}, {r('1 - ssr / sst', 'r2')}, {r(f'1 - (ssr / sst) * (n - 1) / (n - {k})', 'r2_adjusted')} FROM {name}"
         )
     return " UNION ALL ".join(parts)
+
+
+def residual_products(name: str, rows: str, xs: list[str], ys: list[str]) -> str:
+    """CTEs that end in `name`: n, and s_i_j, the sums of products of the residuals of ys on a constant and xs: what sweeping leaves of them."""
+    cols, k = ["1.0::DOUBLE", *[f"({x})::DOUBLE" for x in [*xs, *ys]]], len(xs) + 1
+    cells = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    out = [f"{name}_0 AS (SELECT count(*) AS n, {', '.join(f'sum({cols[i]} * {cols[j]}) AS g_{i}_{j}' for i, j in cells)} FROM {rows})"]
+    at = lambda i, j: f"g_{min(i, j)}_{max(i, j)}"
+    for p in range(k):
+        left = [(i, j) for i, j in cells if i > p]
+        out.append(f"{name}_{p + 1} AS (SELECT n, {', '.join(f'{at(i, j)} - {at(i, p)} * {at(p, j)} / {at(p, p)} AS {at(i, j)}' for i, j in left)} FROM {name}_{p})")
+    held = ", ".join(f"{at(k + i, k + j)} AS s_{i}_{j}" for i in range(len(ys)) for j in range(i, len(ys)))
+    out.append(f"{name} AS (SELECT n, {held} FROM {name}_{k})")
+    return ", ".join(out)
+
+
+def last_coefficient(name: str, rows: str, key: str, xs: list[str], y: str) -> str:
+    """CTEs that end in `name`: key, n, b and v (estimate and diagonal of the inverse) of the last of xs, and ssr, with a constant; by elimination."""
+    cols, k = ["1.0::DOUBLE", *[f"({x})::DOUBLE" for x in [*xs, y]]], len(xs)
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in [*xs, y])
+    cells = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    out = [f"{name}_0 AS (SELECT {key}, count(*) AS n, {', '.join(f'sum({cols[i]} * {cols[j]}) AS g_{i}_{j}' for i, j in cells)} FROM {rows} WHERE {whole} GROUP BY {key})"]
+    at = lambda i, j: f"g_{min(i, j)}_{max(i, j)}"
+    for p in range(k):
+        out.append(f"{name}_{p + 1} AS (SELECT {key}, n, {', '.join(f'{at(i, j)} - {at(i, p)} * {at(p, j)} / {at(p, p)} AS {at(i, j)}' for i, j in cells if i > p)} FROM {name}_{p})")
+    x, z = at(k, k), at(k, k + 1)
+    out.append(f"{name} AS (SELECT {key}, n, {z} / {x} AS b, 1 / {x} AS v, {at(k + 1, k + 1)} - {z} * {z} / {x} AS ssr FROM {name}_{k})")
+    return ", ".join(out)
