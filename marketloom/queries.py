@@ -594,8 +594,7 @@ def nearest_vectors_each(spark, d):
 
 @register("upload_profile")
 def upload_profile(spark, d):
-    p = upload.profile(panel.table(spark, d, "orders"))
-    return p.join(upload.proposed(upload.scores(p)), "column")
+    return upload.with_roles(upload.profile(panel.table(spark, d, "orders")))
 
 
 @register("upload_observations", f"""SELECT o_orderdate::DATE AS ts, o_orderpriority AS symbol, 'price' AS field, {_r('o_totalprice::DOUBLE AS value')} FROM orders""")

@@ -158,6 +158,40 @@ def test_csv_uploads(spark, tmp_path):
     assert [r[0] for r in x.select(upload.number(F.col("t"), True)).collect()] == [1.2, None, None]
 
 
+def test_profiles_keep_medians_by_column_and_read_days_once_a_value(spark):
+    rows = [(i, f"{i % 3 + 1}/{i % 28 + 1}/2020", "n/a" if i % 4 else "5 May 2020", None if i % 5 else "1,200", "x" * 50 if i % 2 else "7 up", " 1e3") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, day string, some string, few string, words string, plain string")
+    p = upload.profile(df)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"ObjectHashAggregate\(keys=\[column#\d+, ", plan) and "SortAggregate(key=[column#" not in plan  # a median for each value
+    got = {r.column: r for r in p.collect()}
+    assert {c: (r.rows, r.nulls, r.distinct_values, r.date_share, r.kind) for c, r in got.items()} == {
+        "id": (300, 0, 300, 0.0, "number"), "day": (300, 0, len({r[1] for r in rows}), 1.0, "datetime"), "some": (300, 0, 2, 0.25, "text"),
+        "few": (300, 240, 1, 0.0, "number"), "words": (300, 0, 2, 0.0, "text"), "plain": (300, 0, 1, 0.0, "number"),
+    }
+    assert (got["id"].least, got["id"].greatest, got["id"].mean, got["id"].size, got["few"].size, got["plain"].mean) == (0.0, 299.0, 149.5, 149.0, 1200.0, 1000.0)
+    assert not any(r.decimal_comma for r in got.values())
+
+
+def test_days_in_all_forms_and_beyond_reach(spark):
+    read = {"1/13/2020": "2020-01-13", "13/1/2020": "2020-01-13", "31/2/2020": None, "2020/1/13": "2020-01-13", "13.1.2020": "2020-01-13", "13-1-2020": "2020-01-13", "jan 13, 2020": "2020-01-13",
+            "January 13, 2020": "2020-01-13", "13 May 2020": "2020-05-13", "13 August 2020": "2020-08-13", "1/13/2020 3:04": "2020-01-13", "1/13/2020 23:04:05": "2020-01-13", "13.1.2020 3:04": "2020-01-13",
+            "13.1.2020 3:04:05": "2020-01-13", " 2020-01-13 04:00 ": "2020-01-13", "1/1/+1000000": None, "1/13/2020 24:00": None, "1.234,50": None, "n/a": None, "a " * 9999 + "1": None}
+    rows = spark.createDataFrame([(t,) for t in read], "t string").select("t", upload.day(F.col("t")).cast("string").alias("d")).collect()
+    assert {r.t: r.d for r in rows} == read
+
+
+def test_mapping_profiles_an_upload_once(spark, tmp_path):
+    spark.createDataFrame([("2024-01-02", "1,5", "x")] * 30, "date string, close string, note string").write.option("header", True).option("sep", ";").csv(f"{tmp_path}/u")
+    df, delimiter = upload.read_csv(spark, f"{tmp_path}/u")
+    p = upload.profile(df, delimiter)
+    once = len(re.findall("Scan csv", p._jdf.queryExecution().executedPlan().toString()))
+    for found in (upload.roles(p), upload.with_roles(p)):
+        assert len(re.findall("Scan csv", found._jdf.queryExecution().executedPlan().toString())) == once
+        assert {r.column: r.role for r in found.collect()} == {"date": "date", "close": "price", "note": "ticker"}
+    assert upload.decimal_commas(df, ["close", "note"], delimiter) == ["close"]
+
+
 def test_mappings_are_confirmed(spark):
     columns = ["d", "s", "p"]
     assert upload.confirmed(columns, {"d": "date", "p": "price"}) == {"d": "date", "s": "ignore", "p": "price"}
