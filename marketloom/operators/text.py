@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: A number as prose writes it, with the word or bracket before it.
 CITED = r"([A-Za-z]+(?:\(|\s+))?([-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?%?)"
+#: CITED as one match that begins at a word's first letter only and never steps back, so that long words cost no more than short ones.
+_WORD = r"[A-Za-z]+(?:\(|\s+)"
+_FOUND = r"(?:(?<![A-Za-z])[A-Za-z]++(?:\(|\s++))?+" + CITED[CITED.index(")?(") + 2 :]
 #: Words that make a number a reference, and a number of four digits a year.
 REFERENCE = "figure fig figures table tables chart exhibit panel step section appendix model equation note".split()
 DATED = "in since during from to by until through after before of and between the over".split()
@@ -53,8 +56,10 @@ def passages(docs: DataFrame, size: int = 1200, overlap: int = 200, id_col: str
 
 def cited_numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, place, word, cited, value, places, percent: the numbers of each text in order, without references, years and model orders."""
-    both = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(CITED), F.lit(1)).alias("before"), F.regexp_extract_all(text_col, F.lit(CITED), F.lit(2)).alias("cited"))
-    rows = docs.select(F.col(id_col), F.posexplode(both).alias("place", "x")).select(id_col, "place", F.lower(F.regexp_replace("x.before", r"[\s(]+$", "")).alias("word"), F.col("x.before").endswith("(").alias("order"), F.col("x.cited").alias("cited"))
+    docs = docs.where(F.col(text_col).rlike("[0-9]"))
+    rows = docs.select(F.col(id_col), F.posexplode(F.regexp_extract_all(text_col, F.lit(_FOUND), F.lit(0))).alias("place", "x"))
+    before = F.regexp_extract("x", f"^({_WORD})?", 1)
+    rows = rows.select(id_col, "place", F.lower(F.regexp_replace(before, r"[\s(]+$", "")).alias("word"), before.endswith("(").alias("order"), F.regexp_replace("x", f"^{_WORD}", "").alias("cited"))
     plain = F.regexp_replace("cited", "[,%]", "")
     rows = rows.withColumns({"value": plain.try_cast("double"), "places": F.length(F.regexp_extract("cited", r"\.(\d+)", 1)), "percent": F.col("cited").endswith("%")})
     year = F.col("cited").rlike(r"^\d{4}$") & F.col("value").between(*YEARS) & F.col("word").isin(*DATED)
@@ -68,10 +73,10 @@ def grounded(docs: DataFrame, allowed: DataFrame, id_col: str = "doc_id", text_c
     """
     numbers = cited_numbers(docs, id_col, text_col)
     forms = F.array(F.struct(F.col("value").alias("v"), F.col("places").alias("p")), F.when(F.col("percent"), F.struct((F.col("value") / 100).alias("v"), (F.col("places") + 2).alias("p"))))
-    asked = numbers.select(id_col, "place", F.explode(forms).alias("f")).where("f is not null")
-    asked = asked.select(id_col, "place", F.col("f.p").alias("p"), F.round(F.col("f.v") * F.pow(F.lit(10.0), "f.p")).alias("k"))
+    asked = numbers.select(id_col, "place", F.posexplode(forms).alias("form", "f")).where("f is not null")
+    asked = asked.select(id_col, "place", "form", F.col("f.p").alias("p"), F.round(F.col("f.v") * F.pow(F.lit(10.0), "f.p")).alias("k"))
     known = allowed.select(F.col(value).cast("double").alias("v")).where("v is not null").distinct().select("v", F.explode(F.sequence(F.lit(0), F.lit(PLACES))).alias("p"))
-    known = known.select("p", F.round(F.col("v") * F.pow(F.lit(10.0), "p")).alias("k")).distinct()
-    borne = asked.join(known, ["p", "k"], "left_semi").select(id_col, "place").distinct().withColumn("ok", F.lit(1))
-    rows = numbers.select(id_col, "place").join(borne, [id_col, "place"], "left")
-    return rows.groupBy(id_col).agg(F.count("*").alias("checked"), F.count_if(F.col("ok").isNull()).alias("unsupported"))
+    known = known.select("p", F.round(F.col("v") * F.pow(F.lit(10.0), "p")).alias("k")).distinct().withColumn("ok", F.lit(True))
+    # the texts are read once: numbers keep their id and place through the join, and a number is borne out where one of its forms is
+    borne = asked.join(known, ["p", "k"], "left").groupBy(id_col, "place").agg(F.count_if(F.col("form") == 0).alias("n"), F.max("ok").alias("ok"))
+    return borne.groupBy(id_col).agg(F.sum("n").alias("checked"), F.sum(F.when(F.col("ok") & F.col(id_col).isNotNull(), 0).otherwise(F.col("n"))).alias("unsupported"))

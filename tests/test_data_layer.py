@@ -248,6 +248,22 @@ def test_grounding(spark):
     assert got[1] == (2, 0) and got[3] == (3, 2) and got.get(2, (0, 0))[0] <= 1
 
 
+def test_grounding_reads_texts_once_and_long_words_in_one_pass(spark):
+    said = ["Beta 1.24, 5abc 6", "a1b2 c(3) d  4%", "x" * 200_000 + " 7 and 8", "of 1,234,567.5e-3% in\n2008 in 2008.5", "no number", None, "1e5x 7 +-3 --4 e5", "é 5 éa 6 _b 7", "sum(12 a  (3", "a\t\x0b9"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string")
+    plain = []
+    for i, t in enumerate(said):
+        t = t.replace("x" * 200_000, "x") if t else ""
+        plain += [(i, n, re.sub(r"[\s(]+$", "", m[1] or "").lower(), m[2]) for n, m in enumerate(re.finditer(text.CITED, t, re.ASCII)) if not (m[1] or "").endswith("(")]
+    dated = [x for x in plain if not (x[2] == "in" and x[3] == "2008")]
+    got = [(r.doc_id, r.place, "x" if len(r.word) > 9 else r.word, r.cited) for r in text.cited_numbers(docs).orderBy("doc_id", "place").collect()]
+    assert got == dated and len(got) > 15
+    grounded = text.grounded(docs.union(docs.where("doc_id = 2")), spark.createDataFrame([(7.0,), (0.04,)], "value double"))
+    assert {r.doc_id: (r.checked, r.unsupported) for r in grounded.collect() if r.doc_id in (1, 2)} == {1: (3, 2), 2: (4, 2)}
+    plan = grounded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_gates(spark):
     g, v, out = np.random.default_rng(4), 1.0, []
     for z in g.normal(size=1500):
