@@ -111,9 +111,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
+def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then what Arrow keeps for later goes back to the system, as an idle worker stays beside the next stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, each, schema) -> DataFrame:
     """mapInArrow() over small pieces of the session's batches."""
-    return df.mapInArrow(lambda batches: each(_cut(batches)), schema)
+    return df.mapInArrow(lambda batches: _returned(each(_cut(batches))), schema)
 
 
 def packed(docs: DataFrame, **more: Column) -> DataFrame:

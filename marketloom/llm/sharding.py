@@ -11,7 +11,8 @@ demand with the residual capacity is highest among shards that still have room i
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, n_bytes, packed, word_count
@@ -91,6 +92,11 @@ def _bundle() -> Column:
     return F.pmod(F.xxhash64("_group"), F.lit(BUNDLES))
 
 
+def _bounded(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table. Made of Arrow columns, as rows of Python would start a second set of Python workers on the executors."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def _plan(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
     """Rows without their texts, large groups with their number of pieces, the shard of each piece and of each bundle, and whether there are large ones."""
     spark, text = docs.sparkSession, _text(F.col(text_col))
@@ -120,6 +126,7 @@ def _plan(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[Dat
     owners = [g for g in each for _ in range(g["_pieces"])]
     wanted = np.array([[g["b"] * x, g["t"] * x, g["n"] * x] for g, x in zip(owners, shares, strict=True)], dtype=float).reshape(-1, 3)
     found = pack(np.concatenate([wanted, demand[["b", "t", "n"]].to_numpy(dtype=float).reshape(-1, 3)]), shards).tolist()
-    placed = spark.createDataFrame([(*p, s) for p, s in zip(pieces, found, strict=False)], "_group binary, _piece long, shard int")
-    bundles = spark.createDataFrame([(int(b), s) for b, s in zip(demand["_bundle"], found[len(pieces) :], strict=True)], "_bundle long, shard int")
+    names, places = zip(*pieces, strict=True) if pieces else ((), ())
+    placed = _bounded(spark, _group=pa.array(names, pa.binary()), _piece=pa.array(places, pa.int64()), shard=pa.array(found[: len(pieces)], pa.int32()))
+    bundles = _bounded(spark, _bundle=pa.array(demand["_bundle"].to_numpy(), pa.int64()), shard=pa.array(found[len(pieces) :], pa.int32()))
     return rows, large.select("_group", "_pieces"), placed, bundles, bool(each)

@@ -420,3 +420,17 @@ def test_labels_beyond_the_bound_leave_the_model_small(spark, monkeypatch):
     assert model.languages == ["de", "en", "und"]
     got = {r.doc_id: r.text_language for r in language.identify_documents(docs, model).collect()}
     assert got[3] == "en" and got[105] == "de" and len(got) == len(rows)
+
+
+def test_shards_are_placed_without_python_workers(spark):
+    docs = corpus(spark, ["a b c"] * 40 + [prose(i, 30) for i in range(20)])
+    out = sharding.with_shards(docs.select("*", F.lit(1).alias("more")), 4)
+    _, _, placed, bundles, cut = sharding._plan(docs, 4, "doc_id", "text")
+    assert cut and placed.dtypes == [("_group", "binary"), ("_piece", "bigint"), ("shard", "int")] and bundles.dtypes == [("_bundle", "bigint"), ("shard", "int")]
+    for df in (placed, bundles):  # rows of Python would be a scan of an RDD that Python workers make
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 60 and {r.shard for r in out.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_empty_tables_are_sharded(spark):
+    assert sharding.with_shards(corpus(spark, ["a"]).limit(0), 4).count() == 0
