@@ -207,8 +207,8 @@ def _european(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
 def upload_european(spark, d):
     """A file with decimal commas and mixed dates through profile, proposal and mapping."""
     df, delimiter = _european(spark, d)
-    roles = {r["column"]: r["role"] for r in upload.roles(upload.profile(df, delimiter)).collect()}  # one row a column
-    return upload.mapped(df, roles, delimiter)
+    found = upload.roles(upload.profile(df, delimiter)).collect()  # one row a column
+    return upload.mapped(df, {r["column"]: r["role"] for r in found}, delimiter, [r["column"] for r in found if r["decimal_comma"]])
 
 
 @register("upload_unread", """SELECT * FROM (SELECT 'Close' AS "column", 'price' AS role, count(*) FILTER (WHERE o_orderkey % 23 <> 0) AS written, 0::BIGINT AS unread FROM orders

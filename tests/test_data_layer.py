@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import DAY, one, series
 
+from marketloom import queries_data
 from marketloom.functions import distributions as dist
 from marketloom.operators import charts, diagnostics, efficiency, events, gates, multivariate, pricing, regimes, telemetry, text
 from marketloom.operators.gram import ols
@@ -201,6 +202,20 @@ def test_mapping_profiles_an_upload_once(spark, tmp_path):
     assert upload.decimal_commas(df, ["close", "note"], delimiter) == ["close"]
 
 
+def test_mapping_takes_decimal_commas_from_the_profile(spark, tmp_path, monkeypatch):
+    rows = [("2024-01-02", "1.234,5", "1,5" if i else "x", "1,200", None) for i in range(30)]
+    spark.createDataFrame(rows, "date string, close string, some string, high string, none string").write.option("header", True).option("sep", ";").csv(f"{tmp_path}/u")
+    df, delimiter = upload.read_csv(spark, f"{tmp_path}/u")
+    found = upload.roles(upload.profile(df, delimiter)).collect()
+    commas = [r["column"] for r in found if r["decimal_comma"]]
+    assert sorted(commas) == sorted(upload.decimal_commas(df, ["close", "some", "high", "none"], delimiter)) == ["close", "high"]
+    chosen = {"date": "date", "close": "price"}
+    counted = upload.mapped(df, chosen, delimiter).collect()
+    monkeypatch.setattr(upload, "decimal_commas", None)  # would read the file again
+    assert upload.mapped(df, chosen, delimiter, commas).collect() == counted and {r.value for r in counted} == {1234.5}
+    assert queries_data.upload_european(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_mappings_are_confirmed(spark):
     columns = ["d", "s", "p"]
     assert upload.confirmed(columns, {"d": "date", "p": "price"}) == {"d": "date", "s": "ignore", "p": "price"}
